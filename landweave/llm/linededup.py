@@ -17,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landweave.operators.skew import join_counted
+from landweave.storage import discard, materialize
+
 #: The white space that the key rule strips.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -41,11 +44,13 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where(F.char_length("key") >= min_chars)
         .select(F.unhex(F.md5("key")).alias("h"), "doc_id", "row", "pos")
     )
+    rows = materialize(rows)
     # Range partitions hold whole (hash, document) groups in order: the grouping below streams them without another exchange.
     ranged = rows.repartitionByRange("h", "doc_id").sortWithinPartitions("h", "doc_id", "pos")
-    per_doc = ranged.groupBy("h", "doc_id").agg(F.collect_set(F.struct("row", "pos")).alias("at"))
-    spread = per_doc.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = per_doc.join(spread, "h").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", F.inline("at"))
+    per_doc = materialize(ranged.groupBy("h", "doc_id").agg(F.collect_set(F.struct("row", "pos")).alias("at")))
+    discard(rows)
+    spread = materialize(per_doc.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs))
+    lost = join_counted(per_doc, spread, "h", "n", per_doc.count()).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", F.inline("at"))
     dropped = lost.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
     return dropped.select("doc_id", "row", F.size("gone").cast("long").alias("n_dropped"), _runs(F.col("gone")).alias("keep_runs"))
 
