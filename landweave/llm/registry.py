@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landweave.llm import decontam, linededup, secrets, simhash, substring
+from landweave.llm import decontam, langid, linededup, packing, secrets, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(_table(spark, sf_dir, "documents"))
 
@@ -33,8 +37,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_substring_dedup, op5_line_dedup, op6_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_substring_dedup, op4_packing, op5_line_dedup, op6_simhash, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
