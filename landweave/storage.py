@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one is set only where the session has none."""
@@ -20,20 +17,6 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-@contextmanager
-def _shuffle_cleanup(spark: SparkSession):
-    """Spark drops the shuffle files of a finished write; its result is on shared disk by then."""
-    before = spark.conf.get(_CLEANUP, None)
-    if before is None:
-        yield
-        return
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -41,8 +24,9 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/landweave-{uuid.uuid4().hex}"
-    with _shuffle_cleanup(spark):
-        df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    # Spark's cleaner drops the shuffle files of the finished write once the driver has collected its plan; do that now, not at the next periodic collection.
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._landweave_path = path
     return out
