@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from landweave.plans import pixels
+from landweave.plans.book import Query
 
-def queries() -> dict:
-    return {}
+BOOKS = (pixels.book,)
+
+
+def queries() -> dict[str, Query]:
+    return {k: v for b in BOOKS for k, v in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for b in BOOKS for k, v in b.sql.items()}
