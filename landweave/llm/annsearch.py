@@ -5,7 +5,7 @@ array starts narrow and doubles (virtual rehashing: a wider window is a union of
 is hashed again; growth is 1.2 a step, not 2, to stop soon after enough). A window is a range of ranks
 in the array, so a vector collides if its rank is in the range. A vector that collides on at least
 four fifths of the projections is a candidate and is verified with its true inner product; windows stop
-growing once a sixteenth of the block was verified.
+growing once an eighth of the block was verified.
 
 Largest inner product becomes nearest distance by one more coordinate, sqrt(M^2 - |x|^2) with M the
 largest norm; a query's is 0. The index is built for all rows, in blocks of at most ``block`` vectors
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from landweave.storage import materialize
 
-PROJECTIONS, THRESHOLD, GROWTH = 130, 0.8, 1.2
+LEAST_PROJECTIONS, THRESHOLD, GROWTH = 65, 0.8, 1.2
 
 
 def usable(vec: Column) -> Column:
@@ -38,8 +38,8 @@ def usable(vec: Column) -> Column:
 def _directions(dim: int) -> np.ndarray:
     """Random orthonormal bases side by side: directions that repeat nothing within a basis."""
     rng, d = np.random.default_rng(dim), dim + 1
-    bases = [np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(-(-PROJECTIONS // d))]
-    return np.concatenate(bases, axis=1)[:, :PROJECTIONS]
+    bases = [np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(-(-LEAST_PROJECTIONS // d))]
+    return np.concatenate(bases, axis=1)
 
 
 def _extended(x: np.ndarray, top: float, query: bool) -> np.ndarray:
@@ -83,15 +83,15 @@ def _blocks(top: float, dim: int, query: bool):
     return run
 
 
-def collide(q: np.ndarray, proj: np.ndarray, ranks: np.ndarray, enough: int, width: float) -> np.ndarray:
-    """Mask of the candidates of one query. ``q``: its projections; ``proj``: sorted values of each projection; ``ranks``: the vectors' places there."""
+def collide(q: np.ndarray, proj: np.ndarray, ranks: np.ndarray, enough: int, width: float) -> tuple[np.ndarray, float]:
+    """Mask of the candidates of one query, and the width that found them. ``q``: its projections; ``proj``: sorted values of each projection; ``ranks``: the vectors' places there."""
     n, need = proj.shape[1], int(np.ceil(THRESHOLD * len(q)))
     while True:
         lo, hi = np.array([np.searchsorted(a, (v - width, v + width)) for a, v in zip(proj, q)]).T
         inside = (ranks - lo[:, None].astype(np.uint16)) < (hi - lo)[:, None].astype(np.uint16)
         found = inside.view(np.uint8).sum(axis=0, dtype=np.uint16) >= need
         if found.sum() >= min(enough, n):
-            return found
+            return found, width
         width *= GROWTH
 
 
@@ -102,14 +102,16 @@ def _searched(k: int, share: int, dim: int):
             for qids, qvecs, qproj, ids, vecs, proj, ranks in zip(*cols):
                 qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
                 q, x = (np.frombuffer(v, np.float64).reshape(-1, dim) for v in (qvecs, vecs))
-                qp = np.frombuffer(qproj, np.float64).reshape(PROJECTIONS, -1)
-                proj = np.frombuffer(proj, np.float64).reshape(PROJECTIONS, -1)
-                ranks = np.frombuffer(ranks, np.uint16).reshape(PROJECTIONS, -1)
+                qp = np.frombuffer(qproj, np.float64).reshape(-1, len(qids))
+                proj = np.frombuffer(proj, np.float64).reshape(-1, len(ids))
+                ranks = np.frombuffer(ranks, np.uint16).reshape(-1, len(ids))
                 last = len(ids) - 1
                 width = max(0.75 * float(np.median(proj[:, int(0.75 * last)] - proj[:, int(0.25 * last)])), 1e-9)
                 out = [[], [], []]
                 for j in range(len(qids)):
-                    found = collide(qp[:, j], proj, ranks, max(2 * k, len(ids) // share), width)
+                    # Queries of a block need similar windows: the last one's, a step narrower, is the first to try.
+                    found, last_width = collide(qp[:, j], proj, ranks, max(2 * k, len(ids) // share), width)
+                    width = last_width / GROWTH
                     c = np.flatnonzero(found & (ids != qids[j]))
                     score = (x[c] * q[j]).sum(axis=1)
                     best = np.lexsort((ids[c], -score))[:k]
@@ -120,7 +122,7 @@ def _searched(k: int, share: int, dim: int):
     return run
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 8192, query_block: int = 512, share: int = 16) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 8192, query_block: int = 512, share: int = 8) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` best found for every row that meets ``queries``."""
     if block >= 1 << 16:
         raise ValueError("ranks have 16 bits")
