@@ -28,9 +28,9 @@ def _inside(rows: int | None, cols: int | None) -> Column:
 def focal_max_square(pixels: DataFrame, value: str, radius: int, keys: Sequence[str] = (), shape: tuple[int, int] | None = None) -> DataFrame:
     """Largest value within a square; two passes, along rows and then along columns."""
     size = shape or (None, None)
-    reach = F.sequence(F.lit(-radius), F.lit(radius))
-    wide = pixels.select(*keys, "row", (F.col("col") + F.explode(reach)).alias("col"), value).where(F.col("col") >= 0).groupBy(*keys, "row", "col").agg(F.max(value).alias(value))
-    high = wide.select(*keys, (F.col("row") + F.explode(reach)).alias("row"), "col", value).where(_inside(*size)).groupBy(*keys, "row", "col").agg(F.max(value).alias(value))
+    reach = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("__d")
+    wide = pixels.select(*keys, "row", "col", value, reach).withColumn("col", F.col("col") + F.col("__d")).where("col >= 0").groupBy(*keys, "row", "col").agg(F.max(value).alias(value))
+    high = wide.select(*keys, "row", "col", value, reach).withColumn("row", F.col("row") + F.col("__d")).where(_inside(*size)).groupBy(*keys, "row", "col").agg(F.max(value).alias(value))
     return high.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), value)
 
 
@@ -73,5 +73,6 @@ def overlapping_tiles(pixels: DataFrame, size: int = 64, overlap: int = 32) -> D
     """A row for each tile whose halo holds the pixel; ``core`` marks the one tile that keeps it after scoring."""
     step, halo = size - overlap, overlap // 2
     tile = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / step)), F.floor((F.col(c) + halo) / step))
-    rows = pixels.withColumn("ti", F.explode(tile("row")).cast("int")).withColumn("tj", F.explode(tile("col")).cast("int"))
+    whole = lambda c: F.transform(tile(c), lambda t: t.cast("int"))
+    rows = pixels.withColumn("ti", F.explode(whole("row"))).withColumn("tj", F.explode(whole("col")))
     return rows.withColumn("core", (F.col("ti") == F.floor(F.col("row") / step)) & (F.col("tj") == F.floor(F.col("col") / step)))

@@ -1,6 +1,7 @@
 """Connected patches of sparse yearly grids, and their identity over the years.
 
-A patch is named by its smallest pixel, ``row * SPAN + col``, so names do not depend on tiles or tasks.
+A patch is named by its smallest pixel, ``row * SPAN + col + 1``, so names do not depend on tiles or
+tasks, and 0 is free to mean the background.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def _local(connectivity: int):
 
 
 def label_patches(pixels: DataFrame, connectivity: int = 4, value: str | None = None, keys: Sequence[str] = ("year",), tile: int = 600) -> DataFrame:
-    """K2, K3, K4, K5: keys, ``row``, ``col`` and ``patch``, the smallest pixel of the connected patch (of equal value).
+    """K2, K3, K4, K5: keys, ``row``, ``col`` and ``patch``, named by the smallest pixel of the connected patch (of equal value).
 
     Tiles are labelled on their own, each a bounded array; then labels that touch across a seam (J11) are
     merged by components over the label table, which is far smaller than the pixels, and mapped back.
@@ -94,7 +95,7 @@ def label_patches(pixels: DataFrame, connectivity: int = 4, value: str | None =
     ahead = ahead.where(over).select("part", "val", "a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
     touching = ahead.join(seam, ["part", "val", "row", "col"]).select("a", F.col("node").alias("b"))
     merged = connected_components(touching, "a", "b")
-    out = local.join(merged, "node", "left").select("part", "row", "col", (F.coalesce("component", "node") % (SPAN * SPAN)).alias("patch"))
+    out = local.join(merged, "node", "left").select("part", "row", "col", (F.coalesce("component", "node") % (SPAN * SPAN) + 1).alias("patch"))
     return (out.join(F.broadcast(parts), "part") if keys else out).select(*keys, "row", "col", "patch")
 
 

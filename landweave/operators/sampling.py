@@ -12,9 +12,9 @@ from landweave.operators.ranking import number_rows
 
 
 def hash_order(key: str | Column, seed: int = 0) -> Column:
-    """A spread-out whole number for an integer key: multiplicative hashing modulo 2^32."""
+    """A spread-out whole number for an integer key: multiplicative hashing of its last 31 bits modulo 2^32."""
     k = (F.col(key) if isinstance(key, str) else key).cast("long")
-    return F.pmod((k + seed) % 4294967296 * 2654435761, F.lit(4294967296))
+    return F.pmod((k + seed) % 2147483648 * 2654435761, F.lit(4294967296))
 
 
 def split(df: DataFrame, key: str, shares: Sequence[tuple[str, float]] = (("train", 0.6), ("validation", 0.2), ("test", 0.2)), seed: int = 0) -> DataFrame:
