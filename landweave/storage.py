@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,18 +21,29 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage, so that a lost executor costs only the tasks that read the table again.
+    Cuts the lineage, so that a lost executor costs only the tasks that read the table again. Shuffle files
+    of earlier writes are due for removal by then, so the driver's garbage is collected first.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/landweave-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    # Spark's cleaner drops the shuffle files of the finished write once the driver has collected its plan; do that now, not at the next periodic collection.
     spark._jvm.System.gc()
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._landweave_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished writes now.
+
+    Its cleaner removes them once the driver has collected the plans that own them: the first collection
+    finds the plans, and after a moment for the cleaner the second finds what they held.
+    """
+    spark._jvm.System.gc()
+    time.sleep(0.5)
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` once nothing reads it any more."""
     path = getattr(df, "_landweave_path", None)
