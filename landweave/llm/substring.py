@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landweave.llm.textkit import Words, chunks, grams, sliding_min, within
-from landweave.storage import discard, materialize, partitions
+from landweave.storage import discard, materialize, partitions, release
 
 GRAM = 5
 _ANCHOR = np.dtype([("a", "<u8"), ("d", "<i8")])
@@ -197,10 +197,12 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = "bucket int, kind byte, blob binary"
     asked = keyed.select("d", "text").mapInArrow(_anchors(k, buckets), packed)
     anchors = materialize(_dealt(asked, parts).mapInArrow(_repeated_anchors, "d long, a long"))
+    release(docs.sparkSession)
     by_doc = anchors.groupBy("d").agg(F.collect_list("a").alias("anchors")).join(texts, "d")
     here = keyed.join(by_doc, ["d", "tag"]).select("d", "text", "anchors").mapInArrow(_edges(k, buckets), packed)
     found = materialize(_dealt(here, parts).mapInArrow(_repeated_edges, "d long, p int, s long, q int"))
     discard(anchors)
+    release(docs.sparkSession)
     return texts, found
 
 
