@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from landweave.plans import lineages, overlays, pixels
+from landweave.plans import lineages, models, overlays, pixels
 from landweave.plans.book import Query
 
-BOOKS = (pixels.book, overlays.book, lineages.book)
+BOOKS = (pixels.book, overlays.book, lineages.book, models.book)
 
 
 def queries() -> dict[str, Query]:
