@@ -162,3 +162,20 @@ PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 def digest(conversations: DataFrame) -> DataFrame:
     probe = conversations.sparkSession.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     return read_back(format_turns(conversations.select("conv_id", "turn", "role", "text").unionByName(probe)))
+
+
+#: The digest in SQL, for the template's own marks.
+ORACLE = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+  regexp_extract_all(text, '\\|<</SYS>>|<<SYS>>|\[/ASST\]|\[/INST\]|\[/ROLE\]|\[ASST\]|\[INST\]|\[ROLE\]|\[TEXT\]|</s>|<s>') AS marks FROM t),
+e AS (SELECT *, length(text) + len(marks) + len(list_filter(marks, lambda x: x <> '\'))
+  + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 10 ELSE 19 + length(role) END AS n,
+  before || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS ok FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars, bool_and(ok) AND last(role ORDER BY turn NULLS FIRST, role, text) = 'assistant' AS valid
+FROM e GROUP BY conv_id
+"""

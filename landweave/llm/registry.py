@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.ORACLE, "op7_fixity_audit": fixity.ORACLE}
+    return {"op3_substring_dedup": substring.ORACLE, "op10_chat_format": chat.ORACLE, "op5_line_dedup": linededup.ORACLE, "op7_fixity_audit": fixity.ORACLE}

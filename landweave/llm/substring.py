@@ -259,4 +259,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return dedup(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+    return dedup(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+f AS (SELECT key, min(doc_id) AS first FROM g GROUP BY key),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM g JOIN f USING (key), range(13) r(j) WHERE first < doc_id),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d)
+SELECT d.doc_id, count(w.w) AS n_words, count(gone.p) AS n_removed, sha256(coalesce(string_agg(w.w, ' ' ORDER BY w.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN w ON d.doc_id = w.doc_id LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.p = gone.p GROUP BY d.doc_id
+"""
