@@ -27,7 +27,7 @@ class Book:
 
             self.queries[name] = run
             if sql is not None:
-                parts = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles)
+                parts = ", ".join(f"round({c}::DOUBLE, 6) + 0.0::DOUBLE AS {c}" for c in doubles)
                 self.sql[name] = f"SELECT * REPLACE ({parts}) FROM ({sql})" if doubles else sql
             return f
 

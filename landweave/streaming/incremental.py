@@ -11,7 +11,11 @@ from pyspark.sql.types import StructType
 
 
 def arriving(spark: SparkSession, folder: str, schema: StructType, key: str = "image_id", time: str = "ts", late: str = "30 days", files: int = 64) -> DataFrame:
-    """ST1: a stream of scenes from Parquet files as they appear, each id once within the lateness bound."""
+    """ST1: a stream of scenes from Parquet files as they appear, each id once within the lateness bound.
+
+    State is kept for ``late`` only, so a scene that comes later than that after newer ones is not taken:
+    choose a bound over the longest delivery delay.
+    """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
