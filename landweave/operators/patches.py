@@ -62,9 +62,9 @@ def _local(connectivity: int):
             new = lab.copy()
             np.minimum.at(new, lab[a], low)
             np.minimum.at(new, lab[b], low)
-            while (jump := new[new]).tolist() != new.tolist():
+            while not np.array_equal(jump := new[new], new):
                 new = jump
-            if (new == lab).all():
+            if np.array_equal(new, lab):
                 break
             lab = new
         least = np.full(len(name), np.iinfo(np.int64).max)
