@@ -80,10 +80,11 @@ def label_patches(pixels: DataFrame, connectivity: int = 4, value: str | None =
     Tiles are labelled on their own, each a bounded array; then labels that touch across a seam (J11) are
     merged by components over the label table, which is far smaller than the pixels, and mapped back.
     """
+    pixels = materialize(pixels.select(*keys, "row", "col", *([value] if value else [])).distinct())
     # Key combinations (years) get whole numbers, so that a label is one number; there are few of them.
     parts = number_rows(pixels.select(*keys).distinct(), list(keys), "part", 0) if keys else None
     base = pixels.join(F.broadcast(parts), list(keys)) if keys else pixels.withColumn("part", F.lit(0).cast("long"))
-    base = base.select("part", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), (F.col(value).cast("long") if value else F.lit(1).cast("long")).alias("val")).distinct()
+    base = base.select("part", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), (F.col(value).cast("long") if value else F.lit(1).cast("long")).alias("val"))
     local = tiled(base, tile).groupBy("part", "ti", "tj").applyInPandas(_local(connectivity), "part long, row int, col int, val long, local long")
     node = F.col("part") * (SPAN * SPAN) + F.col("local")
     local = materialize(local.withColumn("node", node))
