@@ -10,7 +10,9 @@ pivots, and survivors are verified by exclusive or.
 
 Equal fingerprints are one row before any of that, and within a key only links of a spanning forest
 leave the task, so a group of n copies costs n rows, not n * n. A key's rows are compared in the
-sorted stream by growing offset, never as a materialised cross product.
+sorted stream by growing offset, never as a materialised cross product; a key with over ``LONG`` rows
+looks each row's neighbours up instead (flipping up to ``k`` of the bits that vary within the key), so
+that its work grows with its rows and not with their square.
 
 Cases: a null, empty or blank text has fingerprint zero and links like any other; fewer words than
 a shingle make one shingle; repeated rows and ids are kept; empty tables give empty results.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from landweave.operators.components import connected_components
 from landweave.storage import discard, materialize, partitions
 
-BLOCKS, KEPT = 6, 4
+BLOCKS, KEPT, LONG = 6, 4, 1024
 _edges = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 MASKS = np.array([((1 << (b - a)) - 1) << a for a, b in zip(_edges, _edges[1:])], np.uint64)
 #: Eight pseudo-random references to a block.
@@ -94,10 +96,54 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _probed(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that span the parts of one long key: every neighbour within ``most`` bits is looked up."""
+    order = np.argsort(fp)
+    fp = fp[order]
+    varying = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    bits = [np.uint64(1 << i) for i in range(64) if varying >> i & 1]
+    parent, left, right = np.arange(len(fp)), [], []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for flips in range(1, most + 1):
+        for some in combinations(bits, flips):
+            # The highest flipped bit is 0 in the row and 1 in its neighbour, so each pair is met once.
+            low = np.flatnonzero((fp & some[-1]) == 0)
+            want = fp[low] ^ np.bitwise_or.reduce(np.array(some))
+            at = np.minimum(np.searchsorted(fp, want), len(fp) - 1)
+            hit = fp[at] == want
+            a, b = low[hit], at[hit]
+            while (up := parent[parent]).tobytes() != parent.tobytes():
+                parent[:] = up
+            apart = parent[a] != parent[b]
+            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+                if (rx := find(x)) != (ry := find(y)):
+                    parent[max(rx, ry)] = min(rx, ry)
+                    left.append(x)
+                    right.append(y)
+    return order[np.array(left, int)], order[np.array(right, int)]
+
+
 def _linker(most: int):
     def link(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links inside runs of equal keys; long runs apart."""
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(edge, len(key)))
+        short = np.repeat(size <= LONG, size)
+        found = [offsets(key[short], fp[short])]
+        for at, n in zip(edge[size > LONG], size[size > LONG]):
+            part = fp[at : at + n]
+            a, b = _probed(part, most)
+            found.append((part[a].view(np.int64), part[b].view(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def offsets(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links inside runs of equal keys, found offset by offset."""
-        xy = coordinates(fp).reshape(len(fp), -1).astype(np.int8)
+        xy = coordinates(fp).reshape(len(fp), PIVOTS.size).astype(np.int8)
         left, right = [], []
         alive, step = np.arange(len(fp) - 1), 1
         while len(alive):

@@ -77,3 +77,30 @@ def test_links_of_dense_groups(spark):
     for d, _, c in classes(list(enumerate(fps))):
         want.setdefault(c, set()).add(fps[d])
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_long_keys():
+    import numpy as np
+
+    rng = random.Random(2)
+    prefix = rng.getrandbits(40) << 24
+    fps = {prefix | sum(1 << b for b in rng.sample(range(24), rng.choice([1, 2, 3, 9, 12]))) for _ in range(3000)}
+    fps = np.array(rng.sample(sorted(fps), len(fps)), np.uint64)
+    assert len(fps) > simhash.LONG
+    for most in (0, 1, 2):
+        a, b = simhash._probed(fps, most)
+        assert (np.bitwise_count(fps[a] ^ fps[b]) <= most).all() and simhash._forest(a, b).all()
+        root = np.arange(len(fps))
+        for i in range(len(fps)):
+            near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= most)
+            root[np.isin(root, root[near])] = root[near].min()
+        assert len(a) == len(fps) - len(np.unique(root))
+    # One key's stream: short and long runs side by side.
+    key = np.repeat([5, 7, 9], [3, len(fps), 2])
+    every = np.concatenate([fps[:3], fps, fps[:2]])
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(key), pa.array(every.view(np.int64))], names=["k", "fp"])
+    rows = [r for out in simhash._linker(2)([batch.slice(0, 700), batch.slice(700)]) for r in zip(*(c.to_pylist() for c in out.columns))]
+    direct = simhash._linker(2)([batch.slice(0, 3)]), simhash._linker(2)([batch.slice(3, len(fps))]), simhash._linker(2)([batch.slice(3 + len(fps))])
+    assert len(rows) == sum(len(o) for d in direct for o in d)
