@@ -1,15 +1,20 @@
-"""Benchmark decontamination: rare word-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased. Of every four consecutive
-3-grams of a benchmark item the one found in the fewest documents is a seed, so any six unedited words
-of an item hold one however common its passage is in the corpus, and rarity only decides which. Seeds
-found in a document give windows of the document to align with the item (match 2, mismatch and gap -1).
-A hit scores at least ``min_score`` of the item's full score and at least that of ``min_words`` matched
-words (or of the whole item).
+Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased. Matches score 2, mismatches and
+gaps -1; a hit scores at least ``min_score`` of the item's full score and at least that of ``min_words``
+matched words (or of the whole item).
 
-The corpus is only ever scanned: once to count the items' grams, once to find and align. Items travel
-to the tasks in blocks of at most ``block_words`` words (16 bytes a word), one scan to a block, so what
-is broadcast has a fixed bound however large the benchmark is.
+Seeds come from a bound, not from luck. An item of n words may fall short of its full score by at most
+B = 2n - need. A replaced or dropped word costs 3 of B and breaks two of the item's n - 1 pairs of
+neighbours, a word left out at an end costs 2 and breaks one, an inserted word costs 1; a pair with one
+word inserted is looked up too, so only two inserted words break it. A hit so keeps at least
+T = n - 1 - 2B/3 pairs, on diagonals at most B apart. All but T - t of an item's pairs, the commonest in
+the benchmark being left out, are seeds, and t of them (``HITS``, or T) on such diagonals make a
+candidate: T is positive for every item of three words or more at the default thresholds, so nothing that
+a full alignment finds is lost. (A ``min_score`` under a half can make T less than 1; one seed is then asked.)
+
+The corpus is scanned once for each block of at most ``block_words`` words of items (16 bytes a word), so
+what is broadcast has a fixed bound however large the benchmark is.
 
 Cases: null and empty texts have no words; items under three words have no seeds and are never found;
 repeated documents and items each give their own rows; empty tables give empty results; columns besides
@@ -25,15 +30,23 @@ from pyspark.sql import functions as F
 
 from landweave.llm.textkit import LOWER_ALNUM, Words, chunks, grams, within
 
-GRAM, WINDOW, SLACK = 3, 4, 8
+LEAST_WORDS, HITS, EXPANDED = 3, 4, 1 << 22
 #: Hashes that pad items and windows; they never equal each other.
 _PAD_ITEM, _PAD_DOC = np.uint64(1), np.uint64(2)
 
 
+def _pairs(words: np.ndarray, step: int = 1) -> np.ndarray:
+    """Hashes of each word and the one ``step`` further."""
+    out = np.zeros(max(len(words) - step, 0), np.uint64)
+    for i in range(step):
+        out[i::step] = grams(words[i::step], 2)
+    return out
+
+
 class Items:
-    """A block of benchmark items: ids, word hashes with offsets, and grams in order of hash."""
+    """A block of benchmark items: ids, word hashes with offsets, thresholds, and seeds in order of hash."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], min_score: float, min_words: int):
         self.ids, hashes, first = np.array(ids, np.int64), [], [0]
         for _, buf, off in chunks(pa.array([t or "" for t in texts], pa.string())):
             w = Words(buf, off, LOWER_ALNUM)
@@ -41,25 +54,34 @@ class Items:
             first += (w.first[1:] + first[-1]).tolist()
         self.words = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         self.first = np.array(first)
-        self.at = within(self.first, GRAM)
-        self.item = np.searchsorted(self.first, self.at, "right") - 1
-        g = grams(self.words, GRAM)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-        self.gram = g
-        self.distinct = np.unique(g)
-
-    def seeds(self, df: np.ndarray) -> None:
-        """Keep as seeds the rarest gram of each window; ``df`` is by ``distinct``."""
-        rarity = df[np.searchsorted(self.distinct, self.gram)]
-        keep = np.zeros(len(self.gram), bool)
-        bounds = np.searchsorted(self.item, np.arange(len(self.ids) + 1))
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if hi > lo:
-                w = min(WINDOW, hi - lo)
-                view = np.lib.stride_tricks.sliding_window_view(rarity[lo:hi], w)
-                keep[lo + np.unique(view.argmin(axis=1) + np.arange(len(view)))] = True
-        order = np.argsort(self.gram[keep], kind="stable")
-        self.seed, self.seed_item = self.gram[keep][order], self.item[keep][order]
-        self.seed_at = (self.at[keep] - self.first[self.item[keep]])[order]
+        self.size = np.diff(self.first)
+        self.need = 2 * np.maximum(min_score * self.size, np.minimum(self.size, min_words))
+        self.short = np.floor(2 * self.size - self.need + 1e-9).astype(np.int64)
+        kept = np.maximum(self.size - 1 - 2 * self.short // 3, 1)
+        self.hits = np.minimum(kept, HITS)
+        at = within(self.first, 2)
+        item = np.searchsorted(self.first, at, "right") - 1
+        at, item = at[self.size[item] >= LEAST_WORDS], item[self.size[item] >= LEAST_WORDS]
+        gram = _pairs(self.words)[at]
+        _, back, times = np.unique(gram, return_inverse=True, return_counts=True)
+        # Commonest first within each item; the first T - t are no seeds.
+        o = np.lexsort((at, -times[back], item))
+        rank = np.arange(len(o)) - np.searchsorted(item, item)[o]
+        o = o[rank >= (kept - self.hits)[item[o]]]
+        o = o[np.argsort(gram[o], kind="stable")]
+        self.seed_item, self.seed_at = item[o], (at - self.first[item])[o]
+        self.seed, self.begin, self.times = np.unique(gram[o], return_index=True, return_counts=True)
+        bits = min(25, max(16, int(16 * len(self.seed)).bit_length()))
+        self.mask = np.uint64((1 << bits) - 1)
+        self.maybe = np.zeros(1 << bits, bool)
+        self.maybe[(self.seed & self.mask).astype(np.int64)] = True
+
+    def look_up(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices into ``g`` that are seeds, and which."""
+        some = np.flatnonzero(self.maybe[(g & self.mask).astype(np.int64)])
+        i = np.minimum(np.searchsorted(self.seed, g[some]), len(self.seed) - 1)
+        hit = self.seed[i] == g[some]
+        return some[hit], i[hit]
 
 
 def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,101 +121,103 @@ def _blocks(cells: np.ndarray, most: int = 1 << 20):
         lo = hi
 
 
-def find(items: Items, texts: pa.Array, min_score: float, min_words: int):
+def _windows(items: Items, pos: np.ndarray, seed: np.ndarray, first: np.ndarray):
+    """(item, document, start, end) of the merged windows that can hold a hit."""
+    times = items.times[seed]
+    which = np.repeat(items.begin[seed] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    pos = np.repeat(pos, times)
+    item, diag = items.seed_item[which], pos - items.seed_at[which]
+    doc = np.searchsorted(first, pos, "right") - 1
+    o = np.lexsort((diag, item, doc))
+    item, diag, doc = item[o], diag[o], doc[o]
+    short = items.short[item]
+    last = np.minimum(np.arange(len(o)) + items.hits[item] - 1, len(o) - 1)
+    full = np.arange(len(o)) + items.hits[item] <= len(o)
+    k = np.flatnonzero(full & (doc[last] == doc) & (item[last] == item) & (diag[last] - diag <= short))
+    item, doc, lo, hi, short = item[k], doc[k], diag[k], diag[last[k]], short[k]
+    ws = np.maximum(lo - short, first[doc])
+    we = np.minimum(hi + items.size[item] + short, first[doc + 1])
+    if not len(k):
+        return item, doc, ws, we
+    # Ends ascend with starts, so neighbours decide.
+    a = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (ws[1:] > we[:-1])])
+    return item[a], doc[a], ws[a], we[np.r_[a[1:], len(we)] - 1]
+
+
+def find(items: Items, texts: pa.Array):
     """Yield arrays (row, item index, start word, end word, score out of 1) of the hits in ``texts``."""
     if not len(items.seed):
         return
-    size = np.diff(items.first)
-    need = 2 * np.maximum(min_score * size, np.minimum(size, min_words))
-    for lo, buf, off in chunks(texts):
+    for row, buf, off in chunks(texts):
         w = Words(buf, off, LOWER_ALNUM)
-        at = within(w.first, GRAM)
+        at = within(w.first, 2)
         if not len(at):
             continue
         h = w.hashes()
-        g = grams(h, GRAM)[at]
-        left, right = np.searchsorted(items.seed, g, "left"), np.searchsorted(items.seed, g, "right")
-        hit = np.flatnonzero(right > left)
-        if not len(hit):
-            continue
-        times = (right - left)[hit]
-        which = np.repeat(left[hit] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        pos = np.repeat(at[hit], times)
-        item, diag = items.seed_item[which], pos - items.seed_at[which]
-        doc = np.searchsorted(w.first, pos, "right") - 1
-        o = np.lexsort((diag, item, doc))
-        item, diag, doc = item[o], diag[o], doc[o]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > SLACK)]
-        a = np.flatnonzero(new)
-        b = np.r_[a[1:], len(diag)] - 1
-        item, doc = item[a], doc[a]
-        ws = np.maximum(diag[a] - SLACK, w.first[doc])
-        we = np.minimum(diag[b] + size[item] + SLACK, w.first[doc + 1])
+        pos, seed = items.look_up(_pairs(h)[at])
+        wide = within(w.first, 3)
+        pos2, seed2 = items.look_up(_pairs(h, 2)[wide])
+        pos, seed = np.r_[at[pos], wide[pos2]], np.r_[seed, seed2]
+        o = np.argsort(pos, kind="stable")
+        pos, seed = pos[o], seed[o]
+        # Whole documents at a time, of about ``EXPANDED`` seeds.
+        ends = np.searchsorted(pos, w.first)
+        load = np.r_[0, np.cumsum(items.times[seed])][ends]
+        i = 0
+        while i < len(ends) - 1:
+            j = max(i + 1, int(np.searchsorted(load, load[i] + EXPANDED, "right")) - 1)
+            part = slice(ends[i], ends[j])
+            if ends[j] > ends[i]:
+                yield from _aligned(items, h, w.first, row, *_windows(items, pos[part], seed[part], w.first))
+            i = j
+
+
+def _aligned(items: Items, h: np.ndarray, first: np.ndarray, row: int, item, doc, ws, we):
+    """Hits in windows, best first: what lies before and after a hit is looked through again."""
+    while len(item):
         o = np.argsort(we - ws, kind="stable")
         item, doc, ws, we = item[o], doc[o], ws[o], we[o]
+        left = []
         for i, j in _blocks(we - ws):
             it, s, e = item[i:j], ws[i:j], we[i:j]
             score, end = align(_padded(items.words, items.first[it], items.first[it + 1], _PAD_ITEM), _padded(h, s, e, _PAD_DOC))
-            good = np.flatnonzero(score >= need[it])
+            good = np.flatnonzero(score >= items.need[it])
             if not len(good):
                 continue
-            it, s, end, score, d = it[good], s[good], end[good], score[good], doc[i:j][good]
+            it, s, e, end, score, d = it[good], s[good], e[good], end[good], score[good], doc[i:j][good]
             stop = s + end
             _, back = align(_padded(items.words, items.first[it], items.first[it + 1], _PAD_ITEM, True), _padded(h, s, stop, _PAD_DOC, True))
-            yield lo + d, it, stop - back - w.first[d], stop - w.first[d], score / (2 * size[it])
-
-
-def _gram_counts(shared):
-    def run(batches):
-        want = shared.value.distinct
-        n = np.zeros(len(want), np.int64)
-        for b in batches:
-            for _, buf, off in chunks(b.column(0)):
-                w = Words(buf, off, LOWER_ALNUM)
-                at = within(w.first, GRAM)
-                if not len(at):
-                    continue
-                g = grams(w.hashes(), GRAM)[at]
-                i = np.minimum(np.searchsorted(want, g), len(want) - 1)
-                hit = want[i] == g
-                pairs = np.unique(w.doc()[at[hit]].astype(np.int64) * len(want) + i[hit])
-                n += np.bincount(pairs % len(want), minlength=len(want))
-        some = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(some), pa.array(n[some])], names=["g", "n"])
-
-    return run
-
-
-def _prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, block_words: int):
-    """Broadcast blocks of items with seeds by their rarity in ``docs``."""
-    spark = docs.sparkSession
+            start = stop - back
+            yield row + d, it, start - first[d], stop - first[d], score / (2 * items.size[it])
+            left += [(it, d, s, start), (it, d, stop, e)]
+        item, doc, ws, we = (np.concatenate(x) for x in zip(*left)) if left else (np.zeros(0, int),) * 4
+        # A hit has need / 2 matched words at least.
+        keep = 2 * (we - ws) >= items.need[item]
+        item, doc, ws, we = item[keep], doc[keep], ws[keep], we[keep]
+
+
+def _prepared(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, min_score: float, min_words: int, block_words: int):
+    """Broadcast blocks of items with their seeds."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = rows.agg(F.sum(F.char_length("t"))).first()[0] or 0
     # A word and its separator are two characters at least.
     blocks = max(1, -(-total // (2 * block_words)))
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        items = Items([r.i for r in part], [r.t for r in part])
-        if not len(items.gram):
-            continue
-        shared = spark.sparkContext.broadcast(items)
-        df = np.zeros(len(items.distinct), np.int64)
-        for r in docs.select(text_col).mapInArrow(_gram_counts(shared), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toLocalIterator():
-            df[r.g] = r.n
-        shared.unpersist()
-        items.seeds(df)
-        yield spark.sparkContext.broadcast(items)
+        items = Items([r.i for r in part], [r.t for r in part], min_score, min_words)
+        if len(items.seed):
+            yield docs.sparkSession.sparkContext.broadcast(items)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_score: float = 0.5, min_words: int = 8, block_words: int = 2_000_000) -> DataFrame:
     """``doc_id``, ``item_id``, ``start_word``, ``end_word``, ``score`` of every aligned passage."""
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word long, end_word long, score double")
-    for shared in _prepared(docs, benchmark, text_col, item_col, item_text, block_words):
+    for shared in _prepared(docs, benchmark, item_col, item_text, min_score, min_words, block_words):
 
         def run(batches, shared=shared):
             items = shared.value
             for b in batches:
-                for row, it, start, end, score in find(items, b.column(1), min_score, min_words):
+                for row, it, start, end, score in find(items, b.column(1)):
                     yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(items.ids[it]), pa.array(start), pa.array(end), pa.array(score)], names=["doc_id", "item_id", "start_word", "end_word", "score"])
 
         out = out.unionByName(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, out.schema))
@@ -203,12 +227,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_score: float = 0.5, min_words: int = 8, block_words: int = 2_000_000) -> DataFrame:
     """Rows of ``docs`` in which no benchmark item is found, with all their columns. Nothing is shuffled."""
     clean = docs
-    for shared in _prepared(docs, benchmark, text_col, item_col, item_text, block_words):
+    for shared in _prepared(docs, benchmark, item_col, item_text, min_score, min_words, block_words):
 
         def run(batches, shared=shared, at=docs.columns.index(text_col)):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for row, *_ in find(shared.value, b.column(at), min_score, min_words):
+                for row, *_ in find(shared.value, b.column(at)):
                     keep[row] = False
                 yield b.filter(pa.array(keep))
 

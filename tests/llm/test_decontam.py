@@ -73,3 +73,34 @@ def test_edited_copies_and_cases(spark):
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 8]
     assert decontam.matches(docs.limit(0), bench).count() == decontam.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_full_alignment_without_shared_runs(spark):
+    """Whatever a full alignment finds is found, copies edited every few words and spread copies included."""
+    rng = random.Random(5)
+    items = {k: [f"w{k}x{i}" for i in range(n)] for k, n in enumerate((40, 40, 21, 16, 9))}
+    docs, texts = [], {}
+    for k, item in items.items():
+        n = len(item)
+        edits = [[("new" if i % step == step - 1 else w) for i, w in enumerate(item)] for step in (3, 4, 5, 6, 7)]
+        edits += [[x for w in item for x in (w, "in")], [x for i, w in enumerate(item) for x in ([w, "in", "in"] if i % 2 else [w])]]
+        edits += [item[: n // 2] + ["far"] * (n // 2) + item[n // 2 :], item[: n // 4] + item[n // 2 :], [w for i, w in enumerate(item) if i % 4]]
+        for _ in range(20):
+            e = [w for w in item if rng.random() > 0.1]
+            edits.append([x for w in e for x in (["new"] if rng.random() < 0.15 else [w, "in"] if rng.random() < 0.3 else [w])])
+        docs += [["lead"] * 5 + e + ["tail"] * 5 for e in edits]
+    docs += [items[0] + ["gap"] * 3 + items[0], [rng.choice(items[0]) for _ in range(200)]]
+    texts = dict(enumerate(docs))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    rows, got = decontam.matches(frame, bench).collect(), {}
+    for r in rows:
+        got[r.doc_id, r.item_id] = max(round(2 * r.score * len(items[r.item_id])), got.get((r.doc_id, r.item_id), 0))
+    want = {}
+    for d, w in texts.items():
+        for k, item in items.items():
+            if set(w) & set(item) and (s := plain(item, w)) >= 2 * max(0.5 * len(item), min(len(item), 8)):
+                want[d, k] = s
+    assert got == want and len(want) > 60
+    twice = len(docs) - 2
+    assert {(r.start_word, r.end_word) for r in rows if r.doc_id == twice} == {(0, 40), (43, 83)}
