@@ -14,6 +14,11 @@ row of each part found so far stands for it in the next, so its memory and work
 Links are verified best first: two rounds with the best link of each class, then whatever still runs
 between two classes. Sets of documents in many links are not sent through one task.
 
+A link that a forest left out matters if a link of the forest failed. So fingerprints whose classes have
+such links go through the bands again, now with every pair that is still in two classes and has not
+failed: at first up to ``FIRST`` pairs of a row and key, then more, until no pair was held back.
+Keys of over ``BLOCK`` rows are then compared as pairs of blocks, in tasks of their own.
+
 Cases: texts without words are one class; with fewer words than a shingle, all words are one shingle;
 rows that repeat an id or text are kept; an empty table gives an empty result; other columns are ignored.
 """
@@ -33,6 +38,7 @@ from landweave.operators.skew import join_counted
 from landweave.storage import discard, materialize, partitions, release
 
 BITS, PIVOTS, SLACK, MOST, SMALL, PASS = 512, 12, 0.12, 4096, 64, 16
+FIRST, BLOCK = 8, 1024
 WORDS = BITS // 64
 _ADD = np.random.default_rng(512).integers(1, 2**63, WORDS, dtype=np.uint64)
 _LANES = np.uint64(0x0101010101010101)
@@ -150,7 +156,7 @@ def _keys(bands: list[int], width: int):
                 inside, k = fp & mask, np.full(len(fp), mult[-1])
                 for p, m in zip(pivots, mult):
                     k = textkit._mix(k * m + np.bitwise_count(inside ^ p).sum(axis=1, dtype=np.uint64))
-                yield pa.record_batch([pa.array(k.view(np.int64)), b.column(0), b.column(1)], names=["k", "node", "fp"])
+                yield pa.record_batch([pa.array(k.view(np.int64)), *b.columns], names=["k", *b.schema.names])
 
     return run
 
@@ -270,6 +276,100 @@ def candidates(distinct: DataFrame, count: int, similarity: float, recall: float
     return out
 
 
+def _runs(batches):
+    """Columns of each run of equal keys, as arrays, complete."""
+    rest = None
+    for b in batches:
+        new = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+        now = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new))
+        if not len(now[0]):
+            continue
+        edge = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            if hi - lo > 1:
+                yield tuple(x[lo:hi] for x in now)
+        rest = tuple(x[edge[-1] :] for x in now)
+    if rest is not None and len(rest[0]) > 1:
+        yield rest
+
+
+def _still_apart(least: float, most: int):
+    """Up to ``most`` links of each row to later ones of its run, but none inside a class, inside a side or failed; a row with more is linked to itself too."""
+
+    def run(batches):
+        for _, node, fp, label, failed, side, inner in _runs(batches):
+            fp, n = _matrix(pa.array(fp, pa.binary()))
+            a, b, est = [], [], []
+            for i in range(len(node) - 1):
+                j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (inner[i] | (side[i + 1 :] != side[i])))
+                if len(j) and len(failed[i]):
+                    j = j[~np.isin(node[j], failed[i])]
+                if not len(j):
+                    continue
+                e = estimate(fp[i], n[i], fp[j], n[j])
+                j, e = j[e >= least], e[e >= least]
+                if len(j) > most:
+                    best = np.argpartition(-e, most)[:most]
+                    j, e = np.append(j[best], i), np.append(e[best], 0.0)
+                a.append(np.full(len(j), node[i]))
+                b.append(node[j])
+                est.append(e)
+            if a:
+                x, y = np.concatenate(a), np.concatenate(b)
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(est))], names=["a", "b", "est"])
+
+    return run
+
+
+def candidates_apart(active: DataFrame, count: int, similarity: float, recall: float, most: int) -> DataFrame:
+    """Links between the rows of ``active`` (``node``, ``fp``, ``class``, ``failed``) in the bands of ``count`` rows."""
+    spark = active.sparkSession
+    width, number = plan(count, similarity, recall)
+    found = []
+    for lo in range(0, number, PASS):
+        bands = list(range(lo, min(lo + PASS, number)))
+        keyed = active.select("node", "fp", "class", "failed").mapInArrow(_keys(bands, width), "k long, node long, fp binary, class long, failed array<long>")
+        sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK)
+        # At most one key for each ``BLOCK`` rows.
+        keyed = keyed.join(F.broadcast(sizes.select("k", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))), "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        keyed = keyed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        key = F.when(F.col("blocks") > 1, F.xxhash64("k", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("k"))
+        keyed = keyed.select(key.alias("k"), "node", "fp", "class", "failed", "side", (F.col("side") == F.col("other")).alias("inner"))
+        dealt = keyed.repartition(partitions(spark), "k").sortWithinPartitions("k")
+        found.append(materialize(dealt.mapInArrow(_still_apart(similarity - SLACK, most), "a long, b long, est double")))
+        release(spark)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    out = materialize(every.groupBy("a", "b").agg(F.max("est").alias("est")))
+    for used in found:
+        discard(used)
+    return out
+
+
+def _classed(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``nodes`` with ``class``: their component, or themselves."""
+    if labels is None:
+        return nodes.withColumn("class", F.col("node"))
+    return nodes.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+
+
+def _unsettled(asked: DataFrame, labels: DataFrame | None, tried: DataFrame) -> DataFrame:
+    """``node`` of ``asked`` whose class has a failed link, unless that is the only link of both its ends."""
+    of = _classed(asked, labels)
+    failed = tried.where("not ok")
+    for end in ("a", "b"):
+        failed = failed.join(of.select(F.col("node").alias(end), F.col("class").alias(f"c{end}")), end)
+    failed = failed.where("ca <> cb")
+    ends = materialize(failed.select(F.inline(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("o")), F.struct(F.col("cb").alias("c"), F.col("ca").alias("o"))))))
+    busy = ends.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("c")
+    if labels is not None:
+        busy = busy.union(ends.select("c").join(labels.select(F.col("component").alias("c")), "c", "left_semi"))
+    busy = materialize(busy.distinct())
+    active = busy.union(ends.join(busy.select(F.col("c").alias("o")), "o", "left_semi").select("c")).distinct()
+    return of.join(active.select(F.col("c").alias("class")), "class", "left_semi").select("node")
+
+
 def _similar(links: DataFrame, shingle_sets: DataFrame, similarity: float) -> DataFrame:
     """``links`` (``a``, ``b``) with ``ok``: whether the exact similarity is enough. Materialised."""
     links = materialize(links)
@@ -285,9 +385,8 @@ def _similar(links: DataFrame, shingle_sets: DataFrame, similarity: float) -> Da
     return out
 
 
-def verified(links: DataFrame, shingle_sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame | None:
-    """``node``, ``component`` of the classes that the links of at least ``similarity`` make; None without any."""
-    labels, good, tried = None, None, None
+def verified(links: DataFrame, shingle_sets: DataFrame, similarity: float, rounds: int = 2, tried: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """``node``, ``component`` of the classes that the links of at least ``similarity`` make, and ``a``, ``b``, ``ok`` of all links tried, those of ``tried`` included; None without any."""
     for turn in range(rounds + 1):
         live = links
         if tried is not None:
@@ -308,7 +407,7 @@ def verified(links: DataFrame, shingle_sets: DataFrame, similarity: float, round
         tried = done if tried is None else tried.unionByName(done)
         good = tried.where("ok")
         labels = materialize(connected_components(good, "a", "b"))
-    return labels
+    return labels, tried
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
@@ -317,18 +416,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_prints = materialize(prints(docs, shingle))
     distinct = all_prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "h")).alias("one"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
-    links = candidates(distinct, distinct.count(), similarity, recall)
-    asked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    count = distinct.count()
+    links = candidates(distinct, count, similarity, recall)
+    asked = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     one = distinct.join(asked, "node", "left_semi").select("node", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"))
     texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
     shingle_sets = materialize(sets(texts, shingle))
-    labels = verified(links, shingle_sets, similarity)
+    labels, tried = verified(links, shingle_sets, similarity)
+    again = None if tried is None else materialize(_unsettled(asked, labels, tried))
+    most, held_back = FIRST, again is not None and not again.isEmpty()
+    while held_back:
+        pairs = tried.where("not ok").select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("o")), F.struct(F.col("b").alias("node"), F.col("a").alias("o")))))
+        failed = pairs.groupBy("node").agg(F.collect_list("o").alias("failed"))
+        active = _classed(distinct.join(again, "node", "left_semi").select("node", "fp"), labels).join(failed, "node", "left")
+        active = materialize(active.select("node", "fp", "class", F.coalesce("failed", F.array().cast("array<long>")).alias("failed")))
+        more = candidates_apart(active, count, similarity, recall, most)
+        labels, tried = verified(more.where("a <> b"), shingle_sets, similarity, 2, tried, labels)
+        tried = materialize(tried)
+        held_back, most = not more.where("a = b").isEmpty(), 8 * most
+        for used in (active, more):
+            discard(used)
     least = distinct.withColumn("class", F.col("node"))
     if labels is not None:
         least = distinct.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
     smallest = least.groupBy("class").agg(F.min("first").alias("component_id"))
     classes = materialize(least.select("fp", "class").join(smallest, "class").select("fp", "component_id"))
     out = materialize(all_prints.join(classes, "fp").select("doc_id", "component_id"))
-    for used in (all_prints, distinct, links, shingle_sets, classes):
+    for used in (all_prints, distinct, links, asked, shingle_sets, classes):
         discard(used)
     return out
