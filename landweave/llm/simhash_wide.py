@@ -17,7 +17,8 @@ between two classes. Sets of documents in many links are not sent through one ta
 A link that a forest left out matters if a link of the forest failed. So fingerprints whose classes have
 such links go through the bands again, now with every pair that is still in two classes and has not
 failed: at first up to ``FIRST`` pairs of a row and key, then more, until no pair was held back.
-Keys of over ``BLOCK`` rows are then compared as pairs of blocks, in tasks of their own.
+So do all rows of a key that was taken in portions, whatever became of their links: ``_linker`` links
+such a row to itself. Keys of over ``BLOCK`` rows are then compared as pairs of blocks, in tasks of their own.
 
 Cases: texts without words are one class; with fewer words than a shingle, all words are one shingle;
 rows that repeat an id or text are kept; an empty table gives an empty result; other columns are ignored.
@@ -232,6 +233,10 @@ def _linker(least: float):
             one = slice(at, at + length)
             yield out(node[one], *_large(fp[one], n[one], least)[:3])
 
+    def marked(node):
+        every = np.arange(len(node))
+        return out(node, every, every, np.zeros(len(node)))
+
     def run(batches):
         rest, settled = None, 0
         for b in batches:
@@ -242,22 +247,28 @@ def _linker(least: float):
             last = int(np.flatnonzero(now[0] == now[0][-1])[0])
             if last:
                 yield from whole(*(x[:last] for x in now))
+                if settled:
+                    # What is left of a key that was taken in portions comes first.
+                    yield marked(now[1][: int(np.argmax(now[0] != now[0][0]))])
                 settled = 0
             rest = tuple(x[last:] for x in now)
             while len(rest[0]) - settled >= MOST:
                 part = tuple(x[: settled + MOST] for x in rest)
                 a, c, e, roots = _large(part[2], part[3], least)
                 yield out(part[1], a, c, e)
+                yield marked(part[1])
                 rest = tuple(np.concatenate([x[roots], y[settled + MOST :]]) for x, y in zip(part, rest))
                 settled = len(roots)
         if rest is not None and len(rest[0]):
             yield from whole(*rest)
+            if settled:
+                yield marked(rest[1])
 
     return run
 
 
 def candidates(distinct: DataFrame, count: int, similarity: float, recall: float) -> DataFrame:
-    """Links ``a``, ``b``, ``est`` between ``node`` of ``distinct``; a few bands at a time, to bound the disk."""
+    """Links ``a``, ``b``, ``est`` between ``node`` of ``distinct``, and of rows of portioned keys to themselves; a few bands at a time, to bound the disk."""
     spark = distinct.sparkSession
     width, number = plan(count, similarity, recall)
     found = []
@@ -298,6 +309,8 @@ def _still_apart(least: float, most: int):
 
     def run(batches):
         for _, node, fp, label, failed, side, inner in _runs(batches):
+            if (label == label[0]).all():
+                continue
             fp, n = _matrix(pa.array(fp, pa.binary()))
             a, b, est = [], [], []
             for i in range(len(node) - 1):
@@ -329,9 +342,10 @@ def candidates_apart(active: DataFrame, count: int, similarity: float, recall: f
     for lo in range(0, number, PASS):
         bands = list(range(lo, min(lo + PASS, number)))
         keyed = active.select("node", "fp", "class", "failed").mapInArrow(_keys(bands, width), "k long, node long, fp binary, class long, failed array<long>")
-        sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK)
-        # At most one key for each ``BLOCK`` rows.
-        keyed = keyed.join(F.broadcast(sizes.select("k", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))), "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), (F.min("class") < F.max("class")).alias("apart")).where(F.col("rows") > BLOCK)
+        # At most one key for each ``BLOCK`` rows; one whose rows are all in one class has no pairs.
+        sizes = sizes.select("k", F.when(F.col("apart"), F.ceil(F.col("rows") / BLOCK).cast("int")).otherwise(0).alias("blocks"))
+        keyed = keyed.join(F.broadcast(sizes), "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).where("blocks > 0")
         keyed = keyed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         key = F.when(F.col("blocks") > 1, F.xxhash64("k", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("k"))
         keyed = keyed.select(key.alias("k"), "node", "fp", "class", "failed", "side", (F.col("side") == F.col("other")).alias("inner"))
@@ -422,9 +436,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = distinct.join(asked, "node", "left_semi").select("node", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"))
     texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
     shingle_sets = materialize(sets(texts, shingle))
-    labels, tried = verified(links, shingle_sets, similarity)
-    again = None if tried is None else materialize(_unsettled(asked, labels, tried))
-    most, held_back = FIRST, again is not None and not again.isEmpty()
+    labels, tried = verified(links.where("a <> b"), shingle_sets, similarity)
+    again = links.where("a = b").select(F.col("a").alias("node"))
+    if tried is None:
+        tried = links.sparkSession.createDataFrame([], "a long, b long, ok boolean")
+    else:
+        again = again.union(_unsettled(asked, labels, tried)).distinct()
+    again = materialize(again)
+    most, held_back = FIRST, not again.isEmpty()
     while held_back:
         pairs = tried.where("not ok").select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("o")), F.struct(F.col("b").alias("node"), F.col("a").alias("o")))))
         failed = pairs.groupBy("node").agg(F.collect_list("o").alias("failed"))

@@ -106,3 +106,24 @@ def test_near_copies_in_a_family_of_one_template(spark):
     found = sum(got[300 + i] == i for i in range(60))
     print("found", found, "of 60")
     assert all(got[d] in (d, want[d]) for d in got) and found >= 54
+
+
+def test_pairs_over_portions_of_a_key(spark, monkeypatch):
+    rows = family(40, 10, random.Random(4))
+    table = wide.prints(spark.createDataFrame(rows, "doc_id long, text string")).toArrow()
+    import pyarrow as pa
+
+    node, fp = table.column("doc_id").combine_chunks(), table.column("fp").combine_chunks()
+    monkeypatch.setattr(wide, "MOST", 16)
+    key = pa.array(np.zeros(len(node), np.int64))
+    again = set()
+    for out in wide._linker(0.68)([pa.record_batch([key, node, fp], names=["k", "node", "fp"])]):
+        again |= {a for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()) if a == b}
+    # Every row of a portioned key is looked at again, and then every pair of it is a link, over blocks too.
+    assert again == set(range(50))
+    empty = pa.array([[]] * len(node), pa.list_(pa.int64()))
+    side = pa.array(np.arange(len(node), dtype=np.int32) % 2)
+    for inner, want in ((True, 50 * 49 // 2), (False, 25 * 25)):
+        batch = pa.record_batch([key, node, fp, node, empty, side, pa.array([inner] * len(node))], names=["k", "node", "fp", "class", "failed", "side", "inner"])
+        links = [x for out in wide._still_apart(0.0, 100)([batch.slice(0, 20), batch.slice(20)]) for x in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        assert len(set(links)) == len(links) == want
