@@ -68,23 +68,21 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokenize(docs: DataFrame, ranks: str, pattern: str, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``n`` ids with the end id, ``full`` checksums of its whole windows, ``tail`` ids."""
+def tokenize(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id``, ``n`` ids with the end id, and ``ids`` as little-endian 16-bit numbers."""
 
     def run(batches):
         encode = Encoder(ranks, pattern)
         for b in batches:
-            n, full, tails = [], [], []
+            n, every = [], []
             for t in b.column(1):
                 ids = np.append(encode(t.as_py() or ""), np.uint16(END))
-                whole = len(ids) // window * window
                 n.append(len(ids))
-                full.append([_crc(ids[i : i + window]) for i in range(0, whole, window)])
-                tails.append(ids[whole:].tobytes())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(tails, pa.binary())], names=["doc_id", "n", "full", "tail"])
+                every.append(ids.astype("<u2").tobytes())
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(every, pa.binary())], names=["doc_id", "n", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n long, full array<long>, tail binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n long, ids binary")
 
 
 def combinations(window: int, histogram: np.ndarray, step: int = 32) -> np.ndarray:
@@ -155,9 +153,9 @@ def _ranges(combos: list[tuple[int, ...]]) -> list[tuple[int, int, int, int, int
 
 
 def pack(docs: DataFrame, ranks: str, pattern: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``."""
+    """Pieces: ``doc_id``, ``start``, ``length``, ``ids`` (little-endian 16-bit), ``doc_tokens``, ``sequence_id``, ``offset``."""
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, ranks, pattern, window, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    tokens = materialize(tokenize(docs, ranks, pattern, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     length = (F.col("n") % window).cast("int")
     salts = 4 * partitions(spark)
     tails = tokens.where(length > 0).select("row", "doc_id", "n", length.alias("length"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
@@ -166,7 +164,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, window: int = 2048, id_col:
     for r in counts.groupBy("length").agg(F.sum("k").alias("k")).collect():
         histogram[r.length] = r.k
     # Whole windows are sequences of their own and come first, numbered by salt and row.
-    whole = tokens.where(F.size("full") > 0).select("row", F.size("full").cast("long").alias("k"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
+    whole = tokens.where(F.col("n") >= window).select("row", F.floor(F.col("n") / window).cast("long").alias("k"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
     windows = [0] * salts
     for r in whole.groupBy("salt").agg(F.sum("k").alias("k")).collect():
         windows[r.salt] = r.k
@@ -190,32 +188,45 @@ def pack(docs: DataFrame, ranks: str, pattern: str, window: int = 2048, id_col:
     # A few rows for each of at most ``window`` lengths.
     placed = ranked.join(F.broadcast(spark.createDataFrame(slots, shape)), "length").where("rank >= lo and rank < hi")
     placed = placed.select("row", "sequence", (F.col("at") + F.when(F.col("sequence") < 0, (F.col("rank") - F.col("lo")) * F.col("length")).otherwise(0)).alias("at"), (F.col("rank") - F.col("lo")).alias("step"))
-    joined = tokens.join(placed, "row", "left").join(whole, "row", "left").select("doc_id", "n", "full", "tail", "sequence", "at", "step", "first")
+    joined = tokens.join(placed, "row", "left").join(whole, "row", "left").select("doc_id", "n", "ids", "sequence", "at", "step", "first")
     before, last = sum(windows), total // window * window
 
     def run(batches):
         for b in batches:
             out = [[] for _ in range(7)]
-            for doc, n, full, tail, sequence, at, step, first in zip(*(c.to_pylist() for c in b.columns)):
-                pieces = [(i * window, window, c, first + i, 0) for i, c in enumerate(full)]
-                ids = np.frombuffer(tail, np.uint16)
-                begin = len(full) * window
+            for doc, n, every, sequence, at, step, first in zip(*(c.to_pylist() for c in b.columns)):
+                begin = n // window * window
+                pieces = [(i, window, every[2 * i : 2 * (i + window)], first + i // window, 0) for i in range(0, begin, window)]
+                ids = np.frombuffer(every, "<u2")[begin:]
                 if len(ids) and sequence >= 0:
-                    pieces.append((begin, len(ids), _crc(ids), before + sequence + step, at))
+                    pieces.append((begin, len(ids), ids.tobytes(), before + sequence + step, at))
                 elif len(ids):
                     cuts = [at, *range((at // window + 1) * window, at + len(ids), window), at + len(ids)]
                     cuts = sorted({*cuts, *(c for c in _powers(last, total) if at < c < at + len(ids))})
                     for lo, hi in zip(cuts, cuts[1:]):
                         seq, off = (base + lo // window, lo % window) if lo < last else _last(lo, last, total, base + last // window)
-                        pieces.append((begin + lo - at, hi - lo, _crc(ids[lo - at : hi - at]), seq, off))
-                for start, size, crc, seq, off in pieces:
-                    for c, v in zip(out, (doc, start, size, crc, n, seq, off)):
+                        pieces.append((begin + lo - at, hi - lo, ids[lo - at : hi - at].tobytes(), seq, off))
+                for start, size, part, seq, off in pieces:
+                    for c, v in zip(out, (doc, start, size, part, n, seq, off)):
                         c.append(v)
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            yield pa.record_batch([pa.array(out[0], b.column(0).type), *(pa.array(c, pa.int64()) for c in out[1:])], names=names)
+            names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+            yield pa.record_batch([pa.array(out[0], b.column(0).type), *(pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names[1:], out[1:]))], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return joined.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def checksums(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``ids_crc32``, the checksum of the ids as 32-bit numbers, in place of ``ids``."""
+    at = pieces.columns.index("ids")
+
+    def run(batches):
+        for b in batches:
+            crc = pa.array([_crc(np.frombuffer(x.as_py(), "<u2")) for x in b.column(at)], pa.int64())
+            yield pa.record_batch([crc if i == at else c for i, c in enumerate(b.columns)], names=["ids_crc32" if i == at else k for i, k in enumerate(b.schema.names)])
+
+    shape = ", ".join("ids_crc32 long" if f.name == "ids" else f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    return pieces.mapInArrow(run, shape)
 
 
 def _powers(last: int, total: int) -> list[int]:
@@ -237,4 +248,4 @@ def _last(lo: int, last: int, total: int, first_sequence: int) -> tuple[int, int
 def digest(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return checksums(pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))

@@ -76,3 +76,13 @@ def test_plan_keeps_to_the_histogram():
     assert (used <= h).all()
     share = (used * np.arange(257)).sum() / (h * np.arange(257)).sum()
     assert share > 0.9
+
+
+def test_pack_gives_the_sequences(spark):
+    rows = [(1, "word " * 5000), (2, None), (3, "a few words"), (4, "other words here " * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    for d, t in rows:
+        mine = sorted((p for p in pieces if p.doc_id == d), key=lambda p: p.start)
+        assert np.concatenate([np.frombuffer(p.ids, "<u2") for p in mine]).tolist() == ids_of(t)
+        assert all(len(p.ids) == 2 * p.length for p in mine)
