@@ -8,7 +8,8 @@ four fifths of the projections is a candidate and is verified with its true inne
 growing once an eighth of the block was verified.
 
 Largest inner product becomes nearest distance by one more coordinate, sqrt(M^2 - |x|^2) with M the
-largest norm; a query's is 0. The index is built for all rows, in blocks of at most ``block`` vectors
+largest norm of the block; a query's is 0. Blocks hold vectors whose norms differ by at most a factor of
+``RATIO``, so that this coordinate stays small however uneven the norms of the table are. The index is built for all rows, in blocks of at most ``block`` vectors
 (one row each, sorted arrays and all); queries come in blocks too, and each pair of blocks is one row,
 so a task holds two blocks whatever the input.
 
@@ -20,6 +21,8 @@ Ids are taken to be distinct; a query never returns its own id.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from landweave.storage import materialize
 
-LEAST_PROJECTIONS, THRESHOLD, GROWTH = 65, 0.8, 1.2
+LEAST_PROJECTIONS, THRESHOLD, GROWTH, RATIO = 65, 0.8, 1.2, 1.1
 
 
 def usable(vec: Column) -> Column:
@@ -42,20 +45,20 @@ def _directions(dim: int) -> np.ndarray:
     return np.concatenate(bases, axis=1)
 
 
-def _extended(x: np.ndarray, top: float, query: bool) -> np.ndarray:
+def _extended(x: np.ndarray, query: bool) -> np.ndarray:
     norm = (x * x).sum(1)
-    more = np.zeros(len(x)) if query else np.sqrt(np.maximum(top * top - norm, 0))
+    more = np.zeros(len(x)) if query else np.sqrt(norm.max() - norm)
     return np.column_stack([x, more])
 
 
-def _blocks(top: float, dim: int, query: bool):
+def _blocks(dim: int, query: bool):
     """(block, id, vec) rows sorted by block to one row a block: ids, vectors and, for the index, sorted arrays."""
 
     def pack(block, ids, vecs):
         x = np.array(vecs, np.float64)
         order = np.argsort(ids, kind="stable")
         ids, x = np.array(ids, np.int64)[order], x[order]
-        y = np.ascontiguousarray((_extended(x, top, query) @ _directions(dim)).T)
+        y = np.ascontiguousarray((_extended(x, query) @ _directions(dim)).T)
         ranks = np.zeros((0, 0), np.uint16)
         if not query:
             by = np.argsort(y, axis=1, kind="stable")
@@ -129,22 +132,29 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
     rows = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"), queries.alias("q"))
-    shape = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.count_if("q").alias("k")).orderBy(F.desc("n"), "d").first()
+    shape = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("k")).orderBy(F.desc("n"), "d").first()
     if shape is None:
         return spark.createDataFrame([], empty)
-    dim, top = shape.d, float(shape.m) ** 0.5
-    rows = rows.where(F.size("v") == dim)
+    dim = shape.d
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    rows = rows.where(F.size("v") == dim).withColumn("span", F.coalesce(F.floor(F.log(norm) / (2 * math.log(RATIO))), F.lit(-(1 << 20))).cast("int"))
+    # Floating-point norms have a few thousand spans at most.
+    spans, blocks = [], 0
+    for r in rows.groupBy("span").count().orderBy("span").collect():
+        own = -(-r["count"] // block)
+        spans.append((r.span, blocks, own))
+        blocks += own
+    spans = spark.createDataFrame(spans, "span int, begin int, own int")
     kind = "block int, ids binary, vecs binary, proj binary, ranks binary"
 
-    def blocked(part: DataFrame, size: int, count: int, query: bool) -> DataFrame:
-        n = max(1, -(-count // size))
-        dealt = part.select(F.pmod(F.xxhash64("i"), F.lit(n)).cast("int").alias("block"), "i", "v").repartition(n, "block").sortWithinPartitions("block")
-        return materialize(dealt.mapInArrow(_blocks(top, dim, query), kind))
+    def blocked(part: DataFrame, number: Column, size: int, count: int, query: bool) -> DataFrame:
+        dealt = part.select(number.cast("int").alias("block"), "i", "v").repartition(max(1, -(-count // size)), "block").sortWithinPartitions("block")
+        return materialize(dealt.mapInArrow(_blocks(dim, query), kind))
 
-    index = blocked(rows, block, shape.n, False)
-    asked = blocked(rows.where("q"), query_block, shape.k, True)
+    index = blocked(rows.join(F.broadcast(spans), "span"), F.col("begin") + F.pmod(F.xxhash64("i"), F.col("own")), block, shape.n, False)
+    asked = blocked(rows.where("q"), F.pmod(F.xxhash64("i"), F.lit(max(1, -(-shape.k // query_block)))), query_block, shape.k, True)
     # A stated query set against all rows, block by block.
-    n = -(-shape.n // block)
+    n = blocks
     pairs = asked.select(F.col("ids").alias("qi"), F.col("vecs").alias("qv"), F.col("proj").alias("qp"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(index, "block")
     pairs = pairs.repartition(F.xxhash64("qi"), F.col("block"))
     found = pairs.select("qi", "qv", "qp", "ids", "vecs", "proj", "ranks").mapInArrow(_searched(k, share, dim), "query_id long, vec_id long, score double")

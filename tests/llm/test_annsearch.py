@@ -49,3 +49,15 @@ def test_cases(spark):
     few = df.where(F.col("vec_id").between(0, 4))
     assert results(annsearch.digest(few).collect()) == exact(rows[:5])
     assert annsearch.digest(df.limit(0)).count() == 0
+
+
+def test_recall_with_uneven_norms(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    one = x.copy()
+    one[7] *= 3
+    for y in (one, x * rng.uniform(0.5, 2, (3000, 1))):
+        rows = [(i, v.tolist()) for i, v in enumerate(y)]
+        got = results(annsearch.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+        assert recall(got, exact(rows)) >= 0.95
