@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
+
+    Where neither is set, a session whose executors are threads of the driver gets a temporary folder of
+    its own; a cluster has no folder that would do, which is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="landweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -21,36 +29,30 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage, so that a lost executor costs only the tasks that read the table again. Shuffle files
-    of earlier writes are due for removal by then, so the driver's garbage is collected first.
+    Cuts the lineage, so that a lost executor costs only the tasks that read the table again. The shuffle
+    files of the write are dropped at its end, as nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/landweave-{uuid.uuid4().hex}"
-    spark._jvm.System.gc()
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._landweave_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished writes now.
-
-    Its cleaner removes them once the driver has collected the plans that own them: the first collection
-    finds the plans, and after a moment for the cleaner the second finds what they held.
-    """
-    spark._jvm.System.gc()
-    time.sleep(0.5)
-    spark._jvm.System.gc()
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` once nothing reads it any more."""
-    path = getattr(df, "_landweave_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_landweave_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

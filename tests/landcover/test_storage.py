@@ -42,9 +42,17 @@ def test_restart_and_repeats(spark, tmp_path):
 
 def test_components_of_paths_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(1, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000, 2001), (2001, 2002), (2002, 2000), (5, 5), (None, 7), (2000, 2001)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 1 for i in range(1, 201)} | {1000 + i: 1000 for i in range(300)} | {2000 + i: 2000 for i in range(3)}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for few in (0, 1000):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert got == {i: 1 for i in range(1, 201)} | {1000 + i: 1000 for i in range(300)} | {2000 + i: 2000 for i in range(3)}
+        assert connected_components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
+    m = materialize(df)
+    assert spark.conf.get(name) == "false" and sorted(map(tuple, m.collect())) == sorted(map(tuple, df.collect())) == [(0, 34), (1, 33), (2, 33)]
 
 
 def test_counted_join_is_a_join(spark):
