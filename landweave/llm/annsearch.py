@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Every projection of the vectors on a random direction is one sorted array. A query's window on each
-array starts narrow and doubles (virtual rehashing: a wider window is a union of hash buckets, nothing
-is hashed again; growth is 1.2 a step, not 2, to stop soon after enough). A window is a range of ranks
-in the array, so a vector collides if its rank is in the range. A vector that collides on at least
-four fifths of the projections is a candidate and is verified with its true inner product; windows stop
-growing once an eighth of the block was verified.
+Every projection of a block's vectors on a random direction is one sorted array. A query's window on each
+array starts around its own projection and widens (virtual rehashing: a wider window is a union of hash
+buckets, nothing is hashed again; growth is 1.1 a step, not 2, to stop soon after enough). Only the
+entries that a step adds at both ends of the windows are read, and each counts one collision of its
+vector. Windows stop once ``enough`` vectors of the block collide on four fifths of the projections; the
+collision threshold is then the greatest that as many reach, and all that reach it are verified with
+their true inner product. ``enough`` is ``least`` (12 k) vectors, or one in ``share`` of a larger block.
 
 Largest inner product becomes nearest distance by one more coordinate, sqrt(M^2 - |x|^2) with M the
 largest norm of the block; a query's is 0. Blocks hold vectors whose norms differ by at most a factor of
-``RATIO``, so that this coordinate stays small however uneven the norms of the table are. The index is built for all rows, in blocks of at most ``block`` vectors
-(one row each, sorted arrays and all); queries come in blocks too, and each pair of blocks is one row,
-so a task holds two blocks whatever the input.
+``RATIO``, so that this coordinate stays small however uneven the norms of the table are. The index is
+all rows, in blocks of at most ``block`` vectors, one row each; the queries come in far smaller rows,
+which go to every block. A task holds one block with its arrays and one row of queries whatever the input.
 
 Cases: vectors that are null, empty, zero, of another length than most, or with null or non-finite
 components take no part, as query or candidate; equal vectors are all candidates together and ties go
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from landweave.storage import materialize
 
-LEAST_PROJECTIONS, THRESHOLD, GROWTH, RATIO = 65, 0.8, 1.2, 1.1
+LEAST_PROJECTIONS, THRESHOLD, GROWTH, RATIO = 128, 0.8, 1.1, 1.1
 
 
 def usable(vec: Column) -> Column:
@@ -51,92 +52,108 @@ def _extended(x: np.ndarray, query: bool) -> np.ndarray:
     return np.column_stack([x, more])
 
 
-def _blocks(dim: int, query: bool):
-    """(block, id, vec) rows sorted by block to one row a block: ids, vectors and, for the index, sorted arrays."""
+def _packed(batches):
+    """(block, id, vec) rows sorted by block to one row a block: ids and vectors."""
 
-    def pack(block, ids, vecs):
-        x = np.array(vecs, np.float64)
+    def one(block, ids, vecs):
+        x, ids = np.concatenate(vecs), np.concatenate(ids)
         order = np.argsort(ids, kind="stable")
-        ids, x = np.array(ids, np.int64)[order], x[order]
-        y = np.ascontiguousarray((_extended(x, query) @ _directions(dim)).T)
-        ranks = np.zeros((0, 0), np.uint16)
-        if not query:
-            by = np.argsort(y, axis=1, kind="stable")
-            ranks = np.empty(by.shape, np.uint16)
-            np.put_along_axis(ranks, by, np.arange(by.shape[1], dtype=np.uint16)[None], 1)
-            y = np.take_along_axis(y, by, 1)
-        return block, ids.tobytes(), x.tobytes(), y.tobytes(), ranks.tobytes()
-
-    def run(batches):
-        now, ids, vecs = None, [], []
-        for b in batches:
-            for block, i, v in zip(*(c.to_pylist() for c in b.columns)):
-                if block != now:
-                    if ids:
-                        yield _one(pack(now, ids, vecs))
-                    now, ids, vecs = block, [], []
-                ids.append(i)
-                vecs.append(v)
-        if ids:
-            yield _one(pack(now, ids, vecs))
-
-    def _one(row):
-        return pa.record_batch([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["block", "ids", "vecs", "proj", "ranks"])
-
-    return run
-
-
-def collide(q: np.ndarray, proj: np.ndarray, ranks: np.ndarray, enough: int, width: float) -> tuple[np.ndarray, float]:
-    """Mask of the candidates of one query, and the width that found them. ``q``: its projections; ``proj``: sorted values of each projection; ``ranks``: the vectors' places there."""
-    n, need = proj.shape[1], int(np.ceil(THRESHOLD * len(q)))
-    while True:
-        lo, hi = np.array([np.searchsorted(a, (v - width, v + width)) for a, v in zip(proj, q)]).T
-        inside = (ranks - lo[:, None].astype(np.uint16)) < (hi - lo)[:, None].astype(np.uint16)
-        found = inside.view(np.uint8).sum(axis=0, dtype=np.uint16) >= need
-        if found.sum() >= min(enough, n):
-            return found, width
-        width *= GROWTH
-
-
-def _searched(k: int, share: int, dim: int):
+        return pa.record_batch([pa.array([block], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([x[order].tobytes()], pa.binary())], names=["block", "ids", "vecs"])
+
+    now, ids, vecs = None, [], []
+    for b in batches:
+        block, i = b.column(0).to_numpy(), b.column(1).to_numpy()
+        x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(i), -1)
+        edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
+        for lo, hi in zip(edge, np.r_[edge[1:], len(block)].astype(int)):
+            if block[lo] != now and ids:
+                yield one(now, ids, vecs)
+                ids, vecs = [], []
+            now = block[lo]
+            ids.append(i[lo:hi])
+            vecs.append(x[lo:hi])
+    if ids:
+        yield one(now, ids, vecs)
+
+
+class Arrays:
+    """Sorted projections of the vectors of one block, end to end, each ``apart`` from the next."""
+
+    def __init__(self, x: np.ndarray):
+        self.n, self.directions = len(x), _directions(x.shape[1])
+        y = np.ascontiguousarray((_extended(x, False) @ self.directions).T)
+        self.order = np.argsort(y, axis=1, kind="stable")
+        y = np.take_along_axis(y, self.order, 1)
+        self.reach = float(np.abs(y).max())
+        self.width = max(0.5 * float(np.median(y[:, int(0.75 * (self.n - 1))] - y[:, int(0.25 * (self.n - 1))])), 1e-6 * self.reach)
+        self.shift = 4 * self.reach * np.arange(len(y))
+        self.flat = (y + self.shift[:, None]).ravel()
+        self.begin = self.n * np.arange(len(y))
+        self.order = self.order.ravel()
+
+    def ranks(self, values: np.ndarray) -> np.ndarray:
+        """How many entries of each array are smaller than its value."""
+        inside = np.clip(values, -1.5 * self.reach, 1.5 * self.reach) + self.shift
+        return np.searchsorted(self.flat, inside) - self.begin
+
+    def collide(self, q: np.ndarray, enough: int) -> np.ndarray:
+        """Vectors to verify for a query's projections ``q``; the width that found them is the next query's start."""
+        need, enough, width = int(np.ceil(THRESHOLD * len(q))), min(enough, self.n), self.width / GROWTH
+        count, lo = np.zeros(self.n, np.int64), self.ranks(q)
+        hi = lo
+        while True:
+            lo2, hi2 = self.ranks(q - width), self.ranks(q + width)
+            ends = zip((self.begin + lo2).tolist(), (self.begin + lo).tolist(), (self.begin + hi).tolist(), (self.begin + hi2).tolist())
+            count += np.bincount(np.concatenate([self.order[s] for a, b, c, d in ends for s in (slice(a, b), slice(c, d))]), minlength=self.n)
+            lo, hi = lo2, hi2
+            if (count >= need).sum() >= enough or (hi - lo).min() == self.n:
+                break
+            width *= GROWTH
+        self.width = width
+        least = np.partition(count, self.n - enough)[self.n - enough]
+        return np.flatnonzero(count >= least)
+
+
+def _searched(k: int, least: int, share: int, dim: int, kind: str):
     def run(batches):
+        held, arrays, ids, x = None, None, None, None
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for qids, qvecs, qproj, ids, vecs, proj, ranks in zip(*cols):
-                qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                q, x = (np.frombuffer(v, np.float64).reshape(-1, dim) for v in (qvecs, vecs))
-                qp = np.frombuffer(qproj, np.float64).reshape(-1, len(qids))
-                proj = np.frombuffer(proj, np.float64).reshape(-1, len(ids))
-                ranks = np.frombuffer(ranks, np.uint16).reshape(-1, len(ids))
-                last = len(ids) - 1
-                width = max(0.75 * float(np.median(proj[:, int(0.75 * last)] - proj[:, int(0.25 * last)])), 1e-9)
-                out = [[], [], []]
+            for block, qids, qvecs, bids, bvecs in zip(*b.columns):
+                if block.as_py() != held:
+                    held, ids = block.as_py(), np.frombuffer(bids.as_py(), np.int64)
+                    x = np.frombuffer(bvecs.as_py(), kind).reshape(-1, dim).astype(np.float64)
+                    arrays = Arrays(x)
+                qids = np.frombuffer(qids.as_py(), np.int64)
+                q = np.frombuffer(qvecs.as_py(), kind).reshape(-1, dim).astype(np.float64)
+                qp = _extended(q, True) @ arrays.directions
+                out = [[], [], [], []]
                 for j in range(len(qids)):
-                    # Queries of a block need similar windows: the last one's, a step narrower, is the first to try.
-                    found, last_width = collide(qp[:, j], proj, ranks, max(2 * k, len(ids) // share), width)
-                    width = last_width / GROWTH
-                    c = np.flatnonzero(found & (ids != qids[j]))
+                    c = arrays.collide(qp[j], max(least, arrays.n // share))
+                    met = len(c)
+                    c = c[ids[c] != qids[j]]
                     score = (x[c] * q[j]).sum(axis=1)
                     best = np.lexsort((ids[c], -score))[:k]
-                    for col, v in zip(out, (np.full(len(best), qids[j]), ids[c[best]], score[best])):
+                    # The number verified goes with the first row.
+                    verified = np.zeros(len(best), np.int64)
+                    verified[:1] = met
+                    for col, v in zip(out, (np.full(len(best), qids[j]), ids[c[best]], score[best], verified)):
                         col.append(v)
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score", "verified"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 8192, query_block: int = 512, share: int = 8) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` best found for every row that meets ``queries``."""
-    if block >= 1 << 16:
-        raise ValueError("ranks have 16 bits")
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 16384, query_block: int = 512, share: int = 25, least: int | None = None) -> DataFrame:
+    """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` best found for every row that meets ``queries``, and ``verified``, the number of vectors that its search verified."""
     spark = vectors.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"), queries.alias("q"))
+    empty = "query_id long, rank int, vec_id long, score double, verified long"
+    element = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast(f"array<{element}>").alias("v"), queries.alias("q"))
     shape = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("k")).orderBy(F.desc("n"), "d").first()
     if shape is None:
         return spark.createDataFrame([], empty)
     dim = shape.d
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     rows = rows.where(F.size("v") == dim).withColumn("span", F.coalesce(F.floor(F.log(norm) / (2 * math.log(RATIO))), F.lit(-(1 << 20))).cast("int"))
     # Floating-point norms have a few thousand spans at most.
     spans, blocks = [], 0
@@ -145,23 +162,22 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         spans.append((r.span, blocks, own))
         blocks += own
     spans = spark.createDataFrame(spans, "span int, begin int, own int")
-    kind = "block int, ids binary, vecs binary, proj binary, ranks binary"
-
-    def blocked(part: DataFrame, number: Column, size: int, count: int, query: bool) -> DataFrame:
-        dealt = part.select(number.cast("int").alias("block"), "i", "v").repartition(max(1, -(-count // size)), "block").sortWithinPartitions("block")
-        return materialize(dealt.mapInArrow(_blocks(dim, query), kind))
-
-    index = blocked(rows.join(F.broadcast(spans), "span"), F.col("begin") + F.pmod(F.xxhash64("i"), F.col("own")), block, shape.n, False)
-    asked = blocked(rows.where("q"), F.pmod(F.xxhash64("i"), F.lit(max(1, -(-shape.k // query_block)))), query_block, shape.k, True)
-    # A stated query set against all rows, block by block.
-    n = blocks
-    pairs = asked.select(F.col("ids").alias("qi"), F.col("vecs").alias("qv"), F.col("proj").alias("qp"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(index, "block")
-    pairs = pairs.repartition(F.xxhash64("qi"), F.col("block"))
-    found = pairs.select("qi", "qv", "qp", "ids", "vecs", "proj", "ranks").mapInArrow(_searched(k, share, dim), "query_id long, vec_id long, score double")
+
+    def blocked(part: DataFrame, number: Column, count: int) -> DataFrame:
+        dealt = part.select(number.cast("int").alias("block"), "i", "v").repartition(count, "block").sortWithinPartitions("block")
+        return materialize(dealt.mapInArrow(_packed, "block int, ids binary, vecs binary"))
+
+    index = blocked(rows.join(F.broadcast(spans), "span"), F.col("begin") + F.pmod(F.xxhash64("i"), F.col("own")), blocks)
+    parts = max(1, -(-shape.k // query_block))
+    asked = blocked(rows.where("q"), F.pmod(F.xxhash64("i"), F.lit(parts)), parts)
+    # A stated query set against all rows: its small rows go to the blocks, and a block's rows come together.
+    pairs = asked.select(F.col("ids").alias("qi"), F.col("vecs").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(index.hint("merge"), "block")
+    kind = "<f4" if element == "float" else "<f8"
+    found = pairs.select("block", "qi", "qv", "ids", "vecs").mapInArrow(_searched(k, least or 12 * k, share, dim, kind), "query_id long, vec_id long, score double, verified long")
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("vec_id").alias("vec_id"))))
-    best = found.groupBy("query_id").agg(F.slice(order, 1, k).alias("best"))
-    flat = best.select("query_id", F.posexplode("best").alias("at", "x"))
-    return flat.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+    best = found.groupBy("query_id").agg(F.slice(order, 1, k).alias("best"), F.sum("verified").alias("verified"))
+    flat = best.select("query_id", F.posexplode("best").alias("at", "x"), "verified")
+    return flat.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"), "verified")
 
 
 def digest(vectors: DataFrame) -> DataFrame:

@@ -1,64 +1,56 @@
 """Merkle fixity audit of WARC replicas.
 
-A record's leaf is the hash of its bytes. A level-one node hashes the leaves of one range of offsets in
-one file, in offset order; every further node hashes up to ``fan`` nodes below it, first within a file,
-then over the files, up to one root. Replicas are compared root first, and only children of mismatching
-nodes are compared on the next level, so sound branches cost nothing below their top.
-
-Cases: null payloads hash as empty ones; rows with a null file or offset cannot be placed and are left
-out; records at the same place hash together, and a place differs if its bag of hashes does; empty
-replicas have no root, and then every record of the other is missing or extra; other columns are ignored.
+A record's leaf is the hash of its bytes, header and payload. A level-one node hashes the leaves of one
+range of offsets in one file, in offset order; every further node hashes up to ``fan`` nodes below it,
+first within a file, then over the files, up to one root. Both replicas' nodes of a level are one table,
+written once. The roots are compared first, and only children of mismatching nodes on the next level,
+so sound branches cost nothing below their top.
+
+Records are hashed and measured where they are read; only ids, urls, lengths and hashes move. Files
+take ``per_file`` consecutive records by a dense number, so an id that repeats fills many files.
+
+Cases: null payloads and urls are empty; pages without an id are left out; rows with a null file or
+offset cannot be placed and are left out; records at the same place hash together, and a place differs
+if its bag of hashes does; empty replicas have no root, and then every record of the other is missing
+or extra; pages equal in id, url and bytes follow each other; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landweave.operators.ranking import number_rows
 from landweave.storage import materialize
 
 
-@dataclass
-class Tree:
-    """Leaves ``file, offset, hash`` and levels ``file, node, hash`` from the bottom; the last level is the root."""
-
-    leaves: DataFrame
-    levels: list[DataFrame]
-
-
 def _node(rows: DataFrame, file: Column, node: Column, order: str) -> DataFrame:
     inner = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("hash").alias("h"))))
     text = F.array_join(F.transform(inner, lambda x: F.concat_ws("=", x["o"].cast("string"), x["h"])), ",")
-    return rows.groupBy(file.alias("file"), node.alias("node")).agg(F.sha2(text, 256).alias("hash"))
-
+    return rows.groupBy("side", file.alias("file"), node.alias("node")).agg(F.sha2(text, 256).alias("hash"))
 
-def extent(*replicas: DataFrame) -> tuple[int, int]:
-    """Largest offset and file of the replicas, which fix the number of levels."""
-    tops = [r.agg(F.max("offset").alias("o"), F.max("file").alias("f")).first() for r in replicas]
-    return max([0, *(t.o for t in tops if t.o is not None)]), max([0, *(t.f for t in tops if t.f is not None)])
 
-
-def build(records: DataFrame, top: tuple[int, int], range_bytes: int = 1 << 16, fan: int = 16) -> Tree:
-    """Tree over ``records`` (``file``, ``offset``, ``hash``)."""
-    leaves = records.where("file is not null and offset is not null")
+def build(leaves: DataFrame, range_bytes: int = 1 << 16, fan: int = 16) -> tuple[list[DataFrame], int]:
+    """Levels ``side``, ``file``, ``node``, ``hash`` from the bottom up to the root, each written once, over
+    ``leaves`` (``side``, ``file``, ``offset``, ``hash``); and how many of them lie within files."""
+    top = leaves.agg(F.max("offset").alias("offset"), F.max("file").alias("file")).first()
     file, node = F.col("file"), F.col("node")
     levels = [materialize(_node(leaves, file, F.floor(F.col("offset") / range_bytes), "offset"))]
-    most = top[0] // range_bytes
+    most = (top.offset or 0) // range_bytes
     while most > 0:
         most //= fan
-        levels.append(_node(levels[-1], file, F.floor(node / fan), "node"))
-    files = top[1]
+        levels.append(materialize(_node(levels[-1], file, F.floor(node / fan), "node")))
+    within, files = len(levels), top.file or 0
     while files > 0:
         files //= fan
-        levels.append(_node(levels[-1], F.floor(file / fan), F.lit(0).cast("long"), "file"))
-    return Tree(leaves, levels)
+        levels.append(materialize(_node(levels[-1], F.floor(file / fan), F.lit(0).cast("long"), "file")))
+    return levels, within
 
 
-def _differ(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    both = a.withColumnRenamed("hash", "ha").join(b.withColumnRenamed("hash", "hb"), keys, "full_outer")
-    return both.where(~F.col("ha").eqNullSafe(F.col("hb")))
+def _differ(rows: DataFrame, place: str) -> DataFrame:
+    """``file``, ``place``, and the hashes ``ha`` and ``hb`` of the two sides where they differ."""
+    of = [F.max(F.when(F.col("side") == s, F.col("hash"))).alias(name) for s, name in enumerate(("ha", "hb"))]
+    return rows.groupBy("file", place).agg(*of).where(~F.col("ha").eqNullSafe(F.col("hb")))
 
 
 def audit(master: DataFrame, replica: DataFrame, range_bytes: int = 1 << 16, fan: int = 16) -> DataFrame:
@@ -66,66 +58,64 @@ def audit(master: DataFrame, replica: DataFrame, range_bytes: int = 1 << 16, fan
 
     Both tables have ``file`` (long), ``offset`` (long) and ``hash`` of each record.
     """
-    top = extent(master, replica)
-    a, b = (build(x, top, range_bytes, fan) for x in (master, replica))
-    n_range = 1
-    most = top[0] // range_bytes
-    while most > 0:
-        most //= fan
-        n_range += 1
-    bad = _differ(a.levels[-1], b.levels[-1], ["file", "node"]).select("file", "node")
-    if bad.isEmpty():
-        return a.leaves.limit(0).select("file", "offset", F.lit("changed").alias("kind"))
-    for level in range(len(a.levels) - 2, -1, -1):
+    sides = [x.where("file is not null and offset is not null").select(F.lit(s).alias("side"), "file", "offset", "hash") for s, x in enumerate((master, replica))]
+    leaves = sides[0].unionByName(sides[1])
+    levels, within = build(leaves, range_bytes, fan)
+    bad = _differ(levels[-1], "node").select("file", "node")
+    for level in range(len(levels) - 2, -1, -1):
         up = bad.select(F.col("file").alias("pf"), F.col("node").alias("pn"))
-        over_files = level >= n_range - 1
-
-        def under(t: DataFrame, up=up, over_files=over_files) -> DataFrame:
-            parent = (F.floor(F.col("file") / fan) == F.col("pf")) if over_files else ((F.col("file") == F.col("pf")) & (F.floor(F.col("node") / fan) == F.col("pn")))
-            return t.join(up, parent, "left_semi")
-
-        bad = materialize(_differ(under(a.levels[level]), under(b.levels[level]), ["file", "node"]).select("file", "node"))
-    up = bad.select(F.col("file").alias("pf"), F.col("node").alias("pn"))
-
-    def places(t: DataFrame) -> DataFrame:
-        near = t.join(up, (F.col("file") == F.col("pf")) & (F.floor(F.col("offset") / range_bytes) == F.col("pn")), "left_semi")
-        return near.groupBy("file", "offset").agg(F.array_join(F.array_sort(F.collect_list("hash")), ",").alias("hash"))
-
-    found = _differ(places(a.leaves), places(b.leaves), ["file", "offset"])
+        if level >= within - 1:
+            parent = F.floor(F.col("file") / fan) == F.col("pf")
+        else:
+            parent = (F.col("file") == F.col("pf")) & (F.floor(F.col("node") / fan) == F.col("pn"))
+        bad = _differ(levels[level].join(up, parent, "left_semi"), "node").select("file", "node")
+    up = materialize(bad.select(F.col("file").alias("pf"), F.col("node").alias("pn")))
+    near = leaves.join(up, (F.col("file") == F.col("pf")) & (F.floor(F.col("offset") / range_bytes) == F.col("pn")), "left_semi")
+    places = near.groupBy("side", "file", "offset").agg(F.array_join(F.array_sort(F.collect_list("hash")), ",").alias("hash"))
     kind = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("changed")
-    return found.select("file", "offset", kind.alias("kind"))
+    return _differ(places, "offset").select("file", "offset", kind.alias("kind"))
 
 
 HEADER = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: %s\r\nContent-Length: %s\r\n\r\n"
 
 
-def records(pages: DataFrame, per_file: int = 500) -> DataFrame:
-    """WARC layout of pages: ``file``, ``offset``, ``length``, ``page_id``, ``url``, ``html``; files hold ``per_file`` consecutive ids."""
-    html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
-    size = F.octet_length(F.format_string(HEADER, url, F.octet_length(html).cast("string"))) + F.octet_length(html) + 4
-    rows = pages.where(F.col("page_id").isNotNull()).select(F.floor(F.col("page_id") / per_file).alias("file"), "page_id", url.alias("url"), html.alias("html"), size.cast("long").alias("length"))
-    order = Window.partitionBy("file").orderBy("page_id", "url", "length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("offset", F.sum("length").over(order) - F.col("length"))
+def record(url: Column, html: Column, stored: Column | None = None) -> Column:
+    """Text of a record: the header of ``html``, then ``stored`` (or ``html``) and the closing lines."""
+    return F.concat(F.format_string(HEADER, url, F.octet_length(html).cast("string")), html if stored is None else stored, F.lit("\r\n\r\n"))
 
 
-def hashed(rows: DataFrame) -> DataFrame:
-    return rows.select("file", "offset", F.sha2(F.concat_ws("\n", "url", "html"), 256).alias("hash"))
+def records(pages: DataFrame, per_file: int = 500, **more: Column) -> DataFrame:
+    """WARC layout of pages: ``file``, ``offset``, ``length``, ``page_id``, ``url``, ``hash``, and the hashes of the records ``more``.
+
+    Records follow each other by id, url, length and hash; a file holds ``per_file`` of them.
+    """
+    html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    whole = record(url, html)
+    rows = pages.where("page_id is not null").select(
+        F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("hash"), *[F.sha2(x, 256).alias(k) for k, x in more.items()], F.monotonically_increasing_id().alias("__tie")
+    )
+    # Rows that differ in nothing but the tie are alike, so it decides nothing but where they are sorted.
+    placed = number_rows(rows, ["page_id", "url", "length", "hash", "__tie"], "__n", 0)
+    placed = placed.withColumn("file", F.floor(F.col("__n") / per_file))
+    order = Window.partitionBy("file").orderBy("__n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("offset", F.sum("length").over(order) - F.col("length")).select("file", "offset", "length", "page_id", "url", "hash", *more)
 
 
 def digest(pages: DataFrame) -> DataFrame:
     """Audit of a replica derived from the pages, in which some records changed a byte and some are gone."""
-    laid = records(pages)
-    hurt = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("~"), F.expr("substr(html, 2)"))).otherwise(F.col("html"))
-    both = materialize(laid.select("file", "offset", "page_id", F.sha2(F.concat_ws("\n", "url", "html"), 256).alias("hash"), F.sha2(F.concat_ws("\n", "url", hurt), 256).alias("other")))
-    replica = both.where(F.col("page_id") % 389 != 7).select("file", "offset", F.col("other").alias("hash"))
+    html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    stored = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("~"), F.substring(html, 2, 2**31 - 1))).otherwise(html)
+    both = materialize(records(pages, other=record(url, html, stored)).select("file", "offset", "page_id", "hash", "other"))
+    replica = both.where("page_id % 389 <> 7").select("file", "offset", F.col("other").alias("hash"))
     return audit(both.select("file", "offset", "hash"), replica)
 
 
 ORACLE = r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
-s AS (SELECT *, page_id // 500 AS file, strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) ||
-      'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)) + strlen(html) + 4 AS n FROM p),
-o AS (SELECT *, (sum(n) OVER (PARTITION BY file ORDER BY page_id, url, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n)::BIGINT AS "offset" FROM s)
+r AS (SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) ||
+      'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM p),
+s AS (SELECT page_id, html, strlen(record) AS n, row_number() OVER (ORDER BY page_id, url, strlen(record), sha256(record)) - 1 AS k FROM r),
+o AS (SELECT page_id, html, k // 500 AS file, (sum(n) OVER (PARTITION BY k // 500 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n)::BIGINT AS "offset" FROM s)
 SELECT file, "offset", CASE WHEN page_id % 389 = 7 THEN 'missing' ELSE 'changed' END AS kind
 FROM o WHERE page_id % 389 = 7 OR (page_id % 97 = 13 AND substr(html, 1, 1) <> '~')
 """

@@ -6,36 +6,44 @@ profile, the sum of the rank differences, with the greatest rank for an n-gram t
 profile lacks. The nearest language wins, ties by name; the score is one minus its distance as a part
 of the largest possible one.
 
-Profiles are fitted on a bounded sample: of each language, the training rows whose id hash falls under
-a threshold that ``per_language`` of them are expected to meet. Prediction reads whole texts and nothing but the text.
+Profiles are fitted on a bounded sample: of each of the ``languages`` most frequent labels, the training
+rows whose id hash falls under a threshold that ``per_language`` of them are expected to meet.
+Prediction reads whole texts and nothing but the text.
 
-Cases: a text that is null or holds no letter is ``und`` with score 0; other letters than the profiles'
-score low but name the nearest language; rows are never merged; with no training rows every document is
+Cases: a text that is null or holds no letter (numerals such as ½ are none) is ``und`` with score 0;
+other letters than the profiles' score low but name the nearest language; training texts without letters
+teach nothing, so a label with no others is not learned; rows are never merged; with no training rows every document is
 ``und``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
+import sys
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landweave.storage import discard, materialize
-
 TOP, LONGEST = 400, 3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Code points have 21 bits, so three of them make one 63-bit key; the top bits of a key hold no length, as no code point is 0 here.
 _BITS = 21
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
 def _codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text; whatever is no letter becomes one space."""
-    words = re.sub(r"[\W\d_]+", " ", text.lower())
-    return np.frombuffer(f" {words} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    """Code points of the lower-cased text between spaces; each run of what is no letter becomes one space."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    letter = _letters()[c]
+    c = np.where(letter, c, 32)
+    return c[letter | np.r_[True, letter[:-1]]]
 
 
 def profile(text: str, top: int = TOP) -> np.ndarray:
@@ -60,18 +68,18 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, top: int = TOP) -> dict[str, np.ndarray]:
-    """Profile of each language from about ``per_language`` rows, chosen by id hash."""
+def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, languages: int = 1000, top: int = TOP) -> dict[str, np.ndarray]:
+    """Profile of each language from about ``per_language`` rows, chosen by id hash; of more than ``languages`` labels, the most frequent ones."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.where(where) if where is not None else rows
-    # The number of languages is small whatever the input; so is what comes back below.
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()}
     if not sizes:
         return {}
-    names, span = sorted(sizes), 1 << 31
-    cut = F.create_map(*[F.lit(x) for n in names for x in (n, min(span, per_language * span // sizes[n]))])
-    sample = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(span)) < cut[F.col(lang_col)])
-    sample = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    span = 1 << 31
+    cuts = docs.sparkSession.createDataFrame([(k, min(span, per_language * span // n)) for k, n in sizes.items()], "lang string, cut long")
+    some = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(span)).alias("at"))
+    # At most ``languages`` rows.
+    sample = some.join(F.broadcast(cuts), "lang").where("at < cut").select("lang", "text")
 
     def count(batches):
         for b in batches:
@@ -86,13 +94,12 @@ def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", te
                 keys, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], names=["lang", "g", "n"])
 
-    counted = materialize(sample.mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")))
-    out = {}
-    for n in names:
-        best = counted.where(F.col("lang") == n).orderBy(F.desc("n"), "g").limit(top).collect()
-        out[n] = np.array([r.g for r in best], np.int64)
-    discard(counted)
-    return out
+    counted = sample.mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).where(F.col("rank") <= top)
+    out: dict[str, list[int]] = {}
+    for r in sorted(best.collect(), key=lambda r: (r.lang, r.rank)):
+        out.setdefault(r.lang, []).append(r.g)
+    return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
 def _predictor(profiles: dict[str, np.ndarray], top: int):
@@ -103,9 +110,9 @@ def _predictor(profiles: dict[str, np.ndarray], top: int):
         ranks[i, np.searchsorted(grams, profiles[n])] = np.arange(len(profiles[n]))
 
     def predict(text: str | None) -> tuple[str, float]:
-        if not text or not names or not _LETTER.search(text):
+        p = profile(text or "", top)
+        if not len(p) or not names:
             return UNKNOWN, 0.0
-        p = profile(text, top)
         at = np.searchsorted(grams, p)
         at[(at == len(grams)) | (grams[np.minimum(at, len(grams) - 1)] != p)] = len(grams)
         r = ranks[:, at]

@@ -1,6 +1,6 @@
 """Packing by non-negative least squares over length combinations.
 
-Texts become token ids with an end id. Whole windows are cut off a document's front; what is left is
+Texts become token ids by a public vocabulary file, with an end id. Whole windows are cut off a document's front; what is left is
 its tail, shorter than a window. Combinations of two to four tail lengths that fill a window exactly
 are enumerated, and non-negative least squares finds how often to repeat each so that together they
 use up the histogram of tail lengths. The repeats are rounded down to what the histogram holds. The
@@ -11,80 +11,141 @@ The histogram has one row per length, and the plan a few rows per combination: b
 window, whatever the input, and only they reach the driver. Tails are numbered within their length by
 salted counts, so that a length shared by a third of the documents is no single task's work.
 
-Cases: a null or empty text is the end id alone; rows are packed one by one, so repeated ids give
+Cases: a null or empty text is the end id alone; the vocabulary's reserved strings inside a text become
+their own ids, as its file says, unless ``reserved`` is false; rows are packed one by one, so repeated ids give
 repeated pieces; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from base64 import b64decode
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from landweave.llm import textkit
 from landweave.storage import materialize, partitions
 
 END = 1
-
-
-class _Cache(dict):
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self[unit] = np.array(self.encode(unit), np.uint16).tobytes()
-        return ids
+#: White space outside ASCII; texts that hold it are encoded whole.
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 class Encoder:
-    """Byte-pair ids of whole texts, word by word through a bounded cache.
+    """Token ids of many texts at once, by a byte-level vocabulary file whose words begin at white space.
 
-    Between a space or newline and its neighbours the vocabulary's pattern always splits, unless white
-    space is doubled or of another kind, so texts without such places are the sum of their words.
+    Such a vocabulary never joins what is on both sides of these places: before a space that a word
+    follows, on both sides of any other white space before a word, and before the rest of a run of white
+    space. Texts are cut there into units; equal units of a chunk are encoded once and kept for the next.
+    Texts with white space outside ASCII or with reserved strings are one unit.
     """
 
-    def __init__(self, ranks: str, pattern: str, most: int = 300_000):
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.whole = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.cache, self.most = _Cache(self.whole), most
-
-    def __call__(self, text: str) -> np.ndarray:
-        odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text
-        if odd or "".join(text.split()) != text.replace(" ", "").replace("\n", ""):
-            return np.array(self.whole(text), np.uint16)
+    def __init__(self, vocabulary: str, reserved: bool = True, most: int = 500_000, longest: int = 64):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.encode_special_tokens = not reserved
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids have 16 bits")
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if reserved else []
+        self.whole = re.compile("|".join([_WIDE_SPACE.pattern, *map(re.escape, strings)]))
+        # Without the first bytes of white space outside ASCII.
+        self.word = re.compile(rb" ?[^\s<\xc2\xe1-\xe3]+")
+        self.line = self._ids(b"\n")
+        self.cache: dict[bytes, bytes] = {}
+        self.most, self.longest = most, longest
+
+    def _units(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Starts of the units of a run of texts."""
+        n = len(buf)
+        space = _SPACE[buf]
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        first[off[:-1][off[:-1] < n]] = True
+        last[off[1:][off[1:] > 0] - 1] = True
+        before = np.r_[True, space[:-1]] | first
+        after = np.r_[space[1:], True] | last
+        # A run of white space begins a unit; its last character does too if a word follows; a word does
+        # unless that character is a space.
+        cut = first | (space & (~np.r_[False, space[:-1]] | ~after)) | (~space & before & (np.r_[0, buf[:-1]] != 32))
+        data = buf.tobytes()
+        if (n and buf.max() > 127) or b"<" in data:
+            for lo, hi in zip(off[:-1], off[1:]):
+                if hi - lo > 1 and self.whole.search(data[lo:hi].decode("utf-8", "replace")):
+                    cut[lo + 1 : hi] = False
+        return np.flatnonzero(cut)
+
+    def _encoded(self, units: list[bytes]) -> list[bytes]:
         if len(self.cache) > self.most:
             self.cache.clear()
-        units = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, units)), np.uint16)
-
-
-def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
-
-
-def tokenize(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        new = [u for u in units if u not in self.cache]
+        made = {}
+        # Words are encoded many at a time, with line ends between them, which no word's ids hold.
+        words = [u for u in new if len(u) <= self.longest and self.word.fullmatch(u)]
+        for lo in range(0, len(words), 4096):
+            part = words[lo : lo + 4096]
+            ids = np.array(self._ids(b"\n".join(part)), "<u2")
+            line = self.line[0]
+            ends = np.append(np.flatnonzero(ids == line), len(ids))
+            raw, at = ids.tobytes(), 0
+            for u, end in zip(part, ends.tolist()):
+                made[u] = raw[2 * at : 2 * end]
+                at = end + 1
+        self.cache.update(made)
+        for u in new:
+            if u not in made:
+                made[u] = np.array(self._ids(u), "<u2").tobytes()
+        return [made[u] if u in made else self.cache[u] for u in units]
+
+    def _ids(self, text: bytes) -> list[int]:
+        # The fast form keeps no offsets.
+        return self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+
+    def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a run of texts, an end id after each, and where each text's ids end."""
+        at = self._units(buf, off)
+        bounds = np.r_[at, len(buf)].astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf))])
+        coded = pc.dictionary_encode(units)
+        known = [*self._encoded(coded.dictionary.to_pylist()), np.array([END], "<u2").tobytes()]
+        size = np.array([len(x) // 2 for x in known], np.int64)
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u2")
+        # The end id is one more unit behind those of each text.
+        ends = np.searchsorted(at, off[1:])
+        which = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(known) - 1)
+        lengths = size[which]
+        total = np.cumsum(lengths)
+        ids = flat[np.repeat(start[which] - (total - lengths), lengths) + np.arange(int(total[-1]) if len(total) else 0)]
+        return ids, total[ends + np.arange(len(ends))]
+
+
+def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", reserved: bool = True) -> DataFrame:
     """One row per document: ``doc_id``, ``n`` ids with the end id, and ``ids`` as little-endian 16-bit numbers."""
 
     def run(batches):
-        encode = Encoder(ranks, pattern)
+        encode = Encoder(vocabulary, reserved)
         for b in batches:
-            n, every = [], []
-            for t in b.column(1):
-                ids = np.append(encode(t.as_py() or ""), np.uint16(END))
-                n.append(len(ids))
-                every.append(ids.astype("<u2").tobytes())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(every, pa.binary())], names=["doc_id", "n", "ids"])
+            for lo, buf, off in textkit.chunks(b.column(1)):
+                ids, ends = encode(buf, off)
+                where = np.r_[0, 2 * ends].astype(np.int32)
+                blob = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.record_batch([b.column(0).slice(lo, len(ends)), pa.array(np.diff(np.r_[0, ends])), blob], names=["doc_id", "n", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n long, ids binary")
 
 
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
 def combinations(window: int, histogram: np.ndarray, step: int = 32) -> np.ndarray:
     """Rows of up to four lengths (0 for none) that fill the window: all pairs, and triples and quadruples of
     which one, or two, lengths are multiples of ``step``; only lengths that occur."""
@@ -152,10 +213,10 @@ def _ranges(combos: list[tuple[int, ...]]) -> list[tuple[int, int, int, int, int
     return out
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", reserved: bool = True) -> DataFrame:
     """Pieces: ``doc_id``, ``start``, ``length``, ``ids`` (little-endian 16-bit), ``doc_tokens``, ``sequence_id``, ``offset``."""
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, ranks, pattern, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    tokens = materialize(tokenize(docs, vocabulary, id_col, text_col, reserved).withColumn("row", F.monotonically_increasing_id()))
     length = (F.col("n") % window).cast("int")
     salts = 4 * partitions(spark)
     tails = tokens.where(length > 0).select("row", "doc_id", "n", length.alias("length"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
@@ -188,7 +249,9 @@ def pack(docs: DataFrame, ranks: str, pattern: str, window: int = 2048, id_col:
     # A few rows for each of at most ``window`` lengths.
     placed = ranked.join(F.broadcast(spark.createDataFrame(slots, shape)), "length").where("rank >= lo and rank < hi")
     placed = placed.select("row", "sequence", (F.col("at") + F.when(F.col("sequence") < 0, (F.col("rank") - F.col("lo")) * F.col("length")).otherwise(0)).alias("at"), (F.col("rank") - F.col("lo")).alias("step"))
-    joined = tokens.join(placed, "row", "left").join(whole, "row", "left").select("doc_id", "n", "ids", "sequence", "at", "step", "first")
+    # The ids move once: where a row's parts go is put together first.
+    places = placed.join(whole, "row", "full_outer")
+    joined = tokens.join(places, "row", "left").select("doc_id", "n", "ids", "sequence", "at", "step", "first")
     before, last = sum(windows), total // window * window
 
     def run(batches):
@@ -248,4 +311,4 @@ def _last(lo: int, last: int, total: int, first_sequence: int) -> tuple[int, int
 def digest(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return checksums(pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return checksums(pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")))

@@ -1,22 +1,32 @@
 """Secret scan: fixed patterns plus a randomness test battery. Native DataFrame operations only.
 
 Pattern kinds (leftmost, non-overlapping): ``assign``, ``access`` and ``hex``. The battery adds kind
-``random``: maximal runs of at least 20 encoding characters that overlap no pattern span. Each run's
-encoding is inferred (hex, base32, lower-case base36, base64; plain digits are no secrets), then:
+``random``: runs of at least 20 encoding characters in what the pattern spans leave of a text. Each
+run's encoding is inferred (hex, base32, lower-case base36, base64; plain digits are no secrets). Its
+statistics are counts of characters and of neighbours, so a run of megabytes costs no arrays:
 
-* chi-squared: the statistic is a function of the coincidences ``C = sum c(c-1)/2`` over the
-  alphabet. Its p-value is the chance of so few coincidences if the text used only half of its
-  alphabet evenly, which any ordinary wording exceeds; it shrinks with length.
-* a runs test about the middle of the alphabet and a lag-one serial correlation test, both two-sided:
-  a run that either rejects as random at ``reject`` is no candidate for a discovery.
+* chi-squared of the alphabet's counts, by the coincidences ``C = sum c(c-1)/2`` that it rises with;
+* runs: how often the character class (upper, lower, digit, sign) changes;
+* serial correlation at lag one of the alphabet's quarters.
+
+Each of them must be in keeping with even random text (two-sided for runs and serial, upper tail for
+chi-squared, none under ``reject``), which ordinary wording and counting-up strings fail. The evidence
+against ordinary wording is combined from two of them by Fisher's method: the chance of so few
+coincidences among letters as uneven as ``WORDING`` says (normal tail with the exact moments), and the
+chance of so many changes of class at its rate (Chernoff's bound on the binomial tail, which holds for
+every length).
 
 Benjamini-Hochberg control at ``fdr`` runs within each (encoding, length class), so that many short
 runs cannot hide or excuse long ones. It works on counts by tenths of -log10 p, a table whose size is
 bounded by encodings x classes x bins; the bin's upper edge stands for its members, which errs to the
 careful side.
 
+Positions are running sums of the lengths of matches and of what lies between, in three levels of
+blocks, so the work grows in proportion to a text's matches.
+
 Cases: a null or empty text has no spans; rows are never merged, so repeated ids give repeated rows;
-an empty table gives an empty result. Offsets are code points from 0, ends exclusive.
+an empty table gives an empty result; other columns are ignored. Offsets are code points from 0, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -38,35 +48,78 @@ B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Alphabets by encoding, in the encoding's own order.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": B64}
 
+#: What ordinary wording and identifiers are taken to be, by encoding: sums of the squares and of the cubes of letter frequencies, and the rate at which the character class changes.
+WORDING = {"hex": (0.125, 0.0157, 0.1), "base32": (0.065, 0.0054, 0.05), "base36": (0.065, 0.0054, 0.05), "base64": (0.05, 0.0035, 0.2)}
+
 SPAN = "array<struct<s:int,e:int,t:string>>"
+BLOCK = 32
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(values: Column, levels: int = 2) -> Column:
+    """Sums of the values up to each place, itself included. A level adds the sums of blocks of ``BLOCK`` values."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x)
+
+    def sums(a: Column) -> Column:
+        if levels == 0:
+            return F.transform(a, lambda x, i: total(F.slice(a, 1, i + 1)))
+        blocks = F.transform(F.sequence(F.lit(0), (F.size(a) - 1).bitwiseAND(-BLOCK), F.lit(BLOCK)), lambda at: total(F.slice(a, at + 1, BLOCK)))
+        inside = lambda i: total(F.slice(a, i - i % BLOCK + 1, i % BLOCK + 1))
+        return _let(running_sums(blocks, levels - 1), lambda tops: F.transform(a, lambda x, i: F.coalesce(F.get(tops, F.floor(i / BLOCK).cast("int") - 1), F.lit(0)) + inside(i)))
+
+    return _let(values, lambda a: F.when(F.size(a) > 0, sums(a)).otherwise(F.array().cast("array<int>")))
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """Arrays ``m`` of matches and ``g`` of what lies between."""
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
 
 
 def _spans(text: Column, pattern: str, keep) -> Column:
-    """Spans of the matches that ``keep`` accepts, from the lengths of matches and of what lies between."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """Spans of the matches that ``keep`` accepts."""
+
+    def spans(parts: Column) -> Column:
+        # The ends of what precedes each match, and of the match: two sums a match.
+        step = F.zip_with(parts["m"], F.slice(parts["g"], 1, F.size(parts["m"])), lambda m, g: F.char_length(g) + F.char_length(m))
+        ends = running_sums(step)
+        made = F.zip_with(parts["m"], ends, lambda m, e: F.struct((e - F.char_length(m)).alias("s"), e.alias("e"), m.alias("t")))
+        return F.filter(made, lambda x: keep(x["t"]))
+
+    return F.when(text.rlike(pattern), _let(_parts(text, pattern), spans)).otherwise(F.array().cast(SPAN))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.char_length(x["m"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t")))
-        return F.struct(e.alias("at"), F.when(keep(x["m"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+def _blanked(text: Column, pattern: str, keep) -> Column:
+    """``text`` with line ends in place of the characters of kept matches."""
+
+    def blank(parts: Column) -> Column:
+        hidden = F.transform(parts["m"], lambda m: F.when(keep(m), F.repeat(F.lit("\n"), F.char_length(m))).otherwise(m))
+        return F.array_join(F.zip_with(parts["g"], hidden, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+    return F.when(text.rlike(pattern), _let(_parts(text, pattern), blank)).otherwise(text)
+
+
+#: Pattern and test of each base kind, in the order of ``KINDS``.
+BASE = {
+    "assign": (ASSIGN, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= 6),
+    "access": (ACCESS, lambda m: F.char_length(m) >= 20),
+    "hex": (HEX, lambda m: F.lit(True)),
+}
 
 
 def pattern_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and span arrays ``assign``, ``access``, ``hex`` and ``runs`` of every row."""
+    """``doc_id`` and span arrays ``assign``, ``access``, ``hex``, and ``runs`` of what those leave, of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        _spans(text, ASSIGN, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= 6).alias("assign"),
-        _spans(text, ACCESS, lambda m: F.char_length(m) >= 20).alias("access"),
-        _spans(text, HEX, lambda m: F.lit(True)).alias("hex"),
-        _spans(text, RUN, lambda m: F.lit(True)).alias("runs"),
-    )
+    docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    left = F.col("text")
+    for pattern, keep in BASE.values():
+        left = _blanked(left, pattern, keep)
+    # Texts without a long run need no blanking.
+    runs = F.when(F.col("text").rlike(RUN), _let(left, lambda rest: _spans(rest, RUN, lambda m: F.lit(True)))).otherwise(F.array().cast(SPAN))
+    return docs.select("doc_id", *[_spans(F.col("text"), *of).alias(k) for k, of in BASE.items()], runs.alias("runs"))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -82,8 +135,26 @@ def _two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z)))
 
 
+def _classes(alphabet: str) -> tuple[float, float]:
+    """Sums of the squares and of the cubes of the shares of the character classes in an alphabet."""
+    counts = [sum(map(test, alphabet)) for test in (str.isupper, str.islower, str.isdigit)]
+    shares = [c / len(alphabet) for c in (*counts, len(alphabet) - sum(counts))]
+    return sum(x**2 for x in shares), sum(x**3 for x in shares)
+
+
+def _by_encoding(value) -> Column:
+    return F.create_map(*[x for k in ALPHABETS for x in (F.lit(k), F.lit(value(k)))])[F.col("encoding")]
+
+
+def _level(encoding: str) -> Column:
+    """The run with each character's quarter of the alphabet in its place."""
+    abc = ALPHABETS[encoding]
+    return F.translate("__t", abc, "".join(str(4 * i // len(abc)) for i in range(len(abc))))
+
+
 def battery(runs: DataFrame, token: str = "t") -> DataFrame:
-    """``runs`` with ``encoding``, ``n`` and the p-values ``p_chi``, ``p_runs``, ``p_serial``; plain digits go."""
+    """``runs`` with ``encoding``, ``n``, the statistics, their p-values for even random text (``p_chi``, ``p_runs``,
+    ``p_serial``), and ``p_even`` and ``p_change`` for ordinary wording, with ``p_wording`` from both; plain digits go."""
     raw = F.regexp_replace(F.col(token), "=+$", "")
     kind = (
         F.when(raw.rlike("^[0-9]*$"), F.lit(None))
@@ -92,40 +163,53 @@ def battery(runs: DataFrame, token: str = "t") -> DataFrame:
         .when(raw.rlike("^[0-9a-z]+$"), "base36")
         .otherwise("base64")
     )
-    df = runs.withColumn("encoding", kind).where(F.col("encoding").isNotNull())
-    df = df.withColumn("__t", F.when(F.col("encoding") == "hex", F.lower(raw)).otherwise(F.translate(raw, "-_=", "+/")))
-    df = df.withColumn("n", F.char_length("__t"))
-    alphabet = F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(v))])[F.col("encoding")]
-    df = df.withColumn("__abc", alphabet).withColumn("__a", F.char_length("__abc").cast("double"))
-    df = df.withColumn("__v", F.transform(F.slice(F.split("__t", ""), 1, F.col("n")), lambda c: F.call_function("instr", F.col("__abc"), c).cast("double")))
-    counts = F.transform(F.slice(F.split("__abc", ""), 1, F.col("__a").cast("int")), lambda c: (F.col("n") - F.char_length(F.replace(F.col("__t"), c, F.lit("")))).cast("double"))
-    df = df.withColumn("coincidences", F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * (c - 1) / 2))
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-    high = F.transform("__v", lambda v: F.when(v > F.col("__a") / 2, 1.0).otherwise(0.0))
-    df = df.withColumn("__u", high).withColumn("__n1", total(F.col("__u")))
-    later, earlier = lambda c: F.slice(c, 2, F.col("n")), lambda c: F.slice(c, 1, F.col("n") - 1)
-    df = df.withColumn("__runs", 1 + total(F.zip_with(later(F.col("__u")), earlier(F.col("__u")), lambda x, y: F.abs(x - y))))
-    df = df.withColumn("__mean", total(F.col("__v")) / F.col("n"))
-    df = df.withColumn("__var", total(F.transform("__v", lambda v: (v - F.col("__mean")) * (v - F.col("__mean")))))
-    df = df.withColumn("__cov", total(F.zip_with(later(F.col("__v")), earlier(F.col("__v")), lambda x, y: (x - F.col("__mean")) * (y - F.col("__mean")))))
-    n, n1 = F.col("n").cast("double"), F.col("__n1")
-    pairs, half = n * (n - 1) / 2, F.lit(2.0) / F.col("__a")
-    z_chi = (F.col("coincidences") - pairs * half) / F.sqrt(pairs * half * (1 - half))
-    mean = 1 + 2 * n1 * (n - n1) / n
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    return df.withColumns(
-        {
-            "chi_squared": F.col("__a") / n * (2 * F.col("coincidences") + n) - n,
-            "p_chi": F.when(z_chi < 0, _upper_tail(-z_chi)).otherwise(1.0),
-            "p_runs": F.when(var > 0, _two_sided((F.col("__runs") - mean) / F.sqrt(var))).otherwise(0.0),
-            "p_serial": F.when(F.col("__var") > 0, _two_sided(F.col("__cov") / F.col("__var") * F.sqrt(n))).otherwise(0.0),
-        }
-    ).drop("__t", "__abc", "__a", "__v", "__u", "__n1", "__runs", "__mean", "__var", "__cov")
+    df = runs.withColumn("encoding", kind).where("encoding is not null")
+    df = df.withColumn("__t", F.when(F.col("encoding") == "hex", F.lower(raw)).otherwise(F.translate(raw, "-_=", "+/+")))
+    n, size = F.col("n").cast("double"), _by_encoding(lambda k: float(len(ALPHABETS[k])))
+    df = df.withColumns({"n": F.char_length("__t"), "__abc": _by_encoding(lambda k: ALPHABETS[k])})
+    # Characters outside the alphabet do not occur, so taking one out counts it.
+    counts = F.transform(F.split("__abc", ""), lambda c: F.when(c == "", 0.0).otherwise(F.col("n") - F.char_length(F.replace(F.col("__t"), c, F.lit("")))).cast("double"))
+    level = F.coalesce(*[F.when(F.col("encoding") == k, _level(k)) for k in ALPHABETS])
+    df = df.withColumns({"coincidences": F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * (c - 1) / 2), "__l": level})
+    df = df.withColumn("changes", F.regexp_count("__t", F.lit("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+")) - 1)
+    of = [F.col("n") - F.char_length(F.replace(F.col("__l"), F.lit(str(k)), F.lit(""))) for k in range(4)]
+    ends = [F.substring("__l", i, 1).cast("double") for i in (1, -1)]
+    total, squares = (sum((of[k] * k**e for k in range(1, 4)), F.lit(0.0)) for e in (1, 2))
+    products = sum((F.regexp_count("__l", F.lit(f"{a}(?={b})")) * (a * b) for a in range(1, 4) for b in range(1, 4)), F.lit(0.0))
+    df = df.withColumns({"__s": total, "__ss": squares, "__p": products, "__first": ends[0], "__last": ends[1]})
+    mean = F.col("__s") / n
+    cov = F.col("__p") - mean * (2 * F.col("__s") - F.col("__first") - F.col("__last")) + (n - 1) * mean * mean
+    var = F.col("__ss") - n * mean * mean
+    pairs, m = n * (n - 1) / 2, n - 1
+    s2, s3 = _by_encoding(lambda k: WORDING[k][0]), _by_encoding(lambda k: WORDING[k][1])
+    z_low = (pairs * s2 - F.col("coincidences")) / F.sqrt(pairs * (s2 - s2 * s2 + 2 * (n - 2) * (s3 - s2 * s2)))
+    z_high = (F.col("coincidences") - pairs / size) / F.sqrt(pairs / size * (1 - 1 / size))
+    c2, c3 = _by_encoding(lambda k: _classes(ALPHABETS[k])[0]), _by_encoding(lambda k: _classes(ALPHABETS[k])[1])
+    z_runs = (F.col("changes") - m * (1 - c2)) / F.sqrt(m * (1 - c2) * c2 + 2 * (m - 1) * (c3 - c2 * c2))
+    x, r = F.least(F.col("changes") / m, F.lit(1.0)), _by_encoding(lambda k: WORDING[k][2])
+    far = x * F.log(x / r) + F.when(x < 1, (1 - x) * F.log((1 - x) / (1 - r))).otherwise(0.0)
+    fisher = F.col("p_even") * F.col("p_change")
+    return (
+        df.withColumns(
+            {
+                "chi_squared": size / n * (2 * F.col("coincidences") + n) - n,
+                "serial": F.when(var > 0, cov / var).otherwise(1.0),
+                "p_chi": F.when(z_high > 0, _upper_tail(z_high)).otherwise(1.0),
+                "p_runs": _two_sided(z_runs),
+                "p_even": F.when(z_low > 0, _upper_tail(z_low)).otherwise(1.0),
+                "p_change": F.when(x > r, F.exp(-m * far)).otherwise(1.0),
+            }
+        )
+        # Neighbours of a random string correlate by -1/n.
+        .withColumns({"p_serial": _two_sided((F.col("serial") + 1 / n) * F.sqrt(n)), "p_wording": F.when(fisher > 0, fisher * (1 - F.log(fisher))).otherwise(0.0)})
+        .drop("__t", "__abc", "__l", "__s", "__ss", "__p", "__first", "__last")
+    )
 
 
 def discoveries(tested: DataFrame, fdr: float = 0.01, reject: float = 0.001) -> DataFrame:
     """Rows of :func:`battery` that stand as random under the false-discovery rate, by (encoding, length class)."""
-    p = F.when((F.col("p_runs") >= reject) & (F.col("p_serial") >= reject), F.col("p_chi")).otherwise(1.0)
+    even = (F.col("p_chi") >= reject) & (F.col("p_runs") >= reject) & (F.col("p_serial") >= reject)
+    p = F.when(even, F.col("p_wording")).otherwise(1.0)
     tested = tested.withColumns({"p": p, "length_class": F.floor(F.log2("n")).cast("int"), "bin": F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-40))) * 10), F.lit(400)).cast("int")})
     counts = tested.groupBy("encoding", "length_class", "bin").agg(F.count(F.lit(1)).alias("k"))
     of = Window.partitionBy("encoding", "length_class")
@@ -137,15 +221,14 @@ def discoveries(tested: DataFrame, fdr: float = 0.01, reject: float = 0.001) ->
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01, reject: float = 0.001) -> DataFrame:
-    """``doc_id`` and one array of (s, e, kind number) with all spans by start, for every row of ``docs``."""
+    """``doc_id`` and one array of (s, k, e), k the kind's number, with all spans by start, for every row of ``docs``."""
     found = materialize(pattern_spans(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     number = lambda name, k: F.transform(name, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
-    base = F.concat(number("assign", 0), number("access", 1), number("hex", 2))
+    base = F.concat(*[number(name, k) for k, name in enumerate(BASE)])
     found = found.select("row", "doc_id", "runs", F.array_sort(base).alias("base"))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
-    tested = battery(found.where(F.size("runs") > 0).select("row", F.inline(free)))
+    tested = battery(found.where(F.size("runs") > 0).select("row", F.inline("runs")))
     new = discoveries(tested, fdr, reject).groupBy("row").agg(F.collect_list(F.struct(F.col("s"), F.lit(3).alias("k"), F.col("e"))).alias("new"))
-    joined = found.join(new, "row", "left")
+    joined = found.select("row", "doc_id", "base").join(new, "row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
     return joined.select("doc_id", "base", every.alias("spans"))
 

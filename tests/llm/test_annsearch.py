@@ -28,7 +28,7 @@ def recall(got, want):
 
 
 def test_recall_on_the_whole_table(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = exact([(r.vec_id, r.embedding) for r in df.collect()])
     got = results(annsearch.digest(df).collect())
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
@@ -37,6 +37,19 @@ def test_recall_on_the_whole_table(spark):
     assert all(abs(s - (x[q] * x[i]).sum()) < 1e-12 for q in list(got)[:50] for i, s in got[q])
 
 
+def test_recall_and_rows_verified_over_blocks(spark):
+    """Uniform directions, the hardest case, in two blocks and with a share of rows verified."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((12000, 32)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.sqrt((x * x).sum(1))[:, None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = annsearch.search(df, F.col("vec_id") % 20 == 0, block=8192).collect()
+    got, want = results(found), exact([(r.vec_id, r.embedding) for r in df.collect()])
+    assert set(got) == set(want) and recall(got, want) >= 0.95
+    verified = [r.verified for r in found if r.rank == 1]
+    assert max(verified) <= 0.1 * len(rows) and sum(verified) / len(verified) <= 0.05 * len(rows)
+
+
 def test_cases(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)] + [(1000 + i, [1.0] * 8) for i in range(60)]

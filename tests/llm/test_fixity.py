@@ -39,8 +39,9 @@ def test_random_replicas(spark):
 
 def test_page_layout_cases(spark):
     pages = spark.createDataFrame([(13, None, None, 1), (13, None, None, 1), (None, "u", "h", 2), (7, "é", "z" * 200000, 3), (600, "u", "", 4)], "page_id long, url string, html string, file int")
-    rows = fixity.records(pages).collect()
+    rows = fixity.records(pages, per_file=2).collect()
     assert len(rows) == 4
+    assert [(r.file, r.page_id) for r in sorted(rows, key=lambda r: (r.file, r.offset))] == [(0, 7), (0, 13), (1, 13), (1, 600)]
     ends = {(r.file, r.offset + r.length) for r in rows} | {(0, 0), (1, 0)}
     assert all((r.file, r.offset) in ends for r in rows)
     assert {r.kind for r in fixity.digest(pages).collect()} == {"missing", "changed"}

@@ -1,5 +1,8 @@
+import random
 import zlib
 
+import numpy as np
+
 from landweave.llm import langid
 
 DATA = "/root/testdata/sf0.01/documents.parquet"
@@ -33,10 +36,29 @@ def test_profile_is_rank_order():
 
 def test_cases(spark):
     train = [(i, "the and of that with this from have", "en") for i in range(20)] + [(100 + i, "der die und das nicht mit ein ist", "de") for i in range(20)]
-    odd = [(200, None, "en"), (201, "", None), (202, "12 34 !!", "en"), (203, "das und nicht " * 20000, None), (204, "with this", "de"), (None, "with that", "en"), (204, "with this", "de")]
+    odd = [(200, None, "en"), (201, "", None), (202, "12 34 !!", "en"), (203, "das und nicht " * 20000, None), (204, "with this", "de"), (None, "with that", "en"), (204, "with this", "de"), (205, "½ ²  ①", "de")]
     docs = spark.createDataFrame([(*r, "x", 0.1) for r in train + odd], "doc_id long, text string, lang string, lang_pred string, score double")
     rows = langid.digest(docs).collect()
     got = {(r.doc_id): (r.lang_pred, r.held_out) for r in rows}
-    assert len(rows) == 47 and [got[i][0] for i in (200, 201, 202, 203, 204, None)] == ["und", "und", "und", "de", "en", "en"]
+    assert len(rows) == 48 and [got[i][0] for i in (200, 201, 202, 203, 204, None, 205)] == ["und", "und", "und", "de", "en", "en", "und"]
     assert got[None][1] is False
     assert langid.digest(docs.limit(0)).count() == 0
+
+
+def test_distance_and_score_are_the_plain_ones():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcde é½1") for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["漢字 abc", "zzzz"]
+    top = 30
+    profiles = {k: np.array(plain(" ".join(texts[i::3]), top), np.int64) for i, k in enumerate(("x", "y", "z"))}
+    predict = langid._predictor(profiles, top)
+    for text in texts:
+        mine = plain(text, top) if any(map(str.isalpha, text)) else []
+        far = {k: sum(abs(list(p).index(g) - i) if g in p else top for i, g in enumerate(mine)) for k, p in profiles.items()}
+        want = min(far, key=lambda k: (far[k], k)) if mine else "und"
+        assert predict(text) == (want, 1 - far[want] / (top * len(mine)) if mine else 0.0)
+
+
+def test_labels_are_bounded(spark):
+    rows = [(i, "the and of", "en") for i in range(9)] + [(100 + i, "der die", f"odd{i}") for i in range(50)] + [(200, "12", "digits")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.fit(docs, languages=3)) == {"en", "odd0"}

@@ -45,5 +45,19 @@ def test_cases(spark):
 def test_bitmaps_are_runs(spark):
     long = "the same forty letters and then some more of them"
     docs = spark.createDataFrame([(i, f"{long}\n{long}\nkept\n{long}\nkept") for i in range(5)], "doc_id long, text string")
-    runs = {r.doc_id: (r.n_dropped, r.keep_runs) for r in linededup.keep_bitmaps(docs).collect()}
-    assert runs == {i: (3, [0, 2, 1, 1]) for i in range(4)}
+    runs = {r.doc_id: (r.n_dropped, [tuple(x) for x in r.dropped]) for r in linededup.keep_bitmaps(docs).collect()}
+    assert runs == {i: (3, [(0, 2), (3, 1)]) for i in range(4)}
+
+
+def test_work_grows_in_proportion_to_the_lines_of_one_text(spark):
+    import time
+
+    def took(n):
+        text = "\n".join(f"a line that is longer than forty characters, {i}\nshort {i}" for i in range(n))
+        docs = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert {r.n_dropped for r in linededup.digest(docs).collect()} == {0, n}
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(80000) < 16 * max(took(10000), 1)

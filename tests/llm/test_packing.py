@@ -9,7 +9,6 @@ from landweave.llm import packing
 
 DATA = "/root/testdata/sf0.01/documents.parquet"
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -65,6 +64,27 @@ def test_cases(spark):
     assert packing.digest(docs.limit(0)).count() == 0
 
 
+def test_ids_are_the_vocabulary_files(spark):
+    import random
+
+    import pyarrow as pa
+
+    from landweave.llm import textkit
+
+    rng = random.Random(1)
+    atoms = ["a", "word", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "é", "漢字", "'s", "it's", "123", "!", "...", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "\0", "<|endoftext|>", "<|", "½", "🎈", "_", "\ufeff", "\u200b"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 14))) for _ in range(8000)] + ["x" * 20000, " " * 3000, "\n" * 3001 + "x", None]
+    for reserved in (True, False):
+        other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        other.encode_special_tokens = not reserved
+        encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), reserved, most=500)
+        got = []
+        for _, buf, off in textkit.chunks(pa.array(texts), 4096):
+            ids, ends = encode(buf, off)
+            got += [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == [other.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_plan_keeps_to_the_histogram():
     rng = np.random.default_rng(2)
     h = np.zeros(257, np.int64)
@@ -81,7 +101,7 @@ def test_plan_keeps_to_the_histogram():
 def test_pack_gives_the_sequences(spark):
     rows = [(1, "word " * 5000), (2, None), (3, "a few words"), (4, "other words here " * 900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     for d, t in rows:
         mine = sorted((p for p in pieces if p.doc_id == d), key=lambda p: p.start)
         assert np.concatenate([np.frombuffer(p.ids, "<u2") for p in mine]).tolist() == ids_of(t)
