@@ -6,19 +6,23 @@ fingerprints of the distinct shingles. A band is a random choice of bits with tw
 whose coordinates differ on every band are discarded. The number of bits in a band follows log2 of the
 number of fingerprints, and the number of bands is what finds a pair of just that similarity with
 probability ``recall`` (more alike pairs are found more surely). Survivors whose fingerprints estimate
-at least ``similarity - SLACK`` are candidates, and those are verified by their exact shingle sets.
+at least ``similarity - SLACK`` are candidates, and those are verified by their exact shingle sets. Bits
+of few shingles say less, so texts of under ``SHORT`` shingles get more bands and more slack.
 
-Equal fingerprints are one row before any of that. Within a key only the links of a spanning forest
-with the greatest estimates leave the task; a key with over ``MOST`` rows is taken in portions, and one
-row of each part found so far stands for it in the next, so its memory and work grow with its parts.
-Links are verified best first: two rounds with the best link of each class, then whatever still runs
-between two classes. Sets of documents in many links are not sent through one task.
+Equal fingerprints are one row before any of that. The search then has two parts:
 
-A link that a forest left out matters if a link of the forest failed. So fingerprints whose classes have
-such links go through the bands again, now with every pair that is still in two classes and has not
-failed: at first up to ``FIRST`` pairs of a row and key, then more, until no pair was held back.
-So do all rows of a key that was taken in portions, whatever became of their links: ``_linker`` links
-such a row to itself. Keys of over ``BLOCK`` rows are then compared as pairs of blocks, in tasks of their own.
+1. *Groups of copies.* In a few bands each row is held against the first rows of its key and takes one
+   link to a row that is alike beyond doubt (``SURE``). The work is ``LEADERS`` comparisons a row, however
+   many rows a key has. What these links join is one class for now.
+2. *All pairs of two classes.* In every band each row is compared with the rows of its key that are in
+   other classes, and gives at most ``FIRST`` links to the best of them; rows whose links were held back
+   are named. Keys of many rows are cut into blocks, and pairs of blocks are compared by tasks of their
+   own; where most rows of a key are of one class, only the others are copied to all blocks.
+
+All links of both parts are then verified, first the best of every class, then what still runs between
+two classes. Named rows, and classes of part 1 whose links failed, go through part 2 again with the
+classes and failed links known and a larger allowance, until nothing is held back. So within the bands
+no pair is lost to a group's size, and no class rests on a link below ``similarity``.
 
 Cases: texts without words are one class; with fewer words than a shingle, all words are one shingle;
 rows that repeat an id or text are kept; an empty table gives an empty result; other columns are ignored.
@@ -38,8 +42,10 @@ from landweave.operators.components import connected_components
 from landweave.operators.skew import join_counted
 from landweave.storage import discard, materialize, partitions
 
-BITS, PIVOTS, SLACK, MOST, SMALL, PASS = 512, 12, 0.12, 4096, 64, 16
-FIRST, BLOCK = 8, 1024
+BITS, PIVOTS, SLACK, SHORT, PASS = 512, 12, 0.12, 32, 16
+SURE, LEADERS, COPY_BANDS = 0.9, 64, 4
+#: Links a row and key at first; rows of a run that are compared offset by offset; rows of a block, and the most keys or classes that may be called large (their table is broadcast).
+FIRST, SMALL, BLOCK, LARGE = 8, 64, 1024, 100_000
 WORDS = BITS // 64
 _ADD = np.random.default_rng(512).integers(1, 2**63, WORDS, dtype=np.uint64)
 _LANES = np.uint64(0x0101010101010101)
@@ -122,9 +128,14 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, s array<long>")
 
 
-def _matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _raw(col: pa.Array) -> np.ndarray:
+    """Rows of bytes of a ``fp`` column."""
     col = col.cast(pa.binary(BITS // 8 + 4))
-    raw = np.frombuffer(col.buffers()[1], np.uint8).reshape(-1, BITS // 8 + 4)[col.offset : col.offset + len(col)]
+    return np.frombuffer(col.buffers()[1], np.uint8).reshape(-1, BITS // 8 + 4)[col.offset : col.offset + len(col)]
+
+
+def _parted(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and numbers of shingles."""
     return np.ascontiguousarray(raw[:, :-4]).view(np.uint64), np.ascontiguousarray(raw[:, -4:]).view("<u4")[:, 0].astype(np.float64)
 
 
@@ -135,14 +146,17 @@ def estimate(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np
     return common / np.maximum(na + nb - common, 1)
 
 
-def plan(count: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Bits in a band and number of bands."""
+def plan(count: int, similarity: float, recall: float) -> tuple[int, int, int]:
+    """Bits in a band, number of bands, and number of bands for short texts, whose bits differ a quarter more often."""
     width = max(12, math.ceil(math.log2(max(count, 2))) - 2)
-    same = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** width
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - same))
+    far = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bands = [math.ceil(math.log(1 - recall) / math.log(1 - (1 - x) ** width)) for x in (far, 1.25 * far)]
+    return width, *bands
 
 
-def _keys(bands: list[int], width: int):
+def _keys(bands: list[int], width: int, number: int):
+    """Each row once a band, under the key of its coordinates; only short texts from band ``number`` on."""
+
     def run(batches):
         refs = []
         for band in bands:
@@ -150,236 +164,190 @@ def _keys(bands: list[int], width: int):
             chosen = np.zeros(BITS, np.uint8)
             chosen[rng.choice(BITS, min(width, BITS), replace=False)] = 1
             mask = np.packbits(chosen, bitorder="little").view(np.uint64)
-            refs.append((mask, rng.integers(0, 2**64, (PIVOTS, WORDS), dtype=np.uint64) & mask, rng.integers(1, 2**63, PIVOTS + 1, dtype=np.uint64)))
+            refs.append((band, mask, rng.integers(0, 2**64, (PIVOTS, WORDS), dtype=np.uint64) & mask, rng.integers(1, 2**63, PIVOTS + 1, dtype=np.uint64)))
         for b in batches:
-            fp, _ = _matrix(b.column(1))
-            for mask, pivots, mult in refs:
-                inside, k = fp & mask, np.full(len(fp), mult[-1])
+            fp, n = _parted(_raw(b.column(1)))
+            for band, mask, pivots, mult in refs:
+                rows, some = fp, b
+                if band >= number:
+                    short = n < SHORT
+                    rows, some = fp[short], b.filter(pa.array(short))
+                inside, k = rows & mask, np.full(len(rows), mult[-1])
                 for p, m in zip(pivots, mult):
                     k = textkit._mix(k * m + np.bitwise_count(inside ^ p).sum(axis=1, dtype=np.uint64))
-                yield pa.record_batch([pa.array(k.view(np.int64)), *b.columns], names=["k", *b.schema.names])
+                yield pa.record_batch([pa.array(k.view(np.int64)), *some.columns], names=["k", *b.schema.names])
 
     return run
 
 
-class _Forest:
-    def __init__(self):
-        self.parent: dict[int, int] = {}
+def _near(fp: np.ndarray, n: np.ndarray, i, j, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of pairs, and which are enough: short texts are given more slack."""
+    e = estimate(fp[i], n[i], fp[j], n[j])
+    few = np.minimum(n[i], n[j])
+    return e, e >= least - np.where(few < SHORT, 1 / np.maximum(few, 1), 0)
 
-    def find(self, x: int) -> int:
-        while (p := self.parent.setdefault(x, x)) != x:
-            self.parent[x] = x = self.parent[p]
-        return x
 
-    def join(self, x: int, y: int) -> bool:
-        rx, ry = self.find(x), self.find(y)
-        self.parent[max(rx, ry)] = min(rx, ry)
-        return rx != ry
+def _runs(batches):
+    """Columns of complete runs of equal keys, as arrays, and the bounds of the runs of at least two rows."""
+    rest = None
+    for b in batches:
+        if not len(b):
+            continue
+        new = tuple(_raw(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns)
+        now = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new))
+        edge = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
+        if len(edge) > 1:
+            yield tuple(x[: edge[-1]] for x in now), edge
+        rest = tuple(x[edge[-1] :] for x in now)
+    if rest is not None and len(rest[0]):
+        yield rest, np.array([0, len(rest[0])])
 
 
-def _small(k: np.ndarray, fp: np.ndarray, n: np.ndarray, least: float):
-    """Greatest spanning forests of runs of equal keys, by growing offset."""
-    left, right, est = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
-    alive, step = np.arange(len(k) - 1), 1
+def _small_pairs(k: np.ndarray):
+    """(i, j) of all pairs of rows in runs of equal keys, offset by offset and some ten thousand at a time."""
+    alive, step = np.arange(max(len(k) - 1, 0)), 1
     while len(alive):
         alive = alive[alive + step < len(k)]
         alive = alive[k[alive] == k[alive + step]]
         for part in np.array_split(alive, max(1, len(alive) // 65536)):
-            e = estimate(fp[part], n[part], fp[part + step], n[part + step])
-            near = e >= least
-            left.append(part[near])
-            right.append(part[near] + step)
-            est.append(e[near])
+            yield part, part + step
         step += 1
-    a, b, e = np.concatenate(left), np.concatenate(right), np.concatenate(est)
-    order, forest = np.argsort(-e, kind="stable"), _Forest()
-    keep = [i for i in order.tolist() if forest.join(int(a[i]), int(b[i]))]
-    return a[keep], b[keep], e[keep]
-
-
-def _large(fp: np.ndarray, n: np.ndarray, least: float):
-    """Greatest spanning forest of one run, row by row; also the first row of each part."""
-    m = len(fp)
-    best, by, rest = np.full(m, -1.0), np.zeros(m, int), np.arange(m)
-    a, b, e, roots = [], [], [], []
-    while len(rest):
-        i = int(np.argmax(best[rest]))
-        x = int(rest[i])
-        rest = np.delete(rest, i)
-        if best[x] >= least:
-            a.append(int(by[x]))
-            b.append(x)
-            e.append(float(best[x]))
-        else:
-            roots.append(x)
-        near = estimate(fp[x], n[x], fp[rest], n[rest])
-        more = near > best[rest]
-        best[rest[more]], by[rest[more]] = near[more], x
-    return np.array(a, int), np.array(b, int), np.array(e), np.array(roots, int)
-
-
-def _linker(least: float):
-    def out(node, a, b, e):
-        x, y = node[a], node[b]
-        return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(e.astype(np.float64))], names=["a", "b", "est"])
-
-    def whole(k, node, fp, n):
-        """Links of complete runs."""
-        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(np.append(edge, len(k)))
-        small = np.repeat(size <= SMALL, size)
-        yield out(node[small], *_small(k[small], fp[small], n[small], least))
-        for at, length in zip(edge[size > SMALL], size[size > SMALL]):
-            one = slice(at, at + length)
-            yield out(node[one], *_large(fp[one], n[one], least)[:3])
-
-    def marked(node):
-        every = np.arange(len(node))
-        return out(node, every, every, np.zeros(len(node)))
-
-    def run(batches):
-        rest, settled = None, 0
-        for b in batches:
-            new = (b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), *_matrix(b.column(2)))
-            now = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new))
-            if not len(now[0]):
-                continue
-            last = int(np.flatnonzero(now[0] == now[0][-1])[0])
-            if last:
-                yield from whole(*(x[:last] for x in now))
-                if settled:
-                    # What is left of a key that was taken in portions comes first.
-                    yield marked(now[1][: int(np.argmax(now[0] != now[0][0]))])
-                settled = 0
-            rest = tuple(x[last:] for x in now)
-            while len(rest[0]) - settled >= MOST:
-                part = tuple(x[: settled + MOST] for x in rest)
-                a, c, e, roots = _large(part[2], part[3], least)
-                yield out(part[1], a, c, e)
-                yield marked(part[1])
-                rest = tuple(np.concatenate([x[roots], y[settled + MOST :]]) for x, y in zip(part, rest))
-                settled = len(roots)
-        if rest is not None and len(rest[0]):
-            yield from whole(*rest)
-            if settled:
-                yield marked(rest[1])
-
-    return run
-
 
-def candidates(distinct: DataFrame, count: int, similarity: float, recall: float) -> DataFrame:
-    """Links ``a``, ``b``, ``est`` between ``node`` of ``distinct``, and of rows of portioned keys to themselves; a few bands at a time, to bound the disk."""
-    spark = distinct.sparkSession
-    width, number = plan(count, similarity, recall)
-    found = []
-    for lo in range(0, number, PASS):
-        bands = list(range(lo, min(lo + PASS, number)))
-        keyed = distinct.select("node", "fp").mapInArrow(_keys(bands, width), "k long, node long, fp binary")
-        dealt = keyed.repartition(partitions(spark), "k").sortWithinPartitions("k", F.xxhash64("k", "node"))
-        found.append(materialize(dealt.mapInArrow(_linker(similarity - SLACK), "a long, b long, est double")))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    out = materialize(every.groupBy("a", "b").agg(F.max("est").alias("est")))
-    for used in found:
-        discard(used)
-    return out
 
+def _links(node: np.ndarray, a, b, e) -> pa.RecordBatch:
+    x, y = node[a], node[b]
+    return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.asarray(e, np.float64))], names=["a", "b", "est"])
 
-def _runs(batches):
-    """Columns of each run of equal keys, as arrays, complete."""
-    rest = None
-    for b in batches:
-        new = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
-        now = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new))
-        if not len(now[0]):
-            continue
-        edge = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
-        for lo, hi in zip(edge[:-1], edge[1:]):
-            if hi - lo > 1:
-                yield tuple(x[lo:hi] for x in now)
-        rest = tuple(x[edge[-1] :] for x in now)
-    if rest is not None and len(rest[0]) > 1:
-        yield rest
 
-
-def _still_apart(least: float, most: int):
-    """Up to ``most`` links of each row to later ones of its run, but none inside a class, inside a side or failed; a row with more is linked to itself too."""
+def _copies(batches):
+    """One link from each row that is like another of its run beyond doubt."""
+    for (k, node, fp), edge in _runs(batches):
+        fp, n = _parted(fp)
+        size = np.diff(edge)
+        small = np.repeat(size <= SMALL, size)
+        a, b, est = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        rows = np.flatnonzero(small)
+        for i, j in _small_pairs(k[rows]):
+            i, j = rows[i], rows[j]
+            e = estimate(fp[i], n[i], fp[j], n[j])
+            a.append(i[e >= SURE])
+            b.append(j[e >= SURE])
+            est.append(e[e >= SURE])
+        for lo, length in zip(edge[:-1][size > SMALL], size[size > SMALL]):
+            rest = np.arange(lo, lo + length)
+            for _ in range(LEADERS):
+                if len(rest) < 2:
+                    break
+                first, rest = rest[0], rest[1:]
+                e = estimate(fp[first], n[first], fp[rest], n[rest])
+                a.append(np.full(int((e >= SURE).sum()), first))
+                b.append(rest[e >= SURE])
+                est.append(e[e >= SURE])
+                rest = rest[e < SURE]
+        a, b, est = np.concatenate(a), np.concatenate(b), np.concatenate(est)
+        o = np.lexsort((a, -est, b))
+        o = o[np.r_[True, b[o][1:] != b[o][:-1]]] if len(o) else o
+        yield _links(node, a[o], b[o], est[o])
+
+
+def copies(distinct: DataFrame, width: int) -> DataFrame:
+    """Links ``a``, ``b``, ``est`` of part 1, at most one for each ``b``."""
+    keyed = distinct.select("node", "fp").mapInArrow(_keys(list(range(COPY_BANDS)), width, COPY_BANDS), "k long, node long, fp binary")
+    dealt = keyed.repartition(partitions(distinct.sparkSession), "k").sortWithinPartitions("k", "node")
+    best = dealt.mapInArrow(_copies, "a long, b long, est double").groupBy("b").agg(F.max(F.struct("est", "a")).alias("one"))
+    return materialize(best.select(F.col("one.a").alias("a"), "b", F.col("one.est").alias("est")))
+
+
+def _apart(least: float, most: int):
+    """Up to ``most`` links of each row to later ones of its run in other classes, not inside a side and not failed; rows of which some were held back are linked to themselves."""
 
     def run(batches):
-        for _, node, fp, label, failed, side, inner in _runs(batches):
-            if (label == label[0]).all():
-                continue
-            fp, n = _matrix(pa.array(fp, pa.binary()))
-            a, b, est = [], [], []
-            for i in range(len(node) - 1):
-                j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (inner[i] | (side[i + 1 :] != side[i])))
-                if len(j) and len(failed[i]):
-                    j = j[~np.isin(node[j], failed[i])]
-                if not len(j):
-                    continue
-                e = estimate(fp[i], n[i], fp[j], n[j])
-                j, e = j[e >= least], e[e >= least]
-                if len(j) > most:
-                    best = np.argpartition(-e, most)[:most]
-                    j, e = np.append(j[best], i), np.append(e[best], 0.0)
-                a.append(np.full(len(j), node[i]))
-                b.append(node[j])
+        for (k, node, fp, label, failed, side, inner), edge in _runs(batches):
+            fp, n = _parted(fp)
+            side, inner = side.astype(np.int64), inner.astype(bool)
+            size = np.diff(edge)
+            a, b, est, named = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)], []
+
+            def meet(i, j, one=False):
+                some = (label[i] != label[j]) & (inner[i] | (side[i] != side[j]))
+                i, j = (np.broadcast_to(x, some.shape)[some] for x in (i, j))
+                e, enough = _near(fp, n, i, j, least)
+                i, j, e = i[enough], j[enough], e[enough]
+                known = np.fromiter((failed[x] is not None and node[y] in failed[x] for x, y in zip(i, j)), bool, len(i))
+                i, j, e = i[~known], j[~known], e[~known]
+                if one and len(i) > most:
+                    order = np.argsort(-e, kind="stable")
+                    named.append(np.r_[i[:1], j[order[most:]]])
+                    i, j, e = i[order[:most]], j[order[:most]], e[order[:most]]
+                a.append(i)
+                b.append(j)
                 est.append(e)
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(est))], names=["a", "b", "est"])
+
+            rows = np.flatnonzero(np.repeat(size <= SMALL, size))
+            for i, j in _small_pairs(k[rows]):
+                meet(rows[i], rows[j])
+            for lo, hi in zip(edge[:-1][size > SMALL], edge[1:][size > SMALL]):
+                if (label[lo:hi] != label[lo]).any():
+                    # Rows of the commonest class come last, so that they are not met by their own.
+                    values, back, times = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+                    order = lo + np.argsort(back == times.argmax(), kind="stable")
+                    for x in range(hi - lo - int(times.max())):
+                        meet(order[x : x + 1], order[x + 1 :], True)
+            i, j, e = np.concatenate(a), np.concatenate(b), np.concatenate(est)
+            o = np.lexsort((j, -e, i))
+            i, j, e = i[o], j[o], e[o]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            kept, back = rank < most, rank >= most
+            # A pair held back names both of its rows.
+            named = np.unique(np.concatenate([*named, i[back], j[back]]))
+            yield _links(node, np.r_[i[kept], named], np.r_[j[kept], named], np.r_[e[kept], np.zeros(len(named))])
 
     return run
 
 
-def candidates_apart(active: DataFrame, count: int, similarity: float, recall: float, most: int) -> DataFrame:
-    """Links between the rows of ``active`` (``node``, ``fp``, ``class``, ``failed``) in the bands of ``count`` rows."""
+def candidates(active: DataFrame, width: int, numbers: tuple[int, int], least: float, most: int) -> DataFrame:
+    """Links ``a``, ``b``, ``est`` of part 2 between the rows of ``active`` (``node``, ``fp``, ``class``, ``big``, ``failed``), and
+    of rows with links held back to themselves; a few bands at a time, to bound the disk."""
     spark = active.sparkSession
-    width, number = plan(count, similarity, recall)
+    rows = active.count()
     found = []
-    for lo in range(0, number, PASS):
-        bands = list(range(lo, min(lo + PASS, number)))
-        keyed = active.select("node", "fp", "class", "failed").mapInArrow(_keys(bands, width), "k long, node long, fp binary, class long, failed array<long>")
-        sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), (F.min("class") < F.max("class")).alias("apart")).where(F.col("rows") > BLOCK)
-        # At most one key for each ``BLOCK`` rows; one whose rows are all in one class has no pairs.
-        sizes = sizes.select("k", F.when(F.col("apart"), F.ceil(F.col("rows") / BLOCK).cast("int")).otherwise(0).alias("blocks"))
-        keyed = keyed.join(F.broadcast(sizes), "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).where("blocks > 0")
-        keyed = keyed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        key = F.when(F.col("blocks") > 1, F.xxhash64("k", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("k"))
-        keyed = keyed.select(key.alias("k"), "node", "fp", "class", "failed", "side", (F.col("side") == F.col("other")).alias("inner"))
-        dealt = keyed.repartition(partitions(spark), "k").sortWithinPartitions("k")
-        found.append(materialize(dealt.mapInArrow(_still_apart(similarity - SLACK, most), "a long, b long, est double")))
+    for lo in range(0, numbers[1], PASS):
+        bands = list(range(lo, min(lo + PASS, numbers[1])))
+        keyed = active.select("node", "fp", "class", "failed", "big").mapInArrow(_keys(bands, width, numbers[0]), "k long, node long, fp binary, class long, failed array<long>, big boolean")
+        # Not more than LARGE keys can have so many rows.
+        block = max(BLOCK, -(-rows * len(bands) // LARGE))
+        big = F.when(F.col("big"), F.col("class"))
+        sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(big).alias("bigs"), (F.min(big) == F.max(big)).alias("one")).where(F.col("rows") > block)
+        blocks = lambda n: F.ceil(n / block).cast("int")
+        one = F.coalesce("one", F.lit(False))
+        sizes = sizes.select("k", F.when(F.col("lo") == F.col("hi"), 0).otherwise(blocks(F.col("rows"))).alias("blocks"), one.alias("one"), blocks(F.when(one, F.col("rows") - F.col("bigs")).otherwise(F.col("rows"))).alias("own"))
+        keyed = keyed.join(F.broadcast(sizes), "k", "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "one": F.coalesce("one", F.lit(False)), "own": F.coalesce("own", F.lit(1))}).where("blocks > 0")
+        place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        cell = lambda kind, x, y, side, inner: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"), inner.alias("inner"))
+        # Pairs of blocks of the rows that are compared with each other ...
+        mine = place(F.col("own"))
+        among = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda o: cell(0, F.least(mine, o), F.greatest(mine, o), mine, mine == o))
+        # ... and, where one large class has rows here, those rows in blocks, with the others as visitors to all.
+        visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: cell(1, o, o, F.lit(1), F.lit(False)))
+        stays = F.array(cell(1, place(F.col("blocks")), place(F.col("blocks")), F.lit(0), F.lit(False)))
+        cells = F.when(F.col("one") & F.col("big"), stays).when(F.col("one"), F.concat(among, visits)).otherwise(among)
+        keyed = keyed.select("k", "node", "fp", "class", "failed", (F.col("blocks") > 1).alias("cut"), F.explode(cells).alias("c"))
+        key = F.when(F.col("cut"), F.xxhash64("k", "c.kind", "c.x", "c.y")).otherwise(F.col("k"))
+        dealt = keyed.select(key.alias("k"), "node", "fp", "class", "failed", "c.side", "c.inner").repartition(partitions(spark), "k").sortWithinPartitions("k")
+        found.append(materialize(dealt.mapInArrow(_apart(least, most), "a long, b long, est double")))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
     out = materialize(every.groupBy("a", "b").agg(F.max("est").alias("est")))
-    for used in found:
-        discard(used)
+    discard(*found)
     return out
 
 
-def _classed(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``nodes`` with ``class``: their component, or themselves."""
-    if labels is None:
-        return nodes.withColumn("class", F.col("node"))
-    return nodes.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-
-
-def _unsettled(asked: DataFrame, labels: DataFrame | None, tried: DataFrame) -> DataFrame:
-    """``node`` of ``asked`` whose class has a failed link, unless that is the only link of both its ends."""
-    of = _classed(asked, labels)
-    failed = tried.where("not ok")
-    for end in ("a", "b"):
-        failed = failed.join(of.select(F.col("node").alias(end), F.col("class").alias(f"c{end}")), end)
-    failed = failed.where("ca <> cb")
-    ends = materialize(failed.select(F.inline(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("o")), F.struct(F.col("cb").alias("c"), F.col("ca").alias("o"))))))
-    busy = ends.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("c")
-    if labels is not None:
-        busy = busy.union(ends.select("c").join(labels.select(F.col("component").alias("c")), "c", "left_semi"))
-    busy = materialize(busy.distinct())
-    active = busy.union(ends.join(busy.select(F.col("c").alias("o")), "o", "left_semi").select("c")).distinct()
-    return of.join(active.select(F.col("c").alias("class")), "class", "left_semi").select("node")
+def _classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` with ``class``, their component or themselves, and ``big``, whether it has so many rows that its part of a key may have to be cut."""
+    large = labels.groupBy("component").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= BLOCK).select("component", F.lit(True).alias("big"))
+    of = labels.join(large, "component", "left")
+    return nodes.join(of, "node", "left").withColumns({"class": F.coalesce("component", "node"), "big": F.coalesce("big", F.lit(False))}).drop("component")
 
 
 def _similar(links: DataFrame, shingle_sets: DataFrame, similarity: float) -> DataFrame:
@@ -397,9 +365,9 @@ def _similar(links: DataFrame, shingle_sets: DataFrame, similarity: float) -> Da
     return out
 
 
-def verified(links: DataFrame, shingle_sets: DataFrame, similarity: float, rounds: int = 2, tried: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
-    """``node``, ``component`` of the classes that the links of at least ``similarity`` make, and ``a``, ``b``, ``ok`` of all links tried, those of ``tried`` included; None without any."""
-    for turn in range(rounds + 1):
+def verified(links: DataFrame, shingle_sets: DataFrame, similarity: float, tried: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``node``, ``component`` of the classes that the links of at least ``similarity`` make, and ``a``, ``b``, ``ok`` of all links tried, those of ``tried`` included."""
+    for best in (True, False):
         live = links
         if tried is not None:
             live = live.join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -410,15 +378,12 @@ def verified(links: DataFrame, shingle_sets: DataFrame, similarity: float, round
                 of = labels.select(F.col("node").alias(end), F.col("component").alias(f"l{end}"))
                 live = live.join(of, end, "left").withColumn(f"c{end}", F.coalesce(f"l{end}", end)).drop(f"l{end}")
         live = live.where("ca <> cb")
-        if turn < rounds:
+        if best:
             ends = live.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("est", "a", "b").alias("link"))
             live = ends.groupBy("c").agg(F.max("link").alias("link")).select("link.a", "link.b").distinct()
         done = _similar(live.select("a", "b"), shingle_sets, similarity)
-        if done.isEmpty():
-            break
         tried = done if tried is None else tried.unionByName(done)
-        good = tried.where("ok")
-        labels = materialize(connected_components(good, "a", "b"))
+        labels = connected_components(tried.where("ok"), "a", "b")
     return labels, tried
 
 
@@ -428,37 +393,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_prints = materialize(prints(docs, shingle))
     distinct = all_prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "h")).alias("one"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
-    count = distinct.count()
-    links = candidates(distinct, count, similarity, recall)
-    asked = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    nodes = distinct.select("node", "fp")
+    width, *numbers = plan(distinct.count(), similarity, recall)
+    sure = copies(distinct, width)
+    for_now = connected_components(sure, "a", "b")
+    active = materialize(_classed(nodes, for_now).withColumn("failed", F.lit(None).cast("array<long>")))
+    links = candidates(active, width, numbers, similarity - SLACK, FIRST)
+    every = links.where("a <> b").unionByName(sure)
+    asked = every.select(F.explode(F.array("a", "b")).alias("node")).union(links.select("a")).distinct()
     one = distinct.join(asked, "node", "left_semi").select("node", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"))
     texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
     shingle_sets = materialize(sets(texts, shingle))
-    labels, tried = verified(links.where("a <> b"), shingle_sets, similarity)
-    again = links.where("a = b").select(F.col("a").alias("node"))
-    if tried is None:
-        tried = links.sparkSession.createDataFrame([], "a long, b long, ok boolean")
-    else:
-        again = again.union(_unsettled(asked, labels, tried)).distinct()
-    again = materialize(again)
-    most, held_back = FIRST, not again.isEmpty()
-    while held_back:
+    labels, tried = verified(every, shingle_sets, similarity)
+    # Classes of part 1 that fell apart: their rows were not compared with each other.
+    now = for_now.join(labels.select("node", F.col("component").alias("is")), "node", "left").withColumn("is", F.coalesce("is", "node"))
+    broken = now.groupBy("component").agg(F.min("is").alias("x"), F.max("is").alias("y")).where("x < y").select("component")
+    named = links.where("a = b").select(F.col("a").alias("node")).union(for_now.join(broken, "component", "left_semi").select("node"))
+    again, most = materialize(named.distinct()), FIRST
+    while not again.isEmpty():
+        most *= 8
         pairs = tried.where("not ok").select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("o")), F.struct(F.col("b").alias("node"), F.col("a").alias("o")))))
-        failed = pairs.groupBy("node").agg(F.collect_list("o").alias("failed"))
-        active = _classed(distinct.join(again, "node", "left_semi").select("node", "fp"), labels).join(failed, "node", "left")
-        active = materialize(active.select("node", "fp", "class", F.coalesce("failed", F.array().cast("array<long>")).alias("failed")))
-        more = candidates_apart(active, count, similarity, recall, most)
-        labels, tried = verified(more.where("a <> b"), shingle_sets, similarity, 2, tried, labels)
-        tried = materialize(tried)
-        held_back, most = not more.where("a = b").isEmpty(), 8 * most
-        for used in (active, more):
-            discard(used)
-    least = distinct.withColumn("class", F.col("node"))
-    if labels is not None:
-        least = distinct.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
+        failed = pairs.join(again, "node", "left_semi").groupBy("node").agg(F.collect_list("o").alias("failed"))
+        discard(active, links)
+        active = materialize(_classed(nodes.join(again, "node", "left_semi"), labels).join(failed, "node", "left"))
+        links = candidates(active, width, numbers, similarity - SLACK, most)
+        labels, tried = verified(links.where("a <> b"), shingle_sets, similarity, tried, labels)
+        again = materialize(links.where("a = b").select(F.col("a").alias("node")))
+    least = distinct.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
     smallest = least.groupBy("class").agg(F.min("first").alias("component_id"))
     classes = materialize(least.select("fp", "class").join(smallest, "class").select("fp", "component_id"))
     out = materialize(all_prints.join(classes, "fp").select("doc_id", "component_id"))
-    for used in (all_prints, distinct, links, asked, shingle_sets, classes):
-        discard(used)
+    discard(all_prints, distinct, sure, active, links, shingle_sets, classes)
     return out

@@ -59,25 +59,12 @@ def edited(rng, words, edits):
     return " ".join(words)
 
 
-def test_large_group_and_portions(spark, monkeypatch):
+def test_large_group(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
     rows = [(i, edited(rng, base, 1)) for i in range(600)] + [(1000 + i, edited(rng, base, 60)) for i in range(20)]
     got = {r.doc_id: r.component_id for r in wide.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == classes(rows)[0]
-    # The same rows of one key in portions give the same parts.
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    table = wide.prints(docs).toArrow()
-    k, node = np.zeros(len(table), np.int64), table.column("doc_id")
-    import pyarrow as pa
-
-    batch = pa.record_batch([pa.array(k), node.combine_chunks(), table.column("fp").combine_chunks()], names=["k", "node", "fp"])
-    monkeypatch.setattr(wide, "MOST", 50)
-    parts = wide._Forest()
-    for out in wide._linker(0.68)([batch.slice(0, 333), batch.slice(333)]):
-        for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
-            parts.join(a, b)
-    assert len({parts.find(d) for d in range(600)}) == 1 and parts.find(1001) == 1001
 
 
 def test_cases(spark):
@@ -108,22 +95,45 @@ def test_near_copies_in_a_family_of_one_template(spark):
     assert all(got[d] in (d, want[d]) for d in got) and found >= 54
 
 
-def test_pairs_over_portions_of_a_key(spark, monkeypatch):
-    rows = family(40, 10, random.Random(4))
-    table = wide.prints(spark.createDataFrame(rows, "doc_id long, text string")).toArrow()
+def test_large_keys_in_blocks_lose_no_pair(spark, monkeypatch):
+    """One key holds nearly everything: a class of copies, and pages of one template that are all apart."""
+    monkeypatch.setattr(wide, "BLOCK", 16)
+    monkeypatch.setattr(wide, "plan", lambda count, similarity, recall: (1, 2, 2))
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = family(40, 10, rng) + [(100 + i, edited(rng, base, 1)) for i in range(120)] + [(300 + i, edited(rng, base, 5)) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in wide.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = classes(rows)[0]
+    assert sum(want[d] == 100 for d in want) >= 120 and sum(want[d] != d for d in want if d < 50) == 10
+    lost = [d for d in got if got[d] != want[d]]
+    assert all(want[d] == want[c] for d, c in got.items()) and len(lost) <= 3
+
+
+def test_rows_with_links_held_back_are_named():
     import pyarrow as pa
 
-    node, fp = table.column("doc_id").combine_chunks(), table.column("fp").combine_chunks()
-    monkeypatch.setattr(wide, "MOST", 16)
-    key = pa.array(np.zeros(len(node), np.int64))
-    again = set()
-    for out in wide._linker(0.68)([pa.record_batch([key, node, fp], names=["k", "node", "fp"])]):
-        again |= {a for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()) if a == b}
-    # Every row of a portioned key is looked at again, and then every pair of it is a link, over blocks too.
-    assert again == set(range(50))
-    empty = pa.array([[]] * len(node), pa.list_(pa.int64()))
-    side = pa.array(np.arange(len(node), dtype=np.int32) % 2)
-    for inner, want in ((True, 50 * 49 // 2), (False, 25 * 25)):
-        batch = pa.record_batch([key, node, fp, node, empty, side, pa.array([inner] * len(node))], names=["k", "node", "fp", "class", "failed", "side", "inner"])
-        links = [x for out in wide._still_apart(0.0, 100)([batch.slice(0, 20), batch.slice(20)]) for x in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
-        assert len(set(links)) == len(links) == want
+    size = wide.BITS // 8 + 4
+    fp = pa.array([bytes(size - 4) + (50).to_bytes(4, "little")] * 90, pa.binary())
+    k, node, none = np.repeat([1, 2], [20, 70]), np.arange(90), pa.array([[5]] + [None] * 89, pa.list_(pa.int64()))
+    batch = pa.record_batch([pa.array(k), pa.array(node), fp, pa.array(node), none, pa.array(np.zeros(90, np.int32)), pa.array([True] * 90)], names=["k", "node", "fp", "class", "failed", "side", "inner"])
+    out = [x for o in wide._apart(0.5, 3)([batch.slice(0, 33), batch.slice(33)]) for x in zip(o.column(0).to_pylist(), o.column(1).to_pylist())]
+    links, named = {x for x in out if x[0] != x[1]}, {a for a, b in out if a == b}
+    assert len(links) == 3 * 19 - 3 + 3 * 69 - 3 and (0, 5) not in links
+    assert named == set(range(90)) - {links_of for links_of in range(90) if links_of in (17, 18, 19, 87, 88, 89)} | {17, 18, 19, 87, 88, 89}
+    every = [x for o in wide._apart(0.5, 100)([batch]) for x in zip(o.column(0).to_pylist(), o.column(1).to_pylist())]
+    assert len(every) == len(set(every)) == 20 * 19 // 2 - 1 + 70 * 69 // 2
+
+
+def test_short_texts(spark):
+    """Pairs that share 4 of 5, 8 of 10 and 12 of 15 shingles."""
+    rng = random.Random(6)
+    rows, pairs = [], 0
+    for i in range(240):
+        n = (4, 8, 12)[i % 3]
+        words = [f"s{rng.randrange(10**9)}" for _ in range(n + 4)]
+        more = n // 4
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + [f"s{rng.randrange(10**9)}" for _ in range(more)]))]
+        pairs += 1
+    got = {r.doc_id: r.component_id for r in wide.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] in (d, d - d % 2) for d in got)
+    assert sum(got[2 * i + 1] == 2 * i for i in range(240)) >= 0.9 * pairs
