@@ -17,8 +17,9 @@ The corpus is scanned once for each block of at most ``block_words`` words of it
 what is broadcast has a fixed bound however large the benchmark is.
 
 Cases: null and empty texts have no words; items under three words have no seeds and are never found;
-repeated documents and items each give their own rows; empty tables give empty results; columns besides
-the named ones are ignored, or passed through by :func:`decontaminate`.
+repeated items are one; rows that repeat an id give their own hits, and equal hits are one row; empty
+tables give empty results; columns besides the named ones are ignored, or passed through, repeated rows
+too, by :func:`decontaminate`.
 """
 
 from __future__ import annotations
@@ -198,12 +199,12 @@ def _aligned(items: Items, h: np.ndarray, first: np.ndarray, row: int, item, doc
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, min_score: float, min_words: int, block_words: int):
     """Broadcast blocks of items with their seeds."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct()
     total = rows.agg(F.sum(F.char_length("t"))).first()[0] or 0
     # A word and its separator are two characters at least.
     blocks = max(1, -(-total // (2 * block_words)))
     for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
         items = Items([r.i for r in part], [r.t for r in part], min_score, min_words)
         if len(items.seed):
             yield docs.sparkSession.sparkContext.broadcast(items)
