@@ -1,16 +1,18 @@
 """Substring dedup over a de Bruijn graph of words.
 
-The edges of the graph are the 13-word windows of the texts, its nodes their 12-word overlaps. Three
-passes find the edges that start in several documents, and only those are ever shuffled in full:
+The edges of the graph are the 13-word windows of the texts, its nodes their 12-word overlaps.
 
 1. *Anchors.* A window's anchor is the smallest hash among its 5-word grams, so equal windows have
-   equal anchors, and a document has about one anchor to five windows. One shuffle finds the anchors
-   of several documents; windows under any other anchor are unique and drop out of the graph.
+   equal anchors, and a text has about one anchor to five windows. One shuffle finds the anchors of
+   several texts; windows under any other anchor are unique and drop out of the graph.
 2. *Edges.* The windows under repeated anchors meet by their 96-bit hash. Each occurrence learns the
    edge's first coordinate: the smallest document that has it, and the position there.
-3. *Paths.* A join on the document brings its repeated edges together. A nonbranching path is a run
-   of edges whose source coordinates advance in step; where the graph branches the source changes
-   and a new path begins. The coordinates verify the span: same source, same order, no gap.
+3. *Walks.* A window over each text's repeated edges in order compacts them: a walk is a run of edges
+   whose source coordinates advance in step, so the coordinates verify the whole span. Removal and all
+   that follows works on walks, which are far fewer than edges.
+4. *Paths.* Where walks part or meet the graph branches. The distinct walks of a source, cut by a join
+   at every branch among them, are its nonbranching paths (:func:`paths`), with the number of texts that
+   walk each; :func:`walked` gives the paths of every walk.
 
 Exact copies never enter the graph: a text's smallest document stands for all, and the others are
 covered whole. Both shuffles move arrays packed by hash bucket, combined per batch beforehand: of an
@@ -26,16 +28,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landweave.llm.textkit import Words, chunks, grams, sliding_min, within
 from landweave.storage import discard, materialize, partitions
 
 GRAM = 5
-_ANCHOR = np.dtype([("a", "<u8"), ("d", "<i8")])
-_EDGE = np.dtype([("h", "<u8"), ("c", "<u4"), ("p", "<i4"), ("d", "<i8")])
-_LINK = np.dtype([("d", "<i8"), ("s", "<i8"), ("p", "<i4"), ("q", "<i4")])
+#: ``t`` names a text, ``d`` is the document that stands for it.
+_ANCHOR = np.dtype([("a", "<u8"), ("t", "<i8")])
+_EDGE = np.dtype([("h", "<u8"), ("c", "<u4"), ("p", "<i4"), ("d", "<i8"), ("t", "<i8")])
+_LINK = np.dtype([("t", "<i8"), ("s", "<i8"), ("p", "<i4"), ("q", "<i4")])
 #: Kinds of packed rows: to be matched; known to be repeated; answered within the batch.
 ASK, KNOWN, DONE = 0, 1, 2
 
@@ -88,16 +91,16 @@ def _anchors(k: int, buckets: int):
                 at = within(w.first, k)
                 if not len(at):
                     continue
-                m, d = sliding_min(grams(w.hashes(), GRAM), k - GRAM + 1)[at], ids[w.doc()[at] + lo]
-                new = ~_same_as_before(m, d)
+                m, t = sliding_min(grams(w.hashes(), GRAM), k - GRAM + 1)[at], ids[w.doc()[at] + lo]
+                new = ~_same_as_before(m, t)
                 one = np.empty(int(new.sum()), _ANCHOR)
-                one["a"], one["d"] = m[new], d[new]
+                one["a"], one["t"] = m[new], t[new]
                 found.append(one)
             if not found:
                 continue
             e = np.concatenate(found)
-            e = e[np.lexsort((e["d"], e["a"]))]
-            e = e[~_same_as_before(e["a"], e["d"])]
+            e = e[np.lexsort((e["t"], e["a"]))]
+            e = e[~_same_as_before(e["a"], e["t"])]
             again = _same_as_before(e["a"])
             several = again.copy()
             several[:-1] |= again[1:]
@@ -105,25 +108,25 @@ def _anchors(k: int, buckets: int):
             known = local[~_same_as_before(local["a"])]
             yield _packed(_bucket(alone["a"], buckets), ASK, alone)
             yield _packed(_bucket(known["a"], buckets), KNOWN, known["a"].copy())
-            local = local[np.argsort(local["d"] % buckets, kind="stable")]
-            yield _packed(local["d"] % buckets, DONE, local)
+            local = local[np.argsort(local["t"] % buckets, kind="stable")]
+            yield _packed(local["t"] % buckets, DONE, local)
 
     return run
 
 
 def _repeated_anchors(batches):
     for held in _by_bucket(batches):
-        ask, known, done = _read(held, ASK, _ANCHOR), _read(held, KNOWN, np.dtype("<u8")), _read(held, DONE, _ANCHOR)
+        ask, known, done = np.unique(_read(held, ASK, _ANCHOR)), _read(held, KNOWN, np.dtype("<u8")), _read(held, DONE, _ANCHOR)
         values, counts = np.unique(np.concatenate([ask["a"], known, known]), return_counts=True)
         e = np.concatenate([ask[np.isin(ask["a"], values[counts > 1])], done])
-        yield pa.record_batch([pa.array(e["d"]), pa.array(e["a"].view(np.int64))], names=["d", "a"])
+        yield pa.record_batch([pa.array(e["t"]), pa.array(e["a"].view(np.int64))], names=["t", "a"])
 
 
 def _edges(k: int, buckets: int):
     def run(batches):
         for b in batches:
-            ids, lists, found = b.column(0).to_numpy(), b.column(2), []
-            for lo, buf, off in chunks(b.column(1)):
+            ids, keys, lists, found = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3), []
+            for lo, buf, off in chunks(b.column(2)):
                 w = Words(buf, off)
                 at = within(w.first, k)
                 if not len(at):
@@ -138,7 +141,7 @@ def _edges(k: int, buckets: int):
                 e = np.empty(len(at), _EDGE)
                 e["h"], e["c"] = grams(h, k)[at], grams(w.hashes(1), k, 1)[at] & np.uint64(0xFFFFFFFF)
                 doc = w.doc()[at]
-                e["p"], e["d"] = at - w.first[doc], ids[doc + lo]
+                e["p"], e["d"], e["t"] = at - w.first[doc], ids[doc + lo], keys[doc + lo]
                 found.append(e)
             if not found:
                 continue
@@ -155,14 +158,14 @@ def _edges(k: int, buckets: int):
 
 def _links(e: np.ndarray, source: np.ndarray) -> np.ndarray:
     out = np.empty(len(e), _LINK)
-    out["d"], out["p"], out["s"], out["q"] = e["d"], e["p"], source["d"], source["p"]
+    out["t"], out["p"], out["s"], out["q"] = e["t"], e["p"], source["d"], source["p"]
     return out
 
 
 def _answers(e: np.ndarray, source: np.ndarray, buckets: int) -> pa.RecordBatch:
     out = _links(e, source)
-    out = out[np.argsort(out["d"] % buckets, kind="stable")]
-    return _packed(out["d"] % buckets, DONE, out)
+    out = out[np.argsort(out["t"] % buckets, kind="stable")]
+    return _packed(out["t"] % buckets, DONE, out)
 
 
 def _repeated_edges(batches):
@@ -172,13 +175,14 @@ def _repeated_edges(batches):
         first = np.maximum.accumulate(np.where(_same_as_before(e["h"], e["c"]), 0, np.arange(len(e)))) if len(e) else np.zeros(0, np.int64)
         later = e["d"] > e["d"][first]
         out = np.concatenate([_links(e[later], e[first[later]]), done])
-        yield pa.record_batch([pa.array(out[c]) for c in ("d", "p", "s", "q")], names=["d", "p", "s", "q"])
+        yield pa.record_batch([pa.array(out[c]) for c in ("t", "p", "s", "q")], names=["t", "p", "s", "q"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     least = F.lit(-(2**63)).cast("long")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), least).alias("d"), F.unhex(F.md5(text)).alias("tag"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), least).alias("d"), F.unhex(F.md5(text)).alias("tag"), text.alias("text"))
+    return rows.withColumn("t", F.xxhash64("tag"))
 
 
 def _dealt(rows: DataFrame, n: int) -> DataFrame:
@@ -186,29 +190,58 @@ def _dealt(rows: DataFrame, n: int) -> DataFrame:
 
 
 def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(texts, occurrences): ``d``, ``tag`` of the document that stands for each text; and ``d``, ``p``, ``s``, ``q``
-    for each window at word ``p`` of such a document that also starts in the smaller document ``s``, at word ``q``."""
+    """(texts, occurrences): ``tag``, ``t``, ``d`` of each text and the document that stands for it; and ``t``, ``p``, ``s``, ``q``
+    for each window at word ``p`` of a text that also starts in a document ``s`` smaller than its own, at word ``q``."""
     if k <= GRAM:
         raise ValueError(f"windows need more than {GRAM} words")
     parts = partitions(docs.sparkSession)
     buckets = 4 * parts
     keyed = _keyed(docs, id_col, text_col)
-    texts = materialize(keyed.groupBy("tag").agg(F.min("d").alias("d")))
+    texts = materialize(keyed.groupBy("tag", "t").agg(F.min("d").alias("d")))
     packed = "bucket int, kind byte, blob binary"
-    asked = keyed.select("d", "text").mapInArrow(_anchors(k, buckets), packed)
-    anchors = materialize(_dealt(asked, parts).mapInArrow(_repeated_anchors, "d long, a long"))
-    by_doc = anchors.groupBy("d").agg(F.collect_list("a").alias("anchors")).join(texts, "d")
-    here = keyed.join(by_doc, ["d", "tag"]).select("d", "text", "anchors").mapInArrow(_edges(k, buckets), packed)
-    found = materialize(_dealt(here, parts).mapInArrow(_repeated_edges, "d long, p int, s long, q int"))
+    asked = keyed.select("t", "text").mapInArrow(_anchors(k, buckets), packed)
+    anchors = materialize(_dealt(asked, parts).mapInArrow(_repeated_anchors, "t long, a long"))
+    by_text = anchors.groupBy("t").agg(F.collect_list("a").alias("anchors")).join(texts, "t")
+    here = keyed.drop("t").join(by_text, ["d", "tag"]).select("d", "t", "text", "anchors").mapInArrow(_edges(k, buckets), packed)
+    found = materialize(_dealt(here, parts).mapInArrow(_repeated_edges, "t long, p int, s long, q int"))
     discard(anchors)
     return texts, found
 
 
-def _paths(p: np.ndarray, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each run of edges whose source coordinates advance in step; sorted by position."""
-    step = np.r_[True, (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1]) | (q[1:] != q[:-1] + 1)] if len(p) else np.zeros(0, bool)
-    first = np.flatnonzero(step)
-    return first, np.r_[first[1:], len(p)][: len(first)] - 1
+def walks(found: DataFrame) -> DataFrame:
+    """``t``, ``p``, ``s``, ``q``, ``edges``: runs of consecutive occurrences of :func:`repeated_edges` whose source coordinates advance in step."""
+    order = Window.partitionBy("t").orderBy("p", "s", "q")
+    # A text that was read twice has each window twice.
+    once = found.withColumn("__p", F.lag("p").over(order)).where("__p is null or __p <> p").drop("__p")
+    before = F.lag(F.struct("p", "s", "q")).over(order)
+    step = once.withColumn("__b", before).withColumn("__new", F.coalesce((F.col("__b.p") + 1 == F.col("p")) & (F.col("__b.s") == F.col("s")) & (F.col("__b.q") + 1 == F.col("q")), F.lit(False)))
+    run = step.withColumn("__run", F.sum(F.when(F.col("__new"), 0).otherwise(1)).over(order))
+    # Still partitioned by text: nothing moves again.
+    return run.groupBy("t", "__run").agg(F.min("p").alias("p"), F.first("s").alias("s"), F.min("q").alias("q"), F.count(F.lit(1)).cast("int").alias("edges")).drop("__run")
+
+
+def paths(spans: DataFrame) -> DataFrame:
+    """Nonbranching paths of the graph, ``s``, ``q``, ``edges``, ``texts``: no walk of :func:`walks` begins or ends inside one, and so many texts walk it.
+
+    Equal walks are counted first, so a passage in a third of all texts is one row from there on.
+    """
+    distinct = spans.groupBy("s", "q", "edges").agg(F.count(F.lit(1)).alias("texts")).withColumn("end", F.col("q") + F.col("edges"))
+    cuts = distinct.select("s", F.explode(F.array("q", "end")).alias("cut")).distinct()
+    # Depth changes at cuts only: a running sum of walks begun less walks ended is how many cover what follows.
+    change = distinct.select("s", F.inline(F.array(F.struct(F.col("q").alias("cut"), F.col("texts").alias("n")), F.struct(F.col("end").alias("cut"), (-F.col("texts")).alias("n"))))).groupBy("s", "cut").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("s").orderBy("cut")
+    depth = cuts.join(change, ["s", "cut"]).withColumns({"texts": F.sum("n").over(order), "end": F.lead("cut").over(order)})
+    return depth.where("texts > 0").select("s", F.col("cut").alias("q"), (F.col("end") - F.col("cut")).cast("int").alias("edges"), "texts")
+
+
+def walked(spans: DataFrame, compact: DataFrame) -> DataFrame:
+    """``t``, ``p``, ``s``, ``q``, ``edges``, ``texts``: each walk as the paths of :func:`paths` that it is made of."""
+    distinct = spans.select("s", "q", "edges").distinct()
+    inside = compact.select("s", F.col("q").alias("at"), F.col("edges").alias("length"), "texts")
+    parts = distinct.join(inside, "s").where("at >= q and at < q + edges")
+    lists = parts.groupBy("s", "q", "edges").agg(F.collect_list(F.struct("at", "length", "texts")).alias("parts"))
+    each = spans.join(lists, ["s", "q", "edges"]).select("t", "p", "s", "q", F.inline("parts"))
+    return each.select("t", (F.col("p") + F.col("at") - F.col("q")).alias("p"), "s", F.col("at").alias("q"), F.col("length").alias("edges"), "texts")
 
 
 _SPANS = "array<struct<start:int,words:int,source:bigint,source_start:int>>"
@@ -217,43 +250,41 @@ _SPANS = "array<struct<start:int,words:int,source:bigint,source_start:int>>"
 def _cut(k: int):
     def run(batches):
         for b in batches:
-            out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "spans": []}
-            for doc, text, own, edges in zip(*(c for c in b.columns)):
+            out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
+            for doc, text, own, spans in zip(*(c for c in b.columns)):
                 words = text.as_py().encode().split()
-                gone, spans = np.zeros(len(words) + 1, np.int32), []
+                gone = np.zeros(len(words) + 1, np.int32)
                 if not own.as_py():
                     gone[0] = len(words) >= k
-                elif edges.is_valid and len(edges):
-                    p, s, q = (edges.values.field(i).to_numpy() for i in range(3))
-                    order = np.lexsort((q, s, p))
-                    order = order[~_same_as_before(p[order])]
-                    p, s, q = p[order], s[order], q[order]
-                    for i, j in zip(*_paths(p, s, q)):
-                        spans.append({"start": int(p[i]), "words": int(p[j] - p[i]) + k, "source": int(s[i]), "source_start": int(q[i])})
-                        gone[p[i]] += 1
-                        gone[p[j] + k] -= 1
+                elif spans.is_valid and len(spans):
+                    start, size = (spans.values.field(i).to_numpy() for i in range(2))
+                    np.add.at(gone, start, 1)
+                    np.add.at(gone, start + size, -1)
                 keep = (np.cumsum(gone)[: len(words)] == 0).tolist()
                 out["doc_id"].append(doc.as_py())
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - sum(keep))
                 out["kept"].append(b" ".join(w for w, x in zip(words, keep) if x).decode())
-                out["spans"].append(spans)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
-            yield pa.record_batch([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["spans"], kind)], names=list(out))
+            rows = [pa.array(out["doc_id"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), b.column(3)]
+            yield pa.record_batch(rows, names=[*out, "spans"])
 
     return run
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_removed``, ``kept`` text and the compacted ``spans`` with their source coordinates.
+    """``doc_id``, ``n_words``, ``n_removed``, ``kept`` text and the ``spans`` that the text shares with smaller documents, with their source coordinates.
 
     A copy of a whole text has no spans: all of it goes.
     """
     texts, found = repeated_edges(docs, id_col, text_col, k)
-    by_doc = found.groupBy("d").agg(F.collect_list(F.struct("p", "s", "q")).alias("edges"))
-    state = texts.join(by_doc, "d", "left").withColumn("own", F.lit(True))
+    spans = materialize(walks(found))
+    discard(found)
+    span = F.struct(F.col("p").alias("start"), (F.col("edges") + (k - 1)).alias("words"), F.col("s").alias("source"), F.col("q").alias("source_start"))
+    by_text = spans.groupBy("t").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    state = texts.join(by_text, "t", "left").select("d", "tag", "spans", F.lit(True).alias("own"))
     joined = _keyed(docs, id_col, text_col).join(state, ["d", "tag"], "left")
-    return joined.select("doc_id", "text", F.coalesce("own", F.lit(False)).alias("own"), "edges").mapInArrow(_cut(k), f"doc_id long, n_words long, n_removed long, kept string, spans {_SPANS}")
+    none = F.array().cast(_SPANS)
+    return joined.select("doc_id", "text", F.coalesce("own", F.lit(False)).alias("own"), F.coalesce("spans", none).alias("spans")).mapInArrow(_cut(k), f"doc_id long, n_words long, n_removed long, kept string, spans {_SPANS}")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 CHUNK = 2 << 20
 
 _rng = np.random.default_rng(20240229)
-#: Random odd multipliers by position in a word (they repeat for words of over 4096 bytes) and random byte values, for two independent hashes.
+#: Random odd multipliers by position in a word (past 4096 bytes others are made of them) and random byte values, for two independent hashes.
 _POW = _rng.integers(1, 2**63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64)
 _GRAM = _rng.integers(1, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,8 +83,11 @@ class Words:
             return np.zeros(0, np.uint64)
         lens = self.ends - self.starts
         at = np.cumsum(lens) - lens
-        pos = (np.arange(int(lens.sum())) - np.repeat(at, lens)) & 4095
-        h = np.add.reduceat(_BYTE[which][self._as[self._m]] * _POW[which][pos], at)
+        pos = np.arange(int(lens.sum())) - np.repeat(at, lens)
+        times = _POW[which][pos & 4095]
+        if lens.max() > 4096:
+            times = np.where(pos < 4096, times, _mix(times + (pos >> 12).astype(np.uint64)) | np.uint64(1))
+        h = np.add.reduceat(_BYTE[which][self._as[self._m]] * times, at)
         return _mix(h + lens.astype(np.uint64))
 
 
