@@ -6,10 +6,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave.functions import arrays
+from landweave.operators.sampling import hash_order
 
 
 def to_chips(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str], row: str = "chip_row", col: str = "chip_col") -> DataFrame:
@@ -33,47 +34,45 @@ def augmented(chips: DataFrame, h: int, w: int, c: int, data: str = "data") -> D
     return out
 
 
+def _gathered(data: str, n: int, at: Callable[[Column], Column]) -> Column:
+    """Array of ``n`` values: the one at place ``at(i)`` of the chip, 0 where that is null."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(data, at(i)), F.lit(0.0)))
+
+
 def randomly_turned(chips: DataFrame, h: int, w: int, c: int, degrees: float = 45.0, seed: int = 0, key: str = "chip_id", data: str = "data") -> DataFrame:
     """A5, Q21: flips and a rotation of up to ``degrees`` decided by each chip's hash; nearest pixel, 0 outside."""
+    up, left, turn = (hash_order(key, 3 * seed + i) for i in range(3))
+    angle = F.radians((turn / F.lit(2.0**31) - 1) * degrees)
+    y0, x0 = (h - 1) / 2, (w - 1) / 2
 
-    def turn(batches):
-        r, k = np.mgrid[0:h, 0:w]
-        for pdf in batches:
-            out = []
-            for i, d in zip(pdf[key], pdf[data]):
-                rng = np.random.default_rng([seed, int(i) & 0xFFFFFFFF])
-                x = np.asarray(d, float).reshape(h, w, c)
-                x = x[::-1] if rng.random() < 0.5 else x
-                x = x[:, ::-1] if rng.random() < 0.5 else x
-                a = np.deg2rad(rng.uniform(-degrees, degrees))
-                y0, x0 = (h - 1) / 2, (w - 1) / 2
-                rr = np.rint((r - y0) * np.cos(a) + (k - x0) * np.sin(a) + y0).astype(int)
-                kk = np.rint((k - x0) * np.cos(a) - (r - y0) * np.sin(a) + x0).astype(int)
-                ok = (rr >= 0) & (rr < h) & (kk >= 0) & (kk < w)
-                y = np.where(ok[..., None], x[np.clip(rr, 0, h - 1), np.clip(kk, 0, w - 1)], 0.0)
-                out.append(y.ravel().tolist())
-            yield pdf.assign(**{data: out})
-
-    return chips.mapInPandas(turn, chips.schema)
+    def at(i: Column) -> Column:
+        r, k = F.floor(i / (w * c)) - y0, F.floor(i / c) % w - x0
+        rr = F.rint(r * F.cos("__angle") + k * F.sin("__angle") + y0).cast("int")
+        kk = F.rint(k * F.cos("__angle") - r * F.sin("__angle") + x0).cast("int")
+        inside = rr.between(0, h - 1) & kk.between(0, w - 1)
+        rr, kk = F.when(F.col("__up"), h - 1 - rr).otherwise(rr), F.when(F.col("__left"), w - 1 - kk).otherwise(kk)
+        return F.when(inside, (rr * w + kk) * c + i % c)
+
+    half = F.lit(1 << 31)
+    marked = chips.withColumns({"__angle": angle, "__up": up < half, "__left": left < half})
+    return marked.withColumn(data, _gathered(data, h * w * c, at)).select(*chips.columns)
 
 
 def resampled(chips: DataFrame, h: int, w: int, c: int, to: tuple[int, int], align_corners: bool = False, data: str = "data") -> DataFrame:
     """Bilinear resampling to another size, with aligned corners or half-pixel centres."""
 
-    def axis(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.arange(m) * ((n - 1) / max(m - 1, 1)) if align_corners else np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
-        lo = np.minimum(np.floor(at).astype(int), n - 1)
-        return lo, np.minimum(lo + 1, n - 1), at - lo
+    def along(i: Column, n: int, m: int) -> Column:
+        return i * ((n - 1) / max(m - 1, 1)) if align_corners else F.least(F.greatest((i + 0.5) * n / m - 0.5, F.lit(0.0)), F.lit(n - 1.0))
 
-    def run(batches):
-        (r0, r1, fr), (k0, k1, fk) = axis(h, to[0]), axis(w, to[1])
-        for pdf in batches:
-            x = np.stack([np.asarray(d, float).reshape(h, w, c) for d in pdf[data]]) if len(pdf) else np.zeros((0, h, w, c))
-            rows = x[:, r0] * (1 - fr)[:, None, None] + x[:, r1] * fr[:, None, None]
-            y = rows[:, :, k0] * (1 - fk)[:, None] + rows[:, :, k1] * fk[:, None]
-            yield pdf.assign(**{data: [v.ravel().tolist() for v in y]})
+    def value(i: Column) -> Column:
+        y, x = along(F.floor(i / (to[1] * c)), h, to[0]), along(F.floor(i / c) % to[1], w, to[1])
+        r0, k0 = F.floor(y).cast("int"), F.floor(x).cast("int")
+        r1, k1 = F.least(r0 + 1, F.lit(h - 1)), F.least(k0 + 1, F.lit(w - 1))
+        of = lambda r, k: F.get(data, (r * w + k) * c + i % c)
+        row = lambda k: of(r0, k) * (1 - (y - r0)) + of(r1, k) * (y - r0)
+        return row(k0) * (1 - (x - k0)) + row(k1) * (x - k0)
 
-    return chips.mapInPandas(run, chips.schema)
+    return chips.withColumn(data, F.transform(F.sequence(F.lit(0), F.lit(to[0] * to[1] * c - 1)), value))
 
 
 def predict(chips: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndarray]], shape: tuple[int, int, int], data: str = "data", out: str = "probability") -> DataFrame:

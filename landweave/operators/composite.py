@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landweave.functions.bands import min_max
+from landweave.operators.ranking import running_sum
 
 
 def median(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("row", "col")) -> DataFrame:
@@ -15,9 +16,9 @@ def median(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("row"
     return pixels.groupBy(*keys).agg(*[F.median(b).alias(f"{b}_median") for b in bands])
 
 
-def total(pixels: DataFrame, value: str, keys: Sequence[str] = ("row", "col")) -> DataFrame:
-    """Sum over a collection by pixel."""
-    return pixels.groupBy(*keys).agg(F.sum(value).alias(value))
+def total(pixels: DataFrame, value: str | Sequence[str], keys: Sequence[str] = ("row", "col")) -> DataFrame:
+    """Sums over a collection by pixel."""
+    return pixels.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in ([value] if isinstance(value, str) else value)])
 
 
 def region_range(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = (), shared: bool = False) -> DataFrame:
@@ -31,10 +32,32 @@ def normalize_region(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str
     return ranged.select(*[min_max(c, F.col(f"{c}_min"), F.col(f"{c}_max")).alias(c) if c in bands else F.col(c) for c in pixels.columns])
 
 
+def quantiles(df: DataFrame, value: str, points: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """The keys and ``q``, the exact interpolated quantiles of each (large) group; a group without values has none.
+
+    Equal values are counted where they are, and running counts over range partitions say where each lies
+    in its group's order, so no task or buffer holds a group.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    upto, _ = running_sum(counted, [*keys, "__v"], F.col("__n"), "__upto")
+    ends = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__n")).alias("__from"), F.sum("__n").alias("__all"))
+    placed = upto.join(ends, list(keys))
+    rank = F.col("__upto") - F.col("__from")
+    at = [(F.col("__all") - 1) * F.lit(float(p)) for p in points]
+    found = [F.min(F.when(rank > f(h), F.col("__v"))).alias(f"__{name}{i}") for i, h in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))]
+    got = placed.groupBy(*keys, "__all").agg(*found)
+    between = [F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (h - F.floor(h)) for i, h in enumerate(at)]
+    return got.select(*keys, F.array(*between).alias("q"))
+
+
 def region_percentiles(pixels: DataFrame, bands: Sequence[str], points: Sequence[float] = (0.03, 0.98), exact: bool = True) -> DataFrame:
-    """Percentiles of each band over a region; the approximate form needs no sort of all values."""
-    f = F.percentile if exact else F.percentile_approx
-    return pixels.agg(*[F.get(f(F.col(b), F.array(*[F.lit(p) for p in points])), i).alias(f"{b}_p{round(p * 100)}") for b in bands for i, p in enumerate(points)])
+    """Percentiles of each band over a region, exact or approximate; neither gathers the values."""
+    names = [(b, i, f"{b}_p{round(p * 100)}") for b in bands for i, p in enumerate(points)]
+    if not exact:
+        return pixels.agg(*[F.get(F.percentile_approx(F.col(b), F.array(*[F.lit(p) for p in points])), i).alias(name) for b, i, name in names])
+    long = pixels.select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in bands])).alias("x")).select("x.*")
+    q = quantiles(long, "v", points, ["band"])
+    return q.agg(*[F.max(F.when(F.col("band") == b, F.get("q", i))).alias(name) for b, i, name in names])
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -45,7 +68,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, key
 
 def box_plot(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Quartiles, fences at one and a half interquartile ranges, and the number of outliers by group."""
-    q = df.groupBy(*keys).agg(F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(df, value, (0.25, 0.5, 0.75), keys)
     q = q.select(*keys, *[F.get("q", i).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     q = q.withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     out = df.join(q, list(keys)).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
@@ -65,12 +88,12 @@ def mosaic(pixels: DataFrame, value: str, order: str, nodata=None, keys: Sequenc
     return real.groupBy(*keys).agg((F.max_by if last else F.min_by)(value, order).alias(value))
 
 
-def coarser(pixels: DataFrame, value: str, factor: int, how: str = "mode") -> DataFrame:
+def coarser(pixels: DataFrame, value: str, factor: int, how: str = "mode", keys: Sequence[str] = ()) -> DataFrame:
     """A grid of ``factor`` times larger cells by the most frequent value (ties to the smaller) or the value nearest the cell's middle."""
     cell = [F.floor(F.col(c) / factor).cast("int").alias(c) for c in ("row", "col")]
     if how == "mode":
-        counted = pixels.where(F.col(value).isNotNull()).groupBy(*cell, F.col(value).alias(value)).agg(F.count(F.lit(1)).alias("n"))
-        return counted.groupBy("row", "col").agg(F.min_by(value, F.struct(-F.col("n"), value)).alias(value))
+        counted = pixels.where(F.col(value).isNotNull()).groupBy(*keys, *cell, F.col(value).alias(value)).agg(F.count(F.lit(1)).alias("n"))
+        return counted.groupBy(*keys, "row", "col").agg(F.min_by(value, F.struct(-F.col("n"), value)).alias(value))
     middle = (factor - 1) / 2
     away = F.pow(F.col("row") % factor - middle, 2) + F.pow(F.col("col") % factor - middle, 2)
-    return pixels.groupBy(*cell).agg(F.min_by(value, F.struct(away, "row", "col")).alias(value))
+    return pixels.groupBy(*keys, *cell).agg(F.min_by(value, F.struct(away, "row", "col")).alias(value))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landweave.operators.overlay import next_year
-from landweave.operators.patches import areas
+from landweave.operators.patches import SPAN, areas
 
 
 def edges(labels: DataFrame) -> DataFrame:
@@ -14,6 +14,14 @@ def edges(labels: DataFrame) -> DataFrame:
     return next_year(labels, "patch").groupBy("year", "parent", "child").agg(F.count(F.lit(1)).alias("overlap_px"))
 
 
+def tuples(links: DataFrame, tile: int = 900, tiles_across: int = 1000) -> DataFrame:
+    """UD4: lineage as rows of ``step`` (years since the first), ``parent`` and ``child``, each a (tile, patch) pair; a patch is of the tile of its smallest pixel."""
+    first = links.agg(F.min("year").alias("__y0"))
+    place = lambda p: (F.floor(F.floor((F.col(p) - 1) / SPAN) / tile) * tiles_across + F.floor((F.col(p) - 1) % SPAN / tile)).cast("int")
+    pair = lambda p: F.struct(place(p).alias("tile"), F.col(p).alias("patch"))
+    return links.crossJoin(F.broadcast(first)).select((F.col("year") - F.col("__y0")).alias("step"), pair("parent").alias("parent"), pair("child").alias("child"))
+
+
 def tile_edges(labels: DataFrame, tile: int = 900) -> DataFrame:
     """Edges with the parent's pixels in the tiles that parent and child share, as counted tile by tile."""
     cell = lambda c: F.floor(F.col(c) / tile).cast("int")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from landweave.operators.components import connected_components
 from landweave.operators.neighborhood import dilate
-from landweave.operators.ranking import number_rows
-from landweave.storage import materialize
+from landweave.operators.ranking import counted_rows, number_rows
+from landweave.storage import exists, materialize
 
 #: Columns a grid may have at most; a year's pixels are numbered below SPAN * SPAN.
 SPAN = 100_000
@@ -128,40 +128,59 @@ def relabel(labels: DataFrame, keys: Sequence[str] = ("year",), patch: str = "pa
     return labels.join(distinct, [*keys, patch]).withColumn("number", F.col("__n")).drop("__n")
 
 
-def identity(labels: DataFrame, policy: str = "inherit", overlap: str = "pixels") -> DataFrame:
-    """K6, K7, L4: ``year, patch, id`` with identities carried over the years.
+def _taken(now: DataFrame, before: DataFrame, policy: str, overlap: str) -> DataFrame:
+    """``patch``, ``id`` of the patches that take an identity of the year before (``row``, ``col``, ``id``)."""
+    if overlap == "pixels":
+        meets = now.join(before, ["row", "col"]).select("patch", "id")
+    else:
+        size = 64
+        bb = boxes(now, ["patch"])
+        bb = bb.withColumn("__i", F.explode(F.sequence(F.floor(F.col("row0") / size), F.floor(F.col("row1") / size)))).withColumn("__j", F.explode(F.sequence(F.floor(F.col("col0") / size), F.floor(F.col("col1") / size))))
+        cells = before.withColumn("__i", F.floor(F.col("row") / size)).withColumn("__j", F.floor(F.col("col") / size))
+        meets = bb.join(cells, ["__i", "__j"]).where("row between row0 and row1 and col between col0 and col1").select("patch", "id")
+    taken = meets.groupBy("patch").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").select("patch", "id")
+    if policy == "split_new":
+        taken = taken.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("__k = 1").drop("__k")
+    return taken
+
+
+def identity(labels: DataFrame, policy: str = "inherit", overlap: str = "pixels", store: str | None = None) -> DataFrame:
+    """K6, K7, L4, ST3: ``year, patch, id`` with identities carried over the years.
 
     A patch that overlaps pixels (or whose bounding box holds pixels) of exactly one identity of the year
     before takes it; others get new ones, after the largest so far in ascending order of patch.
     ``split_new`` gives new identities also where several patches would take the same one.
+
+    The carried state is the table of identities by year. With ``store`` it is kept there, a folder a year,
+    and a later run goes on after the last year that it holds.
     """
     if policy not in ("inherit", "split_new") or overlap not in ("pixels", "box"):
         raise ValueError("policy is inherit or split_new, overlap is pixels or box")
-    labels = materialize(labels)
-    # The years are few, and each needs the identities of the one before.
+    spark = labels.sparkSession
+    # The years are few, and each needs the identities of the one before; each year's pixels are files of their own.
+    labels = materialize(labels, by=["year"])
     years = [r[0] for r in labels.select("year").distinct().orderBy("year").collect()]
-    out, before, top = [], None, 0
+    done, top, before = {}, 0, None
+    if store and exists(spark, store):
+        held = spark.read.parquet(store)
+        done = {r.year: r.top for r in held.groupBy("year").agg(F.max("id").alias("top")).collect()}
+    out = []
     for year in years:
         now = labels.where(F.col("year") == year)
-        patches = now.select("patch").distinct()
-        taken = None
-        if before is not None:
-            if overlap == "pixels":
-                meets = now.join(before, ["row", "col"]).select("patch", "id")
+        if year in done:
+            ids, top = spark.read.parquet(f"{store}/year={year}").withColumn("year", F.lit(year)).select("year", "patch", "id"), max(top, done[year])
+        else:
+            patches = now.select("patch").distinct()
+            taken = None if before is None else materialize(_taken(now, before, policy, overlap))
+            new = patches if taken is None else patches.join(taken, "patch", "left_anti")
+            fresh, count = counted_rows(new, ["patch"], "id", top + 1)
+            found = fresh if taken is None else fresh.unionByName(taken)
+            top += count
+            if store:
+                found.write.mode("overwrite").parquet(f"{store}/year={year}")
+                ids = spark.read.parquet(f"{store}/year={year}").select(F.lit(year).alias("year"), "patch", "id")
             else:
-                size = 64
-                bb = boxes(now, ["patch"])
-                bb = bb.withColumn("__i", F.explode(F.sequence(F.floor(F.col("row0") / size), F.floor(F.col("row1") / size)))).withColumn("__j", F.explode(F.sequence(F.floor(F.col("col0") / size), F.floor(F.col("col1") / size))))
-                cells = before.withColumn("__i", F.floor(F.col("row") / size)).withColumn("__j", F.floor(F.col("col") / size))
-                meets = bb.join(cells, ["__i", "__j"]).where("row between row0 and row1 and col between col0 and col1").select("patch", "id")
-            taken = meets.groupBy("patch").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").select("patch", "id")
-            if policy == "split_new":
-                taken = taken.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("__k = 1").drop("__k")
-            taken = materialize(taken)
-        new = patches if taken is None else patches.join(taken, "patch", "left_anti")
-        fresh = number_rows(new, ["patch"], "id", top + 1)
-        ids = materialize((fresh if taken is None else fresh.unionByName(taken)).select(F.lit(year).alias("year"), "patch", "id"))
-        top = max(top, ids.agg(F.max("id")).first()[0] or 0)
+                ids = materialize(found.select(F.lit(year).alias("year"), "patch", "id"))
         out.append(ids)
         before = now.join(ids.drop("year"), "patch").select("row", "col", "id")
     result = out[0] if out else labels.select("year", "patch", F.lit(0).cast("long").alias("id")).limit(0)

@@ -74,18 +74,18 @@ def wide_shares(shares: DataFrame, classes: Sequence[int], key: str = "chip_id",
     return shares.groupBy(key).pivot(column, list(classes)).agg(F.first("share")).na.fill(0.0).select(key, *[F.col(str(c)).alias(f"c{c}") for c in classes])
 
 
-def distribution(sample: DataFrame, target: DataFrame, column: str = "class") -> DataFrame:
-    """Share of each class in a sample beside its target, and the difference."""
-    n = sample.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    got = target.join(n, column, "left").na.fill(0, ["n"]).crossJoin(F.broadcast(total))
+def distribution(sample: DataFrame, target: DataFrame, column: str = "class", keys: Sequence[str] = ()) -> DataFrame:
+    """Share of each class in a sample (of each of the few key values) beside its target, and the difference."""
+    n = sample.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy(*keys).agg(F.sum("n").alias("total"))
+    got = target.crossJoin(F.broadcast(total)).join(n, [*keys, column], "left").na.fill(0, ["n"])
     share = F.coalesce(F.try_divide(F.col("n"), F.col("total")), F.lit(0.0))
-    return got.select(column, "n", share.alias("share"), "target", (share - F.col("target")).alias("difference"))
+    return got.select(*keys, column, "n", share.alias("share"), "target", (share - F.col("target")).alias("difference"))
 
 
-def adjusted_quotas(found: DataFrame, n: int, column: str = "class") -> DataFrame:
+def adjusted_quotas(found: DataFrame, n: int, column: str = "class", keys: Sequence[str] = ()) -> DataFrame:
     """M6: quotas scaled by target over found share, for another draw."""
-    return found.select(column, F.round(F.try_divide(F.col("target"), F.col("share")) * F.col("target") * n).cast("int").alias("quota"))
+    return found.select(*keys, column, F.round(F.try_divide(F.col("target"), F.col("share")) * F.col("target") * n).cast("int").alias("quota"))
 
 
 def cluster_quotas(clusters: DataFrame, n: int, equal: bool = False, column: str = "cluster") -> DataFrame:

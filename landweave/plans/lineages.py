@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from landweave.functions import geo
@@ -9,6 +11,7 @@ from landweave.operators import lineage, patches, sampling
 from landweave.plans.book import Book
 from landweave.sources import fixtures as fx
 from landweave.sources.fixtures import sql
+from landweave.storage import scratch_dir
 
 book = Book()
 
@@ -119,6 +122,20 @@ def k6_identity_by_box(spark, d):
     return patches.identity(_labels(spark, d), overlap="box")
 
 
+@book.add(_rec(LAB + ", " + identity_sql() + IDS + " SELECT year, patch, id FROM ids", "forest"))
+def st3_carried_identity(spark, d):
+    """Years up to 1998, their state kept by year, and a later run over all years that goes on from it."""
+    lab, store = _labels(spark, d), f"{scratch_dir(spark)}/landweave-{uuid.uuid4().hex}"
+    patches.identity(lab.where("year <= 1998"), store=store)
+    return patches.identity(lab, store=store)
+
+
+@book.add(_rec(EDGES + " SELECT (year - 1995)::INT AS step, ((parent - 1) // 100000 // 60 * 1000 + (parent - 1) % 100000 // 60)::INT AS parent_tile, parent, ((child - 1) // 100000 // 60 * 1000 + (child - 1) % 100000 // 60)::INT AS child_tile, child FROM edges", "forest"))
+def ud4_lineage_tuples(spark, d):
+    t = lineage.tuples(lineage.edges(_labels(spark, d)), 60)
+    return t.select("step", F.col("parent.tile").alias("parent_tile"), F.col("parent.patch").alias("parent"), F.col("child.tile").alias("child_tile"), F.col("child.patch").alias("child"))
+
+
 NEAR = """+o(r) AS (VALUES (-1), (0), (1)), reach AS MATERIALIZED (SELECT DISTINCT year + 1 AS year, row + a.r AS row, col + b.r AS col FROM forest, o a, o b),
  split AS MATERIALIZED (SELECT f.year * 10 + CASE WHEN reach.row IS NULL AND f.year > 1995 THEN 1 ELSE 0 END AS year, f.row, f.col FROM forest f LEFT JOIN reach ON f.year = reach.year AND f.row = reach.row AND f.col = reach.col), """
 
@@ -236,22 +253,22 @@ def g8_chip_profiles(spark, d):
     return _wide(spark, d)
 
 
-TARGET = "+t(class, target) AS (VALUES (3, 0.44), (9, 0.07), (12, 0.04), (15, 0.19), (18, 0.07), (24, 0.04), (30, 0.04), (33, 0.04)), s AS (SELECT class, count(*) AS n FROM landcover WHERE year = 1998 GROUP BY class), j AS (SELECT class, coalesce(n, 0) AS n, coalesce(n, 0)::DOUBLE / (SELECT sum(n) FROM s) AS share, target::DOUBLE AS target FROM t LEFT JOIN s USING (class))"
+TARGET = "+t(class, target) AS (VALUES (3, 0.44), (9, 0.07), (12, 0.04), (15, 0.19), (18, 0.07), (24, 0.04), (30, 0.04), (33, 0.04)), s AS (SELECT year, class, count(*) AS n FROM landcover GROUP BY ALL), y AS (SELECT year, sum(n) AS total FROM s GROUP BY year), j AS (SELECT y.year, t.class, coalesce(n, 0) AS n, coalesce(n, 0)::DOUBLE / total AS share, target::DOUBLE AS target FROM t CROSS JOIN y LEFT JOIN s ON s.year = y.year AND s.class = t.class)"
 
 
 def _found(spark, d):
     t = spark.createDataFrame([(3, 0.44), (9, 0.07), (12, 0.04), (15, 0.19), (18, 0.07), (24, 0.04), (30, 0.04), (33, 0.04)], "class int, target double")
-    return sampling.distribution(fx.landcover(spark, d).where("year = 1998"), t)
+    return sampling.distribution(fx.landcover(spark, d), t, keys=["year"])
 
 
-@book.add(sql(TARGET + " SELECT class, n, share, target, share - target AS difference FROM j", "landcover"), ["share", "target", "difference"])
+@book.add(sql(TARGET + " SELECT year, class, n, share, target, share - target AS difference FROM j", "landcover"), ["share", "target", "difference"])
 def g9_m6_distribution(spark, d):
     return _found(spark, d)
 
 
-@book.add(sql(TARGET + " SELECT class, round(target / share * target * 3000)::INT AS quota FROM j", "landcover"))
+@book.add(sql(TARGET + " SELECT year, class, round(target / share * target * 3000)::INT AS quota FROM j", "landcover"))
 def m6_adjusted_quotas(spark, d):
-    return sampling.adjusted_quotas(_found(spark, d), 3000)
+    return sampling.adjusted_quotas(_found(spark, d), 3000, keys=["year"])
 
 
 @book.add(sql("+s AS (SELECT c_nationkey % 7 AS cluster, count(*) AS size FROM customer GROUP BY 1) SELECT cluster::BIGINT AS cluster, size, round_even(1000.0 * size / (SELECT sum(size) FROM s), 0)::INT AS quota, (1000 // (SELECT count(*) FROM s))::INT AS equal FROM s", "g"))

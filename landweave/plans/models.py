@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landweave.functions import arrays, bands
 from landweave.operators import chips as ch
-from landweave.operators import composite, metrics, overlay
+from landweave.operators import composite, metrics, overlay, sampling
 from landweave.plans.book import Book
 from landweave.sources import fixtures as fx
 from landweave.sources import scans
@@ -58,14 +58,29 @@ def a6_channel_first(spark, d):
     return fx.chips(spark, d).select("chip_id", _checksum(arrays.to_channel_first(F.col("data"), 4, 4, 4)).alias("checksum"))
 
 
-@book.add()
+def _hash(seed: int) -> str:
+    return f"((chip_id::HUGEINT + {seed}) % 2147483648 * 2654435761 % 4294967296)::BIGINT"
+
+
+TURNS = f"""+h AS (SELECT chip_id, data, {_hash(0)} < 2147483648 AS up, {_hash(1)} < 2147483648 AS lft, radians(({_hash(2)} / 2147483648.0::DOUBLE - 1) * 45.0) AS a FROM chips),
+ p AS (SELECT *, i // 8 - 3.5::DOUBLE AS y, i % 8 - 3.5::DOUBLE AS x FROM h, range(64) r(i)),
+ s AS (SELECT *, round_even(y * cos(a) + x * sin(a) + 3.5, 0)::INT AS rr, round_even(x * cos(a) - y * sin(a) + 3.5, 0)::INT AS kk FROM p)
+ SELECT chip_id, sum(CASE WHEN rr BETWEEN 0 AND 7 AND kk BETWEEN 0 AND 7 THEN data[(CASE WHEN up THEN 7 - rr ELSE rr END) * 8 + (CASE WHEN lft THEN 7 - kk ELSE kk END) + 1] ELSE 0 END * (i + 1)) AS checksum FROM s GROUP BY chip_id"""
+
+
+@book.add(sql(TURNS, "chips"), ["checksum"])
 def a5_random_turns(spark, d):
-    return ch.randomly_turned(fx.chips(spark, d), 8, 8, 1).select("chip_id", F.round(_checksum(F.col("data")), 6).alias("checksum"))
+    return ch.randomly_turned(fx.chips(spark, d), 8, 8, 1).select("chip_id", _checksum(F.col("data")).alias("checksum"))
+
 
+FINER = """+p AS (SELECT chip_id, data, i, least(greatest((i // 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS y, least(greatest((i % 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS x FROM chips, range(256) r(i)),
+ q AS (SELECT *, floor(y)::INT AS r0, floor(x)::INT AS k0, least(floor(y)::INT + 1, 7) AS r1, least(floor(x)::INT + 1, 7) AS k1 FROM p)
+ SELECT chip_id, count(*)::INT AS n, sum((i + 1) * ((data[r0 * 8 + k0 + 1] * (1 - y + r0) + data[r1 * 8 + k0 + 1] * (y - r0)) * (1 - x + k0) + (data[r0 * 8 + k1 + 1] * (1 - y + r0) + data[r1 * 8 + k1 + 1] * (y - r0)) * (x - k0))) AS checksum FROM q GROUP BY chip_id"""
 
-@book.add()
+
+@book.add(sql(FINER, "chips"), ["checksum"])
 def n6_resampled(spark, d):
-    return ch.resampled(fx.chips(spark, d), 8, 8, 1, (16, 16)).select("chip_id", F.size("data").alias("n"), F.round(_checksum(F.col("data")), 6).alias("checksum"))
+    return ch.resampled(fx.chips(spark, d), 8, 8, 1, (16, 16)).select("chip_id", F.size("data").alias("n"), _checksum(F.col("data")).alias("checksum"))
 
 
 @book.add(sql("SELECT chip_id, (i - 1) // 16 AS row, (i - 1) // 4 % 4 AS col, (i - 1) % 4 AS channel, data[i] AS value FROM chips, range(1, 65) r(i)", "chips"), ["value"])
@@ -87,22 +102,23 @@ def g19_batch_dice(spark, d):
     return metrics.batch_dice(fx.scores(spark, d))
 
 
-SOFT = "+e AS (SELECT label % 4 AS y, [exp(data[i]) FOR i IN [1, 2, 3, 4]] AS e FROM chips) SELECT 1 - (2 * sum(e[(y + 1)::INT] / list_sum(e)) + 1) / (count(*) + count(*) + 1) AS softmax_dice FROM e"
+SOFT = "+e AS (SELECT label % 4 AS y, [exp(list_sum(data[i:i + 15])) FOR i IN [1, 17, 33, 49]] AS e FROM chips) SELECT 1 - (2 * sum(e[(y + 1)::INT] / list_sum(e)) + 1) / (count(*) + count(*) + 1) AS softmax_dice FROM e"
 
 
 @book.add(sql(SOFT, "chips"), ["softmax_dice"])
 def g18_softmax_dice(spark, d):
-    wide = fx.chips(spark, d).select(*[F.get("data", i).alias(f"z{i}") for i in range(4)], (F.col("label") % 4).alias("y"))
+    part = lambda i: F.aggregate(F.slice("data", 16 * i + 1, 16), F.lit(0.0), lambda a, x: a + x)
+    wide = fx.chips(spark, d).select(*[part(i).alias(f"z{i}") for i in range(4)], (F.col("label") % 4).alias("y"))
     return metrics.softmax_dice(wide, [f"z{i}" for i in range(4)], "y")
 
 
-PRED = "+p AS (SELECT label % 4 AS t, list_position(data[1:4], list_max(data[1:4])) - 1 AS p FROM chips)"
+PRED = "+p AS (SELECT label % 4 AS t, (list_position(data, list_max(data)) - 1) % 4 AS p FROM chips)"
 PER = PRED + """, c AS (SELECT class, (SELECT count(*) FROM p WHERE t = class AND p = class) AS tp, (SELECT count(*) FROM p WHERE t <> class AND p = class) AS fp, (SELECT count(*) FROM p WHERE t = class AND p <> class) AS fn FROM (SELECT t AS class FROM p UNION SELECT p FROM p)),
  m AS (SELECT class, tp, fp, fn, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS recall, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS precision, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)::DOUBLE AS f1, coalesce(tp / nullif(tp + fp + fn, 0), 0)::DOUBLE AS iou FROM c)"""
 
 
 def _predicted(spark, d):
-    return fx.chips(spark, d).select((F.col("label") % 4).alias("t"), bands.arg_max(F.slice("data", 1, 4)).alias("p"))
+    return fx.chips(spark, d).select((F.col("label") % 4).alias("t"), (bands.arg_max(F.col("data")) % 4).alias("p"))
 
 
 @book.add(sql(PRED + " SELECT t, p, count(*) AS n FROM p GROUP BY t, p", "chips"))
@@ -180,6 +196,50 @@ def sk1_sk5_write_tiles(spark, d):
     return spark.read.parquet(path).select("year", "row", "col", "class")
 
 
+@book.add(sql("SELECT year, row, col, class, 30.0 * col + 1000 AS x, -30.0 * row + 5000 AS y FROM landcover", "landcover"), ["x", "y"])
+def sk2_write_mosaic(spark, d):
+    """A mosaic and its transform, written and read back with map coordinates."""
+    path = _fresh(spark)
+    scans.write_mosaic(fx.landcover(spark, d), path, (30.0, 1000.0, -30.0, 5000.0), ["year"])
+    return scans.read_mosaic(spark, path).select("year", "row", "col", "class", "x", "y")
+
+
+SPLIT = "CASE WHEN n < floor(k * 0.6 + 1e-9) THEN 'train' WHEN n < floor(k * 0.8 + 1e-9) THEN 'validation' ELSE 'test' END AS split"
+
+
+@book.add(sql(f"+r AS (SELECT chip_id, label, row_number() OVER (ORDER BY {_hash(0)}, chip_id) - 1 AS n, (SELECT count(*) FROM chips) AS k FROM chips) SELECT chip_id, label, {SPLIT} FROM r", "chips"))
+def sk3_append_chip_records(spark, d):
+    """Chip records appended to the files of their split, in two runs."""
+    path, c = _fresh(spark), sampling.split(fx.chips(spark, d).select("chip_id", "label"), "chip_id").select("chip_id", "label", "split")
+    for part in (c.where("label % 2 = 0"), c.where("label % 2 <> 0 or label is null")):
+        scans.append_records(part, path)
+    return spark.read.parquet(path).select("chip_id", "label", "split")
+
+
+@book.add(sql(f"+r AS (SELECT id, x, y, row_number() OVER (ORDER BY {_hash(0).replace('chip_id', 'id')}, id) - 1 AS n, (SELECT count(*) FROM points) AS k FROM points) SELECT id, x, y, {SPLIT} FROM r", "points"), ["x", "y"])
+def sk8_split_directories(spark, d):
+    """Points placed in a directory for each split, read back directory by directory."""
+    path, p = _fresh(spark), fx.points(spark, d)
+    scans.place_by_split(p, sampling.split(p.select("id"), "id"), path)
+    back = [spark.read.parquet(f"{path}/split={s}").select("id", "x", "y", F.lit(s).alias("split")) for s in ("train", "validation", "test")]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+@book.add(sql("SELECT scene_id, tile, cloud_pct FROM scenes WHERE scene_id IN (SELECT o_orderkey % 1000 + 119700 FROM orders)", "scenes"))
+def f5_scene_by_id(spark, d):
+    wanted = fx.table(spark, d, "orders").select((F.col("o_orderkey") % 1000 + 119700).cast("long").alias("scene_id"))
+    return scans.scenes_by_id(fx.scenes(spark, d), wanted).select("scene_id", "tile", "cloud_pct")
+
+
+@book.add(sql("SELECT scene_id, row, col, CASE WHEN red <> 0 THEN red / 1000 END AS red, coalesce((nir / 1000 - red / 1000) / nullif(nir / 1000 + red / 1000, 0), 0) AS ndvi FROM scene_pixels", "scene_pixels"), ["red", "ndvi"])
+def ud2_per_image_functions(spark, d):
+    """Scaling, an index and a mask as functions of images over the whole collection."""
+    scaled = lambda p: p.withColumns({b: F.col(b) / 1000 for b in ("red", "nir")})
+    index = lambda p: p.withColumn("ndvi", bands.normalized_difference("nir", "red"))
+    masked = lambda p: p.withColumn("red", bands.self_mask("red"))
+    return scans.map_images(fx.scene_pixels(spark, d), scaled, index, masked).select("scene_id", "row", "col", "red", "ndvi")
+
+
 @book.add(sql("SELECT id, x, y FROM points WHERE id > 100", "points"), ["x", "y"])
 def sk6_write_points(spark, d):
     path = _fresh(spark)

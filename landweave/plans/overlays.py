@@ -33,9 +33,9 @@ def j4_u3_not_done(spark, d):
     return overlay.not_done(s, s.where("cloud_pct > 60"), ["scene_id"]).select("scene_id", "tile")
 
 
-@book.add(sql("SELECT s.grid_name FROM sheets s WHERE EXISTS (SELECT 1 FROM points p WHERE p.category = 'BUILDING' AND p.x - 0.01 <= s.maxx AND p.x + 0.01 >= s.minx AND p.y - 0.01 <= s.maxy AND p.y + 0.01 >= s.miny AND p.id % 10 = 0)", "sheets", "points"))
+@book.add(sql("SELECT s.grid_name FROM sheets s WHERE EXISTS (SELECT 1 FROM points p WHERE p.category = 'BUILDING' AND p.x - 0.01 <= s.maxx AND p.x + 0.01 >= s.minx AND p.y - 0.01 <= s.maxy AND p.y + 0.01 >= s.miny)", "sheets", "points"))
 def j5_features_in_region(spark, d):
-    r = fx.points(spark, d).where("category = 'BUILDING' and id % 10 = 0").select((F.col("x") - 0.01).alias("minx"), (F.col("y") - 0.01).alias("miny"), (F.col("x") + 0.01).alias("maxx"), (F.col("y") + 0.01).alias("maxy"))
+    r = fx.points(spark, d).where("category = 'BUILDING'").select((F.col("x") - 0.01).alias("minx"), (F.col("y") - 0.01).alias("miny"), (F.col("x") + 0.01).alias("maxx"), (F.col("y") + 0.01).alias("maxy"))
     return overlay.intersecting(fx.sheets(spark, d), r).select("grid_name")
 
 
@@ -97,8 +97,7 @@ def j15_corrected_labels(spark, d):
 
 @book.add(sql("SELECT row, col, sum(red) AS red, count(*) AS n FROM scene_pixels GROUP BY row, col", "scene_pixels"), ["red"])
 def g2_pixel_sum(spark, d):
-    p = fx.scene_pixels(spark, d)
-    return composite.total(p, "red").join(composite.total(p.withColumn("n", F.lit(1).cast("long")), "n"), ["row", "col"])
+    return composite.total(fx.scene_pixels(spark, d).withColumn("n", F.lit(1).cast("long")), ["red", "n"])
 
 
 @book.add(sql("SELECT quantile_cont(red, 0.03) AS red_p3, quantile_cont(red, 0.98) AS red_p98, quantile_cont(nir, 0.03) AS nir_p3, quantile_cont(nir, 0.98) AS nir_p98 FROM scene_pixels", "scene_pixels"), ["red_p3", "red_p98", "nir_p3", "nir_p98"])
@@ -183,10 +182,10 @@ def n4_moving_max(spark, d):
     return neighborhood.moving_max(s, "y_pred", 8, ["chip_id"])
 
 
-@book.add(sql("+o AS (SELECT a.r::INT AS r, b.r::INT AS c FROM range(-5, 6) a(r), range(-5, 6) b(r) WHERE a.r * a.r + b.r * b.r <= 25), wt AS (SELECT row, col FROM landcover WHERE year = 1998 AND class = 33), s AS (SELECT (row + r)::INT AS row, (col + c)::INT AS col, min(sqrt(r * r + c * c)) AS distance FROM wt, o GROUP BY 1, 2) SELECT row, col, distance FROM s, g WHERE distance > 0 AND row >= 0 AND col >= 0 AND row < g AND col < g", "landcover"), ["distance"])
+@book.add(sql("+o AS (SELECT a.r::INT AS r, b.r::INT AS c FROM range(-5, 6) a(r), range(-5, 6) b(r) WHERE a.r * a.r + b.r * b.r <= 25), wt AS (SELECT year, row, col FROM landcover WHERE class = 33), s AS (SELECT year, (row + r)::INT AS row, (col + c)::INT AS col, min(sqrt(r * r + c * c)) AS distance FROM wt, o GROUP BY ALL) SELECT year, row, col, distance FROM s, g WHERE distance > 0 AND row >= 0 AND col >= 0 AND row < g AND col < g", "landcover"), ["distance"])
 def n5_near_water(spark, d):
     g = fx.grid_size(spark, d)
-    return neighborhood.near_but_not(fx.landcover(spark, d).where("year = 1998 and class = 33"), 5, shape=(g, g))
+    return neighborhood.near_but_not(fx.landcover(spark, d).where("class = 33"), 5, ["year"], (g, g))
 
 
 @book.add(sql("SELECT grid_name, i * 0.25::DOUBLE AS x, j * 0.25::DOUBLE AS y FROM sheets, range(0, 20) a(i), range(0, 20) b(j) WHERE i * 0.25 >= minx AND i * 0.25 < maxx AND j * 0.25 >= miny AND j * 0.25 < maxy", "sheets"), ["x", "y"])
@@ -199,15 +198,15 @@ def n8_coarser_mode(spark, d):
     return composite.coarser(fx.landcover(spark, d), "class", 4)
 
 
-@book.add(sql("SELECT (row // 5)::INT AS row, (col // 5)::INT AS col, arg_min(class, (pow(row % 5 - 2, 2) + pow(col % 5 - 2, 2)) * 1000000000 + row * 10000 + col) AS class FROM landcover WHERE year = 1998 GROUP BY 1, 2", "landcover"))
+@book.add(sql("SELECT year, (row // 5)::INT AS row, (col // 5)::INT AS col, arg_min(class, (pow(row % 5 - 2, 2) + pow(col % 5 - 2, 2)) * 1000000000 + row * 10000 + col) AS class FROM landcover GROUP BY ALL", "landcover"))
 def n8_coarser_nearest(spark, d):
-    return composite.coarser(fx.landcover(spark, d).where("year = 1998"), "class", 5, "nearest")
+    return composite.coarser(fx.landcover(spark, d), "class", 5, "nearest", ["year"])
 
 
-@book.add(sql("+t AS (SELECT row, col, ti::INT AS ti, tj::INT AS tj FROM landcover, range(0, 400) a(ti), range(0, 400) b(tj) WHERE year = 1998 AND ti BETWEEN greatest(0, (row - 4 + 800) // 8 - 100) AND (row + 4) // 8 AND tj BETWEEN greatest(0, (col - 4 + 800) // 8 - 100) AND (col + 4) // 8) SELECT ti, tj, count(*) AS pixels, sum((ti = row // 8 AND tj = col // 8)::INT)::BIGINT AS core FROM t GROUP BY ti, tj", "landcover"))
+@book.add(sql("+u AS (SELECT row, col, unnest(range(greatest(0, (row - 4 + 800) // 8 - 100), (row + 4) // 8 + 1)) AS ti, year FROM landcover), t AS (SELECT year, row, col, ti::INT AS ti, unnest(range(greatest(0, (col - 4 + 800) // 8 - 100), (col + 4) // 8 + 1))::INT AS tj FROM u) SELECT year, ti, tj, count(*) AS pixels, sum((ti = row // 8 AND tj = col // 8)::INT)::BIGINT AS core FROM t GROUP BY year, ti, tj", "landcover"))
 def n9_overlapping_tiles(spark, d):
-    t = neighborhood.overlapping_tiles(fx.landcover(spark, d).where("year = 1998"), 16, 8)
-    return t.groupBy("ti", "tj").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("core").cast("int")).alias("core"))
+    t = neighborhood.overlapping_tiles(fx.landcover(spark, d), 16, 8)
+    return t.groupBy("year", "ti", "tj").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("core").cast("int")).alias("core"))
 
 
 @book.add(sql("SELECT scene_id, cloud_pct FROM scenes ORDER BY cloud_pct, scene_id OFFSET 5 LIMIT 3", "scenes"))

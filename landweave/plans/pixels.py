@@ -245,13 +245,13 @@ def x4_x5_x6_x7_calendar(spark, d):
     return fx.scenes(spark, d).select("scene_id", text(a).alias("s0"), text(b).alias("s1"), text(e).alias("m0"), text(f).alias("m1"), geo.analysis_year(F.col("acq_date")).alias("label_year"), m.alias("mon"))
 
 
-@book.add(sql("SELECT row, col, 30.0 * col + 1000 AS x, -30.0 * row + 5000 AS y, 1000 + 30.0 * (col // 60 * 60) AS tile_c, 5000 - 30.0 * (row // 60 * 60) AS tile_f FROM cells", "cells"), ["x", "y", "tile_c", "tile_f"])
+@book.add(sql("SELECT year, row, col, class, 30.0 * col + 1000 AS x, -30.0 * row + 5000 AS y, 1000 + 30.0 * (col // 60 * 60) AS tile_c, 5000 - 30.0 * (row // 60 * 60) AS tile_f FROM landcover", "landcover"), ["x", "y", "tile_c", "tile_f"])
 def x8_x11_affine(spark, d):
-    c = fx.cells(spark, fx.grid_size(spark, d))
+    c = fx.landcover(spark, d)
     one = [F.lit(v) for v in (30.0, 1000.0, -30.0, 5000.0)]
     x, y = geo.pixel_to_map(*one, F.col("row"), F.col("col"))
     t = geo.tile_transform(*one, F.floor(F.col("row") / 60) * 60, F.floor(F.col("col") / 60) * 60)
-    return c.select("row", "col", x.alias("x"), y.alias("y"), t["c"].alias("tile_c"), t["f"].alias("tile_f"))
+    return c.select("year", "row", "col", "class", x.alias("x"), y.alias("y"), t["c"].alias("tile_c"), t["f"].alias("tile_f"))
 
 
 @book.add(sql("+s AS (SELECT x, y, lead(x) OVER (ORDER BY x) - x AS dx FROM (SELECT DISTINCT x, 0 AS y FROM points)), t AS (SELECT lead(y) OVER (ORDER BY y) - y AS dy FROM (SELECT DISTINCT y FROM points)) SELECT (SELECT min(dx) FROM s) AS a, (SELECT min(x) FROM points) AS c, -(SELECT min(dy) FROM t) AS e, (SELECT max(y) FROM points) AS f", "points"), ["a", "c", "e", "f"])

@@ -31,15 +31,16 @@ def cells(spark: SparkSession, g: int) -> DataFrame:
 
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``year, row, col`` of forest pixels: a fixed base, cleared and regrown by events of the orders."""
+    """``year, row, col`` of forest pixels: a base that all order lines of a cell decide, cleared and regrown by events."""
     g = grid_size(spark, sf_dir)
-    events = table(spark, sf_dir, "lineitem").where("l_quantity > 48 and l_returnflag in ('A', 'R')")
+    lines = table(spark, sf_dir, "lineitem")
+    base = lines.groupBy(*_cell(g)).agg((F.sum(F.col("l_orderkey") + F.col("l_partkey") * 7 + F.col("l_suppkey")) % 100 < 35).cast("int").alias("base"))
+    events = lines.where("l_quantity > 48 and l_returnflag in ('A', 'R')")
     events = events.groupBy(*_cell(g), F.year("l_shipdate").alias("y")).agg(F.max((F.col("l_returnflag") == "A").cast("int")).alias("state"))
     history = events.groupBy("row", "col").agg(F.collect_list(F.struct("y", "state")).alias("h"))
-    base = ((F.col("row") * 7919 + F.col("col").cast("long") * 104729 + ((F.col("row") * F.col("col")) % 97) * 31) % 100 < 30).cast("int")
-    full = cells(spark, g).join(history, ["row", "col"], "left").withColumn("year", F.explode(F.array(*[F.lit(y) for y in YEARS])))
+    full = base.join(history, ["row", "col"], "left").withColumn("year", F.explode(F.array(*[F.lit(y) for y in YEARS])))
     last = F.array_max(F.filter("h", lambda e: e["y"] <= F.col("year")))["state"]
-    return full.where(F.coalesce(last, base) == 1).select("year", "row", "col")
+    return full.where(F.coalesce(last, F.col("base")) == 1).select("year", "row", "col")
 
 
 def landcover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +110,10 @@ SQL = {
     "li": "SELECT *, (l_orderkey % g)::INT AS row, (l_partkey % g)::INT AS col, year(l_shipdate)::INT AS y, month(l_shipdate)::INT AS mon FROM lineitem, g",
     "cells": "SELECT a.r::INT AS row, b.r::INT AS col FROM g, range(g) a(r), range(g) b(r)",
     "ev": "SELECT row, col, y, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS state FROM li WHERE l_quantity > 48 AND l_returnflag IN ('A', 'R') GROUP BY ALL",
-    "forest": """SELECT year, row, col FROM (SELECT yr.r::INT AS year, cells.row, cells.col, arg_max(ev.state, ev.y) AS last
-        FROM cells CROSS JOIN range(1995, 2002) yr(r) LEFT JOIN ev ON ev.row = cells.row AND ev.col = cells.col AND ev.y <= yr.r GROUP BY ALL)
-        WHERE coalesce(last, CASE WHEN (row * 7919 + col::BIGINT * 104729 + ((row * col) % 97) * 31) % 100 < 30 THEN 1 ELSE 0 END) = 1""",
+    "base": "SELECT row, col, CASE WHEN sum(l_orderkey + l_partkey * 7 + l_suppkey) % 100 < 35 THEN 1 ELSE 0 END AS base FROM li GROUP BY ALL",
+    "forest": """SELECT year, row, col FROM (SELECT yr.r::INT AS year, b.row, b.col, any_value(b.base) AS base, arg_max(ev.state, ev.y) AS last
+        FROM base b CROSS JOIN range(1995, 2002) yr(r) LEFT JOIN ev ON ev.row = b.row AND ev.col = b.col AND ev.y <= yr.r GROUP BY yr.r, b.row, b.col)
+        WHERE coalesce(last, base) = 1""",
     "landcover": "SELECT y AS year, row, col, max([3, 6, 9, 12, 15, 18, 24, 30, 33][((l_orderkey + l_partkey) % 9 + 1)::INT]) AS class FROM li GROUP BY ALL",
     "scenes": "SELECT *, (scene_id * 37 % 101)::INT AS cloud_pct FROM (SELECT DISTINCT ((y * 12 + mon) * 5 + l_suppkey % 5)::BIGINT AS scene_id, date_trunc('month', l_shipdate)::DATE AS acq_date, (l_suppkey % 5)::INT AS tile FROM li)",
     "scene_pixels": """SELECT ((y * 12 + mon) * 5 + l_suppkey % 5)::BIGINT AS scene_id, row, col, max(l_tax::DOUBLE * 1000) AS blue, max(l_discount::DOUBLE * 1000) AS green, max(l_quantity::DOUBLE * 20) AS red,
@@ -127,7 +129,7 @@ SQL = {
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:
     """``body`` under the definitions of ``names`` and of what they use."""
-    needs = {"li": ["g"], "cells": ["g"], "ev": ["li"], "forest": ["cells", "ev"], "landcover": ["li"], "scenes": ["li"], "scene_pixels": ["li"], "cloud_score": ["scene_pixels"], "scores": ["chips"]}
+    needs = {"li": ["g"], "cells": ["g"], "ev": ["li"], "base": ["li"], "forest": ["base", "ev"], "landcover": ["li"], "scenes": ["li"], "scene_pixels": ["li"], "cloud_score": ["scene_pixels"], "scores": ["chips"]}
     wanted: set[str] = set()
 
     def add(n: str) -> None:

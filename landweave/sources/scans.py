@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from landweave.functions.geo import pixel_to_map
+
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """SC1: ``path, length, modified`` of files by pattern; their content is not read."""
@@ -48,8 +50,10 @@ def band_array(bands: Sequence[str]) -> Column:
     return F.array(*[F.col(b) for b in bands])
 
 
-def property_list(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """SC9: one row with each column's values as a list, in order. For columns of small tables."""
+def property_list(df: DataFrame, columns: Sequence[str], order: str, most: int = 100_000) -> DataFrame:
+    """SC9: one row with each column's values as a list, in order; a table of more than ``most`` rows is an error, as its list would be one task's."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: keep them as a table")
     rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order])))
     return df.agg(rows.alias("r")).select(*[F.transform("r", lambda x, c=c: x[c]).alias(c) for c in columns])
 
@@ -80,11 +84,46 @@ def skip_take(df: DataFrame, order: Sequence[str], skip: int, take: int) -> Data
     return df.orderBy(*order).offset(skip).limit(take)
 
 
+def scenes_by_id(scenes: DataFrame, wanted: DataFrame, key: str = "scene_id") -> DataFrame:
+    """the scenes of the ids in ``wanted``; an id without a scene gives no row, a repeated one gives one."""
+    return scenes.join(wanted.select(key), key, "left_semi")
+
+
+def map_images(pixels: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """UD2: functions of images applied to a whole collection, one after the other; they are column expressions, so one pass does all."""
+    for step in steps:
+        pixels = pixels.transform(step)
+    return pixels
+
+
 def write_tiles(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """SK1, SK2, SK3, SK5, SK8: one Parquet table partitioned by its keys; a run replaces the partitions that it writes."""
+    """SK1, SK5: one Parquet table partitioned by its keys; a run replaces the partitions that it writes."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def write_mosaic(pixels: DataFrame, path: str, transform: tuple[float, float, float, float], keys: Sequence[str]) -> None:
+    """SK2: a mosaic in one partitioned write, and its transform (pixel width, left, pixel height, top) as a table beside it."""
+    write_tiles(pixels, f"{path}/pixels", keys)
+    pixels.sparkSession.createDataFrame([transform], "a double, c double, e double, f double").write.mode("overwrite").parquet(f"{path}/transform")
+
+
+def read_mosaic(spark: SparkSession, path: str) -> DataFrame:
+    """The pixels of :func:`write_mosaic` with ``x``, ``y``, their map coordinates by the transform that was written."""
+    t = spark.read.parquet(f"{path}/transform")
+    x, y = pixel_to_map(*[F.col(f"__t.{n}") for n in "acef"], F.col("row"), F.col("col"))
+    return spark.read.parquet(f"{path}/pixels").crossJoin(F.broadcast(t.select(F.struct("*").alias("__t")).limit(1))).withColumns({"x": x, "y": y}).drop("__t")
+
+
+def append_records(records: DataFrame, path: str, split: str = "split") -> None:
+    """SK3: records added to the files of their split; earlier ones stay."""
+    records.write.mode("append").partitionBy(split).parquet(path)
+
+
+def place_by_split(items: DataFrame, splits: DataFrame, path: str, key: str = "id", split: str = "split") -> None:
+    """SK8, Q16: items copied into a directory for each split; the source is left as it is, and items without a split stay behind."""
+    write_tiles(items.join(splits.select(key, split), key), path, [split])
+
+
 def write_points(df: DataFrame, path: str, after: int, index: str = "idx") -> None:
     """SK6: the points after an index replace the table."""
     df.where(F.col(index) > after).write.mode("overwrite").parquet(path)

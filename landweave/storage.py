@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, codec: str = "zstd", by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder, in a folder for each value of ``by``, and read it back.
 
     Cuts the lineage, so that a lost executor costs only the tasks that read the table again. The shuffle
     files of the write are dropped at its end, as nothing reads them any more.
@@ -37,7 +38,7 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -45,6 +46,11 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialize` once nothing reads them any more."""
     for df in tables:

@@ -5,12 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from landweave.plans import catalog, models, overlays, pixels
+from landweave.plans import catalog, lineages, models, overlays, pixels
 from landweave.sources import fixtures, scans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [n for b in (pixels.book, overlays.book, models.book) for n in b.sql] + ["k1_tiles", "k2_k4_k5_patches_4", "k10_g6_lineage_edges", "k14_lineage_events", "g8_class_shares", "m3_share_sample"]
+NAMES = [n for b in (pixels.book, overlays.book, models.book, lineages.book) for n in b.sql]
 
 
 @pytest.fixture(scope="module")
