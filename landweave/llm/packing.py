@@ -47,7 +47,7 @@ class Encoder:
     Texts with white space outside ASCII or with reserved strings are one unit.
     """
 
-    def __init__(self, vocabulary: str, reserved: bool = True, most: int = 500_000, longest: int = 64):
+    def __init__(self, vocabulary: str, reserved: bool = True, most: int = 150_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -16,8 +16,8 @@ Equal fingerprints are one row before any of that. The search then has two parts
    many rows a key has. What these links join is one class for now.
 2. *All pairs of two classes.* In every band each row is compared with the rows of its key that are in
    other classes, and gives at most ``FIRST`` links to the best of them; rows whose links were held back
-   are named. Keys of many rows are cut into blocks, and pairs of blocks are compared by tasks of their
-   own; where most rows of a key are of one class, only the others are copied to all blocks.
+   are named. Keys that are large in a sixteenth of the rows are cut into blocks, and pairs of blocks are
+   compared by tasks of their own; where most of such a key is one class, only the others go to all blocks.
 
 All links of both parts are then verified, first the best of every class, then what still runs between
 two classes. Named rows, and classes of part 1 whose links failed, go through part 2 again with the
@@ -44,8 +44,9 @@ from landweave.storage import discard, materialize, partitions
 
 BITS, PIVOTS, SLACK, SHORT, PASS = 512, 12, 0.12, 32, 16
 SURE, LEADERS, COPY_BANDS = 0.9, 64, 4
-#: Links a row and key at first; rows of a run that are compared offset by offset; rows of a block, and the most keys or classes that may be called large (their table is broadcast).
-FIRST, SMALL, BLOCK, LARGE = 8, 64, 1024, 100_000
+#: Links a row and key at first; rows of a run that are compared offset by offset; rows of a block; the most keys that are cut (their table goes to all tasks); one row in so many tells which.
+FIRST, SMALL, BLOCK, LARGE, SAMPLE = 8, 64, 1024, 100_000, 16
+_SIDE = np.dtype([("node", "<i8"), ("class", "<i8"), ("side", "<u4"), ("inner", "u1")])
 WORDS = BITS // 64
 _ADD = np.random.default_rng(512).integers(1, 2**63, WORDS, dtype=np.uint64)
 _LANES = np.uint64(0x0101010101010101)
@@ -129,14 +130,18 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _raw(col: pa.Array) -> np.ndarray:
-    """Rows of bytes of a ``fp`` column."""
-    col = col.cast(pa.binary(BITS // 8 + 4))
-    return np.frombuffer(col.buffers()[1], np.uint8).reshape(-1, BITS // 8 + 4)[col.offset : col.offset + len(col)]
+    """Rows of a column of equally long bytes."""
+    if not len(col):
+        return np.zeros((0, BITS // 8 + 4), np.uint8)
+    size = len(col[0].as_py())
+    col = col.cast(pa.binary(size))
+    return np.frombuffer(col.buffers()[1], np.uint8).reshape(-1, size)[col.offset : col.offset + len(col)]
 
 
 def _parted(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints and numbers of shingles."""
-    return np.ascontiguousarray(raw[:, :-4]).view(np.uint64), np.ascontiguousarray(raw[:, -4:]).view("<u4")[:, 0].astype(np.float64)
+    size = BITS // 8
+    return np.ascontiguousarray(raw[:, :size]).view(np.uint64), np.ascontiguousarray(raw[:, size : size + 4]).view("<u4")[:, 0].astype(np.float64)
 
 
 def estimate(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -154,28 +159,97 @@ def plan(count: int, similarity: float, recall: float) -> tuple[int, int, int]:
     return width, *bands
 
 
+def _banded(fp: np.ndarray, n: np.ndarray, bands: list[int], width: int, number: int):
+    """(rows, key of each) for each band; only short texts from band ``number`` on."""
+    for band in bands:
+        rng = np.random.default_rng((band, width))
+        chosen = np.zeros(BITS, np.uint8)
+        chosen[rng.choice(BITS, min(width, BITS), replace=False)] = 1
+        mask = np.packbits(chosen, bitorder="little").view(np.uint64)
+        pivots, mult = rng.integers(0, 2**64, (PIVOTS, WORDS), dtype=np.uint64) & mask, rng.integers(1, 2**63, PIVOTS + 1, dtype=np.uint64)
+        rows = np.arange(len(fp)) if band < number else np.flatnonzero(n < SHORT)
+        inside, k = fp[rows] & mask, np.full(len(rows), mult[-1])
+        for p, m in zip(pivots, mult):
+            k = textkit._mix(k * m + np.bitwise_count(inside ^ p).sum(axis=1, dtype=np.uint64))
+        yield rows, k.view(np.int64)
+
+
 def _keys(bands: list[int], width: int, number: int):
-    """Each row once a band, under the key of its coordinates; only short texts from band ``number`` on."""
+    """Each row once a band, under the key of its coordinates."""
+
+    def run(batches):
+        for b in batches:
+            for rows, k in _banded(*_parted(_raw(b.column(1))), bands, width, number):
+                yield pa.record_batch([pa.array(k), *b.take(pa.array(rows)).columns], names=["k", *b.schema.names])
+
+    return run
+
+
+class Cut:
+    """Keys that are cut, in order, with their blocks, the blocks of rows outside their main class, and that class (-1 for none)."""
+
+    def __init__(self, k, blocks, own, main):
+        order = np.argsort(np.array(k, np.int64))
+        self.k, self.blocks, self.own, self.main = (np.array(x, np.int64)[order] for x in (k, blocks, own, main))
+
+    def cells(self, k: np.ndarray, node: np.ndarray, label: np.ndarray):
+        """(row, key, side, inner): rows of other keys as they are; rows of a cut key in the cells where they meet others.
+
+        Rows outside the main class meet each other in pairs of blocks; those of the main class stay in
+        blocks of their own, which all the others visit.
+        """
+        at = np.minimum(np.searchsorted(self.k, k), max(len(self.k) - 1, 0))
+        cut = self.k[at] == k if len(self.k) else np.zeros(len(k), bool)
+        plain = np.flatnonzero(~cut)
+        yield plain, k[plain], np.zeros(len(plain), np.int64), np.ones(len(plain), bool)
+        rows = np.flatnonzero(cut)
+        at = at[rows]
+        key, spread, main = k[rows].view(np.uint64), textkit._mix(node[rows].astype(np.uint64) + np.uint64(1)) >> np.uint64(1), label[rows] == self.main[at]
+
+        def cell(kind, i, x, y):
+            h = textkit._mix(key[i] + np.uint64(kind + 1))
+            return textkit._mix(textkit._mix(h + x.astype(np.uint64)) + y.astype(np.uint64)).view(np.int64)
+
+        stay = np.flatnonzero(main)
+        x = spread[stay].astype(np.int64) % self.blocks[at[stay]]
+        yield rows[stay], cell(1, stay, x, x), np.zeros(len(stay), np.int64), np.zeros(len(stay), bool)
+        for kind, times in ((0, self.own), (1, np.where(self.main >= 0, self.blocks, 0))):
+            other = np.flatnonzero(~main)
+            count = times[at[other]]
+            i = np.repeat(other, count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            if kind:
+                yield rows[i], cell(1, i, j, j), np.ones(len(i), np.int64), np.zeros(len(i), bool)
+            else:
+                mine = spread[i].astype(np.int64) % self.own[at[i]]
+                yield rows[i], cell(0, i, np.minimum(mine, j), np.maximum(mine, j)), mine, mine == j
+
+
+def _dealt(bands: list[int], width: int, number: int, cut: Cut):
+    """``k`` and the bytes of a row (fingerprint, number of shingles, node, class, side, inner) for each cell of each band; and its failed links, if given."""
+
+    def run(batches):
+        for b in batches:
+            raw, node, label = _raw(b.column(1)), b.column(0).to_numpy(), b.column(2).to_numpy()
+            for rows, k in _banded(*_parted(raw), bands, width, number):
+                for i, key, side, inner in cut.cells(k, node[rows], label[rows]):
+                    if not len(i):
+                        continue
+                    i = rows[i]
+                    more = np.zeros(len(i), _SIDE)
+                    more["node"], more["class"], more["side"], more["inner"] = node[i], label[i], side, inner
+                    whole = np.concatenate([raw[i], more.view(np.uint8).reshape(-1, _SIDE.itemsize)], axis=1)
+                    yield pa.record_batch([pa.array(key), _fixed(whole), *(c.take(pa.array(i)) for c in b.columns[3:])], names=["k", "row", *b.schema.names[3:]])
+
+    return run
+
 
+def _sampled(bands: list[int], width: int, number: int):
     def run(batches):
-        refs = []
-        for band in bands:
-            rng = np.random.default_rng((band, width))
-            chosen = np.zeros(BITS, np.uint8)
-            chosen[rng.choice(BITS, min(width, BITS), replace=False)] = 1
-            mask = np.packbits(chosen, bitorder="little").view(np.uint64)
-            refs.append((band, mask, rng.integers(0, 2**64, (PIVOTS, WORDS), dtype=np.uint64) & mask, rng.integers(1, 2**63, PIVOTS + 1, dtype=np.uint64)))
         for b in batches:
-            fp, n = _parted(_raw(b.column(1)))
-            for band, mask, pivots, mult in refs:
-                rows, some = fp, b
-                if band >= number:
-                    short = n < SHORT
-                    rows, some = fp[short], b.filter(pa.array(short))
-                inside, k = rows & mask, np.full(len(rows), mult[-1])
-                for p, m in zip(pivots, mult):
-                    k = textkit._mix(k * m + np.bitwise_count(inside ^ p).sum(axis=1, dtype=np.uint64))
-                yield pa.record_batch([pa.array(k.view(np.int64)), *some.columns], names=["k", *b.schema.names])
+            label = b.column(2).to_numpy()
+            for rows, k in _banded(*_parted(_raw(b.column(1))), bands, width, number):
+                yield pa.record_batch([pa.array(k), pa.array(label[rows])], names=["k", "class"])
 
     return run
 
@@ -262,9 +336,10 @@ def _apart(least: float, most: int):
     """Up to ``most`` links of each row to later ones of its run in other classes, not inside a side and not failed; rows of which some were held back are linked to themselves."""
 
     def run(batches):
-        for (k, node, fp, label, failed, side, inner), edge in _runs(batches):
-            fp, n = _parted(fp)
-            side, inner = side.astype(np.int64), inner.astype(bool)
+        for (k, raw, *failed), edge in _runs(batches):
+            fp, n = _parted(raw)
+            more = np.ascontiguousarray(raw[:, BITS // 8 + 4 :]).view(_SIDE)[:, 0]
+            node, label, side, inner = more["node"].copy(), more["class"].copy(), more["side"].astype(np.int64), more["inner"].astype(bool)
             size = np.diff(edge)
             a, b, est, named = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)], []
 
@@ -273,8 +348,9 @@ def _apart(least: float, most: int):
                 i, j = (np.broadcast_to(x, some.shape)[some] for x in (i, j))
                 e, enough = _near(fp, n, i, j, least)
                 i, j, e = i[enough], j[enough], e[enough]
-                known = np.fromiter((failed[x] is not None and node[y] in failed[x] for x, y in zip(i, j)), bool, len(i))
-                i, j, e = i[~known], j[~known], e[~known]
+                if failed:
+                    known = np.fromiter((failed[0][x] is not None and node[y] in failed[0][x] for x, y in zip(i, j)), bool, len(i))
+                    i, j, e = i[~known], j[~known], e[~known]
                 if one and len(i) > most:
                     order = np.argsort(-e, kind="stable")
                     named.append(np.r_[i[:1], j[order[most:]]])
@@ -306,34 +382,24 @@ def _apart(least: float, most: int):
 
 
 def candidates(active: DataFrame, width: int, numbers: tuple[int, int], least: float, most: int) -> DataFrame:
-    """Links ``a``, ``b``, ``est`` of part 2 between the rows of ``active`` (``node``, ``fp``, ``class``, ``big``, ``failed``), and
+    """Links ``a``, ``b``, ``est`` of part 2 between the rows of ``active`` (``node``, ``fp``, ``class`` and perhaps ``failed``), and
     of rows with links held back to themselves; a few bands at a time, to bound the disk."""
     spark = active.sparkSession
-    rows = active.count()
+    total = active.count()
+    sample = active.select("node", "fp", "class").where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
+    extra = ", failed array<long>" if "failed" in active.columns else ""
     found = []
     for lo in range(0, numbers[1], PASS):
         bands = list(range(lo, min(lo + PASS, numbers[1])))
-        keyed = active.select("node", "fp", "class", "failed", "big").mapInArrow(_keys(bands, width, numbers[0]), "k long, node long, fp binary, class long, failed array<long>, big boolean")
         # Not more than LARGE keys can have so many rows.
-        block = max(BLOCK, -(-rows * len(bands) // LARGE))
-        big = F.when(F.col("big"), F.col("class"))
-        sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(big).alias("bigs"), (F.min(big) == F.max(big)).alias("one")).where(F.col("rows") > block)
-        blocks = lambda n: F.ceil(n / block).cast("int")
-        one = F.coalesce("one", F.lit(False))
-        sizes = sizes.select("k", F.when(F.col("lo") == F.col("hi"), 0).otherwise(blocks(F.col("rows"))).alias("blocks"), one.alias("one"), blocks(F.when(one, F.col("rows") - F.col("bigs")).otherwise(F.col("rows"))).alias("own"))
-        keyed = keyed.join(F.broadcast(sizes), "k", "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "one": F.coalesce("one", F.lit(False)), "own": F.coalesce("own", F.lit(1))}).where("blocks > 0")
-        place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-        cell = lambda kind, x, y, side, inner: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"), inner.alias("inner"))
-        # Pairs of blocks of the rows that are compared with each other ...
-        mine = place(F.col("own"))
-        among = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda o: cell(0, F.least(mine, o), F.greatest(mine, o), mine, mine == o))
-        # ... and, where one large class has rows here, those rows in blocks, with the others as visitors to all.
-        visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: cell(1, o, o, F.lit(1), F.lit(False)))
-        stays = F.array(cell(1, place(F.col("blocks")), place(F.col("blocks")), F.lit(0), F.lit(False)))
-        cells = F.when(F.col("one") & F.col("big"), stays).when(F.col("one"), F.concat(among, visits)).otherwise(among)
-        keyed = keyed.select("k", "node", "fp", "class", "failed", (F.col("blocks") > 1).alias("cut"), F.explode(cells).alias("c"))
-        key = F.when(F.col("cut"), F.xxhash64("k", "c.kind", "c.x", "c.y")).otherwise(F.col("k"))
-        dealt = keyed.select(key.alias("k"), "node", "fp", "class", "failed", "c.side", "c.inner").repartition(partitions(spark), "k").sortWithinPartitions("k")
+        block = max(BLOCK, -(-total * len(bands) // LARGE))
+        by_class = sample.mapInArrow(_sampled(bands, width, numbers[0]), "k long, class long").groupBy("k", "class").agg(F.count(F.lit(1)).alias("n"))
+        sizes = by_class.groupBy("k").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "class")).alias("main")).where(F.col("rows") * SAMPLE > block)
+        large, blocks = sizes.collect(), lambda rows: max(1, -(-rows * SAMPLE // block))
+        main = [r.main if 2 * r.main.n > r.rows else None for r in large]
+        cut = Cut([r.k for r in large], [blocks(r.rows) for r in large], [blocks(r.rows - (m.n if m else 0)) for r, m in zip(large, main)], [m["class"] if m else -1 for m in main])
+        keyed = active.mapInArrow(_dealt(bands, width, numbers[0], cut), f"k long, row binary{extra}")
+        dealt = keyed.repartition(partitions(spark), "k").sortWithinPartitions("k")
         found.append(materialize(dealt.mapInArrow(_apart(least, most), "a long, b long, est double")))
     every = found[0]
     for more in found[1:]:
@@ -344,10 +410,8 @@ def candidates(active: DataFrame, width: int, numbers: tuple[int, int], least: f
 
 
 def _classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``nodes`` with ``class``, their component or themselves, and ``big``, whether it has so many rows that its part of a key may have to be cut."""
-    large = labels.groupBy("component").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= BLOCK).select("component", F.lit(True).alias("big"))
-    of = labels.join(large, "component", "left")
-    return nodes.join(of, "node", "left").withColumns({"class": F.coalesce("component", "node"), "big": F.coalesce("big", F.lit(False))}).drop("component")
+    """``nodes`` with ``class``: their component or themselves."""
+    return nodes.join(labels, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("class"))
 
 
 def _similar(links: DataFrame, shingle_sets: DataFrame, similarity: float) -> DataFrame:
@@ -397,7 +461,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width, *numbers = plan(distinct.count(), similarity, recall)
     sure = copies(distinct, width)
     for_now = connected_components(sure, "a", "b")
-    active = materialize(_classed(nodes, for_now).withColumn("failed", F.lit(None).cast("array<long>")))
+    active = materialize(_classed(nodes, for_now))
     links = candidates(active, width, numbers, similarity - SLACK, FIRST)
     every = links.where("a <> b").unionByName(sure)
     asked = every.select(F.explode(F.array("a", "b")).alias("node")).union(links.select("a")).distinct()

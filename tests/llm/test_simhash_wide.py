@@ -98,6 +98,7 @@ def test_near_copies_in_a_family_of_one_template(spark):
 def test_large_keys_in_blocks_lose_no_pair(spark, monkeypatch):
     """One key holds nearly everything: a class of copies, and pages of one template that are all apart."""
     monkeypatch.setattr(wide, "BLOCK", 16)
+    monkeypatch.setattr(wide, "SAMPLE", 2)
     monkeypatch.setattr(wide, "plan", lambda count, similarity, recall: (1, 2, 2))
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
@@ -113,13 +114,16 @@ def test_rows_with_links_held_back_are_named():
     import pyarrow as pa
 
     size = wide.BITS // 8 + 4
-    fp = pa.array([bytes(size - 4) + (50).to_bytes(4, "little")] * 90, pa.binary())
-    k, node, none = np.repeat([1, 2], [20, 70]), np.arange(90), pa.array([[5]] + [None] * 89, pa.list_(pa.int64()))
-    batch = pa.record_batch([pa.array(k), pa.array(node), fp, pa.array(node), none, pa.array(np.zeros(90, np.int32)), pa.array([True] * 90)], names=["k", "node", "fp", "class", "failed", "side", "inner"])
+    more = np.zeros(90, wide._SIDE)
+    more["node"] = more["class"] = np.arange(90)
+    more["inner"] = 1
+    raw = np.concatenate([np.tile(np.frombuffer(bytes(size - 4) + (50).to_bytes(4, "little"), np.uint8), (90, 1)), more.view(np.uint8).reshape(90, -1)], axis=1)
+    k, none = np.repeat([1, 2], [20, 70]), pa.array([[5]] + [None] * 89, pa.list_(pa.int64()))
+    batch = pa.record_batch([pa.array(k), wide._fixed(raw), none], names=["k", "row", "failed"])
     out = [x for o in wide._apart(0.5, 3)([batch.slice(0, 33), batch.slice(33)]) for x in zip(o.column(0).to_pylist(), o.column(1).to_pylist())]
     links, named = {x for x in out if x[0] != x[1]}, {a for a, b in out if a == b}
     assert len(links) == 3 * 19 - 3 + 3 * 69 - 3 and (0, 5) not in links
-    assert named == set(range(90)) - {links_of for links_of in range(90) if links_of in (17, 18, 19, 87, 88, 89)} | {17, 18, 19, 87, 88, 89}
+    assert named == set(range(90))
     every = [x for o in wide._apart(0.5, 100)([batch]) for x in zip(o.column(0).to_pylist(), o.column(1).to_pylist())]
     assert len(every) == len(set(every)) == 20 * 19 // 2 - 1 + 70 * 69 // 2
 
@@ -137,3 +141,21 @@ def test_short_texts(spark):
     got = {r.doc_id: r.component_id for r in wide.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[d] in (d, d - d % 2) for d in got)
     assert sum(got[2 * i + 1] == 2 * i for i in range(240)) >= 0.9 * pairs
+
+
+def test_cells_of_cut_keys_bring_every_pair_together_once():
+    rng = np.random.default_rng(1)
+    k, node = rng.integers(0, 4, 300), np.arange(300)
+    label = np.where(rng.random(300) < 0.6, 1000, node)
+    cut = wide.Cut([2, 0], [5, 3], [3, 3], [1000, -1])
+    met = {}
+    cells = {}
+    for rows, key, side, inner in cut.cells(k, node, label):
+        for r, c, x, i in zip(rows.tolist(), key.tolist(), side.tolist(), inner.tolist()):
+            for o, y, j in cells.get(c, []):
+                if label[r] != label[o] and (i or x != y):
+                    pair = (min(r, o), max(r, o))
+                    met[pair] = met.get(pair, 0) + 1
+            cells.setdefault(c, []).append((r, x, i))
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if k[a] == k[b] and label[a] != label[b]}
+    assert met.keys() == want and set(met.values()) == {1}
