@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from landweave.llm import secrets
@@ -51,7 +53,7 @@ def test_empty(spark):
 
 
 def test_battery_finds_random_and_leaves_wording(spark):
-    import random
+
 
     rng = random.Random(5)
     texts = {i: "a key " + "".join(rng.choice(secrets.B64) for _ in range(60)) + " end" for i in range(20)}
@@ -60,3 +62,84 @@ def test_battery_finds_random_and_leaves_wording(spark):
     found = {r.doc_id: r.n_random for r in secrets.digest(docs).collect()}
     assert sum(found[i] for i in range(20)) >= 16
     assert sum(found[i] for i in found if i >= 100) == 0
+
+
+def plain_p(token, encoding):
+    """The battery's p-values, character by character."""
+    abc, n = secrets.ALPHABETS[encoding], len(token)
+    s2, s3, rate = secrets.WORDING[encoding]
+    kind = lambda c: 0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2)) if z > 0 else 1.0
+    pairs = n * (n - 1) / 2
+    same = sum(token[i] == token[j] for i in range(n) for j in range(i))
+    even = upper((pairs * s2 - same) / math.sqrt(pairs * (s2 - s2**2 + 2 * (n - 2) * (s3 - s2**2))))
+    chi = upper((same - pairs / len(abc)) / math.sqrt(pairs / len(abc) * (1 - 1 / len(abc))))
+    changes = sum(kind(a) != kind(b) for a, b in zip(token, token[1:]))
+    x = changes / (n - 1)
+    far = (x * math.log(x / rate) if x else 0) + ((1 - x) * math.log((1 - x) / (1 - rate)) if x < 1 else 0)
+    change = math.exp(-(n - 1) * far) if x > rate else 1.0
+    level = [4 * abc.index(c) // len(abc) for c in token]
+    mean = sum(level) / n
+    var = sum((v - mean) ** 2 for v in level)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(level, level[1:])) / var if var else 1.0
+    return chi, even, change, serial
+
+
+def test_battery_is_the_plain_one(spark):
+    rng = random.Random(8)
+    tokens = [("".join(rng.choice(secrets.ALPHABETS[k]) for _ in range(n)), k) for k in secrets.ALPHABETS for n in (20, 33, 64, 500) for _ in range(3)]
+    tokens = [(t, k) for t, k in tokens if not t.isdigit()] + [("abcdefghijklmnopqrstuvwxyz", "base36"), ("z" * 25, "base36"), ("ZZZZBBBB2222CCCCXXXX", "base32"), ("aB3/" * 20, "base64")]
+    got = {r.t: r for r in secrets.battery(spark.createDataFrame([(t,) for t, _ in tokens], "t string")).collect()}
+    for t, k in tokens:
+        r = got[t]
+        want = plain_p(t, k)
+        assert r.encoding == k and r.n == len(t)
+        for mine, true in zip((r.p_chi, r.p_even, r.p_change, r.serial), want):
+            assert abs(mine - true) <= 1e-6 + 1e-3 * abs(true), (t, k)
+
+
+def test_p_values_hold_for_wording(spark):
+    """Letters drawn with the shares of ordinary wording, classes changing at its rate: few small p-values."""
+    rng = random.Random(9)
+    shares = [0.12, 0.09, 0.08, 0.075, 0.07, 0.065, 0.06, 0.06, 0.055, 0.05, 0.04, 0.035, 0.03, 0.03, 0.025, 0.02, 0.02, 0.02, 0.015, 0.01, 0.01, 0.005, 0.005, 0.005, 0.0025, 0.0025]
+    rows = []
+    for _ in range(4000):
+        text, up = "", False
+        for c in rng.choices("etaoinshrdlcumwfgypbvkjxqz", shares, k=rng.choice((20, 30, 45))):
+            up = up != (rng.random() < 0.12)
+            text += c.upper() if up else c
+        rows.append((text,))
+    p = [r.p_wording for r in secrets.battery(spark.createDataFrame(rows, "t string")).collect()]
+    for level in (0.1, 0.01, 0.001):
+        assert sum(x <= level for x in p) <= 3 * level * len(p) + 3
+
+
+def test_share_of_random_tokens_found_among_documents(spark):
+    """Forty tokens of each kind among all documents of sf0.01; nothing else may be found."""
+    rng = random.Random(10)
+    docs = spark.read.parquet(DATA).select("doc_id", "text")
+    kinds = [("base64", 24), ("base64", 32), ("base64", 40), ("base64", 64), ("base32", 32), ("base36", 32)]
+    found = {}
+    for k, n in kinds:
+        tokens = ["".join(rng.choice(secrets.ALPHABETS[k]) for _ in range(n)) for _ in range(40)]
+        more = spark.createDataFrame([(10**6 + i, f"see the value {t} in the notes") for i, t in enumerate(tokens)], "doc_id long, text string")
+        rows = {r.doc_id: r.n_random for r in secrets.digest(docs.unionByName(more)).collect()}
+        found[k, n] = sum(rows[10**6 + i] for i in range(40))
+        assert sum(v for d, v in rows.items() if d < 10**6) == 0
+    print(found)
+    assert found["base64", 40] >= 36 and found["base64", 64] >= 38 and found["base64", 32] >= 28
+
+
+def test_work_grows_in_proportion_to_the_matches_of_one_text(spark):
+    import time
+
+    def took(n):
+        text = " ".join("0123456789abcdef01234567" for _ in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        rows = secrets.digest(docs).collect()
+        check(rows, {1: text})
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(32000) < 16 * max(took(4000), 1)
