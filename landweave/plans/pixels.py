@@ -71,10 +71,11 @@ def sc8_band_array(spark, d):
     return fx.scene_pixels(spark, d).select(*KEYS, F.array_join(whole, "|").alias("bands"))
 
 
-@book.add(sql("SELECT tile, string_agg(scene_id, ',' ORDER BY scene_id) AS scene_ids FROM scenes GROUP BY tile", "scenes"))
+@book.add(sql("SELECT string_agg(scene_id, ',' ORDER BY scene_id) AS scene_ids, string_agg(tile, ',' ORDER BY scene_id) AS tiles FROM scenes", "scenes"))
 def sc9_property_list(spark, d):
-    listed = fx.scenes(spark, d).groupBy("tile").agg(F.array_sort(F.collect_list("scene_id")).alias("s"))
-    return listed.select("tile", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("scene_ids"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    listed = scans.property_list(fx.scenes(spark, d), ["scene_id", "tile"], "scene_id")
+    return listed.select(text("scene_id").alias("scene_ids"), text("tile").alias("tiles"))
 
 
 @book.add(sql("SELECT row, sum(pow(6371008.8 * radians(0.00027), 2) * cos(radians(-5.0 - row * 0.00027)) / 10000) AS area_ha FROM landcover WHERE year = 1998 GROUP BY row", "landcover"), ["area_ha"])

@@ -55,7 +55,8 @@ def property_list(df: DataFrame, columns: Sequence[str], order: str, most: int =
     if df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows: keep them as a table")
     rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order])))
-    return df.agg(rows.alias("r")).select(*[F.transform("r", lambda x, c=c: x[c]).alias(c) for c in columns])
+    field = lambda c: lambda x: x[c]
+    return df.agg(rows.alias("r")).select(*[F.transform("r", field(c)).alias(c) for c in columns])
 
 
 def constant(df: DataFrame, value=1, name: str = "constant") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from landweave.functions import arrays, bands, geo
 from landweave.operators import chips, composite, metrics, neighborhood, overlay, ranking, sampling
+from landweave.sources import scans
 
 
 def column(spark, values, expr, kind="double"):
@@ -160,3 +161,21 @@ def test_points_on_edges_take_the_first_region(spark):
     pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.75, 0.5), (3, 1.0, 0.5), (4, 2.0, 0.5), (4, 2.0, 0.5)], "id int, x double, y double")
     got = sorted((r.id, r.name) for r in overlay.points_in(pts, regions, "name", "o", "none").collect())
     assert got == [(1, "a"), (2, "a"), (3, "b"), (4, "none"), (4, "none")]
+
+
+def test_quantiles_are_exact_and_interpolated(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v)) for k, n in ((1, 1), (2, 2), (3, 501)) for v in np.round(rng.normal(size=n), 1)] + [(3, None), (4, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    points = (0.0, 0.03, 0.5, 0.98, 1.0)
+    got = {r.k: r.q for r in composite.quantiles(df, "v", points, ["k"]).collect()}
+    assert set(got) == {1, 2, 3}
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile([v for i, v in rows if i == k and v is not None], points))
+
+
+def test_property_lists_are_bounded(spark):
+    df = spark.range(20).withColumnRenamed("id", "k")
+    assert scans.property_list(df, ["k"], "k").first().k == list(range(20))
+    with pytest.raises(ValueError):
+        scans.property_list(df, ["k"], "k", most=19)
