@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.llm import decontam, langid, linededup, packing, simhash_wide
-from landweave.storage import materialize
+from landweave.storage import discard, materialize
 
 #: Documents that score lower are of no known language. Ordinary text scores several times as much.
 LEAST_SCORE = 0.05
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        read, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)
