@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landweave.operators.ranking import number_rows
-from landweave.storage import materialize
+from landweave.storage import discard, materialize
 
 
 def _node(rows: DataFrame, file: Column, node: Column, order: str) -> DataFrame:
@@ -70,6 +70,7 @@ def audit(master: DataFrame, replica: DataFrame, range_bytes: int = 1 << 16, fan
             parent = (F.col("file") == F.col("pf")) & (F.floor(F.col("node") / fan) == F.col("pn"))
         bad = _differ(levels[level].join(up, parent, "left_semi"), "node").select("file", "node")
     up = materialize(bad.select(F.col("file").alias("pf"), F.col("node").alias("pn")))
+    discard(*levels)
     near = leaves.join(up, (F.col("file") == F.col("pf")) & (F.floor(F.col("offset") / range_bytes) == F.col("pn")), "left_semi")
     places = near.groupBy("side", "file", "offset").agg(F.array_join(F.array_sort(F.collect_list("hash")), ",").alias("hash"))
     kind = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("changed")

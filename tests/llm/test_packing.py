@@ -98,6 +98,26 @@ def test_plan_keeps_to_the_histogram():
     assert share > 0.9
 
 
+def test_repeat_counts_are_least_squares():
+    """Beside coordinate descent to convergence, which solves small problems exactly."""
+    rng = np.random.default_rng(4)
+    for window in (16, 40):
+        h = np.zeros(window + 1, np.int64)
+        h[1:window] = rng.poisson(30, window - 1) * (rng.random(window - 1) < 0.8)
+        rows = packing.combinations(window, h, step=4)
+        use = np.stack([np.bincount(r[r > 0], minlength=window + 1) for r in rows], 1).astype(float)
+        x = np.zeros(len(rows))
+        left = h.astype(float)
+        for _ in range(3000):
+            for j in range(len(rows)):
+                step = max(-x[j], use[:, j] @ left / (use[:, j] @ use[:, j]))
+                x[j] += step
+                left -= step * use[:, j]
+        best = left @ left
+        mine = h - use @ packing.nnls(rows, h.astype(float), rounds=3000)
+        assert (packing.nnls(rows, h.astype(float)) >= 0).all() and mine @ mine <= 1.02 * best + 1e-6
+
+
 def test_pack_gives_the_sequences(spark):
     rows = [(1, "word " * 5000), (2, None), (3, "a few words"), (4, "other words here " * 900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
