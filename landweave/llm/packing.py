@@ -47,7 +47,7 @@ class Encoder:
     Texts with white space outside ASCII or with reserved strings are one unit.
     """
 
-    def __init__(self, vocabulary: str, reserved: bool = True, most: int = 150_000, longest: int = 64):
+    def __init__(self, vocabulary: str, reserved: bool = True, most: int = 200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,7 +60,9 @@ class Encoder:
         # Without the first bytes of white space outside ASCII.
         self.word = re.compile(rb" ?[^\s<\xc2\xe1-\xe3]+")
         self.line = self._ids(b"\n")
+        # Two generations of words: what is used again moves to the younger one.
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most, self.longest = most, longest
 
     def _units(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -84,7 +86,8 @@ class Encoder:
 
     def _encoded(self, units: list[bytes]) -> list[bytes]:
         if len(self.cache) > self.most:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
+        self.cache.update((u, self.older[u]) for u in units if u in self.older)
         new = [u for u in units if u not in self.cache]
         made = {}
         # Words are encoded many at a time, with line ends between them, which no word's ids hold.
