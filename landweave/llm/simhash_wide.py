@@ -11,18 +11,18 @@ of few shingles say less, so texts of under ``SHORT`` shingles get more bands an
 
 Equal fingerprints are one row before any of that. The search then has two parts:
 
-1. *Groups of copies.* In a few bands each row is held against the first rows of its key and takes one
-   link to a row that is alike beyond doubt (``SURE``). The work is ``LEADERS`` comparisons a row, however
-   many rows a key has. What these links join is one class for now.
+1. *Groups of copies.* In a few bands each row is held against the first ``LEADERS`` rows of its key and
+   takes one link to the best of them, if that may be a copy. These links are verified and make classes,
+   so a group of any size costs a few links a row from here on.
 2. *All pairs of two classes.* In every band each row is compared with the rows of its key that are in
    other classes, and gives at most ``FIRST`` links to the best of them; rows whose links were held back
    are named. Keys that are large in a sixteenth of the rows are cut into blocks, and pairs of blocks are
    compared by tasks of their own; where most of such a key is one class, only the others go to all blocks.
 
-All links of both parts are then verified, first the best of every class, then what still runs between
-two classes. Named rows, and classes of part 1 whose links failed, go through part 2 again with the
-classes and failed links known and a larger allowance, until nothing is held back. So within the bands
-no pair is lost to a group's size, and no class rests on a link below ``similarity``.
+All links are verified, first the best of every class, then what still runs between two classes. Named
+rows ask again with a larger allowance, the classes and failed links known, until nothing is held back;
+only rows of keys that a named row has move then. So within the bands no pair is lost to a group's size,
+and no class rests on a link below ``similarity``.
 
 Cases: texts without words are one class; with fewer words than a shingle, all words are one shingle;
 rows that repeat an id or text are kept; an empty table gives an empty result; other columns are ignored.
@@ -43,10 +43,12 @@ from landweave.operators.skew import join_counted
 from landweave.storage import discard, materialize, partitions
 
 BITS, PIVOTS, SLACK, SHORT, PASS = 512, 12, 0.12, 32, 16
-SURE, LEADERS, COPY_BANDS = 0.9, 64, 4
+MAYBE, LEADERS, COPY_BANDS = 0.76, 64, 4
 #: Links a row and key at first; rows of a run that are compared offset by offset; rows of a block; the most keys that are cut (their table goes to all tasks); one row in so many tells which.
-FIRST, SMALL, BLOCK, LARGE, SAMPLE = 8, 64, 1024, 100_000, 16
-_SIDE = np.dtype([("node", "<i8"), ("class", "<i8"), ("side", "<u4"), ("inner", "u1")])
+FIRST, SMALL, BLOCK, LARGE, SAMPLE = 2, 64, 1024, 100_000, 16
+_SIDE = np.dtype([("node", "<i8"), ("class", "<i8"), ("side", "<u4"), ("inner", "u1"), ("asks", "u1")])
+#: Keys fall into so many cells where named rows tell which keys they have.
+CELLS = 1 << 20
 WORDS = BITS // 64
 _ADD = np.random.default_rng(512).integers(1, 2**63, WORDS, dtype=np.uint64)
 _LANES = np.uint64(0x0101010101010101)
@@ -225,31 +227,50 @@ class Cut:
                 yield rows[i], cell(0, i, np.minimum(mine, j), np.maximum(mine, j)), mine, mine == j
 
 
-def _dealt(bands: list[int], width: int, number: int, cut: Cut):
-    """``k`` and the bytes of a row (fingerprint, number of shingles, node, class, side, inner) for each cell of each band; and its failed links, if given."""
+def _cell(k: np.ndarray) -> np.ndarray:
+    return (textkit._mix(k.view(np.uint64)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _wanted(bands: list[int], width: int, number: int):
+    """Cells of the keys of some rows."""
+
+    def run(batches):
+        for b in batches:
+            for _, k in _banded(*_parted(_raw(b.column(1))), bands, width, number):
+                yield pa.record_batch([pa.array(np.unique(_cell(k)))], names=["cell"])
+
+    return run
+
+
+def _dealt(bands: list[int], width: int, number: int, cut: Cut, wanted: np.ndarray | None):
+    """``k`` and the bytes of a row (fingerprint, number of shingles, node, class, side, inner, asks) for each cell of each band; and its failed links, if given. With ``wanted``, rows in those cells of keys only."""
 
     def run(batches):
         for b in batches:
-            raw, node, label = _raw(b.column(1)), b.column(0).to_numpy(), b.column(2).to_numpy()
+            raw, node, label, asks = _raw(b.column(1)), *(b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             for rows, k in _banded(*_parted(raw), bands, width, number):
+                if wanted is not None:
+                    some = wanted[_cell(k)]
+                    rows, k = rows[some], k[some]
                 for i, key, side, inner in cut.cells(k, node[rows], label[rows]):
                     if not len(i):
                         continue
                     i = rows[i]
                     more = np.zeros(len(i), _SIDE)
-                    more["node"], more["class"], more["side"], more["inner"] = node[i], label[i], side, inner
+                    more["node"], more["class"], more["side"], more["inner"], more["asks"] = node[i], label[i], side, inner, asks[i]
                     whole = np.concatenate([raw[i], more.view(np.uint8).reshape(-1, _SIDE.itemsize)], axis=1)
-                    yield pa.record_batch([pa.array(key), _fixed(whole), *(c.take(pa.array(i)) for c in b.columns[3:])], names=["k", "row", *b.schema.names[3:]])
+                    yield pa.record_batch([pa.array(key), _fixed(whole), *(c.take(pa.array(i)) for c in b.columns[4:])], names=["k", "row", *b.schema.names[4:]])
 
     return run
 
 
-def _sampled(bands: list[int], width: int, number: int):
+def _sampled(bands: list[int], width: int, number: int, wanted: np.ndarray | None):
     def run(batches):
         for b in batches:
             label = b.column(2).to_numpy()
             for rows, k in _banded(*_parted(_raw(b.column(1))), bands, width, number):
-                yield pa.record_batch([pa.array(k), pa.array(label[rows])], names=["k", "class"])
+                some = slice(None) if wanted is None else wanted[_cell(k)]
+                yield pa.record_batch([pa.array(k[some]), pa.array(label[rows][some])], names=["k", "class"])
 
     return run
 
@@ -294,30 +315,25 @@ def _links(node: np.ndarray, a, b, e) -> pa.RecordBatch:
 
 
 def _copies(batches):
-    """One link from each row that is like another of its run beyond doubt."""
+    """One link from each row to the best of the first rows of its run, if that may be a copy."""
     for (k, node, fp), edge in _runs(batches):
         fp, n = _parted(fp)
         size = np.diff(edge)
-        small = np.repeat(size <= SMALL, size)
         a, b, est = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
-        rows = np.flatnonzero(small)
-        for i, j in _small_pairs(k[rows]):
-            i, j = rows[i], rows[j]
+
+        def meet(i, j):
             e = estimate(fp[i], n[i], fp[j], n[j])
-            a.append(i[e >= SURE])
-            b.append(j[e >= SURE])
-            est.append(e[e >= SURE])
-        for lo, length in zip(edge[:-1][size > SMALL], size[size > SMALL]):
-            rest = np.arange(lo, lo + length)
-            for _ in range(LEADERS):
-                if len(rest) < 2:
-                    break
-                first, rest = rest[0], rest[1:]
-                e = estimate(fp[first], n[first], fp[rest], n[rest])
-                a.append(np.full(int((e >= SURE).sum()), first))
-                b.append(rest[e >= SURE])
-                est.append(e[e >= SURE])
-                rest = rest[e < SURE]
+            i, j = (np.broadcast_to(x, e.shape)[e >= MAYBE] for x in (i, j))
+            a.append(i)
+            b.append(j)
+            est.append(e[e >= MAYBE])
+
+        rows = np.flatnonzero(np.repeat(size <= LEADERS, size))
+        for i, j in _small_pairs(k[rows]):
+            meet(rows[i], rows[j])
+        for lo, hi in zip(edge[:-1][size > LEADERS], edge[1:][size > LEADERS]):
+            for first in range(lo, lo + LEADERS):
+                meet(np.array([first]), np.arange(first + 1, hi))
         a, b, est = np.concatenate(a), np.concatenate(b), np.concatenate(est)
         o = np.lexsort((a, -est, b))
         o = o[np.r_[True, b[o][1:] != b[o][:-1]]] if len(o) else o
@@ -339,21 +355,24 @@ def _apart(least: float, most: int):
         for (k, raw, *failed), edge in _runs(batches):
             fp, n = _parted(raw)
             more = np.ascontiguousarray(raw[:, BITS // 8 + 4 :]).view(_SIDE)[:, 0]
-            node, label, side, inner = more["node"].copy(), more["class"].copy(), more["side"].astype(np.int64), more["inner"].astype(bool)
+            node, label, side = more["node"].copy(), more["class"].copy(), more["side"].astype(np.int64)
+            inner, asks = more["inner"].astype(bool), more["asks"].astype(bool)
             size = np.diff(edge)
             a, b, est, named = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)], []
 
-            def meet(i, j, one=False):
-                some = (label[i] != label[j]) & (inner[i] | (side[i] != side[j]))
+            def meet(i, j, one=None):
+                some = (label[i] != label[j]) & (inner[i] | (side[i] != side[j])) & (asks[i] | asks[j])
                 i, j = (np.broadcast_to(x, some.shape)[some] for x in (i, j))
+                # The row that asks, or the earlier of two, has the link.
+                i, j = np.where(asks[i], i, j), np.where(asks[i], j, i)
                 e, enough = _near(fp, n, i, j, least)
                 i, j, e = i[enough], j[enough], e[enough]
                 if failed:
                     known = np.fromiter((failed[0][x] is not None and node[y] in failed[0][x] for x, y in zip(i, j)), bool, len(i))
                     i, j, e = i[~known], j[~known], e[~known]
-                if one and len(i) > most:
+                if one and len(i) > most and asks[one[0]]:
                     order = np.argsort(-e, kind="stable")
-                    named.append(np.r_[i[:1], j[order[most:]]])
+                    named.append(i[:1])
                     i, j, e = i[order[:most]], j[order[:most]], e[order[:most]]
                 a.append(i)
                 b.append(j)
@@ -363,27 +382,26 @@ def _apart(least: float, most: int):
             for i, j in _small_pairs(k[rows]):
                 meet(rows[i], rows[j])
             for lo, hi in zip(edge[:-1][size > SMALL], edge[1:][size > SMALL]):
-                if (label[lo:hi] != label[lo]).any():
+                if asks[lo:hi].any() and (label[lo:hi] != label[lo]).any():
                     # Rows of the commonest class come last, so that they are not met by their own.
                     values, back, times = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
                     order = lo + np.argsort(back == times.argmax(), kind="stable")
                     for x in range(hi - lo - int(times.max())):
-                        meet(order[x : x + 1], order[x + 1 :], True)
+                        meet(order[x : x + 1], order[x + 1 :], order[x : x + 1])
             i, j, e = np.concatenate(a), np.concatenate(b), np.concatenate(est)
             o = np.lexsort((j, -e, i))
             i, j, e = i[o], j[o], e[o]
             rank = np.arange(len(i)) - np.searchsorted(i, i)
             kept, back = rank < most, rank >= most
-            # A pair held back names both of its rows.
-            named = np.unique(np.concatenate([*named, i[back], j[back]]))
+            named = np.unique(np.concatenate([*named, i[back]]))
             yield _links(node, np.r_[i[kept], named], np.r_[j[kept], named], np.r_[e[kept], np.zeros(len(named))])
 
     return run
 
 
 def candidates(active: DataFrame, width: int, numbers: tuple[int, int], least: float, most: int) -> DataFrame:
-    """Links ``a``, ``b``, ``est`` of part 2 between the rows of ``active`` (``node``, ``fp``, ``class`` and perhaps ``failed``), and
-    of rows with links held back to themselves; a few bands at a time, to bound the disk."""
+    """Links ``a``, ``b``, ``est`` of part 2 of the rows of ``active`` (``node``, ``fp``, ``class``, ``asks``, and ``failed`` unless all ask),
+    and of rows with links held back to themselves; a few bands at a time, to bound the disk."""
     spark = active.sparkSession
     total = active.count()
     sample = active.select("node", "fp", "class").where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
@@ -391,16 +409,22 @@ def candidates(active: DataFrame, width: int, numbers: tuple[int, int], least: f
     found = []
     for lo in range(0, numbers[1], PASS):
         bands = list(range(lo, min(lo + PASS, numbers[1])))
+        wanted = None
+        if extra:
+            wanted = np.zeros(CELLS, bool)
+            wanted[active.where("asks").select("node", "fp").mapInArrow(_wanted(bands, width, numbers[0]), "cell long").distinct().toArrow().column(0).to_numpy()] = True
         # Not more than LARGE keys can have so many rows.
         block = max(BLOCK, -(-total * len(bands) // LARGE))
-        by_class = sample.mapInArrow(_sampled(bands, width, numbers[0]), "k long, class long").groupBy("k", "class").agg(F.count(F.lit(1)).alias("n"))
+        by_class = sample.mapInArrow(_sampled(bands, width, numbers[0], wanted), "k long, class long").groupBy("k", "class").agg(F.count(F.lit(1)).alias("n"))
         sizes = by_class.groupBy("k").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "class")).alias("main")).where(F.col("rows") * SAMPLE > block)
         large, blocks = sizes.collect(), lambda rows: max(1, -(-rows * SAMPLE // block))
         main = [r.main if 2 * r.main.n > r.rows else None for r in large]
         cut = Cut([r.k for r in large], [blocks(r.rows) for r in large], [blocks(r.rows - (m.n if m else 0)) for r, m in zip(large, main)], [m["class"] if m else -1 for m in main])
-        keyed = active.mapInArrow(_dealt(bands, width, numbers[0], cut), f"k long, row binary{extra}")
+        keyed = active.mapInArrow(_dealt(bands, width, numbers[0], cut, wanted), f"k long, row binary{extra}")
         dealt = keyed.repartition(partitions(spark), "k").sortWithinPartitions("k")
-        found.append(materialize(dealt.mapInArrow(_apart(least, most), "a long, b long, est double")))
+        # Equal links of several bands meet before they are kept.
+        best = dealt.mapInArrow(_apart(least, most), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+        found.append(materialize(best))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -459,33 +483,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
     nodes = distinct.select("node", "fp")
     width, *numbers = plan(distinct.count(), similarity, recall)
-    sure = copies(distinct, width)
-    for_now = connected_components(sure, "a", "b")
-    active = materialize(_classed(nodes, for_now))
-    links = candidates(active, width, numbers, similarity - SLACK, FIRST)
-    every = links.where("a <> b").unionByName(sure)
-    asked = every.select(F.explode(F.array("a", "b")).alias("node")).union(links.select("a")).distinct()
-    one = distinct.join(asked, "node", "left_semi").select("node", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"))
-    texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
-    shingle_sets = materialize(sets(texts, shingle))
-    labels, tried = verified(every, shingle_sets, similarity)
-    # Classes of part 1 that fell apart: their rows were not compared with each other.
-    now = for_now.join(labels.select("node", F.col("component").alias("is")), "node", "left").withColumn("is", F.coalesce("is", "node"))
-    broken = now.groupBy("component").agg(F.min("is").alias("x"), F.max("is").alias("y")).where("x < y").select("component")
-    named = links.where("a = b").select(F.col("a").alias("node")).union(for_now.join(broken, "component", "left_semi").select("node"))
-    again, most = materialize(named.distinct()), FIRST
-    while not again.isEmpty():
-        most *= 8
-        pairs = tried.where("not ok").select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("o")), F.struct(F.col("b").alias("node"), F.col("a").alias("o")))))
-        failed = pairs.join(again, "node", "left_semi").groupBy("node").agg(F.collect_list("o").alias("failed"))
-        discard(active, links)
-        active = materialize(_classed(nodes.join(again, "node", "left_semi"), labels).join(failed, "node", "left"))
+    every_set: list[DataFrame] = []
+
+    def with_sets(links: DataFrame) -> DataFrame:
+        """The sets of the ends of all links so far."""
+        asked = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for known in every_set:
+            asked = asked.join(known.select("node"), "node", "left_anti")
+        one = distinct.join(asked, "node", "left_semi").select("node", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"))
+        texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
+        every_set.append(materialize(sets(texts, shingle)))
+        table = every_set[0]
+        for more in every_set[1:]:
+            table = table.unionByName(more)
+        return table
+
+    links = copies(distinct, width)
+    labels, tried = verified(links, with_sets(links), similarity)
+    discard(links)
+    active, most = materialize(_classed(nodes, labels).withColumn("asks", F.lit(True))), FIRST
+    while True:
         links = candidates(active, width, numbers, similarity - SLACK, most)
-        labels, tried = verified(links.where("a <> b"), shingle_sets, similarity, tried, labels)
+        labels, tried = verified(links.where("a <> b"), with_sets(links), similarity, tried, labels)
         again = materialize(links.where("a = b").select(F.col("a").alias("node")))
+        discard(active, links)
+        if again.isEmpty():
+            break
+        most *= 16
+        pairs = tried.where("not ok").select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("o")), F.struct(F.col("b").alias("node"), F.col("a").alias("o")))))
+        failed = pairs.join(again, "node", "left_semi").groupBy("node").agg(F.collect_list("o").alias("failed"))
+        named = again.join(failed, "node", "left").select("node", "failed", F.lit(True).alias("asks"))
+        active = _classed(nodes, labels).join(named, "node", "left")
+        active = materialize(active.select("node", "fp", "class", F.coalesce("asks", F.lit(False)).alias("asks"), "failed"))
+        discard(again)
     least = distinct.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
     smallest = least.groupBy("class").agg(F.min("first").alias("component_id"))
     classes = materialize(least.select("fp", "class").join(smallest, "class").select("fp", "component_id"))
     out = materialize(all_prints.join(classes, "fp").select("doc_id", "component_id"))
-    discard(all_prints, distinct, sure, active, links, shingle_sets, classes)
+    discard(all_prints, distinct, classes, *every_set)
     return out
