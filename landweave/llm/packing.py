@@ -33,7 +33,7 @@ from landweave.storage import materialize, partitions
 
 END = 1
 #: White space outside ASCII; texts that hold it are encoded whole.
-_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -44,10 +44,11 @@ class Encoder:
     Such a vocabulary never joins what is on both sides of these places: before a space that a word
     follows, on both sides of any other white space before a word, and before the rest of a run of white
     space. Texts are cut there into units; equal units of a chunk are encoded once and kept for the next.
-    Texts with white space outside ASCII or with reserved strings are one unit.
+    Texts with white space outside ASCII or with reserved strings are one unit. With ``pattern``, that of
+    the vocabulary's words, new words are encoded by a faster library from the same file's ranks.
     """
 
-    def __init__(self, vocabulary: str, reserved: bool = True, most: int = 200_000, longest: int = 64):
+    def __init__(self, vocabulary: str, reserved: bool = True, pattern: str | None = None, most: int = 200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,8 +57,9 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids have 16 bits")
         strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if reserved else []
-        self.whole = re.compile("|".join([_WIDE_SPACE.pattern, *map(re.escape, strings)]))
+        self.whole = re.compile(b"|".join(re.escape(x.encode()) for x in [*_WIDE_SPACE, *strings]))
         # Without the first bytes of white space outside ASCII.
+        self.encode_words = self._fast(pattern) if pattern else lambda text: self._ids(text.encode())
         self.word = re.compile(rb" ?[^\s<\xc2\xe1-\xe3]+")
         self.line = self._ids(b"\n")
         # Two generations of words: what is used again moves to the younger one.
@@ -65,6 +67,16 @@ class Encoder:
         self.older: dict[bytes, bytes] = {}
         self.most, self.longest = most, longest
 
+    def _fast(self, pattern: str):
+        import tiktoken
+
+        # Byte-level vocabularies write printable bytes as themselves and the others, in order, as what follows 255.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def _units(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Starts of the units of a run of texts."""
         n = len(buf)
@@ -77,24 +89,25 @@ class Encoder:
         # A run of white space begins a unit; its last character does too if a word follows; a word does
         # unless that character is a space.
         cut = first | (space & (~np.r_[False, space[:-1]] | ~after)) | (~space & before & (np.r_[0, buf[:-1]] != 32))
-        data = buf.tobytes()
-        if (n and buf.max() > 127) or b"<" in data:
-            for lo, hi in zip(off[:-1], off[1:]):
-                if hi - lo > 1 and self.whole.search(data[lo:hi].decode("utf-8", "replace")):
-                    cut[lo + 1 : hi] = False
+        data, at = buf.tobytes(), 0
+        while found := self.whole.search(data, at):
+            text = int(np.searchsorted(off, found.start(), "right")) - 1
+            cut[off[text] + 1 : off[text + 1]] = False
+            at = int(off[text + 1])
         return np.flatnonzero(cut)
 
     def _encoded(self, units: list[bytes]) -> list[bytes]:
         if len(self.cache) > self.most:
             self.cache, self.older = {}, self.cache
-        self.cache.update((u, self.older[u]) for u in units if u in self.older)
+        if self.older:
+            self.cache.update((u, self.older[u]) for u in units if u in self.older)
         new = [u for u in units if u not in self.cache]
         made = {}
         # Words are encoded many at a time, with line ends between them, which no word's ids hold.
         words = [u for u in new if len(u) <= self.longest and self.word.fullmatch(u)]
         for lo in range(0, len(words), 4096):
             part = words[lo : lo + 4096]
-            ids = np.array(self._ids(b"\n".join(part)), "<u2")
+            ids = np.array(self.encode_words(b"\n".join(part).decode("utf-8", "replace")), "<u2")
             line = self.line[0]
             ends = np.append(np.flatnonzero(ids == line), len(ids))
             raw, at = ids.tobytes(), 0
@@ -129,11 +142,11 @@ class Encoder:
         return ids, total[ends + np.arange(len(ends))]
 
 
-def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", reserved: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", reserved: bool = True, pattern: str | None = None) -> DataFrame:
     """One row per document: ``doc_id``, ``n`` ids with the end id, and ``ids`` as little-endian 16-bit numbers."""
 
     def run(batches):
-        encode = Encoder(vocabulary, reserved)
+        encode = Encoder(vocabulary, reserved, pattern)
         for b in batches:
             for lo, buf, off in textkit.chunks(b.column(1)):
                 ids, ends = encode(buf, off)
@@ -216,10 +229,10 @@ def _ranges(combos: list[tuple[int, ...]]) -> list[tuple[int, int, int, int, int
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", reserved: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", reserved: bool = True, pattern: str | None = None) -> DataFrame:
     """Pieces: ``doc_id``, ``start``, ``length``, ``ids`` (little-endian 16-bit), ``doc_tokens``, ``sequence_id``, ``offset``."""
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, vocabulary, id_col, text_col, reserved).withColumn("row", F.monotonically_increasing_id()))
+    tokens = materialize(tokenize(docs, vocabulary, id_col, text_col, reserved, pattern).withColumn("row", F.monotonically_increasing_id()))
     length = (F.col("n") % window).cast("int")
     salts = 4 * partitions(spark)
     tails = tokens.where(length > 0).select("row", "doc_id", "n", length.alias("length"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
@@ -314,4 +327,4 @@ def _last(lo: int, last: int, total: int, first_sequence: int) -> tuple[int, int
 def digest(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return checksums(pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")))
+    return checksums(pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN))

@@ -73,11 +73,11 @@ def test_ids_are_the_vocabulary_files(spark):
 
     rng = random.Random(1)
     atoms = ["a", "word", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "é", "漢字", "'s", "it's", "123", "!", "...", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "\0", "<|endoftext|>", "<|", "½", "🎈", "_", "\ufeff", "\u200b"]
-    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 14))) for _ in range(8000)] + ["x" * 20000, " " * 3000, "\n" * 3001 + "x", None]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 14))) for _ in range(8000)] + ["".join(rng.choice("abeé_-.,'’漢🎈½1 ") for _ in range(30)) for _ in range(3000)] + ["x" * 20000, " " * 3000, "\n" * 3001 + "x", None]
     for reserved in (True, False):
         other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
         other.encode_special_tokens = not reserved
-        encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), reserved, most=500)
+        encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), reserved, public_tokenizers.PATTERN if reserved else None, most=500)
         got = []
         for _, buf, off in textkit.chunks(pa.array(texts), 4096):
             ids, ends = encode(buf, off)
