@@ -47,6 +47,7 @@ MAYBE, LEADERS, COPY_BANDS = 0.76, 64, 4
 #: Links a row and key at first; rows of a run that are compared offset by offset; rows of a block; the most keys that are cut (their table goes to all tasks); one row in so many tells which.
 FIRST, SMALL, BLOCK, LARGE, SAMPLE = 2, 64, 1024, 100_000, 16
 _SIDE = np.dtype([("node", "<i8"), ("class", "<i8"), ("side", "<u4"), ("inner", "u1"), ("asks", "u1")])
+FEW = 200_000
 #: Keys fall into so many cells where named rows tell which keys they have.
 CELLS = 1 << 20
 WORDS = BITS // 64
@@ -443,7 +444,9 @@ def _similar(links: DataFrame, shingle_sets: DataFrame, similarity: float) -> Da
     links = materialize(links)
     total = links.count()
     for end in ("a", "b"):
+        # The sets of few links are picked where they lie: at most FEW rows of two numbers go to all tasks.
         counts = links.groupBy(end).agg(F.count(F.lit(1)).alias("times"))
+        counts = F.broadcast(counts) if total <= FEW else counts
         table = shingle_sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")).join(counts, end)
         joined = join_counted(links if end == "a" else joined, table, end, "times", total, 100).drop("times")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -483,28 +486,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
     nodes = distinct.select("node", "fp")
     width, *numbers = plan(distinct.count(), similarity, recall)
-    every_set: list[DataFrame] = []
-
-    def with_sets(links: DataFrame) -> DataFrame:
-        """The sets of the ends of all links so far."""
-        asked = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        for known in every_set:
-            asked = asked.join(known.select("node"), "node", "left_anti")
-        one = distinct.join(asked, "node", "left_semi").select("node", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"))
-        texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
-        every_set.append(materialize(sets(texts, shingle)))
-        table = every_set[0]
-        for more in every_set[1:]:
-            table = table.unionByName(more)
-        return table
-
+    one = distinct.select("node", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"))
+    texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
+    shingle_sets = materialize(sets(texts, shingle))
     links = copies(distinct, width)
-    labels, tried = verified(links, with_sets(links), similarity)
+    labels, tried = verified(links, shingle_sets, similarity)
     discard(links)
     active, most = materialize(_classed(nodes, labels).withColumn("asks", F.lit(True))), FIRST
     while True:
         links = candidates(active, width, numbers, similarity - SLACK, most)
-        labels, tried = verified(links.where("a <> b"), with_sets(links), similarity, tried, labels)
+        labels, tried = verified(links.where("a <> b"), shingle_sets, similarity, tried, labels)
         again = materialize(links.where("a = b").select(F.col("a").alias("node")))
         discard(active, links)
         if again.isEmpty():
@@ -520,5 +511,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = least.groupBy("class").agg(F.min("first").alias("component_id"))
     classes = materialize(least.select("fp", "class").join(smallest, "class").select("fp", "component_id"))
     out = materialize(all_prints.join(classes, "fp").select("doc_id", "component_id"))
-    discard(all_prints, distinct, classes, *every_set)
+    discard(all_prints, distinct, classes, shingle_sets)
     return out
