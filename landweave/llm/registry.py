@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landweave.llm import annsearch, chat, decontam, fixity, langid, linededup, packing, secrets, simhash, substring
+from landweave.llm import annsearch, chat, decontam, fixity, langid, linededup, packing, secrets, simhash, substring, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(_table(spark, sf_dir, "conversations"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_substring_dedup, op4_packing, op5_line_dedup, op6_simhash, op7_fixity_audit, op8_language_id, op9_nearest_neighbours, op10_chat_format)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_substring_dedup, op4_packing, op5_line_dedup, op6_simhash, op7_fixity_audit, op8_language_id, op9_nearest_neighbours, op10_chat_format, op12_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
