@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landweave.llm import annsearch, chat, decontam, fixity, langid, linededup, packing, secrets, simhash, substring, whitening
+from landweave.llm import annsearch, chat, decontam, fixity, langid, lexical, linededup, packing, secrets, simhash, substring, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_substring_dedup, op4_packing, op5_line_dedup, op6_simhash, op7_fixity_audit, op8_language_id, op9_nearest_neighbours, op10_chat_format, op12_whitening)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_substring_dedup, op4_packing, op5_line_dedup, op6_simhash, op7_fixity_audit, op8_language_id, op9_nearest_neighbours, op10_chat_format, op12_whitening, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring.ORACLE, "op10_chat_format": chat.ORACLE, "op5_line_dedup": linededup.ORACLE, "op7_fixity_audit": fixity.ORACLE}
+    return {"op3_substring_dedup": substring.ORACLE, "op10_chat_format": chat.ORACLE, "op5_line_dedup": linededup.ORACLE, "op7_fixity_audit": fixity.ORACLE, "op13_lexical_search": lexical.ORACLE}
