@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landweave.llm import annsearch, chat, decontam, fixity, langid, lexical, linededup, packing, secrets, simhash, substring, whitening
+from landweave.llm import annsearch, chat, decontam, fixity, htmlmain, langid, lexical, linededup, packing, secrets, simhash, substring, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(_table(spark, sf_dir, "conversations"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.digest(_table(spark, sf_dir, "pages"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(_table(spark, sf_dir, "embeddings"))
 
@@ -62,8 +66,8 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_substring_dedup, op4_packing, op5_line_dedup, op6_simhash, op7_fixity_audit, op8_language_id, op9_nearest_neighbours, op10_chat_format, op12_whitening, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_substring_dedup, op4_packing, op5_line_dedup, op6_simhash, op7_fixity_audit, op8_language_id, op9_nearest_neighbours, op10_chat_format, op11_html_extraction, op12_whitening, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring.ORACLE, "op10_chat_format": chat.ORACLE, "op5_line_dedup": linededup.ORACLE, "op7_fixity_audit": fixity.ORACLE, "op13_lexical_search": lexical.ORACLE}
+    return {"op3_substring_dedup": substring.ORACLE, "op10_chat_format": chat.ORACLE, "op5_line_dedup": linededup.ORACLE, "op7_fixity_audit": fixity.ORACLE, "op11_html_extraction": htmlmain.ORACLE, "op13_lexical_search": lexical.ORACLE}
