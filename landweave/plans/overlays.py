@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landweave.functions import bands
-from landweave.operators import composite, metrics, neighborhood, overlay, ranking, sampling
+from landweave.operators import composite, metrics, neighborhood, overlay, polygons, ranking, sampling
 from landweave.plans.book import Book
 from landweave.sources import fixtures as fx
 from landweave.sources import scans
@@ -95,6 +95,55 @@ def j15_corrected_labels(spark, d):
     return overlay.corrected(fx.points(spark, d).withColumn("label", (F.col("id") % 2).cast("int")), add, cut).select("id", "label")
 
 
+@book.add(sql("SELECT row, col, arg_min(owner, feature) AS owner FROM parcel_cells GROUP BY row, col", "parcel_cells"))
+def j9_burn_polygons(spark, d):
+    """Parcels, some of them with holes, burnt into the whole grid; the first by feature wins."""
+    g = fx.grid_size(spark, d)
+    return polygons.burn(fx.parcels(spark, d), polygons.Grid(rows=g, cols=g), "owner", "feature")
+
+
+@book.add(sql("+p AS (SELECT row, col, arg_min(owner, feature) AS owner FROM parcel_cells GROUP BY row, col) SELECT year, row, col, class, coalesce(owner, -1) AS owner FROM landcover LEFT JOIN p USING (row, col)", "landcover", "parcel_cells"))
+def j9_label_pixels(spark, d):
+    return polygons.label_pixels(fx.landcover(spark, d), fx.parcels(spark, d), polygons.Grid(), "owner", "feature", -1).select("year", "row", "col", "class", "owner")
+
+
+@book.add(sql("+p AS (SELECT row, col, bool_or(feature % 7 = 0) AS gone, bool_or(feature % 7 IN (1, 2)) AS more FROM parcel_cells GROUP BY row, col) SELECT year, row, col, CASE WHEN gone THEN 0 WHEN more THEN 1 ELSE (class = 3)::INT END AS label FROM landcover LEFT JOIN p USING (row, col)", "landcover", "parcel_cells"))
+def j15_polygon_labels(spark, d):
+    p, pixels = fx.parcels(spark, d), fx.landcover(spark, d).select("year", "row", "col", (F.col("class") == 3).cast("int").alias("label"))
+    return polygons.corrected_labels(pixels, p.where("feature % 7 in (1, 2)"), p.where("feature % 7 = 0"), polygons.Grid())
+
+
+@book.add(sql("SELECT year, row, col, class FROM landcover SEMI JOIN (SELECT DISTINCT row, col FROM parcel_cells WHERE feature % 5 = 0) p USING (row, col)", "landcover", "parcel_cells"))
+def f13_clip_to_polygons(spark, d):
+    """Whole quadtree cells where they lie inside, edges only where a border runs through."""
+    x, y = polygons.Grid().centre()
+    return polygons.clip(fx.landcover(spark, d), fx.parcels(spark, d).where("feature % 5 = 0"), ["year", "row", "col"], 2.0, x, y)
+
+
+@book.add(sql("SELECT row, col, feature, 1 AS inside FROM parcel_cells", "parcel_cells"))
+def sc11_polygon_masks(spark, d):
+    """The constant image of every parcel."""
+    g = fx.grid_size(spark, d)
+    x, y = polygons.Grid().centre()
+    inside = polygons.held(fx.cells(spark, g), polygons.cover(fx.parcels(spark, d), "feature", 2.0), 2.0, x, y)
+    return scans.constant(inside, 1, "inside").select("row", "col", "feature", "inside")
+
+
+MEET = """+a AS (SELECT * FROM parcel_up WHERE feature % 4 <> 1), b AS (SELECT * FROM parcel_up WHERE feature % 4 = 1 AND owner < 12),
+ crossed AS (SELECT DISTINCT a.feature FROM a JOIN b ON least(a.x0, a.x1) <= greatest(b.x0, b.x1) AND least(b.x0, b.x1) <= greatest(a.x0, a.x1) AND a.y0 <= b.y1 AND b.y0 <= a.y1
+  AND sign((a.x1 - a.x0) * (b.y0 - a.y0) - (a.y1 - a.y0) * (b.x0 - a.x0)) * sign((a.x1 - a.x0) * (b.y1 - a.y0) - (a.y1 - a.y0) * (b.x1 - a.x0)) <= 0
+  AND sign((b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0)) * sign((b.x1 - b.x0) * (a.y1 - b.y0) - (b.y1 - b.y0) * (a.x1 - b.x0)) <= 0),
+ inside AS (SELECT p.feature FROM (SELECT DISTINCT feature, px, py FROM parcel_edges WHERE feature % 4 <> 1) p JOIN b ON b.y0 <= p.py AND p.py < b.y1 AND b.x0 + (p.py - b.y0) * (b.x1 - b.x0) / (b.y1 - b.y0) <= p.px GROUP BY p.feature, p.px, p.py, b.feature HAVING count(*) % 2 = 1),
+ around AS (SELECT a.feature FROM (SELECT DISTINCT feature, px, py FROM parcel_edges WHERE feature % 4 = 1 AND owner < 12) p JOIN a ON a.y0 <= p.py AND p.py < a.y1 AND a.x0 + (p.py - a.y0) * (a.x1 - a.x0) / (a.y1 - a.y0) <= p.px GROUP BY a.feature, p.px, p.py, p.feature HAVING count(*) % 2 = 1)
+ SELECT feature FROM crossed UNION SELECT feature FROM inside UNION SELECT feature FROM around"""
+
+
+@book.add(sql(MEET, "parcel_edges", "parcel_up"))
+def j5_polygons_in_region(spark, d):
+    p = fx.parcels(spark, d)
+    return polygons.intersecting(p.where("feature % 4 <> 1"), p.where("feature % 4 = 1 and owner < 12"), "feature", 4.0).select("feature")
+
+
 @book.add(sql("SELECT row, col, sum(red) AS red, count(*) AS n FROM scene_pixels GROUP BY row, col", "scene_pixels"), ["red"])
 def g2_pixel_sum(spark, d):
     return composite.total(fx.scene_pixels(spark, d).withColumn("n", F.lit(1).cast("long")), ["red", "n"])

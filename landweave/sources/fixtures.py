@@ -99,6 +99,23 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_mktsegment").alias("category"), ((k * 37 % 500) / 100).alias("x"), ((k * 91 % 500) / 100).alias("y"))
 
 
+#: Rings by shape, in quarters of a parcel's reach: a star and an octagon, each with a hole in the middle.
+SHAPES = {
+    0: [[(4, 0), (1, 1), (0, 4), (-1, 1), (-4, 0), (-1, -1), (0, -4), (1, -1)], [(0.5, 0), (0, 0.5), (-0.5, 0), (0, -0.5)]],
+    1: [[(4, -2), (4, 2), (2, 4), (-2, 4), (-4, 2), (-4, -2), (-2, -4), (2, -4)], [(2, 2), (-2, 2), (-2, -2), (2, -2)]],
+}
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``feature, owner, rings``: a polygon of up to a third of the grid for each supplier, in pixels; even ones have a hole."""
+    g, k = grid_size(spark, sf_dir), F.col("s_suppkey").cast("long")
+    x, y = (k * 37 % (2 * g)) / 2, (k * 91 % (2 * g)) / 2
+    reach = F.when(k % 50 == 0, F.lit(float(g // 3))).otherwise((2 + k % 9).cast("double"))
+    ring = lambda vertices: F.array(*[F.struct((x + reach * dx / 4).alias("x"), (y + reach * dy / 4).alias("y")) for dx, dy in vertices])
+    shape = lambda n: F.when(k % 2 == 0, F.array(*[ring(r) for r in SHAPES[n]])).otherwise(F.array(ring(SHAPES[n][0])))
+    return table(spark, sf_dir, "supplier").select(k.alias("feature"), F.col("s_nationkey").cast("int").alias("owner"), F.when(k % 3 == 0, shape(0)).otherwise(shape(1)).alias("rings"))
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image_id, ts, tile`` of arriving scenes."""
     return table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("image_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 12).cast("int").alias("tile"))
@@ -123,13 +140,21 @@ SQL = {
     "scores": "SELECT chip_id, i::INT AS pixel, (label % 2)::DOUBLE AS y_true, least(greatest(data[i + 1] + 0.5, 0), 1) AS y_pred FROM chips, range(64) r(i)",
     "sheets": "SELECT n_name AS grid_name, (n_nationkey % 5)::DOUBLE AS minx, (n_nationkey // 5)::DOUBLE AS miny, (n_nationkey % 5 + 1)::DOUBLE AS maxx, (n_nationkey // 5 + 1)::DOUBLE AS maxy FROM nation",
     "points": "SELECT c_custkey::BIGINT AS id, c_mktsegment AS category, (c_custkey::BIGINT * 37 % 500) / 100.0::DOUBLE AS x, (c_custkey::BIGINT * 91 % 500) / 100.0::DOUBLE AS y FROM customer",
+    "vertices": "SELECT * FROM (VALUES " + ", ".join(f"({n}, {h}, {i}, {len(ring)}, {dx}, {dy})" for n, rings in SHAPES.items() for h, ring in enumerate(rings) for i, (dx, dy) in enumerate(ring)) + ") v(shape, hole, i, size, dx, dy)",
+    "parcel_edges": """SELECT k AS feature, owner, x + reach * a.dx::DOUBLE / 4 AS px, y + reach * a.dy::DOUBLE / 4 AS py, x + reach * b.dx::DOUBLE / 4 AS qx, y + reach * b.dy::DOUBLE / 4 AS qy
+        FROM (SELECT s_suppkey::BIGINT AS k, s_nationkey::INT AS owner, (s_suppkey::BIGINT * 37 % (2 * g)) / 2.0::DOUBLE AS x, (s_suppkey::BIGINT * 91 % (2 * g)) / 2.0::DOUBLE AS y,
+          CASE WHEN s_suppkey % 50 = 0 THEN (g // 3)::DOUBLE ELSE (2 + s_suppkey % 9)::DOUBLE END AS reach FROM supplier, g)
+        JOIN vertices a ON a.shape = CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AND (a.hole = 0 OR k % 2 = 0) JOIN vertices b ON b.shape = a.shape AND b.hole = a.hole AND b.i = (a.i + 1) % a.size""",
+    "parcel_up": "SELECT feature, owner, CASE WHEN up THEN px ELSE qx END AS x0, CASE WHEN up THEN py ELSE qy END AS y0, CASE WHEN up THEN qx ELSE px END AS x1, CASE WHEN up THEN qy ELSE py END AS y1 FROM (SELECT *, py < qy OR (py = qy AND px <= qx) AS up FROM parcel_edges)",
+    "parcel_cells": """SELECT feature, owner, row, col FROM (SELECT feature, any_value(owner) AS owner, row, col, count(*) AS n FROM parcel_up JOIN cells ON y0 <= row + 0.5 AND row + 0.5 < y1 AND x0 + (row + 0.5 - y0) * (x1 - x0) / (y1 - y0) <= col + 0.5
+        WHERE y0 < y1 GROUP BY feature, row, col) WHERE n % 2 = 1""",
     "arrivals": "SELECT event_id::BIGINT AS image_id, ts, (user_id % 12)::INT AS tile FROM events",
 }
 
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:
     """``body`` under the definitions of ``names`` and of what they use."""
-    needs = {"li": ["g"], "cells": ["g"], "ev": ["li"], "base": ["li"], "forest": ["base", "ev"], "landcover": ["li"], "scenes": ["li"], "scene_pixels": ["li"], "cloud_score": ["scene_pixels"], "scores": ["chips"]}
+    needs = {"li": ["g"], "cells": ["g"], "parcel_edges": ["g", "vertices"], "parcel_up": ["parcel_edges"], "parcel_cells": ["parcel_up", "cells"], "ev": ["li"], "base": ["li"], "forest": ["base", "ev"], "landcover": ["li"], "scenes": ["li"], "scene_pixels": ["li"], "cloud_score": ["scene_pixels"], "scores": ["chips"]}
     wanted: set[str] = set()
 
     def add(n: str) -> None:
