@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landweave.functions.bands import min_max
 from landweave.operators.ranking import running_sum
+from landweave.storage import materialize
 
 
 def median(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("row", "col")) -> DataFrame:
@@ -97,3 +99,48 @@ def coarser(pixels: DataFrame, value: str, factor: int, how: str = "mode", keys:
     middle = (factor - 1) / 2
     away = F.pow(F.col("row") % factor - middle, 2) + F.pow(F.col("col") % factor - middle, 2)
     return pixels.groupBy(*keys, *cell).agg(F.min_by(value, F.struct(away, "row", "col")).alias(value))
+
+
+def _mode(weighted: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    summed = weighted.groupBy(*keys, "row", "col", value).agg(F.sum("__w").alias("__w"))
+    return summed.groupBy(*keys, "row", "col").agg(F.min_by(value, F.struct(-F.col("__w"), value)).alias(value))
+
+
+def regrid(pixels: DataFrame, value: str, ratio: Fraction | float | str, how: str = "mode", keys: Sequence[str] = (), origin: tuple[Fraction | float | str, Fraction | float | str] = (0, 0)) -> DataFrame:
+    """A grid whose cells are ``ratio`` source cells wide and begin at ``origin`` (row, col), by area of overlap.
+
+    The value with the largest area wins (ties: the smaller value), or the mean weighs by area. Ratio and
+    origin are taken as decimal fractions and areas counted in units of their denominators, whole numbers
+    that add up exactly. A source pixel meets one more cell than it is cells wide in each direction, at most.
+    Null values and cells that none meets are left out.
+    """
+    p, starts = Fraction(str(ratio)), [Fraction(str(o)) for o in origin]
+    if p <= 0 or how not in ("mode", "mean"):
+        raise ValueError("a ratio above 0, and mode or mean")
+    rows, weight = pixels.where(F.col(value).isNotNull()).select(*keys, "row", "col", value), F.lit(1).cast("long")
+    for c, start in zip(("row", "col"), starts):
+        unit = p.denominator * start.denominator
+        wide, shift = int(p * unit), int(start * unit)
+        low = F.col(c).cast("long") * unit - shift
+        rows = rows.withColumn("__low", low).withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__low") / wide), F.floor((F.col("__low") + (unit - 1)) / wide))))
+        part = F.least(F.col("__low") + unit, (F.col("__cell") + 1) * wide) - F.greatest(F.col("__low"), F.col("__cell") * wide)
+        rows = rows.withColumn(f"__w{c}", part).drop(c).withColumnRenamed("__cell", c).drop("__low")
+        weight = weight * F.col(f"__w{c}")
+    weighted = rows.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), value, weight.alias("__w"))
+    if how == "mode":
+        return _mode(weighted, value, keys)
+    return weighted.groupBy(*keys, "row", "col").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias(value))
+
+
+def overviews(pixels: DataFrame, value: str, levels: int, how: str = "mode", keys: Sequence[str] = ()) -> DataFrame:
+    """``level, row, col, value`` of grids of 2, 4, 8 ... times larger cells, each made from the one before.
+
+    Every level but the last is written once, so that all levels cost a third more than the first alone.
+    """
+    out, now = None, pixels.select(*keys, "row", "col", value)
+    for level in range(1, levels + 1):
+        now = regrid(now, value, 2, how, keys)
+        now = materialize(now) if level < levels else now
+        one = now.withColumn("level", F.lit(level))
+        out = one if out is None else out.unionByName(one)
+    return out

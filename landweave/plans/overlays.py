@@ -252,6 +252,24 @@ def n8_coarser_nearest(spark, d):
     return composite.coarser(fx.landcover(spark, d), "class", 5, "nearest", ["year"])
 
 
+RATIO = """+o AS (SELECT year, 10 * row + 987 AS rl, 10 * col + 993 AS cl, class FROM landcover), t AS (SELECT year, class, r.r::INT - 27 AS row, c.c::INT - 27 AS col,
+ (least(rl + 10, (r.r + 1) * 37) - greatest(rl, r.r * 37)) * (least(cl + 10, (c.c + 1) * 37) - greatest(cl, c.c * 37)) AS w FROM o, range(0, 400) r(r), range(0, 400) c(c) WHERE r.r BETWEEN rl // 37 AND (rl + 9) // 37 AND c.c BETWEEN cl // 37 AND (cl + 9) // 37)"""
+
+
+@book.add(sql(RATIO + ", s AS (SELECT year, row, col, class, sum(w) AS w FROM t GROUP BY ALL) SELECT year, row, col, arg_min(class, -w * 1000 + class) AS class FROM s GROUP BY year, row, col", "landcover"))
+def n8_regrid_ratio(spark, d):
+    """Cells 3.7 pixels wide that begin 1.2 rows and 0.6 columns in, by the class of the largest area."""
+    return composite.regrid(fx.landcover(spark, d), "class", "3.7", "mode", ["year"], ("1.2", "0.6"))
+
+
+LEVELS = "".join(f", s{n} AS (SELECT year, row // 2 AS row, col // 2 AS col, class, count(*) AS n FROM {'landcover' if n == 1 else f'l{n - 1}'} GROUP BY ALL), l{n} AS (SELECT year, row, col, arg_min(class, -n * 1000 + class) AS class FROM s{n} GROUP BY year, row, col)" for n in (1, 2, 3, 4))
+
+
+@book.add(sql("+" + LEVELS.removeprefix(", ") + " " + " UNION ALL ".join(f"SELECT {n}::INT AS level, year, row::INT AS row, col::INT AS col, class FROM l{n}" for n in (1, 2, 3, 4)), "landcover"))
+def n8_overviews(spark, d):
+    return composite.overviews(fx.landcover(spark, d), "class", 4, "mode", ["year"]).select("level", "year", "row", "col", "class")
+
+
 @book.add(sql("+u AS (SELECT row, col, unnest(range(greatest(0, (row - 4 + 800) // 8 - 100), (row + 4) // 8 + 1)) AS ti, year FROM landcover), t AS (SELECT year, row, col, ti::INT AS ti, unnest(range(greatest(0, (col - 4 + 800) // 8 - 100), (col + 4) // 8 + 1))::INT AS tj FROM u) SELECT year, ti, tj, count(*) AS pixels, sum((ti = row // 8 AND tj = col // 8)::INT)::BIGINT AS core FROM t GROUP BY year, ti, tj", "landcover"))
 def n9_overlapping_tiles(spark, d):
     t = neighborhood.overlapping_tiles(fx.landcover(spark, d), 16, 8)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landweave.functions import arrays, bands, geo
+from landweave.functions import arrays, bands, geo, metres
 from landweave.operators import composite, neighborhood, overlay
 from landweave.plans.book import Book
 from landweave.sources import fixtures as fx
@@ -266,6 +266,56 @@ def x10_x13_chip_origin_box(spark, d):
     return fx.points(spark, d).select("id", c.alias("c"), f.alias("f"), geo.box(F.col("x"), F.col("y"), 1.5).alias("b")).select("id", "c", "f", "b.*")
 
 
+def _project_sql(source: str, keep: str) -> str:
+    """``keep, mx, my`` of ``source``, which has lon, lat, zone and south: the series written out."""
+    sigma = f"sinh({metres.ECCENTRIC!r} * atanh({metres.ECCENTRIC!r} * sin(radians(lat))))"
+    t = f"tan(radians(lat)) * sqrt(1 + pow({sigma}, 2)) - {sigma} * sqrt(1 + pow(tan(radians(lat)), 2))"
+    series = lambda f, g, cs, sign="+": " ".join(f"{sign} ({c!r}::DOUBLE) * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, c in enumerate(cs, 1))
+    unit = f"{metres.SCALE * metres.ARC!r}::DOUBLE"
+    return f"""SELECT {keep}, 500000 + {unit} * (eta {series("cos", "sinh", metres.PLANE)}) AS mx, CASE WHEN south THEN 10000000 ELSE 0 END + {unit} * (xi {series("sin", "cosh", metres.PLANE)}) AS my
+        FROM (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM (SELECT *, {t} AS t, radians(lon - (zone * 6 - 183)) AS dl FROM {source}))"""
+
+
+def _unproject_sql(source: str, keep: str) -> str:
+    """``keep, lon, lat`` of ``source``, which has zone, south, mx and my."""
+    unit = f"{metres.SCALE * metres.ARC!r}::DOUBLE"
+    series = lambda f, g: " ".join(f"- ({c!r}::DOUBLE) * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, c in enumerate(metres.SPHERE, 1))
+    lat = " ".join(f"+ ({c!r}::DOUBLE) * sin({2 * j} * chi)" for j, c in enumerate(metres.LATITUDE, 1))
+    return f"""SELECT {keep}, zone * 6 - 183 + degrees(atan2(sinh(b), cos(a))) AS lon, degrees(chi {lat}) AS lat FROM (SELECT *, asin(sin(a) / cosh(b)) AS chi FROM (SELECT *, xi {series("sin", "cosh")} AS a, eta {series("cos", "sinh")} AS b
+        FROM (SELECT *, (my - CASE WHEN south THEN 10000000 ELSE 0 END) / {unit} AS xi, (mx - 500000) / {unit} AS eta FROM {source})))"""
+
+
+PLACES = "SELECT id, x - 58 AS lon, y - 2.5 AS lat, floor((x - 58 + 180) / 6)::INT + 1 AS zone, y - 2.5 < 0 AS south FROM points"
+AROUND = "(VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) d(dx, dy)"
+
+
+def _places(spark, d):
+    """Sample points on both sides of the equator, in two zones."""
+    return fx.points(spark, d).select("id", (F.col("x") - 58).alias("lon"), (F.col("y") - 2.5).alias("lat"))
+
+
+@book.add(sql(f"+p AS ({PLACES}), m AS ({_project_sql('p', 'id, zone, south')}) SELECT id, zone, south, round(mx, 3) AS x, round(my, 3) AS y FROM m", "points"), ["x", "y"])
+def x13_metres(spark, d):
+    """Eastings and northings to the millimetre."""
+    return _places(spark, d).select("id", metres.project(F.col("lon"), F.col("lat")).alias("m")).select("id", "m.zone", "m.south", F.round("m.x", 3).alias("x"), F.round("m.y", 3).alias("y"))
+
+
+@book.add(sql(f"+p AS ({PLACES}), m AS ({_project_sql('p', 'id, zone, south')}), c AS (SELECT id, zone, south, mx + 3840 * dx AS mx, my + 3840 * dy AS my FROM m, {AROUND}), u AS ({_unproject_sql('c', 'id')}) SELECT id, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy FROM u GROUP BY id", "points"), ["minx", "miny", "maxx", "maxy"])
+def x13_metre_canvas(spark, d):
+    """Canvases of 256 pixels of 30 m around sample points, in degrees."""
+    return metres.buffer_box(_places(spark, d), 256 * 30 / 2).select("id", "box.*")
+
+
+LAND = "SELECT grid_name, minx - 58 AS minx, miny - 2.5 AS miny, maxx - 58 AS maxx, maxy - 2.5 AS maxy, floor(((minx + maxx) / 2 - 58 + 180) / 6)::INT + 1 AS zone, (miny + maxy) / 2 - 2.5 < 0 AS south FROM sheets"
+
+
+@book.add(sql(f"+l AS ({LAND}), s AS (SELECT l.*, a.i * 5120.0::DOUBLE AS mx, b.j * 5120.0::DOUBLE AS my FROM l, range(-20, 220) a(i), range(-60, 2020) b(j) WHERE a.i * 5120 BETWEEN 0 AND 1000000 AND (b.j * 5120 BETWEEN 9700000 AND 10010000) = south AND b.j * 5120 < 10010000 AND (south OR b.j * 5120 < 300000)), u AS ({_unproject_sql('s', 'grid_name, zone, minx, miny, maxx, maxy, mx, my')}) SELECT grid_name, zone, mx AS x, my AS y, lon, lat FROM u WHERE lon >= minx AND lon < maxx AND lat >= miny AND lat < maxy", "sheets"), ["x", "y", "lon", "lat"])
+def n7_metre_seeds(spark, d):
+    """Seeds every ten windows of 512 m in every map sheet."""
+    boxes = fx.sheets(spark, d).select("grid_name", *[(F.col(c) - o).alias(c) for c, o in (("minx", 58), ("miny", 2.5), ("maxx", 58), ("maxy", 2.5))])
+    return metres.metre_grid(boxes, 10 * 512.0, ["grid_name"])
+
+
 @book.add(sql("SELECT grid_name, (minx + maxx + maxx) / 3 AS x, (miny + miny + maxy) / 3 AS y FROM sheets", "sheets"), ["x", "y"])
 def x12_centroid(spark, d):
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
