@@ -1,7 +1,8 @@
 """Moving windows over sparse pixel tables.
 
-Small kernels push each source pixel to the places it reaches; large square windows run as two
-separable passes. Nothing is densified beyond the reach of the pixels that exist.
+Small kernels push each source pixel to the places it reaches. Large square windows and distances run as
+two passes along the lines of the grid (:mod:`landweave.operators.lines`), each of which moves every pixel
+or place once, whatever the radius. Nothing is densified beyond the reach of the pixels that exist.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from landweave.operators import lines
 
 
 def _spread(pixels: DataFrame, offsets: Sequence[tuple[int, int]], extra: Sequence[float] | None = None) -> DataFrame:
@@ -26,12 +30,17 @@ def _inside(rows: int | None, cols: int | None) -> Column:
 
 
 def focal_max_square(pixels: DataFrame, value: str, radius: int, keys: Sequence[str] = (), shape: tuple[int, int] | None = None) -> DataFrame:
-    """Largest value within a square; two passes, along rows and then along columns."""
-    size = shape or (None, None)
-    reach = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("__d")
-    wide = pixels.select(*keys, "row", "col", value, reach).withColumn("col", F.col("col") + F.col("__d")).where("col >= 0").groupBy(*keys, "row", "col").agg(F.max(value).alias(value))
-    high = wide.select(*keys, "row", "col", value, reach).withColumn("row", F.col("row") + F.col("__d")).where(_inside(*size)).groupBy(*keys, "row", "col").agg(F.max(value).alias(value))
-    return high.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), value)
+    """Largest value within a square; running maxima along rows and then along columns.
+
+    Values are whole or floating-point numbers; null ones, and pixels without a row or column, reach nothing.
+    """
+    whole = isinstance(pixels.schema[value].dataType, T.IntegralType)
+    kind, back = (T.LongType() if whole else T.DoubleType()), pixels.schema[value].dataType
+    real = pixels.where(F.col(value).isNotNull() & F.col("row").isNotNull() & F.col("col").isNotNull())
+    wide = lines.along(real, [*keys, "row"], "col", value, value, kind, lines.running_max(radius))
+    wide = wide.where(F.col("col") >= 0 if shape is None else F.col("col").between(0, shape[1] - 1))
+    high = lines.along(wide, [*keys, "col"], "row", value, value, kind, lines.running_max(radius)).where(_inside(*(shape or (None, None))))
+    return high.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast(back).alias(value))
 
 
 def dilate(pixels: DataFrame, keys: Sequence[str] = (), shape: tuple[int, int] | None = None) -> DataFrame:
@@ -54,11 +63,21 @@ def moving_max(pixels: DataFrame, value: str, size: int = 8, keys: Sequence[str]
     return first.withColumn("local_max", F.max("__m").over(along("col", "row"))).drop("__m")
 
 
+def distances(pixels: DataFrame, radius: int, keys: Sequence[str] = (), shape: tuple[int, int] | None = None) -> DataFrame:
+    """``row, col, distance`` of places within a Euclidean distance of a pixel, exactly; pixels have 0.
+
+    Along columns the nearest pixel, along rows the lower envelope of the parabolas that those give.
+    """
+    real = pixels.where(F.col("row").isNotNull() & F.col("col").isNotNull())
+    high = lines.along(real, [*keys, "col"], "row", None, "__d", T.LongType(), lines.nearest(radius))
+    high = high.where(F.col("row") >= 0 if shape is None else F.col("row").between(0, shape[0] - 1))
+    wide = lines.along(high, [*keys, "row"], "col", "__d", "__d", T.LongType(), lines.squared_distance(radius)).where(_inside(*(shape or (None, None))))
+    return wide.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.sqrt("__d").alias("distance"))
+
+
 def near_but_not(pixels: DataFrame, radius: int, keys: Sequence[str] = (), shape: tuple[int, int] | None = None) -> DataFrame:
     """``row, col, distance`` of places within a Euclidean distance of a pixel that are no pixel themselves."""
-    offsets = [(r, c) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1) if r * r + c * c <= radius * radius]
-    spread = _spread(pixels.select(*keys, "row", "col"), offsets, [(r * r + c * c) ** 0.5 for r, c in offsets]).where(_inside(*(shape or (None, None))))
-    return spread.groupBy(*keys, "row", "col").agg(F.min("__o.e").alias("distance")).where("distance > 0")
+    return distances(pixels, radius, keys, shape).where("distance > 0")
 
 
 def seed_grid(region: DataFrame, step: float) -> DataFrame:

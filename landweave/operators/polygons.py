@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landweave.operators.overlay import small
+from landweave.storage import materialize
 
 #: Columns of a grid row that a run of pixels is cut at before it is joined with pixels.
 RUN = 256
@@ -99,7 +100,7 @@ def label_pixels(pixels: DataFrame, polygons: DataFrame, grid: Grid, value: str,
     block = lambda c: F.floor(F.col(c) / RUN)
     runs = spans(_numbered(polygons), grid, ["__id", value, order], rings).withColumn("__b", F.explode(F.sequence(block("first"), block("last"))))
     cells = pixels.select("row", "col").distinct().withColumn("__b", block("col"))
-    held = cells.join(small(runs), ["row", "__b"]).where(F.col("col").between(F.col("first"), F.col("last")))
+    held = cells.join(small(materialize(runs)), ["row", "__b"]).where(F.col("col").between(F.col("first"), F.col("last")))
     held = held.groupBy("row", "col").agg(F.min_by(value, F.struct(order, value)).alias(value))
     out = pixels.join(held, ["row", "col"], "left")
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
@@ -130,10 +131,10 @@ def cover(polygons: DataFrame, key: str, cell: float, levels: int = 4, rings: st
     Inner cells have no ``edges`` and are whole; four that make up one of the next level become that one.
     Cells that an edge touches are of level 0. They carry the edges that decide about points in them: those
     of their band of height that are neither right of the cell, nor left of it through the whole band; an
-    odd number of the latter is ``flip``.
+    odd number of the latter is ``flip``. The cells are written once, as their number is looked at before they are joined.
     """
     of = edges(polygons, [key], rings)
-    border = _touched(of, cell).select(key, "cx", "cy").distinct()
+    border = materialize(_touched(of, cell).select(key, "cx", "cy").distinct())
     band = of.where("y0 < y1").withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
     left, right, low, high, hair = F.col("cx") * cell, (F.col("cx") + 1) * cell, F.col("cy") * cell, (F.col("cy") + 1) * cell, 1e-6 * cell
     through = (F.greatest("x0", "x1") < left - hair) & (F.col("y0") <= low) & (F.col("y1") >= high)
@@ -152,7 +153,7 @@ def cover(polygons: DataFrame, key: str, cell: float, levels: int = 4, rings: st
         dealt = dealt.withColumn("level", F.when(full, n).otherwise(F.col("level")))
     whole = dealt.select(key, "level", F.expr("shiftright(cx, level)").alias("cx"), F.expr("shiftright(cy, level)").alias("cy")).distinct()
     whole = whole.withColumn("flip", F.lit(0)).withColumn("edges", F.lit(None).cast(sides.schema["edges"].dataType))
-    return whole.unionByName(sides.select(key, F.lit(0).alias("level"), "cx", "cy", "flip", "edges"))
+    return materialize(whole.unionByName(sides.select(key, F.lit(0).alias("level"), "cx", "cy", "flip", "edges")))
 
 
 def _odd(x: Column, y: Column) -> Column:
