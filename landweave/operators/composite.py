@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from fractions import Fraction
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landweave.functions.bands import min_max
-from landweave.operators.ranking import running_sum
-from landweave.storage import materialize
+from landweave.operators.overlay import BROADCAST_ROWS
+from landweave.storage import discard, materialize
 
 
 def median(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("row", "col")) -> DataFrame:
@@ -34,21 +35,73 @@ def normalize_region(pixels: DataFrame, bands: Sequence[str], keys: Sequence[str
     return ranged.select(*[min_max(c, F.col(f"{c}_min"), F.col(f"{c}_max")).alias(c) if c in bands else F.col(c) for c in pixels.columns])
 
 
-def quantiles(df: DataFrame, value: str, points: Sequence[float], keys: Sequence[str]) -> DataFrame:
-    """The keys and ``q``, the exact interpolated quantiles of each (large) group; a group without values has none.
+#: Bins of a power of two, bins of a range, and the number of values of a range that are gathered at most.
+OCTAVE, BINS, GATHERED = 256, 4096, 4096
+
+
+def order_statistics(df: DataFrame, value: str, ranks: Callable[[Column], Sequence[Column]], keys: Sequence[str]) -> DataFrame:
+    """``keys, n, rank, v``: of each group's ``n`` values in order, those at some ranks from 0, exactly.
+
+    Successive histograms: first by the logarithm of the value, ``OCTAVE`` bins to a power of two; the bin
+    that holds a rank becomes a range, from the smallest to the largest value in it. A range of over
+    ``GATHERED`` values that are not all equal has a histogram of ``BINS`` equal bins in turn; the others'
+    values are sorted. No value is moved or written but those: each pass reads the input again and shuffles
+    counts of bins. A million values take the first histogram, a billion one or two more.
 
-    Equal values are counted where they are, and running counts over range partitions say where each lies
-    in its group's order, so no task or buffer holds a group.
+    Null values do not count; NaN is the greatest; groups with null keys are groups; a group without values
+    has no rows.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    upto, _ = running_sum(counted, [*keys, "__v"], F.col("__n"), "__upto")
-    ends = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__n")).alias("__from"), F.sum("__n").alias("__all"))
-    placed = upto.join(ends, list(keys))
-    rank = F.col("__upto") - F.col("__from")
-    at = [(F.col("__all") - 1) * F.lit(float(p)) for p in points]
-    found = [F.min(F.when(rank > f(h), F.col("__v"))).alias(f"__{name}{i}") for i, h in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))]
-    got = placed.groupBy(*keys, "__all").agg(*found)
-    between = [F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (h - F.floor(h)) for i, h in enumerate(at)]
+    v, names = F.col("__v"), [f"__{k}" for k in keys]
+    values = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).cast("double").alias("__v"))
+    # Logarithms of doubles lie between -1074 and 1024.
+    size_bin = F.floor(F.log2(F.abs(v)) * OCTAVE) + 2000 * OCTAVE
+    first_bin = F.when(F.isnan(v), 1 << 30).when(F.abs(v) == float("inf"), F.signum(v) * (1 << 29)).when(v == 0, 0).otherwise(F.signum(v) * size_bin).cast("long")
+    counts = F.count(F.lit(1)).alias("size"), F.min(v).alias("lo"), F.max(v).alias("hi")
+    place = Window.partitionBy(*names)
+    upto = F.sum("size").over(place.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = values.groupBy(*names, first_bin.alias("bin")).agg(*counts).withColumn("n", F.sum("size").over(place)).withColumn("before", upto - F.col("size"))
+    ranked = placed.withColumn("rank", F.explode(F.array_distinct(F.array(*[r.cast("long") for r in ranks(F.col("n"))]))))
+    columns = [*names, "n", "rank", "lo", "hi", "before", "size"]
+    state = materialize(ranked.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size"))).select(columns))
+    single, within = F.col("lo").eqNullSafe(F.col("hi")), (v >= F.col("lo")) & (v <= F.col("hi"))
+    unsettled = (F.col("size") > GATHERED) & ~single
+    # The number of ranks stays the same from here on.
+    rows, left = state.agg(F.count(F.lit(1)), F.count_if(unsettled)).first()
+    hint = F.broadcast if rows <= BROADCAST_ROWS else lambda table: table
+
+    def matched(many: DataFrame, few: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+        """Rows of both sides with equal keys, null ones too; keys and ``more`` come from the first."""
+        shared = (*names, *more)
+        renamed = few.select(*[F.col(c).alias(f"{c}__r") if c in shared else F.col(c) for c in few.columns])
+        on = reduce(lambda x, y: x & y, [many[c].eqNullSafe(renamed[f"{c}__r"]) for c in shared], F.lit(True))
+        return many.join(hint(renamed), on).drop(*[f"{c}__r" for c in shared])
+
+    while left:
+        open_ = state.where(unsettled)
+        bin_ = F.least(F.floor((v / 2 - F.col("from") / 2) / (F.col("to") / 2 - F.col("from") / 2) * BINS), F.lit(BINS - 1))
+        ranges = open_.select(*names, F.col("lo").alias("from"), F.col("hi").alias("to")).distinct()
+        counted = matched(values, ranges).where((v >= F.col("from")) & (v <= F.col("to"))).groupBy(*names, "from", "to", bin_.alias("bin")).agg(*counts)
+        # At most BINS rows for each range.
+        order = Window.partitionBy(*names, "from", "to").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = matched(counted.withColumn("upto", F.sum("size").over(order)), open_.select(*names, "n", "rank", "before", F.col("lo").alias("from"), F.col("hi").alias("to")), ["from", "to"])
+        met = met.withColumn("before", F.col("before") + F.col("upto") - F.col("size")).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
+        read, state = state, materialize(state.where(~unsettled).unionByName(met.select(columns)))
+        discard(read)
+        left = state.where(unsettled).count()
+    some = state.where(~single)
+    gathered = matched(values, some.select(*names, "lo", "hi").distinct()).where(within).groupBy(*names, "lo", "hi").agg(F.array_sort(F.collect_list(v)).alias("__sorted"))
+    found = matched(gathered, some, ["lo", "hi"]).withColumn("v", F.get("__sorted", (F.col("rank") - F.col("before")).cast("int")))
+    out = found.select(*names, "n", "rank", "v").unionByName(state.where(single).select(*names, "n", "rank", F.col("lo").alias("v")))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "n", "rank", "v")
+
+
+def quantiles(df: DataFrame, value: str, points: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """The keys and ``q``, the exact interpolated quantiles of each (large) group; a group without values has none."""
+    place = lambda n: [(n - 1) * F.lit(float(p)) for p in points]
+    at = order_statistics(df, value, lambda n: [f(h) for h in place(n) for f in (F.floor, F.ceil)], keys)
+    found = [F.min(F.when(F.col("rank") == f(h), F.col("v"))).alias(f"__{name}{i}") for i, h in enumerate(place(F.col("n"))) for name, f in (("lo", F.floor), ("hi", F.ceil))]
+    got = at.groupBy(*keys, "n").agg(*found)
+    between = [F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (h - F.floor(h)) for i, h in enumerate(place(F.col("n")))]
     return got.select(*keys, F.array(*between).alias("q"))
 
 

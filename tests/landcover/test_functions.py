@@ -174,6 +174,32 @@ def test_quantiles_are_exact_and_interpolated(spark):
         assert np.allclose(q, np.quantile([v for i, v in rows if i == k and v is not None], points))
 
 
+@pytest.mark.parametrize("few", [1, 4096])
+def test_order_statistics_by_histograms(spark, monkeypatch, few):
+    """Wide and narrow ranges, ties, infinities, NaN and null keys; with every range refined, and with the last ones sorted."""
+    monkeypatch.setattr(composite, "GATHERED", few)
+    rng = np.random.default_rng(5)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "normal": rng.normal(size=700), "wide": 10.0 ** rng.uniform(-300, 300, 500) * rng.choice([-1, 1], 500), "ties": np.repeat([-0.0, 1.0, 1.0 + 2**-52, -7.5], 90), "near": 1e6 + rng.uniform(0, 1e-6, 400),
+        "odd": np.array([inf, -inf, nan, nan, 0.0, -1e308, 1e308, 5e-324]), None: np.arange(50.0), "one": np.array([3.5]),
+    }
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    got = composite.order_statistics(df, "v", lambda n: [F.lit(0), F.floor(n / 3), F.floor(n / 2), n - 1], ["k"]).collect()
+    assert {r.k for r in got} == set(groups)
+    for k, x in groups.items():
+        own = {r["rank"]: r.v for r in got if r.k == k}
+        assert set(own) == {0, len(x) // 3, len(x) // 2, len(x) - 1}
+        assert all(np.array_equal(own[i], np.sort(x)[i], equal_nan=True) for i in own)
+
+
+def test_selection_moves_counts_only(spark):
+    df = spark.range(100000).select((F.col("id") % 3).alias("k"), (F.col("id") * 37 % 99991 / 7).alias("v"))
+    plan = composite.quantiles(df, "v", (0.25, 0.5), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
 def test_property_lists_are_bounded(spark):
     df = spark.range(20).withColumnRenamed("id", "k")
     assert scans.property_list(df, ["k"], "k").first().k == list(range(20))
