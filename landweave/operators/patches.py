@@ -6,6 +6,7 @@ tasks, and 0 is free to mean the background.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from landweave.operators.components import connected_components
 from landweave.operators.neighborhood import dilate
+from landweave.operators.overlay import small
 from landweave.operators.ranking import counted_rows, number_rows
 from landweave.storage import exists, materialize
 
@@ -83,7 +85,7 @@ def label_patches(pixels: DataFrame, connectivity: int = 4, value: str | None =
     pixels = materialize(pixels.select(*keys, "row", "col", *([value] if value else [])).distinct())
     # Key combinations (years) get whole numbers, so that a label is one number; there are few of them.
     parts = number_rows(pixels.select(*keys).distinct(), list(keys), "part", 0) if keys else None
-    base = pixels.join(F.broadcast(parts), list(keys)) if keys else pixels.withColumn("part", F.lit(0).cast("long"))
+    base = pixels.join(small(parts), list(keys)) if keys else pixels.withColumn("part", F.lit(0).cast("long"))
     base = base.select("part", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), (F.col(value).cast("long") if value else F.lit(1).cast("long")).alias("val"))
     local = tiled(base, tile).groupBy("part", "ti", "tj").applyInPandas(_local(connectivity), "part long, row int, col int, val long, local long")
     node = F.col("part") * (SPAN * SPAN) + F.col("local")
@@ -97,7 +99,7 @@ def label_patches(pixels: DataFrame, connectivity: int = 4, value: str | None =
     touching = ahead.join(seam, ["part", "val", "row", "col"]).select("a", F.col("node").alias("b"))
     merged = connected_components(touching, "a", "b")
     out = local.join(merged, "node", "left").select("part", "row", "col", (F.coalesce("component", "node") % (SPAN * SPAN) + 1).alias("patch"))
-    return (out.join(F.broadcast(parts), "part") if keys else out).select(*keys, "row", "col", "patch")
+    return (out.join(small(parts), "part") if keys else out).select(*keys, "row", "col", "patch")
 
 
 def areas(labels: DataFrame, keys: Sequence[str] = ("year", "patch"), hectares=None) -> DataFrame:
@@ -124,7 +126,7 @@ def relabel(labels: DataFrame, keys: Sequence[str] = ("year",), patch: str = "pa
     distinct = number_rows(labels.select(*keys, patch).distinct(), [*keys, patch], "__n")
     if keys:
         first = distinct.groupBy(*keys).agg(F.min("__n").alias("__f"))
-        distinct = distinct.join(F.broadcast(first), list(keys)).withColumn("__n", F.col("__n") - F.col("__f") + 1).drop("__f")
+        distinct = distinct.join(small(first), list(keys)).withColumn("__n", F.col("__n") - F.col("__f") + 1).drop("__f")
     return labels.join(distinct, [*keys, patch]).withColumn("number", F.col("__n")).drop("__n")
 
 
@@ -144,6 +146,15 @@ def _taken(now: DataFrame, before: DataFrame, policy: str, overlap: str) -> Data
     return taken
 
 
+def _held(spark, folder: str, chain: str) -> int:
+    """The largest identity of a kept year, 0 if its digest is another or it has none."""
+    table = spark.read.parquet(folder)
+    if "digest" not in table.columns:
+        return 0
+    r = table.agg(F.max("id").alias("top"), F.min("digest").alias("a"), F.max("digest").alias("b")).first()
+    return r.top if r.a == r.b == chain else 0
+
+
 def identity(labels: DataFrame, policy: str = "inherit", overlap: str = "pixels", store: str | None = None) -> DataFrame:
     """K6, K7, L4, ST3: ``year, patch, id`` with identities carried over the years.
 
@@ -152,23 +163,25 @@ def identity(labels: DataFrame, policy: str = "inherit", overlap: str = "pixels"
     ``split_new`` gives new identities also where several patches would take the same one.
 
     The carried state is the table of identities by year. With ``store`` it is kept there, a folder a year,
-    and a later run goes on after the last year that it holds.
+    each with a digest of the labels it follows from: its own year's, whatever their order, those of all
+    years before, and the policy. A later run takes the years whose digests still hold and starts again with
+    the first that differs, is missing or was not written to its end; earlier years are left as they are.
     """
     if policy not in ("inherit", "split_new") or overlap not in ("pixels", "box"):
         raise ValueError("policy is inherit or split_new, overlap is pixels or box")
     spark = labels.sparkSession
     # The years are few, and each needs the identities of the one before; each year's pixels are files of their own.
     labels = materialize(labels, by=["year"])
-    years = [r[0] for r in labels.select("year").distinct().orderBy("year").collect()]
-    done, top, before = {}, 0, None
-    if store and exists(spark, store):
-        held = spark.read.parquet(store)
-        done = {r.year: r.top for r in held.groupBy("year").agg(F.max("id").alias("top")).collect()}
-    out = []
-    for year in years:
-        now = labels.where(F.col("year") == year)
-        if year in done:
-            ids, top = spark.read.parquet(f"{store}/year={year}").withColumn("year", F.lit(year)).select("year", "patch", "id"), max(top, done[year])
+    each = F.sum(F.xxhash64("row", "col", "patch").cast("decimal(38,0)")).alias("sum")
+    inputs = {r.year: f"{r.n} {r.sum}" for r in labels.groupBy("year").agg(F.count(F.lit(1)).alias("n"), each).collect()}
+    top, before, chain, valid, out = 0, None, f"{policy} {overlap}", store is not None, []
+    for year in sorted(inputs):
+        now, folder = labels.where(F.col("year") == year), f"{store}/year={year}"
+        chain = hashlib.sha256(f"{chain}\n{year} {inputs[year]}".encode()).hexdigest()
+        kept = valid and exists(spark, f"{folder}/_SUCCESS") and _held(spark, folder, chain)
+        valid = bool(kept)
+        if kept:
+            ids, top = spark.read.parquet(folder).select(F.lit(year).alias("year"), "patch", "id"), max(top, kept)
         else:
             patches = now.select("patch").distinct()
             taken = None if before is None else materialize(_taken(now, before, policy, overlap))
@@ -177,8 +190,8 @@ def identity(labels: DataFrame, policy: str = "inherit", overlap: str = "pixels"
             found = fresh if taken is None else fresh.unionByName(taken)
             top += count
             if store:
-                found.write.mode("overwrite").parquet(f"{store}/year={year}")
-                ids = spark.read.parquet(f"{store}/year={year}").select(F.lit(year).alias("year"), "patch", "id")
+                found.withColumn("digest", F.lit(chain)).write.mode("overwrite").parquet(folder)
+                ids = spark.read.parquet(folder).select(F.lit(year).alias("year"), "patch", "id")
             else:
                 ids = materialize(found.select(F.lit(year).alias("year"), "patch", "id"))
         out.append(ids)

@@ -276,14 +276,14 @@ def sc1_list_files(spark, d):
 
 @book.add(sql("SELECT image_id, tile FROM arrivals", "arrivals"))
 def st1_incremental(spark, d):
-    """A first stretch of arrivals, a restart with the rest and with repeats of the first; each image is processed once."""
+    """Newer arrivals first, then, after a restart, the older half with repeats of the first; each image is processed once."""
     src, out, mark = _fresh(spark), _fresh(spark), _fresh(spark)
     a = fx.arrivals(spark, d)
     step = lambda b: b.select("image_id", "tile")
-    for part in (a.where("image_id % 2 = 0"), a.where("image_id % 2 = 1 or image_id % 10 = 0")):
+    middle = a.agg(F.timestamp_seconds((F.min(F.unix_seconds("ts")) + F.max(F.unix_seconds("ts"))) / 2)).first()[0]
+    for part in (a.where(F.col("ts") >= middle), a.where((F.col("ts") < middle) | (F.col("image_id") % 10 == 0))):
         part.write.mode("append").parquet(src)
-        stream = incremental.arriving(spark, src, a.schema, late="4000 days")
-        incremental.process(stream, step, out, mark).awaitTermination()
+        incremental.process(incremental.arriving(spark, src, a.schema), step, out, mark).awaitTermination()
     return spark.read.parquet(out).select("image_id", "tile")
 
 

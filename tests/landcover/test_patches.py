@@ -114,3 +114,30 @@ def test_first_write_wins(spark):
     shape = "year int, patch long, area_px long"
     a, b = spark.createDataFrame([(1, 1, 5)], shape), spark.createDataFrame([(1, 1, 9), (2, 1, 7)], shape)
     assert sorted(map(tuple, lineage.upsert(a, b).collect())) == [(1, 1, 5), (2, 1, 7)]
+
+
+def test_kept_identities_know_their_labels(spark, tmp_path):
+    """One pixel of the third of four years changes: that year and later ones are made anew, earlier ones are left alone."""
+    rng = random.Random(2)
+    years = {y: {(r, c) for r in range(12) for c in range(12) if rng.random() < 0.45} for y in range(1995, 1999)}
+    labels = lambda ys: patches.label_patches(spark.createDataFrame([(y, r, c) for y in sorted(ys) for r, c in sorted(ys[y])], "year int, row int, col int"), 4)
+    plain = lambda df: sorted(map(tuple, df.select("year", "patch", "id").collect()))
+    store = str(tmp_path / "ids")
+    files = lambda y: {f.name: f.stat().st_mtime_ns for f in (tmp_path / "ids" / f"year={y}").glob("*.parquet")}
+    first = plain(patches.identity(labels(years), store=store))
+    assert first == plain(patches.identity(labels(years)))
+    kept = {y: files(y) for y in years}
+    # The same rows in another order: nothing is written.
+    assert plain(patches.identity(labels(years).orderBy(F.rand(1)), store=store)) == first and {y: files(y) for y in years} == kept
+    changed = years | {1997: years[1997] ^ {(3, 3)}}
+    got = plain(patches.identity(labels(changed), store=store))
+    assert got == plain(patches.identity(labels(changed)))
+    assert all((files(y) == kept[y]) == (y < 1997) for y in years)
+    # A year that is gone and another policy; then a year whose write did not end.
+    fewer = {y: p for y, p in changed.items() if y != 1996}
+    again = plain(patches.identity(labels(fewer), "split_new"))
+    assert plain(patches.identity(labels(fewer), "split_new", store=store)) == again
+    (tmp_path / "ids" / "year=1997" / "_SUCCESS").unlink()
+    kept = {y: files(y) for y in years}
+    assert plain(patches.identity(labels(fewer), "split_new", store=store)) == again
+    assert all((files(y) == kept[y]) == (y < 1997) for y in fewer)

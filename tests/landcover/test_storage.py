@@ -1,5 +1,6 @@
 """Writes, incremental runs and shared intermediates."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from landweave.operators.components import connected_components
@@ -40,6 +41,56 @@ def test_restart_and_repeats(spark, tmp_path):
     assert run() == list(range(7))
 
 
+def scenes(spark, rows):
+    return spark.createDataFrame(rows, "image_id long, day int, tile int").select("image_id", F.timestamp_seconds(F.col("day") * 86400 + 10**9).alias("ts"), "tile")
+
+
+def test_late_scenes_are_taken_and_repeats_are_not(spark, tmp_path):
+    """A scene 90 days late, ids that come again with other times, and rows that repeat an id in one batch."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+
+    def run(mark="mark"):
+        stream = incremental.arriving(spark, src, scenes(spark, []).schema, files=1)
+        incremental.process(stream, lambda b: b.select("image_id", "tile"), out, str(tmp_path / mark)).awaitTermination()
+        return sorted((r.image_id, r.tile) for r in spark.read.parquet(out).collect())
+
+    scenes(spark, [(1, 100, 0), (2, 101, 0), (2, 101, 1), (None, 101, 1)]).coalesce(1).write.parquet(src)
+    assert run() == [(1, 0), (2, 0)]
+    scenes(spark, [(3, 11, 5), (1, 150, 7), (2, 10, 9)]).coalesce(1).write.mode("append").parquet(src)
+    assert run() == [(1, 0), (2, 0), (3, 5)]
+    # Another checkpoint counts its batches from 0 and reads everything again.
+    assert run("other") == [(1, 0), (2, 0), (3, 5)]
+
+
+def test_break_between_output_and_note(spark, tmp_path, monkeypatch):
+    """A batch that breaks off after its output, and one after its note: run again, each scene has one output."""
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    note, calls = incremental._finish, []
+
+    def run():
+        stream = incremental.arriving(spark, src, scenes(spark, []).schema)
+        incremental.process(stream, lambda b: b.select("image_id"), out, mark).awaitTermination()
+
+    def before(ids, path):
+        raise RuntimeError("lost")
+
+    def after(ids, path):
+        note(ids, path)
+        calls.append(path)
+        raise RuntimeError("lost")
+
+    scenes(spark, [(1, 1, 0), (2, 2, 0)]).write.parquet(src)
+    for broken in (before, after):
+        monkeypatch.setattr(incremental, "_finish", broken)
+        with pytest.raises(Exception, match="lost"):
+            run()
+    monkeypatch.setattr(incremental, "_finish", note)
+    run()
+    scenes(spark, [(2, 9, 0), (3, 3, 0)]).write.mode("append").parquet(src)
+    run()
+    assert len(calls) == 1 and sorted(r.image_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
 def test_components_of_paths_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(1, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000, 2001), (2001, 2002), (2002, 2000), (5, 5), (None, 7), (2000, 2001)]
     for few in (0, 1000):
