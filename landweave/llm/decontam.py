@@ -12,12 +12,16 @@ T = n - 1 - 2B/3 pairs, on diagonals at most B apart. All but T - t of an item's
 the benchmark being left out, are seeds, and t of them (``HITS``, or T) on such diagonals make a
 candidate: T is positive for every item of three words or more at the default thresholds, so nothing that
 a full alignment finds is lost. (A ``min_score`` under a half can make T less than 1; one seed is then asked.)
+An item of one word has that word as its seed.
 
 The corpus is scanned once for each block of at most ``block_words`` words of items (16 bytes a word), so
 what is broadcast has a fixed bound however large the benchmark is.
 
-Cases: null and empty texts have no words; items under three words have no seeds and are never found;
-repeated items are one; rows that repeat an id give their own hits, and equal hits are one row; empty
+The seeds of a run of texts are looked up for as many items at a time as make about ``EXPANDED`` places, so
+that what many items share with one long text takes no more memory than anything else.
+
+Cases: null and empty texts have no words, and items without any are never found; items of one or two words
+are found where all of them stand together, like any item of ``min_words`` words at most; repeated items are one; rows that repeat an id give their own hits, and equal hits are one row; empty
 tables give empty results; columns besides the named ones are ignored, or passed through, repeated rows
 too, by :func:`decontaminate`.
 """
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from landweave.llm.textkit import LOWER_ALNUM, Words, chunks, grams, within
 
-LEAST_WORDS, HITS, EXPANDED = 3, 4, 1 << 22
+HITS, EXPANDED = 4, 1 << 22
 #: Hashes that pad items and windows; they never equal each other.
 _PAD_ITEM, _PAD_DOC = np.uint64(1), np.uint64(2)
 
@@ -44,6 +48,10 @@ def _pairs(words: np.ndarray, step: int = 1) -> np.ndarray:
     return out
 
 
+def _singles(words: np.ndarray) -> np.ndarray:
+    return grams(words, 1) ^ np.uint64(0x5555555555555555)
+
+
 class Items:
     """A block of benchmark items: ids, word hashes with offsets, thresholds, and seeds in order of hash."""
 
@@ -60,10 +68,10 @@ class Items:
         self.short = np.floor(2 * self.size - self.need + 1e-9).astype(np.int64)
         kept = np.maximum(self.size - 1 - 2 * self.short // 3, 1)
         self.hits = np.minimum(kept, HITS)
-        at = within(self.first, 2)
+        at, alone = within(self.first, 2), self.first[:-1][self.size == 1]
+        gram = np.r_[_pairs(self.words)[at], _singles(self.words[alone])]
+        at, self.alone = np.r_[at, alone], bool(len(alone))
         item = np.searchsorted(self.first, at, "right") - 1
-        at, item = at[self.size[item] >= LEAST_WORDS], item[self.size[item] >= LEAST_WORDS]
-        gram = _pairs(self.words)[at]
         _, back, times = np.unique(gram, return_inverse=True, return_counts=True)
         # Commonest first within each item; the first T - t are no seeds.
         o = np.lexsort((at, -times[back], item))
@@ -71,7 +79,9 @@ class Items:
         o = o[rank >= (kept - self.hits)[item[o]]]
         o = o[np.argsort(gram[o], kind="stable")]
         self.seed_item, self.seed_at = item[o], (at - self.first[item])[o]
-        self.seed, self.begin, self.times = np.unique(gram[o], return_index=True, return_counts=True)
+        self.seed, back, self.times = np.unique(gram[o], return_inverse=True, return_counts=True)
+        # Seeds in order, the items of each in order.
+        self.place = back * len(self.ids) + self.seed_item
         bits = min(25, max(16, int(16 * len(self.seed)).bit_length()))
         self.mask = np.uint64((1 << bits) - 1)
         self.maybe = np.zeros(1 << bits, bool)
@@ -122,10 +132,21 @@ def _blocks(cells: np.ndarray, most: int = 1 << 20):
         lo = hi
 
 
-def _windows(items: Items, pos: np.ndarray, seed: np.ndarray, first: np.ndarray):
-    """(item, document, start, end) of the merged windows that can hold a hit."""
-    times = items.times[seed]
-    which = np.repeat(items.begin[seed] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+def _shares(items: Items, seed: np.ndarray):
+    """Ranges of the seed table for each of the looked-up ``seed``, for as many items at a time as make ``EXPANDED`` places, or one item."""
+    todo = [(0, len(items.ids))]
+    while todo:
+        a, z = todo.pop()
+        begin, end = (np.searchsorted(items.place, seed * len(items.ids) + x) for x in (a, z))
+        if (end - begin).sum() <= EXPANDED or z - a == 1:
+            yield begin, end - begin
+        else:
+            todo += [((a + z) // 2, z), (a, (a + z) // 2)]
+
+
+def _windows(items: Items, pos: np.ndarray, begin: np.ndarray, times: np.ndarray, first: np.ndarray):
+    """(item, document, start, end) of the merged windows that can hold a hit, from the ranges of the seed table at ``pos``."""
+    which = np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
     pos = np.repeat(pos, times)
     item, diag = items.seed_item[which], pos - items.seed_at[which]
     doc = np.searchsorted(first, pos, "right") - 1
@@ -152,13 +173,14 @@ def find(items: Items, texts: pa.Array):
     for row, buf, off in chunks(texts):
         w = Words(buf, off, LOWER_ALNUM)
         at = within(w.first, 2)
-        if not len(at):
-            continue
         h = w.hashes()
         pos, seed = items.look_up(_pairs(h)[at])
         wide = within(w.first, 3)
         pos2, seed2 = items.look_up(_pairs(h, 2)[wide])
         pos, seed = np.r_[at[pos], wide[pos2]], np.r_[seed, seed2]
+        if items.alone:
+            one, seed1 = items.look_up(_singles(h))
+            pos, seed = np.r_[pos, one], np.r_[seed, seed1]
         o = np.argsort(pos, kind="stable")
         pos, seed = pos[o], seed[o]
         # Whole documents at a time, of about ``EXPANDED`` seeds.
@@ -168,8 +190,8 @@ def find(items: Items, texts: pa.Array):
         while i < len(ends) - 1:
             j = max(i + 1, int(np.searchsorted(load, load[i] + EXPANDED, "right")) - 1)
             part = slice(ends[i], ends[j])
-            if ends[j] > ends[i]:
-                yield from _aligned(items, h, w.first, row, *_windows(items, pos[part], seed[part], w.first))
+            for begin, times in _shares(items, seed[part]) if ends[j] > ends[i] else ():
+                yield from _aligned(items, h, w.first, row, *_windows(items, pos[part], begin, times, w.first))
             i = j
 
 

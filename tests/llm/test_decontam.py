@@ -66,12 +66,12 @@ def test_edited_copies_and_cases(spark):
     docs = spark.createDataFrame([(k, v, 9, 0.5) for k, v in texts.items()] + [(3, texts[3], 1, 1.0)], "doc_id long, text string, item_id int, score double")
     bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, None), (3, "tiny item"), (4, "")], "item_id long, text string")
     rows = decontam.matches(docs, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in rows} == {(3, 1), (4, 1), (7, 1)}
+    assert {(r.doc_id, r.item_id) for r in rows} == {(3, 1), (4, 1), (7, 1), (8, 3)}
     assert {(r.start_word, r.end_word, r.score) for r in rows if r.doc_id == 7} == {(80000, 80040, 1.0)}
     assert {(r.start_word, r.end_word) for r in rows if r.doc_id == 4} == {(2, 42)}
-    assert {r.doc_id for r in decontam.matches(docs, bench, block_words=10).collect()} == {3, 4, 7}
+    assert {r.doc_id for r in decontam.matches(docs, bench, block_words=10).collect()} == {3, 4, 7, 8}
     kept = decontam.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 8]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6]
     assert decontam.matches(docs.limit(0), bench).count() == decontam.matches(docs, bench.limit(0)).count() == 0
 
 
@@ -104,3 +104,34 @@ def test_full_alignment_without_shared_runs(spark):
     assert got == want and len(want) > 60
     twice = len(docs) - 2
     assert {(r.start_word, r.end_word) for r in rows if r.doc_id == twice} == {(0, 40), (43, 83)}
+
+
+def test_items_of_one_and_two_words(spark):
+    """Short items are found where a full alignment finds them: all their words together, nowhere else."""
+    items = {1: "Alpha", 2: "beta gamma", 3: "delta", 4: "eps zeta eta"}
+    texts = {1: "alpha", 2: "x ALPHA, y", 3: "beta x gamma", 4: "a beta-gamma b", 5: "gamma beta", 6: "alphabet", 7: "", 8: "delta delta", 9: "eps zeta x eta"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    want = {(d, i) for d, t in texts.items() for i, x in items.items() if words(x) and plain(words(x), words(t)) >= 2 * len(words(x))}
+    assert got == want == {(1, 1), (2, 1), (4, 2), (8, 3)}
+
+
+def test_memory_of_a_phrase_that_many_items_share(monkeypatch):
+    """One text of many repeats of a phrase that opens many items: places are made a bounded number at a time, and nothing is lost."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    phrase = "what is the name of"
+    texts = [f"{phrase} thing{i} and why" for i in range(4000)]
+    held = decontam.Items(list(range(4000)), texts, 0.5, 8)
+    doc = pa.array([" ".join([phrase] * 400) + " " + texts[17]])
+    found = []
+    for bound in (1 << 40, 1 << 16):
+        monkeypatch.setattr(decontam, "EXPANDED", bound)
+        tracemalloc.start()
+        hits = [tuple(np.concatenate(c).tolist()) for c in zip(*[(r, i, s, e) for r, i, s, e, _ in decontam.find(held, doc)])]
+        found.append((sorted(zip(*hits)), tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    assert found[0][0] == found[1][0] and any(h[1] == 17 for h in found[0][0])
+    assert found[1][1] < 40 << 20 and found[1][1] < found[0][1] / 4
