@@ -12,9 +12,11 @@ Largest inner product becomes nearest distance by one more coordinate, sqrt(M^2
 largest norm of the block; a query's is 0. Blocks hold vectors whose norms differ by at most a factor of
 ``RATIO``, so that this coordinate stays small however uneven the norms of the table are. The index is
 all rows, in blocks of at most ``block`` vectors, one row each; the queries come in far smaller rows,
-which go to every block. A task holds one block with its arrays and one row of queries whatever the input.
+which go to every block and follow it in its task. A task holds one block with its arrays and one row of
+queries whatever the input. Every query starts from the same width, which a few vectors of the block, as
+queries, determine, so that its answer does not depend on the queries before it.
 
-Cases: vectors that are null, empty, zero, of another length than most, or with null or non-finite
+Cases: vectors that are null, empty, zero, of another length than most (they have no inner product with the rest), or with null or non-finite
 components take no part, as query or candidate; equal vectors are all candidates together and ties go
 to the smaller id; fewer candidates than ``k`` give fewer rows; an empty table gives an empty result.
 Ids are taken to be distinct; a query never returns its own id.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from landweave.storage import materialize
 
-LEAST_PROJECTIONS, THRESHOLD, GROWTH, RATIO = 128, 0.8, 1.1, 1.1
+LEAST_PROJECTIONS, THRESHOLD, GROWTH, RATIO, PROBES = 128, 0.8, 1.1, 1.1, 8
 
 
 def usable(vec: Column) -> Column:
@@ -79,26 +81,28 @@ def _packed(batches):
 class Arrays:
     """Sorted projections of the vectors of one block, end to end, each ``apart`` from the next."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, enough: int):
         self.n, self.directions = len(x), _directions(x.shape[1])
         y = np.ascontiguousarray((_extended(x, False) @ self.directions).T)
         self.order = np.argsort(y, axis=1, kind="stable")
         y = np.take_along_axis(y, self.order, 1)
         self.reach = float(np.abs(y).max())
-        self.width = max(0.5 * float(np.median(y[:, int(0.75 * (self.n - 1))] - y[:, int(0.25 * (self.n - 1))])), 1e-6 * self.reach)
+        start = max(0.5 * float(np.median(y[:, int(0.75 * (self.n - 1))] - y[:, int(0.25 * (self.n - 1))])), 1e-6 * self.reach)
         self.shift = 4 * self.reach * np.arange(len(y))
         self.flat = (y + self.shift[:, None]).ravel()
         self.begin = self.n * np.arange(len(y))
-        self.order = self.order.ravel()
+        self.order, self.enough = self.order.ravel(), min(enough, self.n)
+        probes = _extended(x[:: max(1, self.n // PROBES)][:PROBES], True) @ self.directions
+        self.width = min(self.collide(q, start)[1] for q in probes) / GROWTH
 
     def ranks(self, values: np.ndarray) -> np.ndarray:
         """How many entries of each array are smaller than its value."""
         inside = np.clip(values, -1.5 * self.reach, 1.5 * self.reach) + self.shift
         return np.searchsorted(self.flat, inside) - self.begin
 
-    def collide(self, q: np.ndarray, enough: int) -> np.ndarray:
-        """Vectors to verify for a query's projections ``q``; the width that found them is the next query's start."""
-        need, enough, width = int(np.ceil(THRESHOLD * len(q))), min(enough, self.n), self.width / GROWTH
+    def collide(self, q: np.ndarray, width: float) -> tuple[np.ndarray, float]:
+        """Vectors to verify for a query's projections ``q``, and the width of the windows that hold enough, from ``width`` on."""
+        need, enough = int(np.ceil(THRESHOLD * len(q))), self.enough
         count, lo = np.zeros(self.n, np.int64), self.ranks(q)
         hi = lo
         while True:
@@ -109,34 +113,34 @@ class Arrays:
             if (count >= need).sum() >= enough or (hi - lo).min() == self.n:
                 break
             width *= GROWTH
-        self.width = width
         least = np.partition(count, self.n - enough)[self.n - enough]
-        return np.flatnonzero(count >= least)
+        return np.flatnonzero(count >= least), width
 
 
 def _searched(k: int, least: int, share: int, dim: int, kind: str):
+    """Rows of queries that follow the row of their block (``query`` false), answered."""
+
     def run(batches):
-        held, arrays, ids, x = None, None, None, None
+        arrays, ids, x = None, None, None
         for b in batches:
-            for block, qids, qvecs, bids, bvecs in zip(*b.columns):
-                if block.as_py() != held:
-                    held, ids = block.as_py(), np.frombuffer(bids.as_py(), np.int64)
-                    x = np.frombuffer(bvecs.as_py(), kind).reshape(-1, dim).astype(np.float64)
-                    arrays = Arrays(x)
-                qids = np.frombuffer(qids.as_py(), np.int64)
-                q = np.frombuffer(qvecs.as_py(), kind).reshape(-1, dim).astype(np.float64)
+            for query, row_ids, vecs in zip(*(b.column(i) for i in (1, 2, 3))):
+                own = np.frombuffer(row_ids.as_py(), np.int64)
+                q = np.frombuffer(vecs.as_py(), kind).reshape(-1, dim).astype(np.float64)
+                if not query.as_py():
+                    ids, x, arrays = own, q, Arrays(q, max(least, len(q) // share))
+                    continue
                 qp = _extended(q, True) @ arrays.directions
                 out = [[], [], [], []]
-                for j in range(len(qids)):
-                    c = arrays.collide(qp[j], max(least, arrays.n // share))
+                for j in range(len(own)):
+                    c, _ = arrays.collide(qp[j], arrays.width)
                     met = len(c)
-                    c = c[ids[c] != qids[j]]
+                    c = c[ids[c] != own[j]]
                     score = (x[c] * q[j]).sum(axis=1)
                     best = np.lexsort((ids[c], -score))[:k]
                     # The number verified goes with the first row.
                     verified = np.zeros(len(best), np.int64)
                     verified[:1] = met
-                    for col, v in zip(out, (np.full(len(best), qids[j]), ids[c[best]], score[best], verified)):
+                    for col, v in zip(out, (np.full(len(best), own[j]), ids[c[best]], score[best], verified)):
                         col.append(v)
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score", "verified"])
 
@@ -170,10 +174,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     index = blocked(rows.join(F.broadcast(spans), "span"), F.col("begin") + F.pmod(F.xxhash64("i"), F.col("own")), blocks)
     parts = max(1, -(-shape.k // query_block))
     asked = blocked(rows.where("q"), F.pmod(F.xxhash64("i"), F.lit(parts)), parts)
-    # A stated query set against all rows: its small rows go to the blocks, and a block's rows come together.
-    pairs = asked.select(F.col("ids").alias("qi"), F.col("vecs").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(index.hint("merge"), "block")
+    # A stated query set against all rows: a block comes once, its queries' small rows after it.
+    everywhere = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "ids", "vecs")
+    both = index.select("block", F.lit(False).alias("query"), "ids", "vecs").unionByName(everywhere).repartition(blocks, "block").sortWithinPartitions("block", "query")
     kind = "<f4" if element == "float" else "<f8"
-    found = pairs.select("block", "qi", "qv", "ids", "vecs").mapInArrow(_searched(k, least or 12 * k, share, dim, kind), "query_id long, vec_id long, score double, verified long")
+    found = both.mapInArrow(_searched(k, least or 12 * k, share, dim, kind), "query_id long, vec_id long, score double, verified long")
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("vec_id").alias("vec_id"))))
     best = found.groupBy("query_id").agg(F.slice(order, 1, k).alias("best"), F.sum("verified").alias("verified"))
     flat = best.select("query_id", F.posexplode("best").alias("at", "x"), "verified")

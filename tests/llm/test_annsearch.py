@@ -74,3 +74,39 @@ def test_recall_with_uneven_norms(spark):
         rows = [(i, v.tolist()) for i, v in enumerate(y)]
         got = results(annsearch.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
         assert recall(got, exact(rows)) >= 0.95
+
+
+def test_rows_do_not_depend_on_the_order_of_queries(spark):
+    """Queries by twos and threes, all together, and dealt by other numbers of tasks: the same rows, with the same numbers verified."""
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4000, 16)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [sorted(map(tuple, annsearch.search(df.repartition(p), F.col("vec_id") % 20 == 0, block=1500, query_block=q).collect())) for p, q in ((1, 512), (3, 3), (5, 50))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4000
+
+
+def test_a_block_comes_once(spark, monkeypatch):
+    """Many rows of queries share the one row of their block."""
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((2000, 8)))], "vec_id long, embedding array<double>")
+    made, searched = [], annsearch._searched
+
+    def counted(*args):
+        run = searched(*args)
+
+        def count(batches):
+            for b in batches:
+                made.append((b.num_rows, b.column(1).to_pylist().count(False)))
+                yield b
+
+        return lambda batches: run(count(batches))
+
+    # The function itself, on rows as Spark hands them over.
+    x = np.array([r.embedding for r in df.collect()])
+    import pyarrow as pa
+
+    row = lambda query, ids: (0, query, np.array(ids, np.int64).tobytes(), x[ids].tobytes())
+    batch = [row(False, list(range(2000)))] + [row(True, [q]) for q in range(0, 2000, 20)]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*batch)], names=["block", "query", "ids", "vecs"])]
+    out = pa.Table.from_batches(list(counted(20, 240, 25, 8, "<f8")(iter(batches))))
+    assert made == [(101, 1)] and out.num_rows == 2000
