@@ -7,12 +7,17 @@ The edges of the graph are the 13-word windows of the texts, its nodes their 12-
    several texts; windows under any other anchor are unique and drop out of the graph.
 2. *Edges.* The windows under repeated anchors meet by their 96-bit hash. Each occurrence learns the
    edge's first coordinate: the smallest document that has it, and the position there.
-3. *Walks.* A window over each text's repeated edges in order compacts them: a walk is a run of edges
-   whose source coordinates advance in step, so the coordinates verify the whole span. Removal and all
-   that follows works on walks, which are far fewer than edges.
-4. *Paths.* Where walks part or meet the graph branches. The distinct walks of a source, cut by a join
-   at every branch among them, are its nonbranching paths (:func:`paths`), with the number of texts that
-   walk each; :func:`walked` gives the paths of every walk.
+3. *Walks.* A window over each text's repeated edges in order joins them: a walk is a run of edges whose
+   source coordinates advance in step, so the coordinates verify the whole span. Walks are far fewer
+   than edges.
+4. *Paths.* Where walks part or meet the graph branches. The distinct walks of a source, cut at every
+   branch among them, are its nonbranching paths (:func:`paths`), with the number of texts that walk each.
+5. *Removal.* Every walk becomes the paths it is made of (:func:`walked`), by joins on the branches where
+   it begins and ends; what is removed from a text are the words of its paths.
+
+Windows are the same if 96 bits of hash are: among n different windows any two are mistaken for each other
+with a probability of n squared over 2^97 at most, one in a thousand for 10^13 windows. Several windows
+in step, as in a longer span, would all have to be.
 
 Exact copies never enter the graph: a text's smallest document stands for all, and the others are
 covered whole. Both shuffles move arrays packed by hash bucket, combined per batch beforehand: of an
@@ -32,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landweave.llm.textkit import Words, chunks, grams, sliding_min, within
+from landweave.operators.skew import join_counted
 from landweave.storage import discard, materialize, partitions
 
 GRAM = 5
@@ -236,12 +242,19 @@ def paths(spans: DataFrame) -> DataFrame:
 
 def walked(spans: DataFrame, compact: DataFrame) -> DataFrame:
     """``t``, ``p``, ``s``, ``q``, ``edges``, ``texts``: each walk as the paths of :func:`paths` that it is made of."""
-    distinct = spans.select("s", "q", "edges").distinct()
-    inside = compact.select("s", F.col("q").alias("at"), F.col("edges").alias("length"), "texts")
-    parts = distinct.join(inside, "s").where("at >= q and at < q + edges")
-    lists = parts.groupBy("s", "q", "edges").agg(F.collect_list(F.struct("at", "length", "texts")).alias("parts"))
-    each = spans.join(lists, ["s", "q", "edges"]).select("t", "p", "s", "q", F.inline("parts"))
-    return each.select("t", (F.col("p") + F.col("at") - F.col("q")).alias("p"), "s", F.col("at").alias("q"), F.col("length").alias("edges"), "texts")
+    order = Window.partitionBy("s").orderBy("q")
+    # A walk begins and ends at ends of paths, so its paths are those between two numbers.
+    numbered = compact.withColumn("i", F.row_number().over(order))
+    begins = numbered.select("s", "q", F.col("i").alias("first"))
+    ends = numbered.select("s", (F.col("q") + F.col("edges")).alias("end"), F.col("i").alias("last"))
+    walk = F.struct("s", "q", "edges").alias("walk")
+    distinct = spans.groupBy(walk).agg(F.count(F.lit(1)).alias("times")).select("walk", "times", "walk.s", "walk.q", (F.col("walk.q") + F.col("walk.edges")).alias("end"))
+    each = distinct.join(begins, ["s", "q"]).join(ends, ["s", "end"]).select("walk", "times", "s", F.explode(F.sequence("first", "last")).alias("i"))
+    inside = numbered.select("s", "i", F.struct(F.col("q").alias("at"), F.col("edges").alias("length"), "texts").alias("part"))
+    lists = each.join(inside, ["s", "i"]).groupBy("walk", "times").agg(F.collect_list("part").alias("parts"))
+    # A passage that many texts hold is one walk of all of them.
+    joined = join_counted(spans.select(walk, "t", "p"), lists, "walk", "times", spans.count()).select("t", "p", "walk.s", "walk.q", F.inline("parts"))
+    return joined.select("t", (F.col("p") + F.col("at") - F.col("q")).alias("p"), "s", F.col("at").alias("q"), F.col("length").alias("edges"), "texts")
 
 
 _SPANS = "array<struct<start:int,words:int,source:bigint,source_start:int>>"
@@ -272,13 +285,14 @@ def _cut(k: int):
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_removed``, ``kept`` text and the ``spans`` that the text shares with smaller documents, with their source coordinates.
+    """``doc_id``, ``n_words``, ``n_removed``, ``kept`` text and the ``spans`` that the text shares with smaller documents: paths, with their source coordinates.
 
     A copy of a whole text has no spans: all of it goes.
     """
     texts, found = repeated_edges(docs, id_col, text_col, k)
-    spans = materialize(walks(found))
+    runs = materialize(walks(found))
     discard(found)
+    spans = walked(runs, materialize(paths(runs)))
     span = F.struct(F.col("p").alias("start"), (F.col("edges") + (k - 1)).alias("words"), F.col("s").alias("source"), F.col("q").alias("source_start"))
     by_text = spans.groupBy("t").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     state = texts.join(by_text, "t", "left").select("d", "tag", "spans", F.lit(True).alias("own"))
