@@ -12,7 +12,7 @@ from landweave.operators import chips as ch
 from landweave.operators import composite, metrics, overlay, sampling
 from landweave.plans.book import Book
 from landweave.sources import fixtures as fx
-from landweave.sources import scans
+from landweave.sources import clustered, scans, versions
 from landweave.sources.fixtures import sql
 from landweave.storage import scratch_dir
 from landweave.streaming import incremental
@@ -265,6 +265,25 @@ def sk9_sk10_dataset_versions(spark, d):
     return spark.read.parquet(root).select("chip_id", "version", F.col("label").cast("long").alias("label"))
 
 
+@book.add(sql("SELECT chip_id, CASE WHEN chip_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM chips UNION ALL SELECT chip_id + 1000000, label FROM chips WHERE chip_id % 50 = 0", "chips"))
+def sk9_sk10_replaced_version(spark, d):
+    """A version, then one with changed and new chips that rewrites the buckets it touches; the old one goes."""
+    root, c = _fresh(spark), fx.chips(spark, d).select("chip_id", F.col("label").cast("long").alias("label"))
+    versions.replace(c, root, ["chip_id"], 8)
+    changed = c.where("chip_id % 3 = 0").withColumn("label", F.col("label") + 100)
+    versions.upsert(changed.unionByName(c.where("chip_id % 50 = 0").withColumn("chip_id", F.col("chip_id") + 1000000)), root)
+    versions.drop_old(spark, root)
+    return versions.read(spark, root)
+
+
+@book.add(sql("SELECT year, row, col, class FROM landcover WHERE row >= 8 AND row < 24 AND col >= 10 AND col < 30 AND year >= 1996 AND year < 1998", "landcover"))
+def sk1_sc7_clustered_window(spark, d):
+    """The grid along a Morton curve; a window and two years of it from the files that the zone map names."""
+    path, grid = _fresh(spark), fx.landcover(spark, d)
+    clustered.write_clustered(grid, path, 16, 8)
+    return clustered.read_window(spark, path, grid.schema, (8, 24), (10, 30), (1996, 1998)).select("year", "row", "col", "class")
+
+
 @book.add(sql("SELECT count(*) AS files, sum((p IN ('grid'))::INT)::BIGINT AS grids FROM (SELECT 'grid' AS p FROM (SELECT DISTINCT y FROM li))", "li"))
 def sc1_list_files(spark, d):
     path = _fresh(spark)
