@@ -32,6 +32,8 @@ from landweave.llm import textkit
 from landweave.storage import materialize, partitions
 
 END = 1
+#: Bytes of text that are encoded at a time: equal words of a run are looked up once.
+RUN = 6 << 20
 #: White space outside ASCII; texts that hold it are encoded whole.
 _WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = np.zeros(256, bool)
@@ -148,7 +150,7 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     def run(batches):
         encode = Encoder(vocabulary, reserved, pattern)
         for b in batches:
-            for lo, buf, off in textkit.chunks(b.column(1)):
+            for lo, buf, off in textkit.chunks(b.column(1), RUN):
                 ids, ends = encode(buf, off)
                 where = np.r_[0, 2 * ends].astype(np.int32)
                 blob = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(ids))])
