@@ -293,3 +293,19 @@ def m4_cluster_profiles(spark, d):
 @book.add()
 def m7_principal_components(spark, d):
     return sampling.principal_components(_wide(spark, d), [f"c{c}" for c in fx.CLASSES])
+
+
+VARIANCES = """+w AS (SELECT row // 10 AS ti, col // 10 AS tj, 30 * avg((class = 3)::INT) AS a, 30 * avg((class = 9)::INT) AS b, 30 * avg((class = 15)::INT) AS c FROM landcover GROUP BY ALL),
+ v AS (SELECT var_samp(a) AS aa, var_samp(b) AS bb, var_samp(c) AS cc, covar_samp(a, b) AS ab, covar_samp(a, c) AS ac, covar_samp(b, c) AS bc FROM w)
+ SELECT aa + bb + cc AS total, aa * aa + bb * bb + cc * cc + 2 * (ab * ab + ac * ac + bc * bc) AS squares, aa * bb * cc + 2 * ab * ac * bc - aa * bc * bc - bb * ac * ac - cc * ab * ab AS product FROM v"""
+
+
+@book.add(sql(VARIANCES, "landcover"), ["total", "squares", "product"])
+def m7_component_variances(spark, d):
+    """Variances of all three components, by their sum, sum of squares and product: trace, norm and determinant of the covariance."""
+    chip = F.concat_ws("_", F.floor(F.col("row") / 10), F.floor(F.col("col") / 10)).alias("chip_id")
+    wide = sampling.wide_shares(sampling.class_shares(fx.landcover(spark, d).select(chip, "class")), [3, 9, 15])
+    scaled = wide.select("chip_id", *[(F.col(c) * 30).alias(c) for c in ("c3", "c9", "c15")])
+    pcs = sampling.principal_components(scaled, ["c3", "c9", "c15"], 3)
+    v = pcs.agg(*[F.var_samp(f"pc{i}").alias(f"v{i}") for i in (1, 2, 3)])
+    return v.select(F.expr("v1 + v2 + v3").alias("total"), F.expr("v1 * v1 + v2 * v2 + v3 * v3").alias("squares"), F.expr("v1 * v2 * v3").alias("product"))

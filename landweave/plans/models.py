@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landweave.functions import arrays, bands
 from landweave.operators import chips as ch
-from landweave.operators import composite, metrics, overlay, sampling
+from landweave.operators import composite, metrics, overlay, raking, sampling
 from landweave.plans.book import Book
 from landweave.sources import fixtures as fx
 from landweave.sources import clustered, scans, versions
@@ -265,6 +265,26 @@ def sk9_sk10_dataset_versions(spark, d):
     return spark.read.parquet(root).select("chip_id", "version", F.col("label").cast("long").alias("label"))
 
 
+RAKED = f"""+p AS (SELECT year * 1000000 + row // 3 * 1000 + col // 3 AS chip_id, class, count(*) AS n FROM landcover GROUP BY ALL),
+ s AS (SELECT chip_id, class, n / sum(n) OVER (PARTITION BY chip_id) AS share FROM p),
+ k AS (SELECT chip_id, string_agg(class::VARCHAR, '-' ORDER BY class) AS classes FROM s GROUP BY chip_id), z AS (SELECT classes, count(*) AS chips FROM k GROUP BY classes),
+ m AS (SELECT classes, class, sum(share) / any_value(chips) AS share FROM s JOIN k USING (chip_id) JOIN z USING (classes) GROUP BY classes, class),
+ t AS (SELECT class, target / sum(target) OVER () AS target FROM (VALUES {", ".join(f"({c}, {v}::DOUBLE)" for c, v in ({6: 0.0} | fx.SHARES).items())}) v(class, target)),
+ r AS (SELECT 0 AS i, classes, chips, least(chips, 500 * chips / sum(chips) OVER ()) AS x FROM z
+  UNION ALL SELECT i + 1, classes, chips, least(chips, 500 * y / sum(y) OVER ()) FROM (SELECT r.i, r.classes, any_value(r.chips) AS chips, any_value(r.x) * product(pow(ratio, m.share)) AS y FROM r JOIN m ON r.classes = m.classes
+   JOIN (SELECT m.class, CASE WHEN sum(x * share) > 0 THEN any_value(target) * (SELECT sum(x) FROM r) / sum(x * share) ELSE 1 END AS ratio FROM r JOIN m ON r.classes = m.classes JOIN t ON m.class = t.class GROUP BY m.class) q ON m.class = q.class WHERE r.i < 20 GROUP BY r.i, r.classes))
+ SELECT classes, chips, x AS expected FROM r WHERE i = 20"""
+
+
+@book.add(sql(RAKED, "landcover", recursive=True), ["expected"])
+def m6_raked_quotas(spark, d):
+    """Chips of 3 x 3 cells: samples of each combination of classes after twenty rounds towards the classes' target shares."""
+    chip = (F.col("year") * 1000000 + F.floor(F.col("row") / 3) * 1000 + F.floor(F.col("col") / 3)).alias("chip_id")
+    shares = sampling.class_shares(fx.landcover(spark, d).select(chip, "class"))
+    quotas, _ = raking.raked(shares, fx.SHARES, 500, 20)
+    return quotas.select(F.array_join("classes", "-").alias("classes"), "chips", "expected")
+
+
 @book.add(sql("SELECT chip_id, CASE WHEN chip_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM chips UNION ALL SELECT chip_id + 1000000, label FROM chips WHERE chip_id % 50 = 0", "chips"))
 def sk9_sk10_replaced_version(spark, d):
     """A version, then one with changed and new chips that rewrites the buckets it touches; the old one goes."""
