@@ -33,7 +33,7 @@ from landweave.storage import materialize, partitions
 
 END = 1
 #: Bytes of text that are encoded at a time: equal words of a run are looked up once.
-RUN = 6 << 20
+RUN = 4 << 20
 #: White space outside ASCII; texts that hold it are encoded whole.
 _WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = np.zeros(256, bool)
@@ -133,14 +133,17 @@ class Encoder:
         units = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf))])
         coded = pc.dictionary_encode(units)
         known = [*self._encoded(coded.dictionary.to_pylist()), np.array([END], "<u2").tobytes()]
-        size = np.array([len(x) // 2 for x in known], np.int64)
-        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u2")
+        # A run of texts has fewer ids than bytes: 32 bits hold every place.
+        size = np.array([len(x) // 2 for x in known], np.int32)
+        start, flat = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(known), "<u2")
         # The end id is one more unit behind those of each text.
         ends = np.searchsorted(at, off[1:])
-        which = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(known) - 1)
+        which = np.insert(coded.indices.to_numpy(), ends, len(known) - 1)
         lengths = size[which]
-        total = np.cumsum(lengths)
-        ids = flat[np.repeat(start[which] - (total - lengths), lengths) + np.arange(int(total[-1]) if len(total) else 0)]
+        total = np.cumsum(lengths, dtype=np.int32)
+        places = np.repeat(start[which] - (total - lengths), lengths)
+        places += np.arange(len(places), dtype=np.int32)
+        ids, total = flat[places], total.astype(np.int64)
         return ids, total[ends + np.arange(len(ends))]
 
 
