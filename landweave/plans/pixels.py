@@ -78,10 +78,10 @@ def sc9_property_list(spark, d):
     return listed.select(text("scene_id").alias("scene_ids"), text("tile").alias("tiles"))
 
 
-@book.add(sql("SELECT row, sum(pow(6371008.8 * radians(0.00027), 2) * cos(radians(-5.0 - row * 0.00027)) / 10000) AS area_ha FROM landcover WHERE year = 1998 GROUP BY row", "landcover"), ["area_ha"])
+@book.add(sql("SELECT year, row, sum(pow(6371008.8 * radians(0.00027), 2) * cos(radians(-5.0 - row * 0.00027)) / 10000) AS area_ha FROM landcover GROUP BY year, row", "landcover"), ["area_ha"])
 def sc10_pixel_area(spark, d):
     area = geo.pixel_area_ha(-5.0 - F.col("row") * 0.00027, 0.00027)
-    return scans.scan_year(fx.landcover(spark, d), 1998).groupBy("row").agg(F.sum(area).alias("area_ha"))
+    return fx.landcover(spark, d).groupBy("year", "row").agg(F.sum(area).alias("area_ha"))
 
 
 @book.add(sql("SELECT id, 1 AS inside FROM points WHERE x >= 1 AND x < 3 AND y >= 0 AND y < 2", "points"))
