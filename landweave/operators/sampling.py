@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from landweave.operators.overlay import small
 from landweave.operators.ranking import number_rows
+from landweave.storage import materialize
 
 
 def hash_order(key: str | Column, seed: int = 0) -> Column:
@@ -97,12 +98,15 @@ def cluster_quotas(clusters: DataFrame, n: int, equal: bool = False, column: str
 
 
 def cluster_profiles(wide: DataFrame, columns: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5), seed: int = 1) -> tuple[DataFrame, dict[int, float]]:
-    """M4: chips with the ``cluster`` of the best k-means by silhouette, and the silhouette of each k."""
+    """M4: chips with the ``cluster`` of the best k-means by silhouette, and the silhouette of each k.
+
+    The profiles are written once: every k reads them several times, and they are far smaller than what they are made from.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(wide)
+    data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(materialize(wide))
     found = {}
     for k in ks:
         done = KMeans(k=k, seed=seed).fit(data).transform(data)

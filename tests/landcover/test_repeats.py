@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from landweave.operators import sampling
 from landweave.sources import scans
 
 
@@ -11,3 +12,18 @@ def test_wanted_ids_are_distinct_before_they_move(spark):
     found = scans.scenes_by_id(scenes, wanted)
     assert "Aggregate" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.scene_id for r in found.collect()) == [0, 10, 20, 30, 40]
+
+
+def test_profiles_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    base = spark.range(200).select("id", (F.col("id") % 2 * 5 + F.col("id") / 1000).alias("a"), (F.col("id") / 500).alias("b"))
+    found, silhouettes = sampling.cluster_profiles(base.mapInArrow(count, base.schema), ["a", "b"], ks=(2, 3))
+    assert found.count() == 200 and set(silhouettes) == {2, 3}
+    assert len({(r.id % 2, r.cluster) for r in found.collect()}) == 2
+    assert made.value == 200
