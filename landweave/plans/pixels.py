@@ -177,9 +177,8 @@ DISC = ", ".join(f"({r}, {c})" for r in range(-2, 3) for c in range(-2, 3) if r
 
 @book.add(sql(f"+o(r, c) AS (VALUES {DISC}), hit AS (SELECT DISTINCT scene_id, row + r AS row, col + c AS col FROM scene_pixels, o WHERE qa & 8 <> 0) SELECT p.scene_id, p.row, p.col, (hit.row IS NOT NULL)::INT AS cloudy FROM scene_pixels p LEFT JOIN hit ON p.scene_id = hit.scene_id AND p.row = hit.row AND p.col = hit.col", "scene_pixels"))
 def p21_n3_cloud_mask(spark, d):
-    p = fx.scene_pixels(spark, d)
-    clouds = p.where(bands.bit_set("qa", 3)).select(*KEYS, F.lit(1).alias("cloudy"))
-    return p.select(*KEYS).join(neighborhood.focal_max_disc(clouds, "cloudy", 2, ["scene_id"]), KEYS, "left").select(*KEYS, F.coalesce("cloudy", F.lit(0)).alias("cloudy"))
+    p = fx.scene_pixels(spark, d).select(*KEYS, F.when(bands.bit_set("qa", 3), 1).alias("cloudy"))
+    return neighborhood.disc_max_at_pixels(p, "cloudy", 2, ["scene_id"]).select(*KEYS, F.coalesce("cloudy", F.lit(0)).alias("cloudy"))
 
 
 @book.add(sql("SELECT scene_id, row, col, CASE qa % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 ELSE red END AS red FROM scene_pixels", "scene_pixels"), ["red"])
