@@ -18,14 +18,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from landweave.operators import lines
 from landweave.operators.overlay import small
-from landweave.storage import materialize
+from landweave.storage import materialize, partitions
 
-#: Columns of a grid row that a run of pixels is cut at before it is joined with pixels.
-RUN = 256
+#: Columns of a grid row that a run of pixels is cut at before it is joined with pixels, and before the first of the runs is found.
+RUN, STRETCH = 256, 4096
 
 
 @dataclass(frozen=True)
@@ -86,10 +90,45 @@ def _numbered(polygons: DataFrame) -> DataFrame:
     return polygons.withColumn("__id", F.monotonically_increasing_id())
 
 
+def _paint(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces on which the same run is the first of those that hold them: index of the run, first and last place."""
+    start = int(first.min())
+    row = np.full(int(last.max()) - start + 1, -1)
+    for i in range(len(first) - 1, -1, -1):
+        row[first[i] - start : last[i] - start + 1] = i
+    cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    end = np.r_[cut[1:], len(row)] - 1
+    held = row[cut] >= 0
+    return row[cut][held], cut[held] + start, end[held] + start
+
+
+def _foremost(polygons: DataFrame, grid: Grid, value: str, order: str, rings: str) -> DataFrame:
+    """``row, first, last`` and the value of the first polygon by ``order``; no two runs share a pixel.
+
+    A stretch of a row takes its runs in turn, so that pixels under many polygons are never rows.
+    """
+    runs = spans(_numbered(polygons), grid, ["__id", value, order], rings)
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    cut = runs.withColumn("__b", F.explode(F.sequence(stretch("first"), stretch("last"))))
+    cut = cut.withColumn("first", F.greatest("first", (F.col("__b") * STRETCH).cast("int"))).withColumn("last", F.least("last", (F.col("__b") * STRETCH + (STRETCH - 1)).cast("int")))
+    dealt = cut.repartition(partitions(polygons.sparkSession), "row", "__b").sortWithinPartitions("row", "__b", F.struct(order, value)).select("row", "__b", "first", "last", F.col(value).alias("__v"))
+    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in ("row", "first", "last")] + [T.StructField(value, polygons.schema[value].dataType)])
+
+    def run(batches):
+        for b, new in lines._whole_lines(batches, 2):
+            first, last = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            starts = np.flatnonzero(new)
+            made = [(lo, *_paint(first[lo:hi], last[lo:hi])) for lo, hi in zip(starts.tolist(), np.r_[starts[1:], b.num_rows].tolist())]
+            which = pa.array(np.concatenate([lo + i for lo, i, _, _ in made]))
+            places = [pa.array(np.concatenate([m[k] for m in made]), pa.int32()) for k in (2, 3)]
+            yield pa.record_batch([b.column(0).take(which), *places, b.column(4).take(which)], names=["row", "first", "last", value])
+
+    return dealt.mapInArrow(run, schema)
+
+
 def burn(polygons: DataFrame, grid: Grid, value: str, order: str, rings: str = "rings") -> DataFrame:
     """``row, col`` and the value of the first polygon by ``order`` for every pixel that any holds."""
-    cells = spans(_numbered(polygons), grid, ["__id", value, order], rings).withColumn("col", F.explode(F.sequence("first", "last")))
-    return cells.groupBy("row", "col").agg(F.min_by(value, F.struct(order, value)).alias(value))
+    return _foremost(polygons, grid, value, order, rings).select("row", F.explode(F.sequence("first", "last")).alias("col"), value)
 
 
 def label_pixels(pixels: DataFrame, polygons: DataFrame, grid: Grid, value: str, order: str, default=None, rings: str = "rings") -> DataFrame:

@@ -148,3 +148,28 @@ def test_cases(spark):
     got = {(r.id, r.feature) for r in polygons.held(points, polygons.cover(t, "feature", 1.0), 1.0).collect()}
     assert got == {(1, 5), (1, 6), (5, 5), (5, 6)}
     assert polygons.burn(t.limit(0), Grid(), "value", "feature").count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def piled(spark, n=30, size=70.0):
+    """Equal squares with a value each, one on the other."""
+    return table(spark, [[[(1.0, 1.0), (size, 1.0), (size, size), (1.0, size)]]] * n)
+
+
+def test_pixels_under_many_polygons_are_not_gathered(spark):
+    """Only the first polygon's runs become pixels, so nothing has to bring the others' together."""
+    many = piled(spark)
+    burnt = polygons.burn(many, Grid(rows=80, cols=80), "value", "feature")
+    assert "Aggregate" not in plan(burnt)
+    assert {r.value for r in burnt.collect()} == {0} and burnt.count() == 69 * 69
+
+
+def test_runs_over_several_stretches(spark):
+    """Runs that begin and end in different stretches of a row, some behind others."""
+    strip = lambda a, b: [[(a, 0.0), (b, 0.0), (b, 2.0), (a, 2.0)]]
+    made = [strip(4090.0, 4100.0), strip(-5.0, 9000.0), strip(8000.0, 13000.0)]
+    got = {(r.row, r.col): r.value for r in polygons.burn(table(spark, made), Grid(), "value", "feature").collect()}
+    assert got == {(r, c): 0 if 4090 <= c < 4100 else 10 if c < 9000 else 20 for r in (0, 1) for c in range(-5, 13000)}
