@@ -134,14 +134,14 @@ def burn(polygons: DataFrame, grid: Grid, value: str, order: str, rings: str = "
 def label_pixels(pixels: DataFrame, polygons: DataFrame, grid: Grid, value: str, order: str, default=None, rings: str = "rings") -> DataFrame:
     """J9 on the pixels of a table: each with the value of the first polygon that holds its centre, else ``default``.
 
-    Runs are cut at multiples of ``RUN`` columns, so the join is on row and block and long runs are dealt out.
+    Only the runs of the first polygon of each pixel are joined. They are cut at multiples of ``RUN`` columns,
+    so the join is on row and block, and as they share no pixel a block of a row has ``RUN`` at most.
     """
     block = lambda c: F.floor(F.col(c) / RUN)
-    runs = spans(_numbered(polygons), grid, ["__id", value, order], rings).withColumn("__b", F.explode(F.sequence(block("first"), block("last"))))
-    cells = pixels.select("row", "col").distinct().withColumn("__b", block("col"))
-    held = cells.join(small(materialize(runs)), ["row", "__b"]).where(F.col("col").between(F.col("first"), F.col("last")))
-    held = held.groupBy("row", "col").agg(F.min_by(value, F.struct(order, value)).alias(value))
-    out = pixels.join(held, ["row", "col"], "left")
+    runs = _foremost(polygons, grid, value, order, rings).select(F.col("row").alias("__row"), F.explode(F.sequence(block("first"), block("last"))).alias("__b"), F.col("first").alias("__first"), F.col("last").alias("__last"), value)
+    on = (F.col("row") == F.col("__row")) & (block("col") == F.col("__b")) & F.col("col").between(F.col("__first"), F.col("__last"))
+    rest = [c for c in pixels.columns if c not in ("row", "col")]
+    out = pixels.join(small(materialize(runs)), on, "left").select("row", "col", *rest, value)
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
 
 

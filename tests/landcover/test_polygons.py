@@ -173,3 +173,12 @@ def test_runs_over_several_stretches(spark):
     made = [strip(4090.0, 4100.0), strip(-5.0, 9000.0), strip(8000.0, 13000.0)]
     got = {(r.row, r.col): r.value for r in polygons.burn(table(spark, made), Grid(), "value", "feature").collect()}
     assert got == {(r, c): 0 if 4090 <= c < 4100 else 10 if c < 9000 else 20 for r in (0, 1) for c in range(-5, 13000)}
+
+
+def test_labels_join_only_the_first_polygon(spark):
+    """The join's other side has a run for each pixel once, however many polygons lie there."""
+    pixels = spark.createDataFrame([(1, r, c) for r in range(0, 80, 7) for c in range(80)] + [(2, None, 3)], "year int, row int, col int")
+    out = polygons.label_pixels(pixels, piled(spark), Grid(), "value", "feature", -1)
+    assert "Aggregate" not in plan(out)
+    got = out.collect()
+    assert len(got) == pixels.count() and all(r.value == (0 if r.row is not None and 1 <= r.row < 70 and 1 <= r.col < 70 else -1) for r in got)
