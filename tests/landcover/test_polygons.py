@@ -182,3 +182,10 @@ def test_labels_join_only_the_first_polygon(spark):
     assert "Aggregate" not in plan(out)
     got = out.collect()
     assert len(got) == pixels.count() and all(r.value == (0 if r.row is not None and 1 <= r.row < 70 and 1 <= r.col < 70 else -1) for r in got)
+
+
+def test_corrections_join_only_the_last_word(spark):
+    pixels = spark.createDataFrame([(r, c, 0) for r in range(0, 80, 7) for c in range(80)], "row int, col int, label int")
+    out = polygons.corrected_labels(pixels, piled(spark), piled(spark, 5, 20.0), Grid())
+    assert "Aggregate" not in plan(out)
+    assert {(r.row, r.col) for r in out.collect() if r.label} == {(r, c) for r in range(0, 80, 7) for c in range(80) if 1 <= r < 70 and 1 <= c < 70 and not (r < 20 and c < 20)}
