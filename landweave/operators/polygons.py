@@ -15,6 +15,7 @@ points on a line, change nothing; rings that overlap cancel (even-odd); null poi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from landweave.operators import lines
 from landweave.operators.overlay import small
-from landweave.storage import materialize, partitions
+from landweave.storage import discard, materialize, partitions
 
 #: Columns of a grid row that a run of pixels is cut at before it is joined with pixels, and before the first of the runs is found.
 RUN, STRETCH = 256, 4096
@@ -152,47 +153,108 @@ def corrected_labels(pixels: DataFrame, added: DataFrame, removed: DataFrame, gr
     return marked.withColumn(label, F.coalesce("__set", label)).drop("__set").select(*pixels.columns)
 
 
-def _touched(of: DataFrame, cell: float) -> DataFrame:
-    """Edges with each cell that they touch; a hair more rather than less."""
+def _touched(of: DataFrame, cell: float, rows: tuple[int, int] | None = None) -> DataFrame:
+    """Edges with each cell (of some rows of cells) that they touch; a hair more rather than less."""
     hair = 1e-9 * cell
     down = lambda c: F.floor(c / cell)
-    rows = of.withColumn("cy", F.explode(F.sequence(down(F.col("y0") - hair), down(F.col("y1") + hair))))
+    held = of.withColumn("cy", F.explode(_between(down(F.col("y0") - hair), down(F.col("y1") + hair), rows)))
     low, high = F.greatest(F.col("y0"), F.col("cy") * cell), F.least(F.col("y1"), (F.col("cy") + 1) * cell)
     flat = F.col("y0") == F.col("y1")
     a, b = F.when(flat, F.col("x0")).otherwise(_at(low)), F.when(flat, F.col("x1")).otherwise(_at(high))
     wide = hair + F.lit(1e-12) * F.greatest(F.abs(a), F.abs(b))
-    return rows.withColumn("cx", F.explode(F.sequence(down(F.least(a, b) - wide), down(F.greatest(a, b) + wide))))
+    return held.withColumn("cx", F.explode(F.sequence(down(F.least(a, b) - wide), down(F.greatest(a, b) + wide))))
 
 
-def cover(polygons: DataFrame, key: str, cell: float, levels: int = 4, rings: str = "rings") -> DataFrame:
-    """Quadtree cells of each polygon: ``key, level, cx, cy, flip, edges``; a cell of a level is ``cell * 2 ** level`` wide.
+def _between(low: Column, high: Column, bounds: tuple[int, int] | None) -> Column:
+    """Whole numbers from ``low`` to ``high``, of those within ``bounds``."""
+    if bounds is None:
+        return F.sequence(low, high)
+    a, b = F.greatest(low, F.lit(bounds[0]).cast("long")), F.least(high, F.lit(bounds[1]).cast("long"))
+    return F.when(a <= b, F.sequence(a, F.greatest(a, b)))
 
-    Inner cells have no ``edges`` and are whole; four that make up one of the next level become that one.
-    Cells that an edge touches are of level 0. They carry the edges that decide about points in them: those
-    of their band of height that are neither right of the cell, nor left of it through the whole band; an
-    odd number of the latter is ``flip``. The cells are written once, as their number is looked at before they are joined.
-    """
-    of = edges(polygons, [key], rings)
-    border = materialize(_touched(of, cell).select(key, "cx", "cy").distinct())
-    band = of.where("y0 < y1").withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
+
+def _bounds(box: Sequence[float] | None, cell: float, levels: int) -> tuple[tuple[int, int] | None, tuple[int, int] | None]:
+    """First and last column and row of cells that meet a box (minx, miny, maxx, maxy), to whole cells of the largest level."""
+    if box is None:
+        return None, None
+    down = lambda v: math.floor(v / (cell * 2**levels)) * 2**levels
+    return tuple((down(box[i]), down(box[i + 2]) + 2**levels - 1) for i in (0, 1))
+
+
+def _parent(c: str, n: int) -> Column:
+    return F.shiftright(F.col(c), n)
+
+
+def _border(of: DataFrame, key: str, cell: float, levels: int, box: Sequence[float] | None) -> DataFrame:
+    """``key, cx, cy``: the cells of level 0 that an edge touches, in the rows of a box, written once."""
+    return materialize(_touched(of, cell, _bounds(box, cell, levels)[1]).select(key, "cx", "cy").distinct())
+
+
+def _sides(border: DataFrame, of: DataFrame, key: str, cell: float, levels: int, box: Sequence[float] | None) -> DataFrame:
+    """``key, cx, cy, flip, edges`` of border cells."""
+    cols, rows = _bounds(box, cell, levels)
+    border = border if cols is None else border.where(F.col("cx").between(*cols))
+    band = of.where("y0 < y1").withColumn("cy", F.explode(_between(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell), rows)))
     left, right, low, high, hair = F.col("cx") * cell, (F.col("cx") + 1) * cell, F.col("cy") * cell, (F.col("cy") + 1) * cell, 1e-6 * cell
     through = (F.greatest("x0", "x1") < left - hair) & (F.col("y0") <= low) & (F.col("y1") >= high)
     near = (F.least("x0", "x1") <= right + hair) & ~through
-    sides = border.join(band, [key, "cy"], "left").groupBy(key, "cx", "cy").agg(
+    # A cell and an edge right of it are no row; by number, so that small cells that become many edges stay dealt out.
+    dealt, n = band.withColumnsRenamed({key: "__key", "cy": "__cy"}), partitions(of.sparkSession)
+    met = border.repartition(n, key, "cy").join(dealt.repartition(n, "__key", "__cy"), (F.col(key) == F.col("__key")) & (F.col("cy") == F.col("__cy")) & (near | through), "left")
+    return met.groupBy(key, "cx", "cy").agg(
         (F.count_if(through) % 2).cast("int").alias("flip"), F.collect_list(F.when(near, F.struct("x0", "y0", "x1", "y1"))).alias("edges")
     )
-    runs = spans(polygons, Grid(a=cell, e=cell), [key], rings)
-    inner = runs.select(key, F.col("row").cast("long").alias("cy"), F.explode(F.sequence(F.col("first").cast("long"), F.col("last").cast("long"))).alias("cx")).join(border, [key, "cx", "cy"], "left_anti")
-    # All cells of a largest parent come together once; how many of each smaller parent are inner says how far they join.
-    parent = lambda c, n: F.shiftright(F.col(c), n)
-    top = [parent("cx", levels).alias("__tx"), parent("cy", levels).alias("__ty")]
-    dealt = inner.select(key, "cx", "cy", *top).repartition(key, "__tx", "__ty").withColumn("level", F.lit(0))
-    for n in range(1, levels + 1):
-        full = F.count(F.lit(1)).over(Window.partitionBy(key, "__tx", "__ty", parent("cx", n), parent("cy", n))) == 4**n
-        dealt = dealt.withColumn("level", F.when(full, n).otherwise(F.col("level")))
-    whole = dealt.select(key, "level", F.expr("shiftright(cx, level)").alias("cx"), F.expr("shiftright(cy, level)").alias("cy")).distinct()
-    whole = whole.withColumn("flip", F.lit(0)).withColumn("edges", F.lit(None).cast(sides.schema["edges"].dataType))
-    return materialize(whole.unionByName(sides.select(key, F.lit(0).alias("level"), "cx", "cy", "flip", "edges")))
+
+
+def _whole(border: DataFrame, polygons: DataFrame, key: str, cell: float, levels: int, rings: str, box: Sequence[float] | None) -> DataFrame:
+    """``key, level, cx, cy``: the largest cells inside each polygon that no edge touches.
+
+    From the border inwards: below the largest level they are cells beside a touched one in the same touched
+    parent, and of the largest level all between two touched cells of a row. Each such cell or stretch of
+    cells is inside as a whole or not at all. No inner cell of a smaller level is made that a larger one holds.
+    """
+    cols, rows = _bounds(box, cell, levels)
+    beside = [(n, i, j) for n in range(levels) for i in (0, 1) for j in (0, 1)]
+    mark = lambda n, x, y, hit: F.struct(F.lit(n).alias("level"), x.alias("cx"), y.alias("cy"), F.lit(hit).alias("hit"))
+    marks = [mark(n, _parent("cx", n), _parent("cy", n), True) for n in range(levels)]
+    marks += [mark(n, F.shiftleft(_parent("cx", n + 1), 1) + i, F.shiftleft(_parent("cy", n + 1), 1) + j, False) for n, i, j in beside]
+    # A largest parent holds all that its cells mark, so that this is the only time they move.
+    top = [_parent("cx", levels).alias("__tx"), _parent("cy", levels).alias("__ty")]
+    asked = border.select(key, "cx", "cy", *top).repartition(partitions(border.sparkSession), key, "__tx", "__ty").select(key, "__tx", "__ty", F.explode(F.array(*marks)).alias("m")).select(key, "__tx", "__ty", "m.*") if levels else None
+    row = Window.partitionBy(key, "cy").orderBy("cx")
+    between = border.select(key, top[0].alias("cx"), top[1].alias("cy")).distinct().withColumn("__to", F.lead("cx").over(row) - 1).withColumn("cx", F.col("cx") + 1)
+    if cols:
+        between = between.withColumn("cx", F.greatest("cx", F.lit(cols[0] >> levels).cast("long"))).withColumn("__to", F.least("__to", F.lit(cols[1] >> levels).cast("long")))
+    found = between.where("cx <= __to").select(key, F.lit(levels).alias("level"), "cx", "cy", "__to")
+    if levels:
+        free = asked.groupBy(key, "__tx", "__ty", "level", "cx", "cy").agg(F.max("hit").alias("hit")).where("not hit")
+        free = free if cols is None else free.where(F.col("__tx").between(cols[0] >> levels, cols[1] >> levels))
+        found = found.unionByName(free.select(key, "level", "cx", "cy", F.col("cx").alias("__to")))
+    runs = None
+    for n in range(levels + 1):
+        one = spans(polygons, Grid(a=cell * 2**n, e=cell * 2**n), [key], rings).select(key, F.lit(n).alias("level"), F.col("row").cast("long").alias("cy"), "first", "last")
+        one = one if rows is None else one.where(F.col("cy").between(rows[0] >> n, rows[1] >> n))
+        runs = one if runs is None else runs.unionByName(one)
+    inside = found.join(runs, [key, "level", "cy"]).where(F.col("cx").between(F.col("first"), F.col("last")))
+    return inside.select(key, "level", F.explode(F.sequence("cx", "__to")).alias("cx"), "cy")
+
+
+def cover(polygons: DataFrame, key: str, cell: float, levels: int = 4, rings: str = "rings", box: Sequence[float] | None = None) -> DataFrame:
+    """Quadtree cells of each polygon: ``key, level, cx, cy, flip, edges``; a cell of a level is ``cell * 2 ** level`` wide.
+
+    Inner cells have no ``edges`` and are whole; four that make up one of the next level are that one.
+    Cells that an edge touches are of level 0. They carry the edges that decide about points in them: those
+    of their band of height that are neither right of the cell, nor left of it through the whole band; an
+    odd number of the latter is ``flip``. Of a ``box`` (minx, miny, maxx, maxy) that all points lie in, only
+    the cells that meet it are needed. The cells are written once, as their number is looked at before they are joined.
+    """
+    of = edges(polygons, [key], rings)
+    border = _border(of, key, cell, levels, box)
+    sides = _sides(border, of, key, cell, levels, box)
+    whole = _whole(border, polygons, key, cell, levels, rings, box).withColumn("flip", F.lit(0)).withColumn("edges", F.lit(None).cast(sides.schema["edges"].dataType))
+    out = materialize(whole.unionByName(sides.select(key, F.lit(0).alias("level"), "cx", "cy", "flip", "edges")))
+    discard(border)
+    return out
 
 
 def _odd(x: Column, y: Column) -> Column:
@@ -201,14 +263,19 @@ def _odd(x: Column, y: Column) -> Column:
     return (F.col("flip") + F.size(F.filter("edges", crosses))) % 2 == 1
 
 
+def _keyed(points: DataFrame, cell: float, x: Column, y: Column, levels: int) -> DataFrame:
+    """``points`` with a place ``__x, __y``, once for each ``__level`` with its cell ``__cx, __cy``."""
+    places = points.withColumn("__x", x.cast("double")).withColumn("__y", y.cast("double")).where("__x is not null and __y is not null")
+    at = [F.struct(F.lit(n).alias("__level"), F.floor(F.col("__x") / (cell * 2**n)).alias("__cx"), F.floor(F.col("__y") / (cell * 2**n)).alias("__cy")) for n in range(levels + 1)]
+    return places.withColumn("__at", F.explode(F.array(*at))).select("*", "__at.*").drop("__at")
+
+
 def held(points: DataFrame, covered: DataFrame, cell: float, x: Column | str = "x", y: Column | str = "y", levels: int = 4) -> DataFrame:
     """``points`` with each polygon of a :func:`cover` that holds them; ``tested`` says whether edges had to be looked at."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
-    places = points.withColumn("__x", x.cast("double")).withColumn("__y", y.cast("double")).where("__x is not null and __y is not null")
-    at = [F.struct(F.lit(n).alias("level"), F.floor(F.col("__x") / (cell * 2**n)).alias("cx"), F.floor(F.col("__y") / (cell * 2**n)).alias("cy")) for n in range(levels + 1)]
-    keyed = places.withColumn("__at", F.explode(F.array(*at))).select("*", "__at.*").drop("__at")
-    met = keyed.join(small(covered), ["level", "cx", "cy"]).where(F.col("edges").isNull() | _odd(F.col("__x"), F.col("__y")))
-    return met.withColumn("tested", F.col("edges").isNotNull()).drop("level", "cx", "cy", "flip", "edges", "__x", "__y")
+    on = (F.col("__level") == F.col("level")) & (F.col("__cx") == F.col("cx")) & (F.col("__cy") == F.col("cy"))
+    met = _keyed(points, cell, x, y, levels).join(small(covered), on).where(F.col("edges").isNull() | _odd(F.col("__x"), F.col("__y")))
+    return met.withColumn("tested", F.col("edges").isNotNull()).drop("level", "cx", "cy", "__level", "__cx", "__cy", "flip", "edges", "__x", "__y")
 
 
 def clip(points: DataFrame, regions: DataFrame, keys: Sequence[str], cell: float, x: Column | str = "x", y: Column | str = "y", levels: int = 4, rings: str = "rings") -> DataFrame:

@@ -189,3 +189,13 @@ def test_corrections_join_only_the_last_word(spark):
     out = polygons.corrected_labels(pixels, piled(spark), piled(spark, 5, 20.0), Grid())
     assert "Aggregate" not in plan(out)
     assert {(r.row, r.col) for r in out.collect() if r.label} == {(r, c) for r in range(0, 80, 7) for c in range(80) if 1 <= r < 70 and 1 <= c < 70 and not (r < 20 and c < 20)}
+
+
+def test_cover_of_a_box(spark):
+    """Cells beyond a box are not made, and points in it are held as without one."""
+    made = shapes(random.Random(19), 6) + [[[(-300.0, -300.0), (300.0, -290.0), (310.0, 300.0)]]]
+    points = spark.createDataFrame([(i, i % 60 / 2, i // 60 / 2) for i in range(3600)], "id int, x double, y double")
+    boxed, full = (polygons.cover(table(spark, made), "feature", 1.0, box=b) for b in ((0, 0, 30, 30), None))
+    assert 2 * boxed.count() < full.count() and boxed.select("feature", "level", "cx", "cy").exceptAll(full.select("feature", "level", "cx", "cy")).count() == 0
+    of = lambda covered: {(r.id, r.feature) for r in polygons.held(points, covered, 1.0).collect()}
+    assert of(boxed) == of(full) == {(i, k) for i in range(3600) for k, rings in enumerate(made) if inside(rings, i % 60 / 2, i // 60 / 2)}
