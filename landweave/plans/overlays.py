@@ -117,7 +117,8 @@ def j15_polygon_labels(spark, d):
 def f13_clip_to_polygons(spark, d):
     """Whole quadtree cells where they lie inside, edges only where a border runs through."""
     x, y = polygons.Grid().centre()
-    return polygons.clip(fx.landcover(spark, d), fx.parcels(spark, d).where("feature % 5 = 0"), ["year", "row", "col"], 2.0, x, y)
+    g = fx.grid_size(spark, d)
+    return polygons.clip(fx.landcover(spark, d), fx.parcels(spark, d).where("feature % 5 = 0"), ["year", "row", "col"], 2.0, x, y, box=(0, 0, g, g))
 
 
 @book.add(sql("SELECT row, col, feature, 1 AS inside FROM parcel_cells", "parcel_cells"))

@@ -199,3 +199,18 @@ def test_cover_of_a_box(spark):
     assert 2 * boxed.count() < full.count() and boxed.select("feature", "level", "cx", "cy").exceptAll(full.select("feature", "level", "cx", "cy")).count() == 0
     of = lambda covered: {(r.id, r.feature) for r in polygons.held(points, covered, 1.0).collect()}
     assert of(boxed) == of(full) == {(i, k) for i in range(3600) for k, rings in enumerate(made) if inside(rings, i % 60 / 2, i // 60 / 2)}
+
+
+def test_clip_looks_at_regions_as_one(spark, monkeypatch):
+    """Thirty regions that lie on one another are joined like one: a point meets one cell."""
+    seen, small = [], polygons.small
+    monkeypatch.setattr(polygons, "small", lambda df, *a: seen.append(df) or small(df, *a))
+    points = spark.range(3600).select("id", (F.col("id") % 60 * 1.5).alias("x"), (F.floor(F.col("id") / 60) * 1.5).alias("y"))
+    wide = [[[(0.0, 0.0), (80.0, 0.0), (80.0, 80.0), (0.0, 80.0)]]]
+    got = sorted(r.id for r in polygons.clip(points, table(spark, wide * 30 + [[[(8.0, 8.0), (20.0, 9.0), (9.0, 20.0)]]]), ["id"], 1.0).collect())
+    assert got == [i for i in range(3600) if i % 60 * 1.5 < 80 and i // 60 * 1.5 < 80]
+    covered = seen[-1]
+    whole = covered.where("edges is null")
+    assert whole.count() == whole.select("level", "cx", "cy").distinct().count()
+    # The triangle's border lies in whole cells of the squares.
+    assert covered.where("edges is not null and cx between 4 and 70 and cy between 4 and 70").count() == 0
