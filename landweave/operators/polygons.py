@@ -49,11 +49,15 @@ class Grid:
 
 
 def edges(polygons: DataFrame, keys: Sequence[str], rings: str = "rings", grid: Grid | None = None) -> DataFrame:
-    """``keys`` and ``x0, y0, x1, y1`` of every edge with ``y0 <= y1``; in pixels from the first pixel's centre with a ``grid``."""
+    """``keys`` and ``x0, y0, x1, y1`` of every edge with ``y0 <= y1``; in pixels from the first pixel's centre with a ``grid``.
+
+    Edges are dealt over all tasks, as a table of polygons is small beside the rows that its edges become.
+    """
     ring = polygons.select(*keys, F.explode(rings).alias("__ring")).withColumn("__ring", F.filter("__ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
     after = F.concat(F.slice("__ring", 2, F.greatest(F.size("__ring") - 1, F.lit(0))), F.slice("__ring", 1, 1))
     pair = F.explode(F.zip_with("__ring", after, lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
-    ends = ring.select(*keys, pair.alias("__e")).select(*keys, *[F.col(f"__e.{e}.{a}").cast("double").alias(f"{e}{a}") for e in "pq" for a in "xy"])
+    dealt = ring.select(*keys, pair.alias("__e")).repartition(partitions(polygons.sparkSession))
+    ends = dealt.select(*keys, *[F.col(f"__e.{e}.{a}").cast("double").alias(f"{e}{a}") for e in "pq" for a in "xy"])
     if grid:
         for e in "pq":
             ends = ends.withColumn(f"{e}x", (F.col(f"{e}x") - grid.c) / grid.a - 0.5).withColumn(f"{e}y", (F.col(f"{e}y") - grid.f) / grid.e - 0.5)

@@ -214,3 +214,9 @@ def test_clip_looks_at_regions_as_one(spark, monkeypatch):
     assert whole.count() == whole.select("level", "cx", "cy").distinct().count()
     # The triangle's border lies in whole cells of the squares.
     assert covered.where("edges is not null and cx between 4 and 70 and cy between 4 and 70").count() == 0
+
+
+def test_edges_of_a_small_file_are_dealt_over_tasks(spark):
+    """A table of one partition, whose few edges become many rows."""
+    one = table(spark, shapes(random.Random(23), 40)).coalesce(1)
+    assert polygons.edges(one, ["feature"]).rdd.getNumPartitions() == 4
