@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.llm import decontam, langid, linededup, packing, simhash_wide
+from landweave.operators.overlay import small
 from landweave.storage import discard, materialize
 
 #: Documents that score lower are of no known language. Ordinary text scores several times as much.
@@ -33,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies (five-word shingles, similarity 0.8); rows that repeat an id stay together."""
     classes = simhash_wide.near_duplicates(docs, shingle=5, similarity=0.8)
-    first = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("first")), "left_semi")
+    gone = classes.groupBy(F.col("doc_id").alias("gone")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")).where("not first")
+    return docs.join(small(materialize(gone.select("gone"))), docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

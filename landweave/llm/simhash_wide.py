@@ -19,7 +19,8 @@ Equal fingerprints are one row before any of that. The search then has two parts
    are named. Keys that are large in a sixteenth of the rows are cut into blocks, and pairs of blocks are
    compared by tasks of their own; where most of such a key is one class, only the others go to all blocks.
 
-All links are verified, first the best of every class, then what still runs between two classes. Named
+All links are verified, first the best of every class, then what still runs between two classes. Shingle
+sets are made of texts that have links to verify, and of no others, so no text but theirs is sorted or kept. Named
 rows ask again with a larger allowance, the classes and failed links known, until nothing is held back;
 only rows of keys that a named row has move then. So within the bands no pair is lost to a group's size,
 and no class rests on a link below ``similarity``.
@@ -48,8 +49,10 @@ MAYBE, LEADERS, COPY_BANDS = 0.76, 64, 4
 FIRST, SMALL, BLOCK, LARGE, SAMPLE = 2, 64, 1024, 100_000, 16
 _SIDE = np.dtype([("node", "<i8"), ("class", "<i8"), ("side", "<u4"), ("inner", "u1"), ("asks", "u1")])
 FEW = 200_000
-#: Keys fall into so many cells where named rows tell which keys they have.
-CELLS = 1 << 20
+#: Keys fall into so many cells where named rows tell which keys they have: a bit each in all tasks.
+CELLS = 1 << 23
+#: Bytes of text that a task hashes at once.
+TEXT = 1 << 19
 WORDS = BITS // 64
 _ADD = np.random.default_rng(512).integers(1, 2**63, WORDS, dtype=np.uint64)
 _LANES = np.uint64(0x0101010101010101)
@@ -108,7 +111,7 @@ def prints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for b in batches:
-            for lo, buf, off in textkit.chunks(b.column(2)):
+            for lo, buf, off in textkit.chunks(b.column(2), TEXT):
                 n = len(off) - 1
                 fp, count = fingerprints_of(*shingles(textkit.Words(buf, off, LOWER_WORDS), shingle), n)
                 both = np.concatenate([fp.view(np.uint8).reshape(n, -1), count.astype("<u4")[:, None].view(np.uint8)], axis=1)
@@ -123,7 +126,7 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo, buf, off in textkit.chunks(b.column(1)):
+            for lo, buf, off in textkit.chunks(b.column(1), TEXT):
                 n = len(off) - 1
                 d, g = shingles(textkit.Words(buf, off, LOWER_WORDS), shingle)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=n))]).astype(np.int32)
@@ -232,13 +235,19 @@ def _cell(k: np.ndarray) -> np.ndarray:
     return (textkit._mix(k.view(np.uint64)) % np.uint64(CELLS)).astype(np.int64)
 
 
+def _marked(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Whether the cell of each key is one of those whose bits are set."""
+    cell = _cell(k)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _wanted(bands: list[int], width: int, number: int):
     """Cells of the keys of some rows."""
 
     def run(batches):
         for b in batches:
             for _, k in _banded(*_parted(_raw(b.column(1))), bands, width, number):
-                yield pa.record_batch([pa.array(np.unique(_cell(k)))], names=["cell"])
+                yield pa.record_batch([pa.array(np.unique(_cell(k)).astype(np.int32))], names=["cell"])
 
     return run
 
@@ -251,7 +260,7 @@ def _dealt(bands: list[int], width: int, number: int, cut: Cut, wanted: np.ndarr
             raw, node, label, asks = _raw(b.column(1)), *(b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             for rows, k in _banded(*_parted(raw), bands, width, number):
                 if wanted is not None:
-                    some = wanted[_cell(k)]
+                    some = _marked(wanted, k)
                     rows, k = rows[some], k[some]
                 for i, key, side, inner in cut.cells(k, node[rows], label[rows]):
                     if not len(i):
@@ -270,7 +279,7 @@ def _sampled(bands: list[int], width: int, number: int, wanted: np.ndarray | Non
         for b in batches:
             label = b.column(2).to_numpy()
             for rows, k in _banded(*_parted(_raw(b.column(1))), bands, width, number):
-                some = slice(None) if wanted is None else wanted[_cell(k)]
+                some = slice(None) if wanted is None else _marked(wanted, k)
                 yield pa.record_batch([pa.array(k[some]), pa.array(label[rows][some])], names=["k", "class"])
 
     return run
@@ -316,29 +325,35 @@ def _links(node: np.ndarray, a, b, e) -> pa.RecordBatch:
 
 
 def _copies(batches):
-    """One link from each row to the best of the first rows of its run, if that may be a copy."""
-    for (k, node, fp), edge in _runs(batches):
-        fp, n = _parted(fp)
-        size = np.diff(edge)
-        a, b, est = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
-
-        def meet(i, j):
-            e = estimate(fp[i], n[i], fp[j], n[j])
-            i, j = (np.broadcast_to(x, e.shape)[e >= MAYBE] for x in (i, j))
-            a.append(i)
-            b.append(j)
-            est.append(e[e >= MAYBE])
-
-        rows = np.flatnonzero(np.repeat(size <= LEADERS, size))
-        for i, j in _small_pairs(k[rows]):
-            meet(rows[i], rows[j])
-        for lo, hi in zip(edge[:-1][size > LEADERS], edge[1:][size > LEADERS]):
-            for first in range(lo, lo + LEADERS):
-                meet(np.array([first]), np.arange(first + 1, hi))
-        a, b, est = np.concatenate(a), np.concatenate(b), np.concatenate(est)
-        o = np.lexsort((a, -est, b))
-        o = o[np.r_[True, b[o][1:] != b[o][:-1]]] if len(o) else o
-        yield _links(node, a[o], b[o], est[o])
+    """One link from each row to the best of the first rows of its run, if that may be a copy; of a run no others are held."""
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        k, node, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), _raw(b.column(2))
+        old = 0
+        if held is not None and held[0][0] == k[0]:
+            # The first rows of the run that goes on stand before its others.
+            old = len(held[0])
+            k, node, raw = (np.concatenate(x) for x in zip(held, (k, node, raw)))
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        start = np.repeat(starts, np.diff(np.r_[starts, len(k)]))
+        fp, n = _parted(raw)
+        at = np.arange(len(k)) - start
+        best, to = np.zeros(len(k)), np.zeros(len(k), int)
+        rows = np.arange(old, len(k))
+        for first in range(LEADERS):
+            rows = rows[at[rows] > first]
+            if not len(rows):
+                break
+            i = start[rows] + first
+            e = estimate(fp[i], n[i], fp[rows], n[rows])
+            more = e > best[rows]
+            best[rows[more]], to[rows[more]] = e[more], i[more]
+        found = np.flatnonzero(best >= MAYBE)
+        yield _links(node, to[found], found, best[found])
+        last = slice(starts[-1], starts[-1] + LEADERS)
+        held = tuple(x[last].copy() for x in (k, node, raw))
 
 
 def copies(distinct: DataFrame, width: int) -> DataFrame:
@@ -412,8 +427,9 @@ def candidates(active: DataFrame, width: int, numbers: tuple[int, int], least: f
         bands = list(range(lo, min(lo + PASS, numbers[1])))
         wanted = None
         if extra:
-            wanted = np.zeros(CELLS, bool)
-            wanted[active.where("asks").select("node", "fp").mapInArrow(_wanted(bands, width, numbers[0]), "cell long").distinct().toArrow().column(0).to_numpy()] = True
+            cells = np.zeros(CELLS, bool)
+            cells[active.where("asks").select("node", "fp").mapInArrow(_wanted(bands, width, numbers[0]), "cell int").distinct().toArrow().column(0).to_numpy()] = True
+            wanted = np.packbits(cells, bitorder="little")
         # Not more than LARGE keys can have so many rows.
         block = max(BLOCK, -(-total * len(bands) // LARGE))
         by_class = sample.mapInArrow(_sampled(bands, width, numbers[0], wanted), "k long, class long").groupBy("k", "class").agg(F.count(F.lit(1)).alias("n"))
@@ -439,6 +455,32 @@ def _classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("class"))
 
 
+class Shingles:
+    """Shingle sets of the nodes that have links; each is made once, from one text of the node, when it is first asked for."""
+
+    def __init__(self, docs: DataFrame, distinct: DataFrame, shingle: int):
+        self.docs, self.shingle, self.made = docs, shingle, []
+        self.named = distinct.select("node", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"))
+
+    def of(self, links: DataFrame) -> DataFrame:
+        """``node``, ``s`` of the ends of ``links`` and of all asked for before."""
+        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for known in self.made:
+            ends = ends.join(known.select("node"), "node", "left_anti")
+        wanted = materialize(self.named.join(ends, "node", "left_semi"))
+        count = wanted.count()
+        if count or not self.made:
+            # At most FEW rows of three numbers go to all tasks, so that no text moves that has no links.
+            sent = F.broadcast(wanted) if count <= FEW else wanted
+            texts = self.docs.join(sent, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h")))
+            self.made.append(materialize(sets(texts.select("node", "text").dropDuplicates(["node"]), self.shingle)))
+        discard(wanted)
+        every = self.made[0]
+        for more in self.made[1:]:
+            every = every.unionByName(more)
+        return every
+
+
 def _similar(links: DataFrame, shingle_sets: DataFrame, similarity: float) -> DataFrame:
     """``links`` (``a``, ``b``) with ``ok``: whether the exact similarity is enough. Materialised."""
     links = materialize(links)
@@ -456,7 +498,7 @@ def _similar(links: DataFrame, shingle_sets: DataFrame, similarity: float) -> Da
     return out
 
 
-def verified(links: DataFrame, shingle_sets: DataFrame, similarity: float, tried: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def verified(links: DataFrame, shingle_sets: Shingles, similarity: float, tried: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``node``, ``component`` of the classes that the links of at least ``similarity`` make, and ``a``, ``b``, ``ok`` of all links tried, those of ``tried`` included."""
     for best in (True, False):
         live = links
@@ -470,9 +512,10 @@ def verified(links: DataFrame, shingle_sets: DataFrame, similarity: float, tried
                 live = live.join(of, end, "left").withColumn(f"c{end}", F.coalesce(f"l{end}", end)).drop(f"l{end}")
         live = live.where("ca <> cb")
         if best:
+            known = shingle_sets.of(live)
             ends = live.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("est", "a", "b").alias("link"))
             live = ends.groupBy("c").agg(F.max("link").alias("link")).select("link.a", "link.b").distinct()
-        done = _similar(live.select("a", "b"), shingle_sets, similarity)
+        done = _similar(live.select("a", "b"), known, similarity)
         tried = done if tried is None else tried.unionByName(done)
         labels = connected_components(tried.where("ok"), "a", "b")
     return labels, tried
@@ -486,9 +529,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
     nodes = distinct.select("node", "fp")
     width, *numbers = plan(distinct.count(), similarity, recall)
-    one = distinct.select("node", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"))
-    texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
-    shingle_sets = materialize(sets(texts, shingle))
+    shingle_sets = Shingles(docs, distinct, shingle)
     links = copies(distinct, width)
     labels, tried = verified(links, shingle_sets, similarity)
     discard(links)
@@ -511,5 +552,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = least.groupBy("class").agg(F.min("first").alias("component_id"))
     classes = materialize(least.select("fp", "class").join(smallest, "class").select("fp", "component_id"))
     out = materialize(all_prints.join(classes, "fp").select("doc_id", "component_id"))
-    discard(all_prints, distinct, classes, shingle_sets)
+    discard(all_prints, distinct, classes, *shingle_sets.made)
     return out

@@ -176,3 +176,55 @@ def test_only_rows_that_ask_have_links():
         assert sorted(got) == sorted({(min(x, y), max(x, y)) for x in (3, 25) for y in range(rows) if x != y})
         got = [x for o in wide._apart(0.5, 4)([batch]) for x in zip(o.column(0).to_pylist(), o.column(1).to_pylist())]
         assert {a for a, b in got if a == b} == {3, 25} and sum(a != b for a, b in got) == 8
+
+
+def test_only_texts_with_links_become_sets(spark, monkeypatch):
+    rng, made, plain = random.Random(7), [], wide.sets
+    monkeypatch.setattr(wide, "sets", lambda docs, shingle: (made.append(docs.count()), plain(docs, shingle))[1])
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(200)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(i, edited(rng, base[i - 200], 1)) for i in range(200, 205)] + [(3, " ".join(base[3]))] * 5
+    got = {r.doc_id: r.component_id for r in wide.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows)[0] and 10 <= sum(made) <= 20
+
+
+def test_runs_of_copies_are_not_gathered():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    raw = rng.integers(0, 256, (1, wide.BITS // 8 + 4), dtype=np.uint8).repeat(700, 0)
+    flips = rng.integers(0, 40, 700)
+    for row, f in zip(raw, flips):
+        row[rng.choice(wide.BITS // 8, f // 8, replace=False)] ^= 1
+        row[-4:] = [100, 0, 0, 0]
+    k = np.repeat([5, 6, 7, 8, 9], [3, 500, 1, 64, 132])
+    node = rng.permutation(700)
+    batch, taken = pa.record_batch([pa.array(k), pa.array(node), wide._fixed(raw)], names=["k", "node", "fp"]), []
+
+    def parts(size):
+        for lo in range(0, 700, size):
+            taken.append(lo)
+            yield batch.slice(lo, size)
+
+    fp, n = wide._parted(raw)
+    want = set()
+    for b in range(700):
+        first = np.flatnonzero(k == k[b])[: wide.LEADERS]
+        e = [(-float(wide.estimate(fp[a], n[a], fp[b], n[b])), a) for a in first if a < b]
+        if e and -min(e)[0] >= wide.MAYBE:
+            want.add((*sorted((int(node[min(e)[1]]), int(node[b]))), -min(e)[0]))
+    for size in (1, 50, 700):
+        found = wide._copies(parts(size))
+        taken.clear()
+        out = [next(found)]
+        assert len(taken) == 1
+        out += list(found)
+        assert {x for o in out for x in zip(*(c.to_pylist() for c in o.columns))} == want and len(want) > 600
+
+
+def test_few_keys_are_taken_for_named_ones():
+    rng = np.random.default_rng(9)
+    named, others = (rng.integers(0, 2**62, 80_000) for _ in range(2))
+    cells = np.zeros(wide.CELLS, bool)
+    cells[wide._cell(named)] = True
+    bits = np.packbits(cells, bitorder="little")
+    assert wide._marked(bits, named).all() and wide._marked(bits, others).mean() < 0.02
