@@ -19,8 +19,10 @@ Equal fingerprints are one row before any of that. The search then has two parts
    are named. Keys that are large in a sixteenth of the rows are cut into blocks, and pairs of blocks are
    compared by tasks of their own; where most of such a key is one class, only the others go to all blocks.
 
-All links are verified, first the best of every class, then what still runs between two classes. Shingle
-sets are made of texts that have links to verify, and of no others, so no text but theirs is sorted or kept. Named
+All links are verified, first the best of every class, then what still runs between two classes. Most fall
+short already by the sketches of their ends (parities of the numbers of shingles in cells), which bound the
+similarity from above and so fail no link that the sets would not. Shingle sets are made of texts that have
+links left to verify, and of no others, so no text but theirs is sorted or kept. Named
 rows ask again with a larger allowance, the classes and failed links known, until nothing is held back;
 only rows of keys that a named row has move then. So within the bands no pair is lost to a group's size,
 and no class rests on a link below ``similarity``.
@@ -101,24 +103,60 @@ def fingerprints_of(d: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, n
     return fp, count
 
 
+def sketches_of(d: np.ndarray, g: np.ndarray, n: int) -> pa.Array:
+    """Of each text its number of shingles (4 bytes) and, a bit each, whether a cell has an odd number of them; the cells are a power of two, at least four a shingle.
+
+    The exclusive or of two sketches is the sketch of the shingles that only one of them has, of which there are at least as many as bits in it.
+    """
+    count = np.bincount(d, minlength=n)
+    cells = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(4 * count, 1))).astype(np.int64))
+    at = (np.cumsum(cells) - cells)[d] + (g & (cells[d] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(cells.sum())) & 1).astype(np.uint8), bitorder="little")
+    off = np.concatenate([[0], np.cumsum(4 + cells // 8)])
+    out, bits = np.zeros(off[-1], np.uint8), np.ones(off[-1], bool)
+    head = off[:-1, None] + np.arange(4)
+    out[head], bits[head] = count.astype("<u4")[:, None].view(np.uint8), False
+    out[bits] = odd
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(out)])
+
+
+def most_common(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of sketches the most shingles that both texts can have, and the sum of their numbers. The longer sketch is folded to the cells of the shorter."""
+    (bufs, offs), size = zip(*((np.frombuffer(x.buffers()[2], np.uint8), np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]) for x in (a.cast(pa.large_binary()), b.cast(pa.large_binary())))), len(a)
+    lens = np.stack([np.diff(o) for o in offs], axis=1)
+    common, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for pair in np.unique(lens, axis=0):
+        rows = np.flatnonzero((lens == pair).all(axis=1))
+        for some in np.array_split(rows, -(-len(rows) * int(pair.max()) // TEXT)):
+            folded, counts = [], []
+            for buf, off, length in zip(bufs, offs, pair):
+                whole = buf[off[some][:, None] + np.arange(length)]
+                counts.append(np.ascontiguousarray(whole[:, :4]).view("<u4")[:, 0].astype(np.int64))
+                folded.append(np.bitwise_xor.reduce(whole[:, 4:].reshape(len(some), -1, int(pair.min()) - 4), axis=1))
+            total[some] = counts[0] + counts[1]
+            common[some] = np.minimum((total[some] - np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)) // 2, np.minimum(*counts))
+    return common, total
+
+
 def _fixed(rows: np.ndarray) -> pa.Array:
     rows = np.ascontiguousarray(rows)
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
 
 
 def prints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``h`` (hash of the text) and ``fp``: fingerprint and number of shingles."""
+    """``doc_id``, ``h`` (hash of the text), ``fp`` (fingerprint and number of shingles) and ``sketch``."""
 
     def run(batches):
         for b in batches:
             for lo, buf, off in textkit.chunks(b.column(2), TEXT):
                 n = len(off) - 1
-                fp, count = fingerprints_of(*shingles(textkit.Words(buf, off, LOWER_WORDS), shingle), n)
+                d, g = shingles(textkit.Words(buf, off, LOWER_WORDS), shingle)
+                fp, count = fingerprints_of(d, g, n)
                 both = np.concatenate([fp.view(np.uint8).reshape(n, -1), count.astype("<u4")[:, None].view(np.uint8)], axis=1)
-                yield pa.record_batch([b.column(0).slice(lo, n), b.column(1).slice(lo, n), _fixed(both)], names=["doc_id", "h", "fp"])
+                yield pa.record_batch([b.column(0).slice(lo, n), b.column(1).slice(lo, n), _fixed(both), sketches_of(d, g, n)], names=["doc_id", "h", "fp", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, h long, fp binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, h long, fp binary, sketch binary")
 
 
 def sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -286,10 +324,10 @@ def _sampled(bands: list[int], width: int, number: int, wanted: np.ndarray | Non
 
 
 def _near(fp: np.ndarray, n: np.ndarray, i, j, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of pairs, and which are enough: short texts are given more slack."""
+    """Estimates of pairs, and which are enough: short texts are given more slack, but none are so alike whose numbers of shingles differ more."""
     e = estimate(fp[i], n[i], fp[j], n[j])
-    few = np.minimum(n[i], n[j])
-    return e, e >= least - np.where(few < SHORT, 1 / np.maximum(few, 1), 0)
+    few, many = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    return e, (e >= least - np.where(few < SHORT, 1 / np.maximum(few, 1), 0)) & (few >= least * many)
 
 
 def _runs(batches):
@@ -456,11 +494,12 @@ def _classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class Shingles:
-    """Shingle sets of the nodes that have links; each is made once, from one text of the node, when it is first asked for."""
+    """Sketches of the nodes, and shingle sets of those that have links; each set is made once, from the text of the node's sketch, when it is first asked for."""
 
     def __init__(self, docs: DataFrame, distinct: DataFrame, shingle: int):
         self.docs, self.shingle, self.made = docs, shingle, []
         self.named = distinct.select("node", F.col("one.doc_id").alias("id"), F.col("one.h").alias("h"))
+        self.sketches = distinct.select("node", F.col("one.sketch").alias("s"))
 
     def of(self, links: DataFrame) -> DataFrame:
         """``node``, ``s`` of the ends of ``links`` and of all asked for before."""
@@ -481,16 +520,38 @@ class Shingles:
         return every
 
 
-def _similar(links: DataFrame, shingle_sets: DataFrame, similarity: float) -> DataFrame:
-    """``links`` (``a``, ``b``) with ``ok``: whether the exact similarity is enough. Materialised."""
-    links = materialize(links)
-    total = links.count()
+def _ends(links: DataFrame, of: DataFrame) -> DataFrame:
+    """``links`` (``a``, ``b``; materialised) with ``s`` of both ends, from ``node`` and ``s``, as ``sa`` and ``sb``."""
+    total, joined = links.count(), links
     for end in ("a", "b"):
-        # The sets of few links are picked where they lie: at most FEW rows of two numbers go to all tasks.
+        # What few links need is picked where it lies: at most FEW rows of two numbers go to all tasks.
         counts = links.groupBy(end).agg(F.count(F.lit(1)).alias("times"))
         counts = F.broadcast(counts) if total <= FEW else counts
-        table = shingle_sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")).join(counts, end)
-        joined = join_counted(links if end == "a" else joined, table, end, "times", total, 100).drop("times")
+        table = of.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")).join(counts, end)
+        joined = join_counted(joined, table, end, "times", total, 100).drop("times")
+    return joined
+
+
+def _possible(links: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """``links`` with ``may``: whether the sketches of their ends leave room for enough similarity. Materialised."""
+    links = materialize(links)
+
+    def run(batches):
+        for b in batches:
+            common, total = most_common(b.column(len(names)), b.column(len(names) + 1))
+            # The comparison of the sets, in the same doubles: a bound that fails it leaves no set that passes.
+            yield pa.record_batch([*b.columns[: len(names)], pa.array(common >= similarity * (total - common))], names=[*names, "may"])
+
+    names, kinds = links.columns, ", ".join(f"{n} {t}" for n, t in links.dtypes)
+    out = materialize(_ends(links, sketches).select(*names, "sa", "sb").mapInArrow(run, f"{kinds}, may boolean"))
+    discard(links)
+    return out
+
+
+def _similar(links: DataFrame, shingle_sets: DataFrame, similarity: float) -> DataFrame:
+    """``links`` (``a``, ``b``) with ``ok``: whether the exact similarity is enough. Materialised."""
+    links = materialize(links)
+    joined = _ends(links, shingle_sets)
     common = F.size(F.array_intersect("sa", "sb"))
     ok = common >= similarity * (F.size("sa") + F.size("sb") - common)
     out = materialize(joined.select("a", "b", ok.alias("ok")))
@@ -512,11 +573,13 @@ def verified(links: DataFrame, shingle_sets: Shingles, similarity: float, tried:
                 live = live.join(of, end, "left").withColumn(f"c{end}", F.coalesce(f"l{end}", end)).drop(f"l{end}")
         live = live.where("ca <> cb")
         if best:
+            live = _possible(live.select("a", "b", "est", "ca", "cb"), shingle_sets.sketches, similarity)
+            far, live = live.where("not may").select("a", "b", F.lit(False).alias("ok")), live.where("may")
+            tried = far if tried is None else tried.unionByName(far)
             known = shingle_sets.of(live)
             ends = live.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("est", "a", "b").alias("link"))
             live = ends.groupBy("c").agg(F.max("link").alias("link")).select("link.a", "link.b").distinct()
-        done = _similar(live.select("a", "b"), known, similarity)
-        tried = done if tried is None else tried.unionByName(done)
+        tried = tried.unionByName(_similar(live.select("a", "b"), known, similarity))
         labels = connected_components(tried.where("ok"), "a", "b")
     return labels, tried
 
@@ -525,7 +588,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id``, ``component_id`` (smallest id of its class) for every row of ``docs``."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     all_prints = materialize(prints(docs, shingle))
-    distinct = all_prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "h")).alias("one"))
+    distinct = all_prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "h", "sketch")).alias("one"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
     nodes = distinct.select("node", "fp")
     width, *numbers = plan(distinct.count(), similarity, recall)

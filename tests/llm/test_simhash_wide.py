@@ -228,3 +228,45 @@ def test_few_keys_are_taken_for_named_ones():
     cells[wide._cell(named)] = True
     bits = np.packbits(cells, bitorder="little")
     assert wide._marked(bits, named).all() and wide._marked(bits, others).mean() < 0.02
+
+
+def test_sketches_fail_no_link_that_the_sets_would_not():
+    rng = np.random.default_rng(10)
+    sizes = np.r_[0, 1, 2, 15, 16, 17, rng.integers(1, 900, 150)]
+    pool, one, other = rng.integers(0, 2**63, 3000, dtype=np.uint64), [], []
+    for n in sizes:
+        a = rng.choice(pool, n, replace=False)
+        keep = a[rng.random(n) < rng.choice([0.4, 0.85, 0.9, 0.95, 1])]
+        one.append(a)
+        other.append(np.unique(np.r_[keep, rng.choice(pool, rng.integers(0, n // 4 + 1), replace=False), rng.choice(pool, rng.choice([0, n]), replace=False)]))
+    made = [wide.sketches_of(np.repeat(np.arange(len(x)), [len(s) for s in x]), np.concatenate(x), len(x)) for x in (one, other)]
+    common, total = wide.most_common(*made)
+    true = np.array([len(np.intersect1d(a, b)) for a, b in zip(one, other)])
+    assert (total == [len(a) + len(b) for a, b in zip(one, other)]).all() and (common >= true).all()
+    alike = true >= 0.7 * (total - true)
+    assert (common <= true + 0.02 * total + 3)[alike].all() and alike.sum() > 40 and len({len(x) for x in made[0].to_pylist()}) > 4
+    # Batches come as slices too.
+    assert (wide.most_common(made[0].slice(20, 50), made[1].slice(20, 50))[0] == common[20:70]).all()
+
+
+def test_links_that_fall_short_by_sketches_move_no_text(spark, monkeypatch):
+    """Pages of one template are all linked (0.77 alike); only near copies become sets."""
+    made, plain = [], wide.sets
+    monkeypatch.setattr(wide, "sets", lambda docs, shingle: (made.append(docs.count()), plain(docs, shingle))[1])
+    monkeypatch.setattr(wide, "plan", lambda count, similarity, recall: (1, 1, 1))
+    rows = family(30, 6, random.Random(11))
+    want = classes(rows)[0]
+    got = {r.doc_id: r.component_id for r in wide.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("sets", sum(made))
+    assert all(got[d] in (d, want[d]) for d in got) and sum(got[30 + i] == i for i in range(6)) >= 4
+    assert sum(made) <= 20
+
+
+def test_no_link_between_a_short_text_and_a_long_one():
+    rng = np.random.default_rng(12)
+    fp = rng.integers(0, 2**63, (200, wide.WORDS), dtype=np.uint64)
+    n = np.r_[np.full(100, 1.0), np.full(50, 4.0), np.full(50, 5.0)]
+    i, j = np.triu_indices(200, 1)
+    fp[150:] = fp[100:150]
+    enough = wide._near(fp, n, i, j, 0.68)[1]
+    assert not enough[(n[i] == 1) & (n[j] > 1)].any() and enough[(n[j] == 1)].all() and enough[j - i == 50][100:].all()
