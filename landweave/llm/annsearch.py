@@ -2,12 +2,18 @@
 
 Every projection of a block's vectors on a random direction is one sorted array. A query's window on each
 array starts around its own projection and widens (virtual rehashing: a wider window is a union of hash
-buckets, nothing is hashed again; growth is 1.1 a step, not 2, to stop soon after enough). Only the
-entries that a step adds at both ends of the windows are read, and each counts one collision of its
-vector. Windows stop once ``enough`` vectors of the block collide on four fifths of the projections; the
+buckets, nothing is hashed again; growth is 1.1 a step, not 2, to stop soon after enough). A window is a
+run of ranks, and each array on which a vector's rank lies in it counts one collision of the vector.
+Windows stop once ``enough`` vectors of the block collide on four fifths of the projections; the
 collision threshold is then the greatest that as many reach, and all that reach it are verified with
 their true inner product. ``enough`` is ``least`` (12 k) vectors, or one in ``share`` of a larger block.
 
+Windows grow over most of a block before enough vectors collide, so collisions are counted array by array
+for all vectors at once, by rank in 256 buckets: windows taken to whole buckets give a few vectors more
+than collide enough, and these alone are counted by exact rank. The step at which a query before stopped
+is tried first; as windows of a step hold those of the step before, the first step with enough is then
+found from either side, and is the same whichever was tried.
+
 Largest inner product becomes nearest distance by one more coordinate, sqrt(M^2 - |x|^2) with M the
 largest norm of the block; a query's is 0. Blocks hold vectors whose norms differ by at most a factor of
 ``RATIO``, so that this coordinate stays small however uneven the norms of the table are. The index is
@@ -79,42 +85,83 @@ def _packed(batches):
 
 
 class Arrays:
-    """Sorted projections of the vectors of one block, end to end, each ``apart`` from the next."""
+    """Sorted projections of the vectors of one block, and the rank of every vector in each of them, exactly and by bucket."""
 
     def __init__(self, x: np.ndarray, enough: int):
         self.n, self.directions = len(x), _directions(x.shape[1])
         y = np.ascontiguousarray((_extended(x, False) @ self.directions).T)
-        self.order = np.argsort(y, axis=1, kind="stable")
-        y = np.take_along_axis(y, self.order, 1)
-        self.reach = float(np.abs(y).max())
-        start = max(0.5 * float(np.median(y[:, int(0.75 * (self.n - 1))] - y[:, int(0.25 * (self.n - 1))])), 1e-6 * self.reach)
-        self.shift = 4 * self.reach * np.arange(len(y))
-        self.flat = (y + self.shift[:, None]).ravel()
-        self.begin = self.n * np.arange(len(y))
-        self.order, self.enough = self.order.ravel(), min(enough, self.n)
-        probes = _extended(x[:: max(1, self.n // PROBES)][:PROBES], True) @ self.directions
-        self.width = min(self.collide(q, start)[1] for q in probes) / GROWTH
-
-    def ranks(self, values: np.ndarray) -> np.ndarray:
-        """How many entries of each array are smaller than its value."""
-        inside = np.clip(values, -1.5 * self.reach, 1.5 * self.reach) + self.shift
-        return np.searchsorted(self.flat, inside) - self.begin
-
-    def collide(self, q: np.ndarray, width: float) -> tuple[np.ndarray, float]:
-        """Vectors to verify for a query's projections ``q``, and the width of the windows that hold enough, from ``width`` on."""
-        need, enough = int(np.ceil(THRESHOLD * len(q))), self.enough
-        count, lo = np.zeros(self.n, np.int64), self.ranks(q)
-        hi = lo
+        order = np.argsort(y, axis=1)
+        self.sorted = np.take_along_axis(y, order, 1)
+        self.enough, self.need = min(enough, self.n), int(np.ceil(THRESHOLD * len(y)))
+        self.rank_kind, self.count_kind = np.min_scalar_type(self.n), np.min_scalar_type(len(y))
+        rank = np.empty(order.shape, self.rank_kind)
+        np.put_along_axis(rank, order, np.arange(self.n, dtype=self.rank_kind)[None], 1)
+        self.bits = max(0, (self.n - 1).bit_length() - 8)
+        self.bucket, self.rank = (rank >> self.bits).astype(np.uint8), np.ascontiguousarray(rank.T)
+        self.inside = np.empty_like(self.bucket)
+        half = 0.5 * float(np.median(self.sorted[:, int(0.75 * (self.n - 1))] - self.sorted[:, int(0.25 * (self.n - 1))]))
+        self.widths = [max(half, 1e-6 * float(np.abs(y).max()))]
+        probes = Windows(self, _extended(x[:: max(1, self.n // PROBES)][:PROBES], True))
+        self.widths = [min(self.widths[self.collide(probes, j)[1]] for j in range(len(probes.q))) / GROWTH]
+
+    def width(self, step: int) -> float:
+        while len(self.widths) <= step:
+            self.widths.append(self.widths[-1] * GROWTH)
+        return self.widths[step]
+
+    def near(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The vectors that lie in the windows on enough arrays, and a few more: windows are taken to whole buckets."""
+        first = np.minimum(lo, self.n - 1) >> self.bits
+        last = np.maximum((lo + size - 1) >> self.bits, first)
+        np.subtract(self.bucket, first.astype(np.uint8)[:, None], out=self.inside)
+        np.less_equal(self.inside, (last - first).astype(np.uint8)[:, None], out=self.inside.view(bool))
+        return np.flatnonzero(np.add.reduce(self.inside, axis=0, dtype=self.count_kind) >= self.need)
+
+    def counted(self, rank: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """On how many arrays vectors lie in the windows, by their ranks."""
+        inside = (rank - lo.astype(self.rank_kind)) < size.astype(self.rank_kind)
+        return np.add.reduce(inside.view(np.uint8), axis=1, dtype=self.count_kind)
+
+    def collide(self, windows: Windows, j: int, guess: int = 0) -> tuple[np.ndarray, int]:
+        """Vectors to verify for a query, and the first step at which windows hold enough; the step tried first changes neither."""
+        step, down = guess, True
         while True:
-            lo2, hi2 = self.ranks(q - width), self.ranks(q + width)
-            ends = zip((self.begin + lo2).tolist(), (self.begin + lo).tolist(), (self.begin + hi).tolist(), (self.begin + hi2).tolist())
-            count += np.bincount(np.concatenate([self.order[s] for a, b, c, d in ends for s in (slice(a, b), slice(c, d))]), minlength=self.n)
-            lo, hi = lo2, hi2
-            if (count >= need).sum() >= enough or (hi - lo).min() == self.n:
+            at = windows.at(step, j)
+            which = self.near(*at)
+            rank = self.rank.take(which, axis=0)
+            count = self.counted(rank, *at)
+            if (count >= self.need).sum() >= self.enough:
+                break
+            step, down = step + 1, False
+        # Vectors that collide enough in smaller windows do so in these.
+        while down and step:
+            less = self.counted(rank, *windows.at(step - 1, j))
+            if (less >= self.need).sum() < self.enough:
                 break
-            width *= GROWTH
-        least = np.partition(count, self.n - enough)[self.n - enough]
-        return np.flatnonzero(count >= least), width
+            held = less >= self.need
+            which, rank, count, step = which[held], rank[held], less[held], step - 1
+        least = np.partition(count, len(count) - self.enough)[len(count) - self.enough]
+        return which[count >= least], step
+
+
+class Windows:
+    """Windows of a row of queries on every array of a block, by step; those of a step are looked up for all its queries at once."""
+
+    def __init__(self, arrays: Arrays, extended: np.ndarray):
+        self.arrays, self.q, self.steps = arrays, extended @ arrays.directions, {}
+
+    def at(self, step: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """First rank in each window of query ``j``, and the number of ranks."""
+        if step not in self.steps:
+            width, lo = self.arrays.width(step), np.empty(self.q.shape, np.int64)
+            size = np.empty_like(lo)
+            for i, y in enumerate(self.arrays.sorted):
+                order = np.argsort(self.q[:, i])
+                low, high = (np.searchsorted(y, self.q[order, i] + w) for w in (-width, width))
+                lo[order, i], size[order, i] = low, high - low
+            self.steps[step] = lo, size
+        lo, size = self.steps[step]
+        return lo[j], size[j]
 
 
 def _searched(k: int, least: int, share: int, dim: int, kind: str):
@@ -129,10 +176,11 @@ def _searched(k: int, least: int, share: int, dim: int, kind: str):
                 if not query.as_py():
                     ids, x, arrays = own, q, Arrays(q, max(least, len(q) // share))
                     continue
-                qp = _extended(q, True) @ arrays.directions
+                windows, step = Windows(arrays, _extended(q, True)), 1
                 out = [[], [], [], []]
                 for j in range(len(own)):
-                    c, _ = arrays.collide(qp[j], arrays.width)
+                    # Most queries stop where the one before did.
+                    c, step = arrays.collide(windows, j, step)
                     met = len(c)
                     c = c[ids[c] != own[j]]
                     score = (x[c] * q[j]).sum(axis=1)
@@ -174,9 +222,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     index = blocked(rows.join(F.broadcast(spans), "span"), F.col("begin") + F.pmod(F.xxhash64("i"), F.col("own")), blocks)
     parts = max(1, -(-shape.k // query_block))
     asked = blocked(rows.where("q"), F.pmod(F.xxhash64("i"), F.lit(parts)), parts)
-    # A stated query set against all rows: a block comes once, its queries' small rows after it.
+    # A stated query set against all rows: a block comes once, its queries' small rows after it, in a task of its own.
     everywhere = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "ids", "vecs")
-    both = index.select("block", F.lit(False).alias("query"), "ids", "vecs").unionByName(everywhere).repartition(blocks, "block").sortWithinPartitions("block", "query")
+    both = index.select("block", F.lit(False).alias("query"), "ids", "vecs").unionByName(everywhere).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "query")
     kind = "<f4" if element == "float" else "<f8"
     found = both.mapInArrow(_searched(k, least or 12 * k, share, dim, kind), "query_id long, vec_id long, score double, verified long")
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("vec_id").alias("vec_id"))))

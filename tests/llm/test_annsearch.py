@@ -110,3 +110,47 @@ def test_a_block_comes_once(spark, monkeypatch):
     batches = [pa.record_batch([pa.array(c) for c in zip(*batch)], names=["block", "query", "ids", "vecs"])]
     out = pa.Table.from_batches(list(counted(20, 240, 25, 8, "<f8")(iter(batches))))
     assert made == [(101, 1)] and out.num_rows == 2000
+
+
+def test_collisions_are_those_of_plain_windows():
+    """Random, clustered, equal and far vectors, whatever step is tried first, in blocks whose ranks fill one byte and more."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((7, 12))
+    tables = [rng.standard_normal((n, 12)) for n in (1, 3, 256, 257, 1500)] + [centres[rng.integers(0, 7, 900)] + 0.1 * rng.standard_normal((900, 12)), np.ones((300, 12)), rng.standard_normal((600, 300))]
+    for x in tables:
+        queries = np.concatenate([x[:6], 30 * x[:2], -x[:1]])
+        arrays = annsearch.Arrays(x, 240)
+        windows = annsearch.Windows(arrays, annsearch._extended(queries, True))
+        y = annsearch._extended(x, False) @ arrays.directions
+        for j, q in enumerate(annsearch._extended(queries, True) @ arrays.directions):
+            step, need, enough = 0, int(np.ceil(0.8 * len(q))), min(240, len(x))
+            while True:
+                count = ((y >= q - arrays.width(step)) & (y < q + arrays.width(step))).sum(axis=1)
+                if (count >= need).sum() >= enough:
+                    break
+                step += 1
+            want = np.flatnonzero(count >= np.sort(count)[-enough]).tolist()
+            for guess in (0, 1, 4, step, step + 5):
+                which, at = arrays.collide(windows, j, guess)
+                assert (which.tolist(), at) == (want, step)
+
+
+def test_each_block_is_a_task_of_its_own(spark, monkeypatch):
+    """Blocks are dealt by number: none waits behind another that a hash put into the same task."""
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 8)))], "vec_id long, embedding array<double>")
+
+    def blocks_only(*args):
+        def run(batches):
+            from pyspark import TaskContext
+
+            import pyarrow as pa
+
+            seen = [b.column(1).to_pylist().count(False) for b in batches]
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), pa.array([0]), pa.array([float(sum(seen))]), pa.array([0])], names=["query_id", "vec_id", "score", "verified"])
+
+        return run
+
+    monkeypatch.setattr(annsearch, "_searched", blocks_only)
+    held = [r.score for r in annsearch.search(df, F.col("vec_id") % 20 == 0, block=100).collect()]
+    assert len(held) >= 30 and set(held) == {1.0}
