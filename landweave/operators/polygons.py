@@ -75,21 +75,39 @@ def _within(low: Column, high: Column, size: int | None) -> tuple[Column, Column
     return (low, high) if size is None else (F.greatest(low, F.lit(0)), F.least(high, F.lit(size - 1)))
 
 
-def spans(polygons: DataFrame, grid: Grid, keys: Sequence[str], rings: str = "rings") -> DataFrame:
-    """``keys, row, first, last``: the runs of pixels whose centres lie in each polygon.
-
-    Every edge gives its crossing of each row between its ends; the crossings of a polygon and row, in
-    order, open and close its runs in turn.
-    """
+def _crossings(polygons: DataFrame, grid: Grid, keys: Sequence[str], rings: str) -> DataFrame:
+    """``keys, row, u``: where every edge crosses each row of pixel centres between its ends."""
     first, last = _within(F.ceil("y0"), F.ceil("y1") - 1, grid.rows)
     crossed = edges(polygons, keys, rings, grid).where("y0 < y1").withColumn("__a", first).withColumn("__b", last).where("__a <= __b")
-    crossings = crossed.withColumn("row", F.explode(F.sequence("__a", "__b"))).select(*keys, F.col("row").cast("int").alias("row"), _at(F.col("row")).alias("u"))
+    return crossed.withColumn("row", F.explode(F.sequence("__a", "__b"))).select(*keys, F.col("row").cast("int").alias("row"), _at(F.col("row")).alias("u"))
+
+
+def _paired(crossings: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFrame:
     order = Window.partitionBy(*keys, "row").orderBy("u")
     paired = crossings.withColumn("__n", F.row_number().over(order)).withColumn("__to", F.lead("u").over(order)).where("__n % 2 = 1 and __to is not null")
     a, b = _within(F.ceil("u"), F.ceil("__to") - 1, grid.cols)
     return paired.select(*keys, "row", a.cast("int").alias("first"), b.cast("int").alias("last")).where("first <= last")
 
 
+def spans(polygons: DataFrame, grid: Grid, keys: Sequence[str], rings: str = "rings") -> DataFrame:
+    """``keys, row, first, last``: the runs of pixels whose centres lie in each polygon.
+
+    Every edge gives its crossing of each row between its ends; the crossings of a polygon and row, in
+    order, open and close its runs in turn.
+    """
+    return _paired(_crossings(polygons, grid, keys, rings), grid, keys)
+
+
+def masks(polygons: DataFrame, grid: Grid, keys: Sequence[str], rings: str = "rings") -> DataFrame:
+    """SC11: ``keys, row, col`` of every pixel whose centre lies in each polygon.
+
+    Pixels are made from runs as they are given out, so what is shuffled grows with the height of the
+    polygons and not with their area; crossings are dealt by number, as a few become many pixels.
+    """
+    dealt = _crossings(polygons, grid, keys, rings).repartition(partitions(polygons.sparkSession), *keys, "row")
+    return _paired(dealt, grid, keys).select(*keys, "row", F.explode(F.sequence("first", "last")).alias("col"))
+
+
 def _numbered(polygons: DataFrame) -> DataFrame:
     """Polygons that may share value and order are told apart."""
     return polygons.withColumn("__id", F.monotonically_increasing_id())

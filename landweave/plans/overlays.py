@@ -125,8 +125,7 @@ def f13_clip_to_polygons(spark, d):
 def sc11_polygon_masks(spark, d):
     """The constant image of every parcel."""
     g = fx.grid_size(spark, d)
-    x, y = polygons.Grid().centre()
-    inside = polygons.held(fx.cells(spark, g), polygons.cover(fx.parcels(spark, d), "feature", 2.0, box=(0, 0, g, g)), 2.0, x, y)
+    inside = polygons.masks(fx.parcels(spark, d), polygons.Grid(rows=g, cols=g), ["feature"])
     return scans.constant(inside, 1, "inside").select("row", "col", "feature", "inside")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landweave.operators import polygons
 from landweave.operators.polygons import Grid
+from landweave.plans import overlays
 
 
 def table(spark, shapes):
@@ -220,3 +221,20 @@ def test_edges_of_a_small_file_are_dealt_over_tasks(spark):
     """A table of one partition, whose few edges become many rows."""
     one = table(spark, shapes(random.Random(23), 40)).coalesce(1)
     assert polygons.edges(one, ["feature"]).rdd.getNumPartitions() == 4
+
+
+def test_masks_equal_even_odd(spark):
+    """Every pixel of every polygon, also under others, clipped to the grid; none of null and empty rings."""
+    made = shapes(random.Random(13), 10) + [None, [], [[(1.0, 1.0), (9.0, 1.0)]], [[(-50.0, -50.0), (80.0, -50.0), (80.0, 80.0), (-50.0, 80.0)]]]
+    got = [tuple(r) for r in polygons.masks(table(spark, made), Grid(rows=30, cols=30), ["feature"]).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(k, r, c) for k, rings in enumerate(made) for r in range(30) for c in range(30) if inside(rings, c + 0.5, r + 0.5)}
+
+
+def test_masks_join_no_pixels(spark):
+    """A parcel's pixels come from its runs: no grid is joined, and few runs of many pixels stay dealt over all tasks."""
+    plan = overlays.book.queries["sc11_polygon_masks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Range" not in plan
+    ring = [[(0.0, 0.0), (400.0, 0.0), (400.0, 400.0), (0.0, 400.0)]]
+    pixels = polygons.masks(table(spark, [ring]), Grid(rows=400, cols=400), ["feature"]).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(pixels) == 4 and sum(r["count"] for r in pixels) == 160_000
