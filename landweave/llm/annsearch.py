@@ -111,6 +111,7 @@ class Arrays:
 
     def near(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The vectors that lie in the windows on enough arrays, and a few more: windows are taken to whole buckets."""
+        lo, size = lo.astype(np.int64), size.astype(np.int64)
         first = np.minimum(lo, self.n - 1) >> self.bits
         last = np.maximum((lo + size - 1) >> self.bits, first)
         np.subtract(self.bucket, first.astype(np.uint8)[:, None], out=self.inside)
@@ -119,7 +120,7 @@ class Arrays:
 
     def counted(self, rank: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
         """On how many arrays vectors lie in the windows, by their ranks."""
-        inside = (rank - lo.astype(self.rank_kind)) < size.astype(self.rank_kind)
+        inside = (rank - lo) < size
         return np.add.reduce(inside.view(np.uint8), axis=1, dtype=self.count_kind)
 
     def collide(self, windows: Windows, j: int, guess: int = 0) -> tuple[np.ndarray, int]:
@@ -153,7 +154,7 @@ class Windows:
     def at(self, step: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         """First rank in each window of query ``j``, and the number of ranks."""
         if step not in self.steps:
-            width, lo = self.arrays.width(step), np.empty(self.q.shape, np.int64)
+            width, lo = self.arrays.width(step), np.empty(self.q.shape, self.arrays.rank_kind)
             size = np.empty_like(lo)
             for i, y in enumerate(self.arrays.sorted):
                 order = np.argsort(self.q[:, i])
